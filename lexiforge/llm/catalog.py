@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import attribution, extraction, jaccard, langid, media, neighbours, packing, unigram, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
+    "op2_media_columns": media.query,
+    "op3_url_filters": urls.query,
+    "op4_token_counts": attribution.query,
     "op5_packing": packing.query,
+    "op6_nearest_neighbours": neighbours.query,
+    "op8_html_extraction": extraction.query,
+    "op9_language_id": langid.query,
+    "op10_sentencepiece": unigram.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE}
 
 
 def queries() -> dict:
