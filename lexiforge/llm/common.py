@@ -11,7 +11,8 @@ import zipfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at a time.
 BLOCK_BYTES = 4 << 20
@@ -61,15 +62,14 @@ class Scratch:
         self.root = f"{scratch_dir(spark)}/lexiforge-{name}-{uuid.uuid4().hex}"
         self._n = itertools.count()
 
-    def store(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def store(self, df: DataFrame, name: str, *measures: Column) -> DataFrame:
+        """Write df and return it as read back. Its attribute ``seen`` has the number of rows as ``n_rows``
+        and the given aggregates, observed while it was written."""
         path = f"{self.root}/{next(self._n):03d}-{name}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *measures).write.option("compression", "zstd").parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
-        stored.scratch_path = path
-        self.release()
+        stored.scratch_path, stored.seen = path, seen.get
         return stored
 
     def drop(self, df: DataFrame) -> None:

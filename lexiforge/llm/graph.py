@@ -36,8 +36,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         small = _with_minimum(large.distinct())
         pairs = small.select("v", "least").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         own = small.select("u", F.col("least").alias("v"))
-        following = scratch.store(pairs.unionByName(own).distinct(), "edges")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        following = scratch.store(pairs.unionByName(own).distinct(), "edges", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total"))
+        state = following.seen
         scratch.drop(now)
         now = following
         if state == before:

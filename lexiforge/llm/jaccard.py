@@ -41,7 +41,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def _power_table(n: int) -> np.ndarray:
@@ -305,6 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(24, max(6, (total // 6 // BUCKET_TOKENS).bit_length()))
     moved = narrow.mapInPandas(_scatter(bits), _MOVED).groupBy("bucket").applyInPandas(_shared, _MOVED)
     found = scratch.store(moved.groupBy("shard").applyInPandas(_assemble, _NODES), "documents")
+    scratch.release()
     links = _links(found, scratch)
     members = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name"))
     labels = links.select(F.col("node").alias("name"), "component")
@@ -322,16 +323,19 @@ def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
     marks = with_tokens.select("name", "n", F.explode("signatures").alias("signature"))
     groups = marks.groupBy("signature").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("signature")
     marks = scratch.store(marks.join(groups, "signature").distinct(), "signatures")
-    linked = tested = labels = None
+    scratch.release()
+    linked = tested = None
+    labels = scratch.spark.createDataFrame([], "name long, label long")
     for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
+        if tested is None:
             here = marks.withColumn("component", F.col("name"))
         else:
             here = marks.join(labels, "name", "left").withColumn("component", F.coalesce("label", "name"))
             mixed = here.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
             here = scratch.store(here.join(mixed.select("signature"), "signature").select("signature", "name", "n", "component"), "mixed")
-            if here.isEmpty():
+            if not here.seen["n_rows"]:
                 break
+            marks = here.select("signature", "name", "n")  # signatures within one component are settled
         if turn < PIVOT_ROUNDS:
             # the pivot is chosen by a hash of its own, so signatures of one group of copies mostly agree on it
             order = F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))
@@ -345,9 +349,12 @@ def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = scratch.store(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.seen["n_rows"]:
+            continue
         new = scratch.store(_verified(pairs, nodes), "links")
-        linked = new if linked is None else linked.unionByName(new)
-        labels = scratch.store(components(linked, scratch).select(F.col("node").alias("name"), F.col("component").alias("label")), "labels")
+        if new.seen["n_rows"]:
+            linked = new if linked is None else linked.unionByName(new)
+            labels = scratch.store(components(linked, scratch).select(F.col("node").alias("name"), F.col("component").alias("label")), "labels")
     return labels.select(F.col("name").alias("node"), F.col("label").alias("component"))
 
 

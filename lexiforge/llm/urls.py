@@ -125,7 +125,7 @@ def judge_urls(pages: DataFrame, rules=None, edges: DataFrame | None = None, id_
     if links is not None:
         links = scratch.store(links.select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v")).filter("u <> v").distinct(), "links")
     keys = own.select("host", "path")
-    linked = links is not None and not links.isEmpty()
+    linked = links is not None and links.seen["n_rows"] > 0
     if linked:
         members = scratch.store(components(links, scratch), "members")
         with_scheme = F.concat(F.lit("x://"), F.col("node"))
