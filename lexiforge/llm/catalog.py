@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, extraction, jaccard, langid, media, neighbours, packing, unigram, urls
+from . import attribution, extraction, jaccard, langid, media, neighbours, packing, passages, unigram, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": attribution.query,
     "op5_packing": packing.query,
     "op6_nearest_neighbours": neighbours.query,
+    "op7_suffix_array_dedup": passages.query,
     "op8_html_extraction": extraction.query,
     "op9_language_id": langid.query,
     "op10_sentencepiece": unigram.query,
