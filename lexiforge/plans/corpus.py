@@ -1,4 +1,311 @@
-"""Queries."""
+"""Queries of cleaning, filtering, deduplication, sampling and corpus statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import cleaning, dedup, joins, sampling, statistics
+from .tables import sql_hash, sql_index, squash, strip, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+SEED = 42
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+# Rules that have something to do on the synthetic documents.
+JUNK = ["lorem ipsum", "ist das", "the the"]
+REJECTS = {"spanish_los": r"(?iU)\b(los|las)\b", "french_pour": r"(?iU)\b(pour|dans)\b"}
+POSITIVES = {"the": r"(?iU)\bthe\b", "und": r"(?iU)\bund\b", "diacritic": r"[òèçéñ]"}
+_WORD = "(^|[^\\p{{L}}\\p{{N}}_])({0})($|[^\\p{{L}}\\p{{N}}_])"
+
+
+def _rx(words: str) -> str:
+    return "(?i)" + _WORD.format(words)
+
+
+_LINES_SQL = f"""list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip("regexp_replace(l, '(?i)\\[\\s*modificar.*?\\s*\\]', '', 'g')")}),
+  lambda l: l <> '' AND len(list_filter(regexp_split_to_array(l, '[\\s\\p{{Z}}]+'), lambda w: w <> '')) >= 5
+   AND NOT contains(lower(l), 'lorem ipsum') AND NOT contains(lower(l), 'ist das') AND NOT contains(lower(l), 'the the'))"""
+
+
+@query("clean_lines", f"SELECT doc_id, array_to_string({_LINES_SQL}, chr(10)) AS text FROM documents WHERE len({_LINES_SQL}) > 0")
+def clean_lines(spark, d):
+    return cleaning.clean_documents(table(spark, d, "documents").select("doc_id", "text"), junk=JUNK)
+
+
+@query("lid_gate", "SELECT doc_id, lang FROM documents WHERE NOT (lang IN ('fr', 'es') AND (n_chars % 10) / 10.0 > 0.4)")
+def lid_gate(spark, d):
+    docs = table(spark, d, "documents").withColumn("score", (F.col("n_chars") % 10) / 10.0)
+    return cleaning.language_gate(docs, "lang", "score", ["fr", "es"], 0.4).select("doc_id", "lang")
+
+
+_SCORED_SQL = f"""SELECT doc_id, source,
+  list_filter([CASE WHEN regexp_matches(text, '{_rx("los|las")}') THEN 'spanish_los' END, CASE WHEN regexp_matches(text, '{_rx("pour|dans")}') THEN 'french_pour' END], lambda x: x IS NOT NULL) AS rejects,
+  list_filter([CASE WHEN regexp_matches(text, '{_rx("the")}') THEN 'the' END, CASE WHEN regexp_matches(text, '{_rx("und")}') THEN 'und' END, CASE WHEN regexp_matches(text, '[òèçéñ]') THEN 'diacritic' END], lambda x: x IS NOT NULL) AS hits
+  FROM documents"""
+
+
+def _scored(spark, d):
+    return cleaning.rule_scores(table(spark, d, "documents"), "text", REJECTS, POSITIVES, 1)
+
+
+@query("rule_filter", f"SELECT doc_id, array_to_string(hits, ',') AS positives FROM ({_SCORED_SQL}) WHERE len(rejects) = 0 AND len(hits) >= 1")
+def rule_filter(spark, d):
+    return _scored(spark, d).filter("keep").select("doc_id", F.array_join("positives", ",").alias("positives"))
+
+
+@query(
+    "reason_counts",
+    f"""WITH s AS ({_SCORED_SQL}) SELECT reason, count(*) AS n FROM (SELECT unnest(rejects) AS reason FROM s
+    UNION ALL SELECT 'insufficient_positive_signals' FROM s WHERE len(rejects) = 0 AND len(hits) < 1) GROUP BY reason""",
+)
+def reason_counts(spark, d):
+    return cleaning.reason_counts(_scored(spark, d))
+
+
+@query(
+    "blocklist_filter",
+    "SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(coalesce(role, '') || ' ' || coalesce(text, ''), '(?i)https?://|\\[\\d+\\]|user .*tion\\b|Wikipedia|Google')",
+)
+def blocklist_filter(spark, d):
+    patterns = [r"https?://", r"\[\d+\]", r"user .*tion\b", "Wikipedia", "Google"]
+    return cleaning.without_matches(table(spark, d, "conversations"), ["role", "text"], patterns).select("conv_id", "turn")
+
+
+@query("unk_filter", "SELECT doc_id FROM documents WHERE NOT contains(concat_ws(chr(1), text, lang), '<unk>')")
+def unk_filter(spark, d):
+    return cleaning.without_literal(table(spark, d, "documents"), ["text", "lang"]).select("doc_id")
+
+
+_CLEAN_SQL = "CASE WHEN lower({0}) = 'nan' THEN '' ELSE coalesce({0}, '') END"
+
+
+@query("required_fields", f"SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, {_CLEAN_SQL.format(strip('role'))} AS role, {_CLEAN_SQL.format(strip('text'))} AS text FROM conversations) WHERE role <> '' AND text <> ''")
+def required_fields(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", X.clean_str("role").alias("role"), X.clean_str("text").alias("text"))
+    return rows.filter("role <> '' AND text <> ''")
+
+
+@query(
+    "pick_first",
+    f"SELECT conv_id, turn, coalesce(nullif({_CLEAN_SQL.format(strip('a'))}, ''), nullif({_CLEAN_SQL.format(strip('text'))}, ''), '') AS instruction FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN role ELSE ' nan ' END AS a FROM conversations)",
+)
+def pick_first(spark, d):
+    rows = table(spark, d, "conversations").withColumn("Instruction", F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(" nan "))
+    return rows.select("conv_id", "turn", X.pick_first(rows.columns, ["Instruction", "saisir", "text"]).alias("instruction"))
+
+
+@query(
+    "validate_errors",
+    f"""WITH p AS (SELECT doc_id, {squash('lang')} AS source, replace({squash('split_part(text, chr(10), 1)')}, '’', '''') AS correct,
+      replace({squash('split_part(text, chr(10), 2)')}, '’', '''') AS incorrect FROM documents),
+    e AS (SELECT doc_id, list_filter([CASE WHEN source = '' THEN 'missing source_fr' END, CASE WHEN correct = '' THEN 'missing correct_oc' END,
+      CASE WHEN incorrect = '' THEN 'missing incorrect_oc' END,
+      CASE WHEN correct <> '' AND lower(correct) = lower(incorrect) THEN 'correct_oc and incorrect_oc are identical' END,
+      CASE WHEN NOT (contains(' ' || lower(correct) || ' ', ' the ') OR contains(' ' || lower(correct) || ' ', ' la ')) THEN 'correct_oc lacks required category marker' END,
+      CASE WHEN contains(' ' || lower(correct) || ' ', ' und ') THEN 'correct_oc contains forbidden interference marker' END,
+      CASE WHEN len(list_filter(string_split(correct, ' '), lambda w: w <> '')) > 24 THEN 'correct_oc is too long' END,
+      CASE WHEN len(list_filter(string_split(incorrect, ' '), lambda w: w <> '')) > 24 THEN 'incorrect_oc is too long' END], lambda x: x IS NOT NULL) AS errors FROM p)
+    SELECT doc_id, array_to_string(errors, ';') AS errors, len(errors) = 0 AS accepted FROM e""",
+)
+def validate_errors(spark, d):
+    lines = F.split("text", "\n")
+    pairs = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("source"), lines[0].alias("correct"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("incorrect"), F.lit("x").alias("explanation")
+    )
+    rules = cleaning.PairRules("any", [" the ", " la "], [], [" und "])
+    errors = cleaning.pair_errors(rules)
+    return pairs.select("doc_id", F.array_join(errors, ";").alias("errors"), (F.size(errors) == 0).alias("accepted"))
+
+
+@query("dedup_first_wins", f"SELECT doc_id, text FROM (SELECT doc_id, {squash('text')} AS text, row_number() OVER (PARTITION BY lower({squash('text')}) ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
+def dedup_first_wins(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", X.squash("text").alias("text"))
+    return dedup.first_wins(docs, [F.lower("text")], ["doc_id"])
+
+
+@query(
+    "dedup_source_priority",
+    f"""SELECT src, item, text FROM (SELECT *, row_number() OVER (PARTITION BY lower({squash('text')}) ORDER BY rank, item) AS p FROM (
+      SELECT 'benchmark' AS src, 0 AS rank, item_id AS item, text FROM benchmark UNION ALL SELECT 'documents', 1, doc_id, text FROM documents)) WHERE p = 1""",
+)
+def dedup_source_priority(spark, d):
+    rows = joins.tagged_union({"benchmark": table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"), "documents": table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")}, "src", "rank")
+    return dedup.first_wins(rows, [dedup.text_key("text")], ["rank", "item"]).select("src", "item", "text")
+
+
+@query(
+    "dedup_capped_chain",
+    """WITH a AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM documents WHERE source = 'src0'),
+    a1 AS (SELECT doc_id, text FROM a WHERE p = 1 ORDER BY doc_id LIMIT 50),
+    b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM a1)),
+    b1 AS (SELECT doc_id, text FROM b WHERE p = 1 ORDER BY doc_id LIMIT 80) SELECT * FROM a1 UNION ALL SELECT * FROM b1""",
+)
+def dedup_capped_chain(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    first, rest = docs.filter("source = 'src0'").drop("source"), docs.filter("source <> 'src0'").drop("source")
+    return dedup.capped_chain([(first, 50), (rest, 80)], "text", "doc_id").select("doc_id", "text")
+
+
+_CAP_SQL = f"""WITH h AS (SELECT doc_id, lang, text, {sql_hash(SEED, 'doc_id')} AS h FROM documents),
+  f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY h, doc_id) AS p FROM h WHERE lang <> 'en'),
+  k AS (SELECT * FROM f WHERE p = 1 ORDER BY h, doc_id LIMIT 60)"""
+
+
+@query("capped_sample", _CAP_SQL + " SELECT doc_id, lang FROM k")
+def capped_sample(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return sampling.capped(docs, F.col("lang") != "en", F.col("text"), 60, SEED, "doc_id")[0].select("doc_id", "lang")
+
+
+@query("capped_sample_loaded", _CAP_SQL + " SELECT count(*) AS loaded FROM h WHERE (SELECT count(*) FROM k) < 60 OR h.h <= (SELECT max(k.h) FROM k)")
+def capped_sample_loaded(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return sampling.capped(docs, F.col("lang") != "en", F.col("text"), 60, SEED, "doc_id")[1]
+
+
+@query("topn_per_category", "SELECT p_partkey, p_brand, item FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS p, printf('%s_%03d', p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS item FROM part) WHERE p <= 5")
+def topn_per_category(spark, d):
+    return sampling.quota(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", 5, ["p_partkey"])
+
+
+def _split_sql(rest: str, group: str) -> str:
+    return f"SELECT doc_id, {rest} AS split FROM (SELECT doc_id, {group}, count(*) OVER (PARTITION BY {group}) AS n, row_number() OVER (PARTITION BY {group} ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS r FROM documents)"
+
+
+@query("stratified_split", _split_sql("CASE WHEN r <= (CASE WHEN n <= 1 THEN 0 ELSE least(greatest(1, round_even(n * 0.1, 0)), n - 1) END) THEN 'dev' ELSE 'train' END", "lang"))
+def stratified_split(spark, d):
+    return sampling.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "lang", 0.1, SEED, "doc_id").select("doc_id", "split")
+
+
+_RATIO_SQL = _split_sql(
+    """CASE WHEN r <= CASE WHEN n >= 10 AND n - greatest(floor(n * 0.8), 1) - greatest(floor(n * 0.1), 1) < 1 THEN greatest(floor(n * 0.8), 1) - 1 WHEN n >= 10 THEN greatest(floor(n * 0.8), 1) ELSE floor(n * 0.8) END THEN 'train'
+  WHEN r <= CASE WHEN n >= 10 AND n - greatest(floor(n * 0.8), 1) - greatest(floor(n * 0.1), 1) < 1 THEN greatest(floor(n * 0.8), 1) - 1 WHEN n >= 10 THEN greatest(floor(n * 0.8), 1) ELSE floor(n * 0.8) END
+      + CASE WHEN n >= 10 THEN greatest(floor(n * 0.1), 1) ELSE floor(n * 0.1) END THEN 'dev' ELSE 'test' END""",
+    "source",
+)
+
+
+def _ratio(spark, d):
+    return sampling.ratio_split(table(spark, d, "documents").select("doc_id", "source"), "source", 0.8, 0.1, 0.1, SEED, "doc_id")
+
+
+@query("ratio_split", _RATIO_SQL)
+def ratio_split(spark, d):
+    return _ratio(spark, d).select("doc_id", "split")
+
+
+@query("split_counts", f"SELECT coalesce(source, 'total') AS source, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM (SELECT s.*, d.source FROM ({_RATIO_SQL}) s JOIN documents d USING (doc_id)) GROUP BY ROLLUP (source)")
+def split_counts(spark, d):
+    return statistics.split_counts(_ratio(spark, d), "source")
+
+
+@query("fixed_split", f"SELECT doc_id, CASE WHEN r <= 100 THEN 'dev' WHEN r <= 200 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS r FROM documents)")
+def fixed_split(spark, d):
+    return sampling.fixed_split(table(spark, d, "documents").select("doc_id"), 100, 100, SEED, "doc_id")
+
+
+@query("random_split", f"SELECT doc_id, CASE WHEN {sql_index(10, SEED, 'doc_id')} = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
+def random_split(spark, d):
+    return sampling.hash_split(table(spark, d, "documents").select("doc_id"), 10, SEED, "doc_id")
+
+
+@query("seeded_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS place FROM documents ORDER BY place LIMIT 50")
+def seeded_shuffle(spark, d):
+    head = sampling.shuffled(table(spark, d, "documents").select("doc_id"), SEED, "doc_id").limit(50)
+    return head.withColumn("place", F.row_number().over(Window.orderBy(X.seeded_hash(SEED, "doc_id"), "doc_id")).cast("long"))
+
+
+@query("limit_then_dedup", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM (SELECT doc_id, text FROM documents WHERE length(text) >= 80 ORDER BY doc_id LIMIT 300)) WHERE p = 1")
+def limit_then_dedup(spark, d):
+    rows = table(spark, d, "documents").filter(F.length("text") >= 80).select("doc_id", "text").orderBy("doc_id").limit(300)
+    return dedup.first_wins(rows, ["text"], ["doc_id"])
+
+
+@query("dedup_then_limit", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM documents WHERE length(text) >= 80) WHERE p = 1 ORDER BY doc_id LIMIT 300")
+def dedup_then_limit(spark, d):
+    rows = table(spark, d, "documents").filter(F.length("text") >= 80).select("doc_id", "text")
+    return dedup.first_wins(rows, ["text"], ["doc_id"]).orderBy("doc_id").limit(300)
+
+
+@query("offset_slice", "SELECT doc_id FROM documents ORDER BY doc_id OFFSET 25")
+def offset_slice(spark, d):
+    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").offset(25)
+
+
+@query("priority_dedup", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END DESC, o_orderkey) AS p FROM orders) WHERE p = 1")
+def priority_dedup(spark, d):
+    orders = table(spark, d, "orders")
+    priority = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
+    return dedup.priority_pick(orders, "o_custkey", priority, "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("upsert_merge", "SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NOT NULL THEN b.v ELSE a.v END AS total FROM (SELECT o_custkey, count(*) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) b ON a.o_custkey = b.o_custkey")
+def upsert_merge(spark, d):
+    orders = table(spark, d, "orders")
+    old = orders.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.count("*").alias("total"))
+    new = orders.filter("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.count("*").alias("total"))
+    return dedup.upsert(old, new, "o_custkey", "total")
+
+
+@query("lang_histogram", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY lang")
+def lang_histogram(spark, d):
+    return statistics.histogram(table(spark, d, "documents"), "lang")
+
+
+_STATUS_SQL = """SELECT source, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN contains(text, '***') THEN 'filtered' WHEN
+  row_number() OVER (PARTITION BY source, (text IS NULL OR trim(text) = '') OR contains(text, '***'), text ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'kept' END AS status FROM documents"""
+
+
+@query("quality_report", f"SELECT source, count(*) AS loaded, count(*) FILTER (status = 'empty') AS skipped_empty, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'kept') AS kept FROM ({_STATUS_SQL}) GROUP BY source")
+def quality_report(spark, d):
+    return statistics.quality_report(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "text", "***", "doc_id")
+
+
+@query("per_source_rollup", "SELECT coalesce(source, 'total') AS source, count(*) AS input, count(*) FILTER (n_chars >= 1000) AS kept, count(*) FILTER (n_chars < 1000) AS dropped FROM documents GROUP BY ROLLUP (source)")
+def per_source_rollup(spark, d):
+    return statistics.kept_rollup(table(spark, d, "documents"), "source", F.col("n_chars") >= 1000)
+
+
+@query("word_freq_topk", "WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zàèéêçñóíäöüß]+')) AS word, doc_id FROM documents) SELECT word, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY word ORDER BY n DESC, first_doc, word LIMIT 200")
+def word_freq_topk(spark, d):
+    return statistics.word_frequency(table(spark, d, "documents"), "text", "doc_id", "[a-zàèéêçñóíäöüß]+").orderBy(F.desc("n"), "first_doc", "word").limit(200)
+
+
+@query("corpus_totals", "SELECT lang, sum(length(text))::BIGINT + 2 * (count(*) - 1) AS chars, sum(strlen(text))::BIGINT + 2 * (count(*) - 1) AS bytes, sum(len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> '')))::BIGINT AS words FROM documents GROUP BY lang")
+def corpus_totals(spark, d):
+    return statistics.corpus_totals(table(spark, d, "documents"), "lang", "text", separator=2)
+
+
+@query("row_count_check", "SELECT o_orderstatus, count(*) AS n, count(*) = (SELECT count(*) FROM orders o WHERE o.o_orderstatus = orders.o_orderstatus) AS ok FROM orders GROUP BY o_orderstatus")
+def row_count_check(spark, d):
+    counts = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    again = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("m"))
+    return counts.join(again, "o_orderstatus").select("o_orderstatus", "n", (F.col("n") == F.col("m")).alias("ok"))
+
+
+def flagship(spark, d) -> DataFrame:
+    """Cleaned documents, first of equal texts, split by language, counted by language and split."""
+    docs = cleaning.clean_documents(table(spark, d, "documents").select("doc_id", "lang", "text"), junk=JUNK)
+    split = sampling.stratified_split(dedup.first_wins(docs, [dedup.text_key("text")], ["doc_id"]), "lang", 0.1, SEED, "doc_id")
+    return split.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_FLAG_SQL = f"""WITH c AS (SELECT doc_id, lang, array_to_string({_LINES_SQL}, chr(10)) AS text FROM documents WHERE len({_LINES_SQL}) > 0),
+  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower({squash('text')}) ORDER BY doc_id) AS p FROM c) WHERE p = 1),
+  s AS (SELECT lang, length(text) AS chars, CASE WHEN r <= (CASE WHEN n <= 1 THEN 0 ELSE least(greatest(1, round_even(n * 0.1, 0)), n - 1) END) THEN 'dev' ELSE 'train' END AS split FROM
+    (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS r FROM u))
+  SELECT lang, split, count(*) AS n, sum(chars)::BIGINT AS chars FROM s GROUP BY lang, split"""
+query("flagship", _FLAG_SQL)(flagship)
