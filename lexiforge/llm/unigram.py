@@ -47,14 +47,14 @@ class DoubleArray:
     """A trie over byte strings: the child of node s by byte c is t = base[s] + c, if check[t] == s.
 
     value[t] is the id of the key that ends at t, or -1. Keys are inserted breadth first, so a node's
-    children are placed at once, at the first base where all their cells are free.
+    children are placed at once, at a base where all their cells are free.
     """
 
     def __init__(self, keys: list[tuple[bytes, int]]):
         self.base, self.check, self.value = array("i", [0] * 512), array("i", [-1] * 512), array("i", [-1] * 512)
         self.check[0] = 0
         keys = sorted(keys)
-        first_free = 1
+        look = 1  # cells before it are nearly all taken
         level = [(0, 0, len(keys), 0)]  # node, its range of keys, depth
         while level:
             following = []
@@ -71,19 +71,25 @@ class DoubleArray:
                         children.append([c, k, k + 1])
                 if not children:
                     continue
-                base = max(1, first_free - children[0][0])
+                lead = children[0][0]
+                at, taken, started = max(look, lead + 1), 0, False
                 while True:
-                    self._grow(base + 256)
-                    if all(self.check[base + c] < 0 for c, _, _ in children):
-                        break
-                    base += 1
+                    self._grow(at + 256)
+                    if self.check[at] >= 0:
+                        taken += 1
+                    else:
+                        if not started:
+                            look, started = at, True
+                        base = at - lead
+                        if all(self.check[base + c] < 0 for c, _, _ in children):
+                            break
+                    at += 1
+                if taken > 0.95 * (at - look + 1):
+                    look = at
                 self.base[node] = base
                 for c, a, b in children:
                     self.check[base + c] = node
                     following.append((base + c, a, b, depth + 1))
-                while self.check[first_free] >= 0:
-                    first_free += 1
-                    self._grow(first_free + 1)
             level = following
 
     def _grow(self, size: int) -> None:
