@@ -1,4 +1,183 @@
-"""Queries."""
+"""Queries of evaluation: overlap scores, bootstrap, perplexity, preferences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import evaluation as E
+from . import mixing
+from .tables import sql_index, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+SEED = 42
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+_PAIR_SQL = mixing._PAIR_SQL
+_NGRAMS = " UNION ALL ".join(
+    [
+        f"SELECT conv_id, turn, 'c{n}' AS o, unnest(list_transform(range(1, greatest(length({{s}}) - {n - 2}, 1)), lambda i: substr({{s}}, i, {n}))) AS g FROM p"
+        for n in range(1, 7)
+    ]
+    + [
+        f"SELECT conv_id, turn, 'w{n}' AS o, unnest(list_transform(range(1, greatest(len({{w}}) - {n - 2}, 1)), lambda i: array_to_string({{w}}[i:i+{n - 1}], chr(1)))) AS g FROM p"
+        for n in (1, 2)
+    ]
+)
+
+
+def _stats_sql(hyp: str, ref: str) -> str:
+    def side(c):
+        return _NGRAMS.format(s=f"regexp_replace({c}, '[\\s\\p{{Z}}]+', '', 'g')", w=f"list_filter(regexp_split_to_array({c}, '[\\s\\p{{Z}}]+'), lambda w: w <> '')")
+
+    return f"""(WITH p AS (SELECT conv_id, turn, substr(prompt, 1, 200) AS a, substr(output, 1, 200) AS b, substr(reverse(prompt), 1, 200) AS c FROM ({_PAIR_SQL})),
+      h AS (SELECT conv_id, turn, o, g, count(*) AS n FROM ({side(hyp)}) GROUP BY ALL), r AS (SELECT conv_id, turn, o, g, count(*) AS n FROM ({side(ref)}) GROUP BY ALL),
+      j AS (SELECT conv_id, turn, o, coalesce(h.n, 0) AS h, coalesce(r.n, 0) AS r FROM h FULL JOIN r USING (conv_id, turn, o, g))
+      SELECT conv_id, turn, o AS "order", sum(h)::BIGINT AS hyp, sum(r)::BIGINT AS ref, sum(least(h, r))::BIGINT AS "match" FROM j GROUP BY ALL)"""
+
+
+def _score_sql(stats: str, keys: str) -> str:
+    comma = f"{keys}," if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""(SELECT {comma} CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END AS chrf FROM (SELECT {comma} avg(m / h) AS p, avg(m / f) AS r FROM (
+      SELECT {comma} "order", sum(hyp)::DOUBLE AS h, sum(ref)::DOUBLE AS f, sum("match")::DOUBLE AS m FROM {stats} GROUP BY {comma} "order") WHERE h > 0 AND f > 0 {group}))"""
+
+
+def _texts(spark, d):
+    pairs = mixing._replies(spark, d)
+    return pairs.select("conv_id", "turn", F.substr("instruction", F.lit(1), F.lit(200)).alias("a"), F.substr("output", F.lit(1), F.lit(200)).alias("b"), F.substr(F.reverse("instruction"), F.lit(1), F.lit(200)).alias("c"))
+
+
+@query("chrf_stats", _stats_sql("b", "a")[1:-1])
+def chrf_stats(spark, d):
+    return E.chrf_stats(_texts(spark, d), ["conv_id", "turn"], "b", "a")
+
+
+@query("chrf_corpus", f"SELECT round(chrf, 6) AS chrf FROM {_score_sql(_stats_sql('b', 'a'), '')}")
+def chrf_corpus(spark, d):
+    return E.chrf_score(E.chrf_stats(_texts(spark, d), ["conv_id", "turn"], "b", "a"), []).select(F.round("chrf", 6).alias("chrf"))
+
+
+@query("chrf_sentence", f"SELECT conv_id, turn, round(chrf, 6) AS chrf FROM {_score_sql(_stats_sql('b', 'a'), 'conv_id, turn')}")
+def chrf_sentence(spark, d):
+    return E.chrf_score(E.chrf_stats(_texts(spark, d), ["conv_id", "turn"], "b", "a"), ["conv_id", "turn"]).withColumn("chrf", F.round("chrf", 6))
+
+
+_LINES, _SAMPLES = 40, 100
+_LINE = f"(SELECT * FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM ({_PAIR_SQL})) WHERE line < {_LINES})"
+
+
+@query(
+    "bootstrap_chrf",
+    f"""WITH l AS {_LINE}, s AS (SELECT 'left' AS side, line, "order", hyp, ref, "match" FROM {_stats_sql('c', 'a')} JOIN l USING (conv_id, turn) UNION ALL SELECT 'right', line, "order", hyp, ref, "match" FROM {_stats_sql('b', 'a')} JOIN l USING (conv_id, turn)),
+    w AS (SELECT sample, {sql_index(_LINES, SEED, 'sample', 'draw')} AS line, count(*) AS w FROM range({_SAMPLES}) a(sample), range({_LINES}) b(draw) GROUP BY 1, 2),
+    x AS (SELECT sample, side, "order", hyp * w AS hyp, ref * w AS ref, "match" * w AS "match" FROM s JOIN w USING (line)),
+    f AS (SELECT sample, max(chrf) FILTER (side = 'right') - max(chrf) FILTER (side = 'left') AS diff FROM {_score_sql('x', 'sample, side')} GROUP BY sample),
+    o AS (SELECT max(chrf) FILTER (side = 'right') - max(chrf) FILTER (side = 'left') AS difference FROM {_score_sql('s', 'side')}),
+    z AS (SELECT list_sort(list(diff)) AS v, count(*) FILTER (diff <= 0) AS le, count(*) FILTER (diff >= 0) AS ge FROM f)
+    SELECT round(difference, 6) AS difference, round(v[{int(0.025 * (_SAMPLES - 1)) + 1}], 6) AS low, round(v[{int(0.975 * (_SAMPLES - 1)) + 1}], 6) AS high,
+      round(least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)), 6) AS p_value, least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)) < 0.05 AS significant FROM o, z""",
+)
+def bootstrap_chrf(spark, d):
+    texts = _texts(spark, d).orderBy("conv_id", "turn").limit(_LINES)
+    from pyspark.sql import Window
+
+    lines = texts.withColumn("line", (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long"))  # a bounded set of lines
+    left, right = (E.chrf_stats(lines, ["line"], c, "a") for c in "cb")
+    found = E.paired_bootstrap(left, right, "line", _LINES, _SAMPLES, SEED)
+    return found.select(*(F.round(c, 6).alias(c) for c in ("difference", "low", "high", "p_value")), "significant")
+
+
+_BIGRAMS = "unnest(list_transform(range(1, length({t}) + 1), lambda i: substr('^' || {t}, i, 1))) AS prev, unnest(list_transform(range(1, length({t}) + 1), lambda i: substr('^' || {t}, i + 1, 1))) AS next"
+_MODEL = f"""m AS (SELECT prev, next, count(*) AS n FROM (SELECT {_BIGRAMS.format(t='text')} FROM benchmark) GROUP BY 1, 2),
+  q AS (SELECT prev, next, -ln((n + 1.0) / (sum(n) OVER (PARTITION BY prev) + (SELECT count(DISTINCT next) FROM m))) AS nll FROM m)"""
+
+
+def _model(spark, d):
+    return E.bigram_model(table(spark, d, "benchmark"), "text")
+
+
+@query(
+    "ppl_bpc",
+    f"""WITH {_MODEL}, c AS (SELECT doc_id, prev, next, count(*) AS n FROM (SELECT doc_id, {_BIGRAMS.format(t='text')} FROM documents) GROUP BY ALL),
+    l AS (SELECT doc_id, sum(n * coalesce(nll, 20.0)) AS nll, sum(n) AS scored FROM c LEFT JOIN q USING (prev, next) GROUP BY doc_id),
+    s AS (SELECT lang, sum(nll) AS nll, sum(scored)::BIGINT AS scored, sum(length(text)) AS chars, sum(strlen(text)) AS bytes FROM l JOIN documents USING (doc_id) GROUP BY lang)
+    SELECT lang, scored, round(nll / scored, 6) AS loss, round(exp(nll / scored), 4) AS perplexity, round(nll / ln(2) / chars, 6) AS bits_per_char, round(nll / ln(2) / bytes, 6) AS bits_per_byte FROM s""",
+)
+def ppl_bpc(spark, d):
+    docs = table(spark, d, "documents")
+    losses = E.token_losses(docs.select("doc_id", "text"), ["doc_id"], "text", _model(spark, d))
+    sized = losses.join(docs.select("doc_id", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), "doc_id")
+    found = E.perplexity(sized, ["lang"], "chars", "bytes")
+    return found.select("lang", "scored", F.round("loss", 6).alias("loss"), F.round("perplexity", 4).alias("perplexity"), *(F.round(c, 6).alias(c) for c in ("bits_per_char", "bits_per_byte")))
+
+
+@query(
+    "cond_ppl",
+    f"""WITH {_MODEL}, p AS (SELECT conv_id, turn, output, CASE WHEN trim(output) = '' THEN 'blank_reference' WHEN length(prompt) >= length(prompt) + length(output) THEN 'prompt_fills_all' WHEN length(prompt) + length(output) > 1500 THEN 'too_long' END AS reason FROM ({_PAIR_SQL})),
+    c AS (SELECT prev, next, count(*) AS n FROM (SELECT {_BIGRAMS.format(t='output')} FROM p WHERE reason IS NULL) GROUP BY ALL),
+    l AS (SELECT sum(n * coalesce(nll, 20.0)) AS nll, sum(n) AS scored FROM c LEFT JOIN q USING (prev, next))
+    SELECT count(*) FILTER (reason IS NULL) AS used, count(*) FILTER (reason IS NOT NULL) AS skipped, (SELECT round(exp(nll / scored), 4) FROM l) AS perplexity FROM p""",
+)
+def cond_ppl(spark, d):
+    pairs = mixing._replies(spark, d).withColumn("k", F.concat_ws(":", "conv_id", "turn"))
+    full = F.length("instruction") + F.length("output")
+    marked = pairs.withColumn("reason", E.skip_reason("output", F.length("instruction"), full, 1500))
+    losses = E.token_losses(marked.filter("reason IS NULL").select("k", "output"), ["k"], "output", _model(spark, d))
+    total = losses.agg(F.round(F.exp(F.sum("nll") / F.sum("scored")), 4).alias("perplexity"))
+    counts = marked.agg(F.count_if(F.col("reason").isNull()).alias("used"), F.count_if(F.col("reason").isNotNull()).alias("skipped"))
+    return counts.crossJoin(F.broadcast(total))
+
+
+_PREF = """(SELECT doc_id, quality, n_chars % 97 AS a, n_chars % 89 AS b FROM documents JOIN labels USING (doc_id))"""
+
+
+def _preferred(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    scores = rows.select("doc_id", "quality", (F.col("n_chars") % 97).cast("double").alias("a"), (F.col("n_chars") % 89).cast("double").alias("b"))
+    return E.preferences(scores, "a", "b")
+
+
+@query("minimal_pair", f"SELECT doc_id, (b - a)::DOUBLE AS margin, abs(a - b) <= 1e-9 AS tie, a < b AS preferred FROM {_PREF}")
+def minimal_pair(spark, d):
+    return _preferred(spark, d).select("doc_id", "margin", "tie", "preferred")
+
+
+@query(
+    "pair_summary",
+    f"""WITH s AS (SELECT coalesce(quality::VARCHAR, 'overall') AS quality, count(*) AS n, count(*) FILTER (a < b) AS k, count(*) FILTER (a = b) AS ties, avg(b - a) AS margin FROM {_PREF} GROUP BY ROLLUP (quality)),
+    c AS (SELECT s.quality, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS p FROM s, range(100000) r(i) WHERE i <= n AND exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) <= exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) * (1 + 1e-9) GROUP BY 1)
+    SELECT s.quality, n, k AS correct, n - k AS incorrect, ties, round(k / n, 6) AS accuracy,
+      round((k / n + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 6) AS low,
+      round((k / n + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 6) AS high,
+      round(least(c.p, 1.0), 4) AS p_value, round(margin, 6) AS mean_margin FROM s JOIN c USING (quality)""",
+)
+def pair_summary(spark, d):
+    found = E.preference_summary(_preferred(spark, d), "quality")
+    return found.select("quality", "n", "correct", "incorrect", "ties", *(F.round(c, 6).alias(c) for c in ("accuracy", "low", "high")), F.round("p_value", 4).alias("p_value"), F.round("mean_margin", 6).alias("mean_margin"))
+
+
+@query("running_accuracy", "SELECT quality, seen::INT AS seen, round(accuracy, 6) AS accuracy FROM (SELECT quality, row_number() OVER w AS seen, avg(toxic) OVER (PARTITION BY quality ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS accuracy FROM labels WINDOW w AS (PARTITION BY quality ORDER BY doc_id)) WHERE seen % 10 = 0")
+def running_accuracy(spark, d):
+    return E.running_accuracy(table(spark, d, "labels"), "quality", "doc_id", "toxic", 10).withColumn("accuracy", F.round("accuracy", 6))
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> ''))"
+
+
+@query("fertility", f"SELECT doc_id, round(t / greatest(1, w), 6) AS fertility, t / greatest(1, w) > 2.0 AS high FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '\\p{{L}}{{1,4}}|\\p{{N}}|[^\\p{{L}}\\p{{N}}\\s]'), lambda x: true)) AS t, {_WORDS} AS w FROM documents)")
+def fertility(spark, d):
+    pieces = F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{1,4}|\p{N}|[^\p{L}\p{N}\s]"), F.lit(0)))
+    value = pieces / F.greatest(F.lit(1), X.word_count("text"))
+    return table(spark, d, "documents").select("doc_id", F.round(value, 6).alias("fertility"), (value > 2.0).alias("high"))
