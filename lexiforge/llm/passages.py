@@ -26,18 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BLOCK_BYTES, Scratch, mix64
+from .common import Scratch, mix64
 from .suffixes import repeated_starts
 
 SIZE = 200
 GRAM = 64
 WINDOW = SIZE - GRAM + 1
 #: Text of a shard of documents; of a shard of stretches, and of one suffix array in it; anchors of a bucket.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 SHARD_DOCS = 50_000
-STRETCH_SHARD_BYTES = 4 << 20
-ARRAY_BYTES = 4 << 20
+STRETCH_SHARD_BYTES = 2 << 20
+ARRAY_BYTES = 2 << 20
 BUCKET_ANCHORS = 1 << 18
+#: Text that is hashed at a time; a longer one is read in overlapping pieces.
+PIECE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240307)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -83,51 +85,62 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchored:
-    """A block of texts with the strings of SIZE bytes that lie within one text, and their anchors."""
+    """Pieces of texts, hashed as one block: the strings of SIZE bytes that lie within a piece, in runs.
 
-    def __init__(self, texts: list[bytes]):
-        self.text = np.frombuffer(b"".join(texts), np.uint8)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        self.text_starts = np.cumsum(lengths) - lengths
+    pieces: (text number, offset in the text, bytes). A run is a stretch of neighbouring strings with one
+    anchor. Only what is kept per run outlives the construction.
+    """
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        self.text = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        self.number = np.array([k for k, _, _ in pieces], np.int64)
+        lengths = np.array([len(p) for _, _, p in pieces], np.int64)
+        self.piece_starts = np.cumsum(lengths) - lengths
+        self.shift = np.array([o for _, o, _ in pieces], np.int64) - self.piece_starts  # from block to text offsets
+        counts = np.maximum(lengths - SIZE + 1, 0)
+        self.any = bool(counts.sum())
+        if not self.any:
+            return
         n = len(self.text)
-        self.starts = np.zeros(0, np.int64)
-        if n >= SIZE:
-            self.hashes = Hashes(self.text)
-            left = np.repeat(self.text_starts + lengths, lengths) - np.arange(n)
-            self.starts = np.flatnonzero(left >= SIZE)
-        if len(self.starts):
-            grams = self.hashes.of(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-            self.anchor = [self._anchors(grams), self._anchors(mix64(grams ^ _SECOND))]
-            self.grams = grams
-            # runs of strings with one first anchor, each a stretch of text
-            a = self.anchor[0]
-            cuts = np.flatnonzero((np.diff(a) != 0) | (np.diff(self.starts) != 1)) + 1
-            self.run_first = np.concatenate([[0], cuts])
-            self.run_last = np.concatenate([cuts, [len(a)]]) - 1
-            self.run_gram = grams[a[self.run_first]]
-            self.run_digest = self.hashes.of(self.starts[self.run_first], self.starts[self.run_last] + SIZE)
-            # the place of the anchor in the stretch belongs to its identity
-            self.run_digest ^= (a[self.run_first] - self.starts[self.run_first]).astype(np.uint64) * _STEP
-            self.second_gram = grams[self.anchor[1]]
-
-    def _anchors(self, ranks: np.ndarray) -> np.ndarray:
-        """The place of the least gram of each string; the first of equals."""
-        place_bits = np.uint64(max(int(len(ranks)).bit_length(), 24))
-        low = (np.uint64(1) << place_bits) - np.uint64(1)
-        keyed = (ranks & ~low) | np.arange(len(ranks), dtype=np.uint64)
-        return (_window_minimum(keyed, WINDOW) & low).astype(np.int64)[self.starts]
+        hashes = Hashes(self.text)
+        grams = hashes.of(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+        starts = np.arange(int(counts.sum())) + np.repeat(self.piece_starts - (np.cumsum(counts) - counts), counts)
+        for kind, ranks in (("first", grams), ("second", mix64(grams ^ _SECOND))):
+            anchor = _anchors(ranks, starts)
+            cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(starts) != 1)) + 1
+            head = np.concatenate([[0], cuts])
+            runs = {"begin": starts[head], "end": starts[np.concatenate([cuts, [len(starts)]]) - 1] + 1, "gram": grams[anchor[head]], "anchor": anchor[head]}
+            setattr(self, kind, runs)
+        runs = self.first
+        # the place of the anchor in the stretch belongs to its identity
+        with np.errstate(over="ignore"):
+            runs["digest"] = hashes.of(runs["begin"], runs["end"] - 1 + SIZE) ^ ((runs["anchor"] - runs["begin"]).astype(np.uint64) * _STEP)
+
+    def piece_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.piece_starts, places, side="right") - 1
+
+
+def _anchors(ranks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The place of the least gram of each string; the first of equals."""
+    place_bits = np.uint64(max(int(len(ranks)).bit_length(), 24))
+    low = (np.uint64(1) << place_bits) - np.uint64(1)
+    keyed = (ranks & ~low) | np.arange(len(ranks), dtype=np.uint64)
+    return (_window_minimum(keyed, WINDOW)[starts] & low).astype(np.int64)
 
 
 def _blocks(texts: list[bytes]):
+    """Blocks of about PIECE_BYTES; pieces of a long text overlap, so each string of SIZE bytes is in one."""
     part, held = [], 0
-    for t in texts:
-        if part and held + len(t) > BLOCK_BYTES:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
+    for k, t in enumerate(texts):
+        for offset in range(0, max(len(t) - SIZE + 1, 1), PIECE_BYTES):
+            piece = t[offset : offset + PIECE_BYTES + SIZE - 1]
+            if part and held + len(piece) > PIECE_BYTES:
+                yield Anchored(part)
+                part, held = [], 0
+            part.append((k, offset, piece))
+            held += len(piece)
     if part:
-        yield part
+        yield Anchored(part)
 
 
 def _raw(text) -> bytes:
@@ -159,14 +172,14 @@ _MOVED = "bucket int, shard long, n int, payload binary"
 def _distinct_anchors(blocks: list[Anchored]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a shard asks: distinct (gram, digest) of its stretches and whether it has them twice; distinct second
     grams and whether they are at two places."""
-    grams = np.concatenate([b.run_gram for b in blocks])
-    digests = np.concatenate([b.run_digest for b in blocks])
+    grams = np.concatenate([b.first["gram"] for b in blocks])
+    digests = np.concatenate([b.first["digest"] for b in blocks])
     order = np.lexsort((digests, grams))
     grams, digests = grams[order], digests[order]
     new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (digests[1:] != digests[:-1])]))
     twice = np.diff(np.append(new, len(grams))) > 1
-    places = [np.unique(b.anchor[1]) for b in blocks]
-    second, counts = np.unique(np.concatenate([b.grams[p] for b, p in zip(blocks, places)]), return_counts=True)
+    places = [np.unique(b.second["anchor"], return_index=True)[1] for b in blocks]
+    second, counts = np.unique(np.concatenate([b.second["gram"][p] for b, p in zip(blocks, places)]), return_counts=True)
     return np.stack([grams[new], digests[new]]), twice, second, counts > 1
 
 
@@ -174,7 +187,7 @@ def _ask(bits: int, text_col: str):
     def flush(shard, texts):
         check = zlib.crc32(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in texts))
         rows = [(-1, shard, len(texts), check.to_bytes(4, "little"))]
-        blocks = [b for b in map(Anchored, _blocks(texts)) if len(b.starts)]
+        blocks = [b for b in _blocks(texts) if b.any]
         if blocks:
             first, first_twice, second, second_twice = _distinct_anchors(blocks)
             for kind, grams, twice in ((0, first[0], first_twice), (1, second, second_twice)):
@@ -271,59 +284,61 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
         results: list = [None] * len(texts)
         waiting: dict[int, tuple] = {}
         stretches: list[tuple] = []
-        blocks = [Anchored(b) for b in _blocks(texts)]
-        full = [b for b in blocks if len(b.starts)]
-        base = 0
-        if full:
-            (grams, digests), _, second, _ = _distinct_anchors(full)
-            status = np.frombuffer(b"".join(replies[(replies["bucket"] >= 0) & (replies["bucket"] % 2 == 0)]["payload"]), np.uint8)
-            second_status = np.frombuffer(b"".join(replies[(replies["bucket"] >= 0) & (replies["bucket"] % 2 == 1)]["payload"]), np.uint8)
+        blocks = [b for b in _blocks(texts) if b.any]
+        spans_of: dict[int, list] = {}
+        waits_of: dict[int, list] = {}
+        if blocks:
+            (grams, digests), _, second, _ = _distinct_anchors(blocks)
+            kinds = replies["bucket"] % 2
+            status = np.frombuffer(b"".join(replies[(replies["bucket"] >= 0) & (kinds == 0)]["payload"]), np.uint8)
+            second_status = np.frombuffer(b"".join(replies[(replies["bucket"] >= 0) & (kinds == 1)]["payload"]), np.uint8)
             pairs = np.rec.fromarrays([grams, digests])
             sent_targets: set = set()
         for b in blocks:
-            n_texts = len(b.text_starts)
-            spans_of: dict[int, list] = {}
-            if len(b.starts):
-                at = np.searchsorted(grams, b.run_gram)
-                if (grams[np.minimum(at + 1, len(grams) - 1)] == b.run_gram).any():  # a gram with several stretches
-                    at = np.searchsorted(pairs, np.rec.fromarrays([b.run_gram, b.run_digest]))
-                state = status[at]
-                run_text = np.searchsorted(b.text_starts, b.starts[b.run_first], side="right") - 1
-                done = np.flatnonzero(state & REPEATED)
-                for k in done:
-                    spans_of.setdefault(int(run_text[k]), []).append((b.starts[b.run_first[k]], b.starts[b.run_last[k]] + SIZE))
-                likely = second_status[np.searchsorted(second, b.second_gram)] > 0
-                for k in np.flatnonzero(state & ELSEWHERE):
-                    lo, hi = b.run_first[k], b.run_last[k]
-                    if state[k] & REPEATED:
-                        name = (int(b.run_gram[k]), int(b.run_digest[k]))
-                        if name in sent_targets:
-                            continue
-                        sent_targets.add(name)
-                    else:
-                        inside = np.flatnonzero(likely[lo : hi + 1])
-                        if not len(inside):
-                            continue
-                        lo, hi = lo + inside[0], lo + inside[-1]
-                    start = int(b.starts[lo])
-                    number = -1
-                    if not state[k] & REPEATED:
-                        number = len(stretches)
-                        t = int(run_text[k])
-                        waiting.setdefault(base + t, []).append((number, start - int(b.text_starts[t])))
-                    stretches.append((int(b.run_gram[k].astype(np.int64)), number, b.text[start : b.starts[hi] + SIZE].tobytes()))
-            for t in range(n_texts):
-                own = np.array(spans_of.get(t, np.zeros((0, 2))), np.int64).reshape(-1, 2) - b.text_starts[t]
-                spans = _merge_spans(own[:, 0], own[:, 1])
-                if base + t in waiting:
-                    waiting[base + t] = (spans, np.array(waiting[base + t], np.int64))
+            runs = b.first
+            at = np.searchsorted(grams, runs["gram"])
+            if (grams[np.minimum(at + 1, len(grams) - 1)] == runs["gram"]).any():  # a gram with several stretches
+                at = np.searchsorted(pairs, np.rec.fromarrays([runs["gram"], runs["digest"]]))
+            state = status[at]
+            piece = b.piece_of(runs["begin"])
+            for k in np.flatnonzero(state & REPEATED):
+                shift = b.shift[piece[k]]
+                spans_of.setdefault(int(b.number[piece[k]]), []).append((runs["begin"][k] + shift, runs["end"][k] - 1 + SIZE + shift))
+            wanted = np.flatnonzero(state & ELSEWHERE)
+            if not len(wanted):
+                continue
+            likely = np.zeros(len(b.text) + 1, np.int64)  # strings whose second anchor is elsewhere too, as running counts
+            held = second_status[np.searchsorted(second, b.second["gram"])] > 0
+            np.add.at(likely, b.second["begin"][held], 1)
+            np.add.at(likely, b.second["end"][held], -1)
+            likely = np.cumsum(likely) > 0
+            for k in wanted:
+                lo, hi = int(runs["begin"][k]), int(runs["end"][k])
+                number = -1
+                if state[k] & REPEATED:  # settled, but others are compared with it: once is enough
+                    name = (int(runs["gram"][k]), int(runs["digest"][k]))
+                    if name in sent_targets:
+                        continue
+                    sent_targets.add(name)
                 else:
-                    results[base + t] = _finish(texts[base + t], spans, with_text)
-            base += n_texts
+                    inside = np.flatnonzero(likely[lo:hi])
+                    if not len(inside):
+                        continue
+                    lo, hi = lo + int(inside[0]), lo + int(inside[-1]) + 1
+                    number = len(stretches)
+                    waits_of.setdefault(int(b.number[piece[k]]), []).append((number, lo + int(b.shift[piece[k]])))
+                stretches.append((int(runs["gram"][k].astype(np.int64)), number, b.text[lo : hi - 1 + SIZE].tobytes()))
+        for k, text in enumerate(texts):
+            own = np.array(spans_of.get(k, np.zeros((0, 2))), np.int64).reshape(-1, 2)
+            spans = _merge_spans(own[:, 0], own[:, 1])
+            if k in waits_of:
+                waiting[k] = (spans, np.array(waits_of[k], np.int64))
+            else:
+                results[k] = _finish(text, spans, with_text)
         blank = (None,) * len(_RESULT)
         found = [r or blank for r in results]
         waits = [(shard, i, texts[i], waiting[i][0].tobytes(), waiting[i][1].tobytes(), None, None, None) if i in waiting else (None,) * len(_WAIT) for i in range(len(texts))]
-        columns = [docs.column(c).combine_chunks() if c != text_col else docs.column(c).combine_chunks() for c in carried]
+        columns = [docs.column(c).combine_chunks() for c in carried]
         columns += [pa.array([f[k] for f in found], kind) for k, kind in enumerate(_RESULT_ARROW)]
         columns += [pa.array([w[k] for w in waits], kind) for k, kind in enumerate(_WAIT_ARROW)]
         rows = pa.Table.from_arrays(columns, schema=schema)
