@@ -263,9 +263,12 @@ def _assemble(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc_ids, "name": names, "n": sizes, "tokens": packed, "signatures": marks})
 
 
-def _similar(a: str, b: str):
-    """Sizes that allow the similarity."""
-    return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
+def _similar():
+    """What sizes n and m, of which s and t tokens are shared with any other text, must fulfil: the sizes
+    are within the similarity, and either side has tokens enough for the overlap that they call for."""
+    n, m, s, t = (F.col(c) for c in ("n", "m", "s", "t"))
+    sizes = (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
+    return sizes & (F.least(s, t) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -320,7 +323,7 @@ def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of all distinct sets that have a link."""
     with_tokens = found.filter("tokens IS NOT NULL")
     nodes = scratch.store(with_tokens.groupBy("name").agg(F.first(F.struct("n", "tokens")).alias("x")).select("name", "x.n", "x.tokens"), "nodes")
-    marks = with_tokens.select("name", "n", F.explode("signatures").alias("signature"))
+    marks = with_tokens.select("name", "n", (F.length("tokens") / 8).cast("int").alias("s"), F.explode("signatures").alias("signature"))
     groups = marks.groupBy("signature").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("signature")
     marks = scratch.store(marks.join(groups, "signature").distinct(), "signatures")
     scratch.release()
@@ -332,19 +335,21 @@ def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             here = marks.join(labels, "name", "left").withColumn("component", F.coalesce("label", "name"))
             mixed = here.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-            here = scratch.store(here.join(mixed.select("signature"), "signature").select("signature", "name", "n", "component"), "mixed")
+            here = scratch.store(here.join(mixed.select("signature"), "signature").select("signature", "name", "n", "s", "component"), "mixed")
             if not here.seen["n_rows"]:
                 break
-            marks = here.select("signature", "name", "n")  # signatures within one component are settled
+            marks = here.select("signature", "name", "n", "s")  # signatures within one component are settled
         if turn < PIVOT_ROUNDS:
-            # the pivot is chosen by a hash of its own, so signatures of one group of copies mostly agree on it
-            order = F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pivots = here.groupBy("signature").agg(F.min(order).alias("p")).select("signature", "p.v", "p.m", "p.c")
-            met = here.join(pivots, "signature").filter("component <> c").select(F.col("name").alias("u"), "v", "n", "m")
+            # Edits give a copy tokens of its own, so the text with the fewest is nearest to the centre of its
+            # group. All signatures of a group mostly agree on it; a hash decides between equals.
+            own = F.floor(16 * (F.col("n") - F.col("s")) / F.col("n")).alias("own")
+            order = F.struct(own, F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("c"))
+            pivots = here.groupBy("signature").agg(F.min(order).alias("p")).select("signature", "p.v", "p.m", "p.t", "p.c")
+            met = here.join(pivots, "signature").filter((F.col("component") != F.col("c")) & _similar()).select(F.col("name").alias("u"), "v")
         else:
-            other = here.select("signature", F.col("name").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))
-            met = here.join(other, "signature").filter("component <> c AND name < v").select(F.col("name").alias("u"), "v", "n", "m")
-        pairs = met.filter(_similar("n", "m")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            other = here.select("signature", F.col("name").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("c"))
+            met = here.join(other, "signature").filter((F.col("component") != F.col("c")) & (F.col("name") < F.col("v")) & _similar()).select(F.col("name").alias("u"), "v")
+        pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = scratch.store(pairs, "pairs")
