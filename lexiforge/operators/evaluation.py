@@ -11,9 +11,10 @@ BETA2 = 4.0
 CHAR_ORDERS, WORD_ORDERS = 6, 2
 
 
-def grams(units: Column, n: int) -> Column:
+def grams(units: Column, n) -> Column:
     """The n-grams of an array, as strings."""
-    return F.when(F.size(units) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(units) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(units, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1), F.greatest(F.size(units) - n + 1, F.lit(1)))
+    return F.when(F.size(units) >= n, F.transform(places, lambda i: F.array_join(F.slice(units, i, n), "\x01")))
 
 
 def padded_bigrams(c) -> Column:
@@ -22,11 +23,6 @@ def padded_bigrams(c) -> Column:
     return F.when(F.length(X.col(c)) > 0, F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substr(marked, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(items: Column) -> Column:
-    """Distinct items with their counts, in one pass over the sorted array."""
-    return F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("x"), F.size(F.filter(items, lambda y: y == x)).alias("n")))
-
-
 def bigram_cosine(a, b) -> Column:
     """Cosine of the bigram counts of two words: row-local, no shuffle."""
     left, right = padded_bigrams(a), padded_bigrams(b)
@@ -47,16 +43,14 @@ def chrf_stats(pairs: DataFrame, keys: list[str], hypothesis: str, reference: st
 
     n-grams are exploded and counted under (keys, order, gram), so partial sums leave each task.
     """
-    frames = []
-    for side, name in ((hypothesis, "hyp"), (reference, "ref")):
-        chars = F.split(F.regexp_replace(side, r"(?U)\s+", ""), "")
-        chars = F.filter(chars, lambda c: c != "")
-        tokens = X.words(side)
-        orders = [F.struct(F.lit(f"c{n}").alias("order"), grams(chars, n).alias("g")) for n in range(1, CHAR_ORDERS + 1)]
-        orders += [F.struct(F.lit(f"w{n}").alias("order"), grams(tokens, n).alias("g")) for n in range(1, WORD_ORDERS + 1)]
-        wide = pairs.select(*keys, F.explode(F.array(*orders)).alias("o")).select(*keys, "o.order", F.explode("o.g").alias("gram"))
-        frames.append(wide.withColumn("_h", F.lit(int(name == "hyp"))).withColumn("_r", F.lit(int(name == "ref"))))
-    counted = frames[0].unionByName(frames[1]).groupBy(*keys, "order", "gram").agg(F.sum("_h").alias("h"), F.sum("_r").alias("r"))
+    sides = F.array(F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), F.col(hypothesis).alias("t")), F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), F.col(reference).alias("t")))
+    texts = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.h", "s.r", "s.t")
+    chars = F.filter(F.split(F.regexp_replace("t", r"(?U)\s+", ""), ""), lambda c: c != "")
+    units = F.array(F.struct(F.lit("c").alias("kind"), F.lit(CHAR_ORDERS).alias("most"), chars.alias("units")), F.struct(F.lit("w").alias("kind"), F.lit(WORD_ORDERS).alias("most"), X.words("t").alias("units")))
+    split = texts.select(*keys, "h", "r", F.explode(units).alias("u")).select(*keys, "h", "r", "u.*")
+    orders = split.select(*keys, "h", "r", "kind", "units", F.explode(F.sequence(F.lit(1), "most")).alias("n"))
+    found = orders.select(*keys, "h", "r", F.concat("kind", "n").alias("order"), F.explode(grams(F.col("units"), F.col("n"))).alias("gram"))
+    counted = found.groupBy(*keys, "order", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
     return counted.groupBy(*keys, "order").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match"))
 
 
@@ -70,17 +64,16 @@ def chrf_score(stats: DataFrame, keys: list[str]) -> DataFrame:
     return means.select(*keys, F.when(F.col("p") + F.col("r") > 0, 100 * f).otherwise(0.0).alias("chrf"))
 
 
-def paired_bootstrap(left: DataFrame, right: DataFrame, line: str, n_lines: int, samples: int, seed) -> DataFrame:
+def paired_bootstrap(both: DataFrame, line: str, n_lines: int, samples: int, seed) -> DataFrame:
     """One row: observed difference right - left, its 95 % interval and two-sided p value.
 
-    left and right: chrf_stats with a line number from 0. Samples draw line numbers by hash, the same for
+    both: chrf_stats of the sides left and right, by side and line number from 0. Samples draw line numbers by hash, the same for
     both systems; only statistics are summed again, n-grams are never extracted twice.
     """
-    spark = left.sparkSession
+    spark = both.sparkSession
     draws = spark.range(samples).withColumnRenamed("id", "sample").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_lines - 1))))
     draws = draws.withColumn(line, X.seeded_index(n_lines, seed, "sample", "draw"))
     weights = draws.groupBy("sample", line).agg(F.count("*").alias("w"))
-    both = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
     weighted = both.join(weights, line).select("sample", "side", "order", *((F.col(c) * F.col("w")).alias(c) for c in ("hyp", "ref", "match")))
     scores = chrf_score(weighted, ["sample", "side"]).groupBy("sample").pivot("side", ["left", "right"]).agg(F.first("chrf"))
     diffs = scores.select((F.col("right") - F.col("left")).alias("diff"))
@@ -95,10 +88,16 @@ def paired_bootstrap(left: DataFrame, right: DataFrame, line: str, n_lines: int,
     return observed.crossJoin(F.broadcast(summary)).select((F.col("right") - F.col("left")).alias("difference"), "low", "high", "p_value", (F.col("p_value") < 0.05).alias("significant"))
 
 
+def _bigrams(c: Column) -> Column:
+    """Neighbouring characters of ^text, as structs prev, next."""
+    chars = F.split(F.concat(F.lit("^"), c), "")
+    n = F.length(c)
+    return F.arrays_zip(F.slice(chars, F.lit(1), n).alias("prev"), F.slice(chars, F.lit(2), n).alias("next"))
+
+
 def bigram_model(texts: DataFrame, text: str, k: float = 1.0) -> DataFrame:
     """A character-bigram model with add-k smoothing: prev, next, nll (nats)."""
-    chars = F.split(F.concat(F.lit("^"), F.col(text)), "")
-    pairs = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.struct(F.element_at(chars, i).alias("prev"), F.element_at(chars, i + 1).alias("next")))).alias("b"))
+    pairs = texts.filter(F.length(text) > 0).select(F.explode(_bigrams(F.col(text))).alias("b"))
     counts = pairs.groupBy("b.prev", "b.next").agg(F.count("*").alias("n"))
     size = counts.select("next").distinct().agg(F.count("*").alias("v"))
     total = F.sum("n").over(Window.partitionBy("prev"))
@@ -107,8 +106,7 @@ def bigram_model(texts: DataFrame, text: str, k: float = 1.0) -> DataFrame:
 
 def token_losses(texts: DataFrame, keys: list[str], text: str, model: DataFrame, unseen: float = 20.0) -> DataFrame:
     """Summed losses of each text: nll and scored characters. Bigram counts travel, not characters."""
-    chars = F.split(F.concat(F.lit("^"), F.col(text)), "")
-    pairs = texts.filter(F.length(text) > 0).select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.struct(F.element_at(chars, i).alias("prev"), F.element_at(chars, i + 1).alias("next")))).alias("b"))
+    pairs = texts.filter(F.length(text) > 0).select(*keys, F.explode(_bigrams(F.col(text))).alias("b"))
     counts = pairs.groupBy(*keys, "b.prev", "b.next").agg(F.count("*").alias("n"))
     return counts.join(model, ["prev", "next"], "left").groupBy(*keys).agg(F.sum(F.col("n") * F.coalesce("nll", F.lit(unseen))).alias("nll"), F.sum("n").alias("scored"))
 

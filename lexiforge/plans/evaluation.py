@@ -94,8 +94,9 @@ def bootstrap_chrf(spark, d):
     from pyspark.sql import Window
 
     lines = texts.withColumn("line", (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long"))  # a bounded set of lines
-    left, right = (E.chrf_stats(lines, ["line"], c, "a") for c in "cb")
-    found = E.paired_bootstrap(left, right, "line", _LINES, _SAMPLES, SEED)
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("c").alias("h")), F.struct(F.lit("right").alias("side"), F.col("b").alias("h")))).alias("s")
+    both = E.chrf_stats(lines.select("line", "a", sides).select("line", "a", "s.*"), ["side", "line"], "h", "a")
+    found = E.paired_bootstrap(both, "line", _LINES, _SAMPLES, SEED)
     return found.select(*(F.round(c, 6).alias(c) for c in ("difference", "low", "high", "p_value")), "significant")
 
 
