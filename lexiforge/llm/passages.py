@@ -33,13 +33,13 @@ SIZE = 200
 GRAM = 64
 WINDOW = SIZE - GRAM + 1
 #: Text of a shard of documents; of a shard of stretches, and of one suffix array in it; anchors of a bucket.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SHARD_DOCS = 50_000
-STRETCH_SHARD_BYTES = 2 << 20
-ARRAY_BYTES = 2 << 20
+STRETCH_SHARD_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 20
 BUCKET_ANCHORS = 1 << 18
 #: Text that is hashed at a time; a longer one is read in overlapping pieces.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240307)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
