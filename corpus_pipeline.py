@@ -44,7 +44,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return placed.join(stays, row, "left_semi").drop(row)
 
 
-@F.pandas_udf("string")
 def _whole_characters(kept: pd.Series) -> pd.Series:
     """Text of bytes; what a cut left of a character goes."""
     return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
@@ -56,7 +55,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     found = passages.remove_repeats(docs.toDF(*names), text_col=text)
-    found = found.withColumn(text, F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_whole_characters("kept")))
+    whole_characters = F.pandas_udf(_whole_characters, "string")
+    found = found.withColumn(text, F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(whole_characters("kept")))
     columns = [F.col(n).alias(c) if c != "n_chars" else F.length(text).cast("long").alias(c) for n, c in zip(names, docs.columns)]
     return found.select(*columns)
 
