@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -17,7 +18,8 @@ from .common import ship_code
 MARKER = "▁"
 #: How far a character that no piece covers scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
-_CACHE_LIMIT = 200_000
+_ODD_SPACES = re.compile(r"(?:^|[ \n]) | (?:$|\n)|^\n")
+_CACHE_LIMIT = 400_000
 
 
 @dataclass
@@ -100,6 +102,20 @@ class DoubleArray:
             self.value.extend([-1] * more)
 
 
+class _Words(dict):
+    """word -> ids of prefix + word, as bytes of 32-bit integers."""
+
+    def __init__(self, solve, prefix: str):
+        super().__init__()
+        self.solve, self.prefix = solve, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHE_LIMIT:
+            self.clear()
+        found = self[word] = self.solve(self.prefix + word).tobytes() if self.prefix + word else b""
+        return found
+
+
 class Codec:
     """Encodes and decodes texts. The text is spelled with markers for spaces, and one in front.
 
@@ -114,7 +130,12 @@ class Codec:
         self.unknown_score = min((vocabulary.scores[i] for _, i in keys), default=0.0) - UNKNOWN_PENALTY
         # no piece reaches over "other, marker": the best path is made of the best paths of the words
         self.by_word = not any(MARKER in p.lstrip(MARKER) for i, p in enumerate(vocabulary.pieces) if vocabulary.usable[i])
-        self.words: dict[str, array] = {}
+        self.by_line = self.by_word and vocabulary.byte_ids is not None and not any("\n" in p for i, p in enumerate(vocabulary.pieces) if vocabulary.usable[i])
+        self.marked, self.bare = _Words(self.viterbi, MARKER), _Words(self.viterbi, "")
+        self.spelled = [(p.replace(MARKER, " ") if vocabulary.usable[i] else "").encode() for i, p in enumerate(vocabulary.pieces)]
+        self.spelled[vocabulary.unknown] = " ⁇ ".encode()
+        for b, i in enumerate(vocabulary.byte_ids or []):
+            self.spelled[i] = bytes([b])
 
     def viterbi(self, text: str) -> array:
         """Ids of the best path; of paths that score alike, the one whose last pieces start first."""
@@ -164,19 +185,22 @@ class Codec:
                 out.append(self.v.unknown)
         return out
 
-    def _word(self, word: str) -> array:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= _CACHE_LIMIT:
-                self.words.clear()
-            found = self.words[word] = self.viterbi(word)
-        return found
-
     def encode(self, text: str | None) -> array:
         """Ids of the whole text. Null and empty texts have none."""
         out = array("i")
         if not text:
             return out
+        if self.by_line and MARKER not in text and not _ODD_SPACES.search(text):
+            # single spaces only: each word has its marker; no piece reaches over a line feed
+            parts = []
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                if k:
+                    parts.append(self.bare["\n"])
+                parts.append(self.bare[first] if k else self.marked[first])
+                parts.extend(map(self.marked.__getitem__, rest))
+            out.frombytes(b"".join(parts))
+            return out
         for k, part in enumerate(text.split(MARKER)):
             if k:
                 out.extend(self.v.byte_ids[b] for b in MARKER.encode()) if self.v.byte_ids else out.append(self.v.unknown)
@@ -189,34 +213,17 @@ class Codec:
                 if j:
                     pending += MARKER
                 if word:
-                    out.extend(self._word(pending + word))
+                    out.frombytes(self.bare[pending + word])
                     pending = ""
             if pending:
-                out.extend(self._word(pending))
+                out.frombytes(self.bare[pending])
         return out
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are put together, markers become spaces, the first one goes."""
-        out = bytearray()
-        pieces, bytes_of = self._spellings
-        first = True
-        for i in ids:
-            b = bytes_of.get(i)
-            if b is None:
-                piece = pieces[i]
-                out += piece[1:] if first and piece[:1] == b" " else piece
-            else:
-                out.append(b)
-            first = False
-        return out.decode("utf-8", "replace")
-
-    @property
-    def _spellings(self):
-        if not hasattr(self, "_spelled"):
-            pieces = [(p.replace(MARKER, " ") if self.v.usable[i] else "").encode() for i, p in enumerate(self.v.pieces)]
-            pieces[self.v.unknown] = " ⁇ ".encode()
-            self._spelled = pieces, {i: b for b, i in enumerate(self.v.byte_ids or [])}
-        return self._spelled
+        raw = b"".join(map(self.spelled.__getitem__, ids))
+        in_front = len(ids) and self.v.usable[ids[0]] and raw[:1] == b" "
+        return raw[1 if in_front else 0 :].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
