@@ -120,9 +120,10 @@ def _gates(spark, d):
     return table(spark, d, "events").select((F.col("user_id") % 7).cast("int").alias("layer"), mode.alias("mode"), F.col("event_type").alias("expert"), F.col("value").alias("gate"))
 
 
-@query("gate_grouping_sets", f"SELECT layer, mode, expert, round(avg(gate), 6) AS mean, count(*) AS n FROM {_GATES} GROUP BY GROUPING SETS ((expert), (layer, expert), (mode, expert))")
+@query("gate_grouping_sets", f"SELECT coalesce(layer::VARCHAR, 'all') AS layer, coalesce(mode, 'all') AS mode, expert, round(avg(gate), 6) AS mean, count(*) AS n FROM {_GATES} GROUP BY GROUPING SETS ((expert), (layer, expert), (mode, expert))")
 def gate_grouping_sets(spark, d):
-    return routing.gate_means(_gates(spark, d), "expert", "layer", "mode", "gate").withColumn("mean", F.round("mean", 6))
+    means = routing.gate_means(_gates(spark, d), "expert", "layer", "mode", "gate")
+    return means.select(*(F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("layer", "mode")), "expert", F.round("mean", 6).alias("mean"), "n")
 
 
 @query("dominant_expert", f"SELECT layer, expert, round(mean, 6) AS mean, mean >= 40 AS collapsed FROM (SELECT layer, expert, avg(gate) AS mean, row_number() OVER (PARTITION BY layer ORDER BY avg(gate) DESC, expert) AS r FROM {_GATES} GROUP BY layer, expert) WHERE r = 1")
