@@ -352,8 +352,10 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
 
 def _judge(key, rows: pd.DataFrame) -> pd.DataFrame:
     """The repeated starts of the stretches of a content shard, for those who wait."""
-    texts, which = np.unique(np.array(rows["stretch_text_"], object), return_inverse=True)
+    texts, which, times = np.unique(np.array(rows["stretch_text_"], object), return_inverse=True, return_counts=True)
     flags = repeated_starts(list(texts), SIZE, ARRAY_BYTES)
+    for k in np.flatnonzero(times > 1):  # stretches of several places, cut to the same text: all its strings are repeated
+        flags[k][: len(texts[k]) - SIZE + 1] = True
     out = []
     for shard, number, k in zip(rows["shard_"], rows["stretch_"], which):
         if number >= 0 and flags[k].any():

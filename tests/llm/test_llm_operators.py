@@ -144,6 +144,27 @@ def test_passages_equal_brute_force(spark, tmp_path):
     assert all(r.id == "clash" and r.n == 3 for r in got)
 
 
+def test_passages_at_the_edges_of_texts(spark, tmp_path):
+    """Copies whose stretches differ only by what follows or precedes: once cut to what is likely, they can be one text."""
+    rnd = random.Random(7)
+    own = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    rows = []
+    for i in range(500):
+        shared = own(rnd.choice([200, 201, 260, 330]))
+        rows += [(2 * i, shared), (2 * i + 1, shared + own(150) if i % 3 else own(150) + shared)]
+    raws = [t.encode() for _, t in rows]
+    expected = {}
+    for (i, _), raw, flags in zip(rows, raws, brute_repeats(raws, passages.SIZE)):
+        covered = np.zeros(len(raw), bool)
+        for k in np.flatnonzero(flags):
+            covered[k : k + passages.SIZE] = True
+        expected[i] = bytes(b for b, c in zip(raw, covered) if not c)
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    got = passages.remove_repeats(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    wrong = [r.doc_id for r in got if bytes(r.kept) != expected[r.doc_id]]
+    assert len(got) == len(rows) and not wrong, wrong
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     long = " ".join(words(21, 4000))
     texts = [long.encode(), ("x" + long[5000:9000]).encode()]
