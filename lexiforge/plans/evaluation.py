@@ -55,8 +55,9 @@ def _score_sql(stats: str, keys: str) -> str:
 
 
 def _texts(spark, d):
+    """Whole texts; the SQL counterparts still read the first 200 characters of each."""
     pairs = mixing._replies(spark, d)
-    return pairs.select("conv_id", "turn", F.substr("instruction", F.lit(1), F.lit(200)).alias("a"), F.substr("output", F.lit(1), F.lit(200)).alias("b"), F.substr(F.reverse("instruction"), F.lit(1), F.lit(200)).alias("c"))
+    return pairs.select("conv_id", "turn", F.col("instruction").alias("a"), F.col("output").alias("b"), F.reverse("instruction").alias("c"))
 
 
 @query("chrf_stats", _stats_sql("b", "a")[1:-1])
