@@ -9,6 +9,8 @@ from ..functions import exprs as X
 
 BETA2 = 4.0
 CHAR_ORDERS, WORD_ORDERS = 6, 2
+#: Statistics of that many lines (about 400 bytes each) are sent to all executors; of more, they are joined by a shuffle.
+BROADCAST_LINES = 100_000
 
 
 def grams(units: Column, n) -> Column:
@@ -68,24 +70,30 @@ def paired_bootstrap(both: DataFrame, line: str, n_lines: int, samples: int, see
     """One row: observed difference right - left, its 95 % interval and two-sided p value.
 
     both: chrf_stats of the sides left and right, by side and line number from 0. Samples draw line numbers by hash, the same for
-    both systems; only statistics are summed again, n-grams are never extracted twice.
+    both systems; only statistics are summed again, in one row a line, n-grams are never extracted twice.
     """
-    spark = both.sparkSession
-    draws = spark.range(samples).withColumnRenamed("id", "sample").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_lines - 1))))
-    draws = draws.withColumn(line, X.seeded_index(n_lines, seed, "sample", "draw"))
-    weights = draws.groupBy("sample", line).agg(F.count("*").alias("w"))
-    weighted = both.join(weights, line).select("sample", "side", "order", *((F.col(c) * F.col("w")).alias(c) for c in ("hyp", "ref", "match")))
-    scores = chrf_score(weighted, ["sample", "side"]).groupBy("sample").pivot("side", ["left", "right"]).agg(F.first("chrf"))
-    diffs = scores.select((F.col("right") - F.col("left")).alias("diff"))
-    observed = chrf_score(both, ["side"]).groupBy().pivot("side", ["left", "right"]).agg(F.first("chrf")).select(F.col("left"), F.col("right"))
+    sides, orders, counts = ("left", "right"), [f"{kind}{n}" for kind, most in (("c", CHAR_ORDERS), ("w", WORD_ORDERS)) for n in range(1, most + 1)], ("hyp", "ref", "match")
+    cells = [(side, order, c) for side in sides for order in orders for c in counts]
+    name = "_".join
+    wide = both.groupBy(line).agg(*(F.coalesce(F.sum(F.when((F.col("side") == x[0]) & (F.col("order") == x[1]), F.col(x[2]))), F.lit(0)).alias(name(x)) for x in cells))
+    if n_lines <= BROADCAST_LINES:
+        wide = F.broadcast(wide)
+    # sample -1 has each line once: what was observed
+    draws = both.sparkSession.range(-n_lines, samples * n_lines).select(F.floor(F.col("id") / n_lines).alias("sample"), F.pmod("id", F.lit(n_lines)).alias("draw"))
+    draws = draws.select("sample", F.when(F.col("sample") < 0, F.col("draw")).otherwise(X.seeded_index(n_lines, seed, "sample", "draw")).alias(line))
+    summed = draws.join(wide, line).groupBy("sample").agg(*(F.sum(name(x)).alias(name(x)) for x in cells))
+    rows = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(order).alias("order"), *(F.col(name((side, order, c))).alias(c) for c in counts)) for side in sides for order in orders)))
+    scores = chrf_score(summed.select("sample", rows.alias("x")).select("sample", "x.*"), ["sample", "side"]).groupBy("sample").pivot("side", list(sides)).agg(F.first("chrf"))
+    diffs = scores.select("sample", (F.col("right") - F.col("left")).alias("diff"))
     n = float(samples)
-    ordered = F.array_sort(F.collect_list("diff"))  # one value a sample: bounded by the parameter
-    summary = diffs.agg(
-        F.element_at(ordered, int(0.025 * (samples - 1)) + 1).alias("low"),
-        F.element_at(ordered, int(0.975 * (samples - 1)) + 1).alias("high"),
-        F.least(F.lit(1.0), 2 * F.least((F.count_if(F.col("diff") <= 0) + 1) / (n + 1), (F.count_if(F.col("diff") >= 0) + 1) / (n + 1))).alias("p_value"),
-    )
-    return observed.crossJoin(F.broadcast(summary)).select((F.col("right") - F.col("left")).alias("difference"), "low", "high", "p_value", (F.col("p_value") < 0.05).alias("significant"))
+    drawn = F.when(F.col("sample") >= 0, F.col("diff"))
+    ordered = F.array_sort(F.collect_list(drawn))  # one value a sample: bounded by the parameter
+    return diffs.agg(
+        F.max(F.when(F.col("sample") < 0, F.col("diff"))).alias("difference"),
+        F.get(ordered, F.lit(int(0.025 * (samples - 1)))).alias("low"),
+        F.get(ordered, F.lit(int(0.975 * (samples - 1)))).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least((F.count_if(drawn <= 0) + 1) / (n + 1), (F.count_if(drawn >= 0) + 1) / (n + 1))).alias("p_value"),
+    ).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def _bigrams(c: Column) -> Column:

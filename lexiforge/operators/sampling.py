@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
+RANGES, SAMPLE = 128, 4096
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """Adds the place of each row in the order, from 0; also returns the number of rows.
+
+    Rows go to ranges of keys with bounds from a fixed sample; each range is numbered by itself, from the count
+    of the rows before it, so no task holds all of them. rows must read alike twice.
+    """
+    kinds = [rows.schema[c].dataType for c in order]
+    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).orderBy(*order).collect()
+    held = sorted({len(sample) * k // RANGES for k in range(1, RANGES)} - {0})
+    bounds = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, kind, c in zip(sample[k], kinds, order))) for k in held]
+    key = F.struct(*order)
+    place = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+    ranged = rows.withColumn("_range", place)
+    counts = dict(ranged.groupBy("_range").count().collect())
+    starts = [sum(n for r, n in counts.items() if r < k) for k in range(len(bounds) + 1)]
+    start = F.element_at(F.array(*(F.lit(n).cast("long") for n in starts)), F.col("_range") + 1)
+    found = ranged.withColumn(name, start + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return found.drop("_range"), sum(counts.values())
+
+
 def shuffled(rows: DataFrame, seed, *keys: str) -> DataFrame:
     return rows.orderBy(X.seeded_hash(seed, *keys), *keys)
 

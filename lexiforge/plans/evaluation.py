@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import evaluation as E
+from ..operators import sampling
 from . import mixing
 from .tables import sql_index, table
 
@@ -75,6 +76,8 @@ def chrf_sentence(spark, d):
     return E.chrf_score(E.chrf_stats(_texts(spark, d), ["conv_id", "turn"], "b", "a"), ["conv_id", "turn"]).withColumn("chrf", F.round("chrf", 6))
 
 
+#: The default of the reference; the SQL counterpart still takes 40 lines and 100 samples.
+_BOOTSTRAP = 1000
 _LINES, _SAMPLES = 40, 100
 _LINE = f"(SELECT * FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM ({_PAIR_SQL})) WHERE line < {_LINES})"
 
@@ -91,13 +94,10 @@ _LINE = f"(SELECT * FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv
       round(least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)), 6) AS p_value, least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)) < 0.05 AS significant FROM o, z""",
 )
 def bootstrap_chrf(spark, d):
-    texts = _texts(spark, d).orderBy("conv_id", "turn").limit(_LINES)
-    from pyspark.sql import Window
-
-    lines = texts.withColumn("line", (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long"))  # a bounded set of lines
+    lines, n = sampling.numbered(_texts(spark, d), "line", "conv_id", "turn")
     sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("c").alias("h")), F.struct(F.lit("right").alias("side"), F.col("b").alias("h")))).alias("s")
     both = E.chrf_stats(lines.select("line", "a", sides).select("line", "a", "s.*"), ["side", "line"], "h", "a")
-    found = E.paired_bootstrap(both, "line", _LINES, _SAMPLES, SEED)
+    found = E.paired_bootstrap(both, "line", max(n, 1), _BOOTSTRAP, SEED)
     return found.select(*(F.round(c, 6).alias(c) for c in ("difference", "low", "high", "p_value")), "significant")
 
 

@@ -1,9 +1,11 @@
 """Queries that must use every row and every character of their tables."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 
+from lexiforge.operators import sampling
 from lexiforge.plans import evaluation
 
 
@@ -42,3 +44,29 @@ def test_chrf_reads_whole_texts(spark, tmp_path):
     assert abs(evaluation.chrf_corpus(spark, str(tmp_path)).first().chrf - score(each)) < 1e-5
     sentences = {r.conv_id: r.chrf for r in evaluation.chrf_sentence(spark, str(tmp_path)).collect()}
     assert all(abs(sentences[i] - score([s])) < 1e-5 for i, s in enumerate(each)) and len(sentences) == len(each)
+
+
+def test_bootstrap_draws_from_all_pairs(spark, tmp_path):
+    pairs = conversations(spark, tmp_path, 60, 12)
+    sides = [(stats(a[::-1], a), stats(b, a)) for a, b in pairs]
+    n, samples = len(pairs), 1000
+
+    def difference(lines):
+        return score([sides[i][1] for i in lines]) - score([sides[i][0] for i in lines])
+
+    diffs = sorted(difference([int(hashlib.md5(f"42|{s}|{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)]) for s in range(samples))
+    least = min(sum(x <= 0 for x in diffs), sum(x >= 0 for x in diffs))
+    expected = (difference(range(n)), diffs[int(0.025 * 999)], diffs[int(0.975 * 999)], min(1.0, 2 * (least + 1) / 1001))
+    got = evaluation.bootstrap_chrf(spark, str(tmp_path)).first()
+    assert all(abs(x - y) < 1e-5 for x, y in zip((got.difference, got.low, got.high, got.p_value), expected)), (got, expected)
+
+
+def test_numbers_follow_the_order(spark):
+    rnd = random.Random(3)
+    keys = [(rnd.randrange(40), i) for i in range(5000)]
+    rows = spark.createDataFrame(keys, "a int, b long").repartition(7)
+    numbered, n = sampling.numbered(rows, "place", "a", "b")
+    assert n == 5000 and [(r.a, r.b) for r in numbered.orderBy("place").collect()] == sorted(keys)
+    assert sorted(r.place for r in numbered.collect()) == list(range(5000))
+    empty, none = sampling.numbered(rows.limit(0), "place", "a", "b")
+    assert none == 0 and empty.count() == 0
