@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 from lexiforge.operators import sampling
-from lexiforge.plans import evaluation
+from lexiforge.plans import evaluation, vectors
 
 
 def conversations(spark, path, n, length):
@@ -70,3 +70,12 @@ def test_numbers_follow_the_order(spark):
     assert sorted(r.place for r in numbered.collect()) == list(range(5000))
     empty, none = sampling.numbered(rows.limit(0), "place", "a", "b")
     assert none == 0 and empty.count() == 0
+
+
+def test_weighted_init_uses_all_vectors(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.random(), rnd.random()], i % 7) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for r in vectors.weighted_init(spark, str(tmp_path)).collect():
+        linked = [(1 + i % 3, v[r.idx]) for i, v, label in rows if label and i % 20 == r.token]
+        assert abs(r.value - sum(w * x for w, x in linked) / sum(w for w, _ in linked)) < 1e-5
