@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -224,8 +224,9 @@ def random_split(spark, d):
 
 @query("seeded_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS place FROM documents ORDER BY place LIMIT 50")
 def seeded_shuffle(spark, d):
-    head = sampling.shuffled(table(spark, d, "documents").select("doc_id"), SEED, "doc_id").limit(50)
-    return head.withColumn("place", F.row_number().over(Window.orderBy(X.seeded_hash(SEED, "doc_id"), "doc_id")).cast("long"))
+    rows = table(spark, d, "documents").select("doc_id").withColumn("_hash", X.seeded_hash(SEED, "doc_id"))
+    numbered, _ = sampling.numbered(rows, "place", "_hash", "doc_id")  # all rows; the SQL counterpart gives the first 50
+    return numbered.select("doc_id", (F.col("place") + 1).alias("place")).orderBy("place")
 
 
 @query("limit_then_dedup", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM (SELECT doc_id, text FROM documents WHERE length(text) >= 80 ORDER BY doc_id LIMIT 300)) WHERE p = 1")

@@ -75,8 +75,9 @@ def alpaca_normalize(spark, d):
 @query("parallel_align", "SELECT a.k, a.t AS en, b.t AS fr FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'en') a JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'fr') b USING (k) WHERE a.k <= 20")
 def parallel_align(spark, d):
     def part(lang):
-        top = table(spark, d, "documents").filter(F.col("lang") == lang).orderBy("doc_id").limit(20)
-        return top.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("k"), "text")
+        rows = table(spark, d, "documents").filter(F.col("lang") == lang).select("doc_id", "text")
+        numbered, _ = sampling.numbered(rows, "k", "doc_id")  # all rows; the SQL counterpart gives the first 20
+        return numbered.select((F.col("k") + 1).alias("k"), "text")
 
     return joins.aligned({"en": part("en"), "fr": part("fr")}, "k", check=False).filter("en IS NOT NULL AND fr IS NOT NULL")
 

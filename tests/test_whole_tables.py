@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 from lexiforge.operators import sampling
-from lexiforge.plans import evaluation, vectors
+from lexiforge.plans import corpus, evaluation, mixing, vectors
 
 
 def conversations(spark, path, n, length):
@@ -79,3 +79,13 @@ def test_weighted_init_uses_all_vectors(spark, tmp_path):
     for r in vectors.weighted_init(spark, str(tmp_path)).collect():
         linked = [(1 + i % 3, v[r.idx]) for i, v, label in rows if label and i % 20 == r.token]
         assert abs(r.value - sum(w * x for w, x in linked) / sum(w for w, _ in linked)) < 1e-5
+
+
+def test_shuffle_and_alignment_return_all_rows(spark, tmp_path):
+    rows = [(7 * i % 1009, f"text {i}", ("en", "fr", "oc")[i % 3 if i < 300 else 0]) for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, _, _ in rows)
+    assert [(r.place, r.doc_id) for r in corpus.seeded_shuffle(spark, str(tmp_path)).collect()] == [(k + 1, i) for k, (_, i) in enumerate(order)]
+    en, fr = ([t for _, t, x in sorted(rows) if x == lang] for lang in ("en", "fr"))
+    got = sorted((r.k, r.en, r.fr) for r in mixing.parallel_align(spark, str(tmp_path)).collect())
+    assert got == [(k + 1, *both) for k, both in enumerate(zip(en, fr))] and len(got) == 100
