@@ -17,8 +17,9 @@ from lexiforge.llm.common import Scratch, ship_code
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null texts, and texts without a letter. A missing lang is filled in.
 
-    The model learns from a bounded sample of the labelled documents. If none is labelled, there is
-    nothing to learn, and only texts without a letter go.
+    The model learns from a bounded sample of the labelled documents and only fills in what is missing; its
+    scores reject nothing, so junk of letters in no learned language stays. If none is labelled, there is
+    nothing to learn, and the same texts go.
     """
     model = langid.train(docs)
     if model is None:
