@@ -1,8 +1,10 @@
 """Main-text extraction by composite text density of DOM nodes.
 
-Every node gets characters per tag, adjusted for the characters and tags that are links; the node
-with the largest sum of its children's densities is the core of the page, and the least density on
-its path to the body is what neighbours of that path must reach to be content too.
+Every block of the page gets characters per tag, adjusted for the characters and tags that are links (inline
+formatting is part of its block and no tag of its own). The block with the largest sum of its children's
+densities is the core of the page, and the least density on its path to the body is what neighbours of that
+path must reach to be content too. Elements that by their tag, role or class are no article text (menus, forms,
+notices, comments) are left out first, and what consists of links is left out of the content.
 """
 
 from __future__ import annotations
@@ -25,114 +27,212 @@ _NEVER = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 #: Words of class and id names of what surrounds an article.
 _NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot sponsor sponsored promo promos promotion banner"
-    " nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars side rail aside footer foot masthead"
-    " topbar toolbar cookie cookies consent gdpr notice notices alert popup popover modal overlay lightbox newsletter subscribe"
-    " subscription signup login signin register share sharing social related recommended recommendation recommendations teaser teasers"
-    " comment comments commentlist disqus discussion respond reply replies pagination pager skip widget widgets copyright disclaimer"
-    " legal tags tagcloud paywall".split()
+    "ad ads adv advert adverts advertisement advertisements advertising advertorial adsense adslot sponsor sponsored promo promos"
+    " promotion banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars rail aside header footer"
+    " masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup popover modal overlay lightbox newsletter subscribe"
+    " subscription signup login signin register share sharing social related recommended recommendation recommendations teaser"
+    " teasers comment comments commentlist disqus discussion respond reply replies pagination pager skip widget widgets copyright"
+    " disclaimer tagcloud paywall".split()
 )
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words that say nothing about what a name stands for: a name of noise words and these is noise.
+_NEUTRAL = frozenset(
+    "site global main primary secondary left right top bottom upper lower center middle side box block area list wrapper wrap container"
+    " inner outer bar panel slot unit item items section group row col column grid layout links link post posts stories thread form text"
+    " user reader bottom sticky fixed mobile desktop small large big new more js c m s".split()
+)
+_SPLIT = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that class names do not make noise.
+_FRAMES = frozenset("html body article main".split())
+
+
+def _named_noise(names: str) -> bool:
+    """Whether a class or id name, as a whole, is that of noise: ``cookie-notice`` is, ``with-sidebar`` is not."""
+    for name in names.split():
+        parts = [w.lower() for w in _SPLIT.split(name) if w]
+        if any(w in _NOISE for w in parts) and all(w in _NOISE or w in _NEUTRAL for w in parts) and parts[-1:] != ["text"]:
+            return True
+    return False
+
+
+def _inside(node: Node, tags: tuple[str, ...]) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in tags:
+        up = up.parent
+    return up is not None
 
 
 def _is_noise(node: Node) -> bool:
+    """By tag, role or state, whatever it holds."""
     if node.tag in _NEVER:
         return True
-    if node.tag == "header":  # a page's header, not the heading of an article
+    if node.tag == "header" and not _inside(node, ("article", "main")):  # a page's header, not the heading of an article
         up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
+        if up is None or up.tag in ("html", "body", "#root") or any(isinstance(c, Node) and c.tag in ("main", "nav", "article", "aside") for c in up.children):
             return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main") and "comment" not in node.attrs.lower():
+    if not node.attrs:
         return False
     attrs = node.attributes()
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in _ROLES:
         return True
-    if "style" in attrs and _HIDDEN_STYLE.search(attrs["style"]):
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(word.lower() in _NOISE for word in _WORDS.findall(names))
+    return "style" in attrs and bool(_HIDDEN_STYLE.search(attrs["style"]))
 
 
-def _measure(nodes: list[Node], kept: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite density of each node, and the sum over its children."""
+def _is_named_noise(node: Node) -> bool:
+    if not node.attrs or node.tag in _FRAMES:
+        return False
+    attrs = node.attributes()
+    return _named_noise(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+
+
+def _kept(nodes: list[Node]) -> list[bool]:
+    """Which elements may be content. A class name takes nothing away that holds the page's main element or its
+    only first-level heading, or that leaves less than a tenth of the text."""
+    n = len(nodes)
+    kept = [True] * n
+    for node in nodes[1:]:
+        kept[node.index] = kept[node.parent.index] and not _is_noise(node)
+    named = [node for node in nodes[1:] if kept[node.index] and _is_named_noise(node)]
+    if not named:
+        return kept
+    chars, firsts, mains = [0] * n, [0] * n, [0] * n
+    for node in reversed(nodes):
+        i = node.index
+        if kept[i]:
+            chars[i] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+            firsts[i] += node.tag == "h1"
+            mains[i] += node.tag == "main"
+            if node.parent is not None:
+                up = node.parent.index
+                chars[up] += chars[i]
+                firsts[up] += firsts[i]
+                mains[up] += mains[i]
+    left = chars[0]
+    names = {node.index for node in named}
+    for node in nodes[1:]:  # parents come before their children
+        i = node.index
+        if not kept[i] or not kept[node.parent.index]:
+            kept[i] = False
+        elif i in names and not mains[i] and not (firsts[i] and firsts[i] == firsts[0]) and (left - chars[i]) * 10 >= chars[0]:
+            kept[i] = False
+            left -= chars[i]
+    return kept
+
+
+def _measure(nodes: list[Node], kept: list[bool]) -> tuple[list[float], list[float], list[float]]:
+    """Of each node its composite density, the sum of its children's densities, and the share of its characters
+    that are links. Inline elements have no density: they count as text of their block."""
     n = len(nodes)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node in reversed(nodes):  # children come after their parents
         i = node.index
         if not kept[i]:
             continue
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        chars[i] += own
+        chars[i] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         if node.tag == "a":
             link_chars[i] = chars[i]
             link_tags[i] += 1
         if node.parent is not None:
             up = node.parent.index
             chars[up] += chars[i]
-            tags[up] += tags[i] + 1
+            tags[up] += tags[i] + (node.tag in BLOCK or node.tag == "a")
             link_chars[up] += link_chars[i]
             link_tags[up] += link_tags[i]
     body_ratio = link_chars[0] / chars[0] if chars[0] else 0.0
-    density, sums = [0.0] * n, [0.0] * n
+    density, sums, links = [0.0] * n, [0.0] * n, [0.0] * n
     for node in nodes:
         i = node.index
         if not kept[i] or not chars[i]:
             continue
-        c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
-        base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + body_ratio * c + math.e)
-        density[i] = c / t * max(math.log(c / lc * t / lt) / math.log(base + 1e-9), 0.0) if base > 1 else c / t * math.log(c / lc * t / lt + 1)
+        links[i] = link_chars[i] / chars[i]
+        if node.tag in BLOCK or node.parent is None:
+            density[i] = composite(chars[i], tags[i], link_chars[i], link_tags[i], body_ratio)
     for node in nodes[1:]:
-        if kept[node.index]:
-            sums[node.parent.index] += density[node.index]
-    return density, sums
+        if density[node.index]:
+            up = node.parent
+            while up.parent is not None and up.tag not in BLOCK:
+                up = up.parent
+            sums[up.index] += density[node.index]
+    return density, sums, links
+
+
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
+    """Characters per tag times the logarithm of the same without links, to a base that grows with the links."""
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_ratio * chars + math.e)
+    gain = math.log(chars / lc * t / lt)
+    return chars / t * max(gain / math.log(base + 1e-9), 0.0) if base > 1 else chars / t * math.log(chars / lc * t / lt + 1)
+
+
+#: Blocks of links: this share of their characters, in at least so many links.
+_LINKED_SHARE, _LINKED_TAGS = 0.7, 2
 
 
 def _roots(nodes: list[Node], kept: list[bool]) -> set[int]:
     """Indices of the subtrees that are content."""
-    density, sums = _measure(nodes, kept)
-    if not any(density):
-        return {0}  # no tags inside, or only text at the top
-    best = max((i for i in range(len(nodes)) if kept[i]), key=lambda i: (sums[i], density[i], -i))
-    if sums[best] == 0:
-        best = max(range(len(nodes)), key=lambda i: (density[i], -i))
-    core = nodes[best]
-    article, up = None, core
-    while up is not None:
-        if up.tag in ("article", "main"):
-            article = up
-            if up.tag == "article" and not (up.parent and up.parent.tag == "article"):
-                break
-        up = up.parent
-    if article is not None:
-        return {article.index}
-    while core.parent is not None and core.tag not in BLOCK:  # text and inline elements share their block
-        core = core.parent
+    density, sums, links = _measure(nodes, kept)
+    if not any(density[1:]):
+        return {0}  # only text at the top
+    blocks = [x for x in nodes if kept[x.index] and (x.tag in BLOCK or x.parent is None)]
+    frames = {x.index for x in nodes if x.tag in ("article", "main")}
+    # of equal sums the denser block, then one that says what it is, then the first
+    core = max(blocks, key=lambda x: (sums[x.index], density[x.index], x.index in frames, -x.index))
+    if sums[core.index] == 0:
+        core = max(blocks, key=lambda x: (density[x.index], x.index in frames, -x.index))
     path, up = [], core
     while up is not None and up.tag not in ("html", "#root"):
-        path.append(up)
+        if up.tag in BLOCK:
+            path.append(up)
         up = up.parent
+    if core.parent is None or core.tag == "html":
+        return {core.index}
     threshold = min((density[x.index] for x in path), default=0.0)
     roots = {core.index}
-    for child, above in zip(path, path[1:]):
+    for child in path[:-1]:
+        above = child.parent
+        # among the paragraphs of a text, short ones belong to it too
+        texts = above.tag in ("article", "main", "section") or any(isinstance(x, Node) and kept[x.index] and x.tag in ("p", "h1", "h2") for x in above.children)
         for other in above.children:
-            if isinstance(other, Node) and other is not child and kept[other.index]:
-                heading = other.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-                if heading or density[other.index] >= threshold > 0:
-                    roots.add(other.index)
+            if not isinstance(other, Node) or other is child or not kept[other.index]:
+                continue
+            plain = texts and above.tag != "body" and links[other.index] < 0.5
+            if other.tag in _HEADINGS or density[other.index] >= threshold > 0 or plain:
+                roots.add(other.index)
     return roots
 
 
+def _without_link_blocks(nodes: list[Node], kept: list[bool]) -> None:
+    """Leave out lists, sections and other containers that consist of links, with the headings inside them."""
+    link_tags = [0] * len(nodes)
+    chars, link_chars = [0] * len(nodes), [0] * len(nodes)
+    for node in reversed(nodes):
+        i = node.index
+        if kept[i]:
+            chars[i] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag not in _HEADINGS else 0
+            if node.tag == "a":
+                link_chars[i], link_tags[i] = chars[i], link_tags[i] + 1
+            if node.parent is not None and node.tag not in _HEADINGS:
+                up = node.parent.index
+                chars[up] += chars[i]
+                link_chars[up] += link_chars[i]
+                link_tags[up] += link_tags[i]
+    if link_chars[0] >= _LINKED_SHARE * chars[0]:
+        return  # the page is one of links
+    for node in nodes[1:]:
+        i = node.index
+        if kept[i] and node.tag in ("ul", "ol", "menu", "section", "div", "dl") and link_tags[i] >= _LINKED_TAGS and link_chars[i] >= _LINKED_SHARE * chars[i]:
+            kept[i] = False
+        kept[i] = kept[i] and kept[node.parent.index]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds."""
     if not page:
         return ""
     root, nodes = parse(page)
-    kept = [True] * len(nodes)
-    for node in nodes[1:]:
-        kept[node.index] = kept[node.parent.index] and not _is_noise(node)
+    kept = _kept(nodes)
+    _without_link_blocks(nodes, kept)
     roots = _roots(nodes, kept)
     blocks: list[str] = []
     inline: list[str] = []
@@ -174,8 +274,10 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 
-    Null or empty pages, and pages without content, give empty text. Pages are independent: repeated
-    rows give repeated results, an empty table none, and other columns are not looked at.
+    Null or empty pages, and pages without content, give empty text; a page of any length is read whole. Of
+    blocks with equal sums the denser, then an article or main element, then the first is the core. Null ids
+    and urls stay null. Pages are independent: repeated rows give repeated results, an empty table none, and
+    other columns, whatever their names, are not looked at.
     """
     ship_code(pages.sparkSession)
 
