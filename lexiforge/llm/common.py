@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import itertools
 import os
 import tempfile
@@ -11,11 +11,12 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a local one (as in tests)."""
+    """The folder in spark.checkpoint.dir; only where that is unset and the master is local (as in tests), a
+    folder of this machine. A cluster without the setting is an error: executors share no local folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -53,8 +57,13 @@ def ship_code(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
+#: Deletes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors. What a table was
+    shuffled through is deleted as soon as it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship_code(spark)
@@ -67,7 +76,12 @@ class Scratch:
         and the given aggregates, observed while it was written."""
         path = f"{self.root}/{next(self._n):03d}-{name}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *measures).write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *measures).write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         stored = self.spark.read.schema(df.schema).parquet(path)
         stored.scratch_path, stored.seen = path, seen.get
         return stored
@@ -77,10 +91,13 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of finished, unreferenced plans."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+
+def tidy() -> None:
+    """Give memory that is free again back to the system, so that idle workers hold none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_blocks(ids: pd.Series, texts: pd.Series, limit: int = BLOCK_BYTES):

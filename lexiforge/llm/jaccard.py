@@ -8,12 +8,18 @@ that a similar set must share either a rare token or a pair within a class.
 How the data moves:
 
 1. Shards of documents scatter their tokens to buckets by fingerprint, packed; a bucket learns which
-   tokens other texts share, and how many do, and sends only those back to their shards.
+   tokens other texts share, and how many do, and sends only those back to their shards. A token that many
+   texts of a shard hold travels once for the shard, with its count.
 2. A text whose prefix holds only tokens of its own is like no other. The others become nodes: one for
    each distinct set, so copies of a text cost one row each from here on.
-3. Nodes that share a signature are compared with one pivot each, not with one another. Where that leaves
-   a signature's nodes in several components, further pivots and at last all remaining pairs follow, so
-   no link is lost.
+3. Nodes that share a signature are compared with one pivot each, not with one another. Nearly all members
+   of a family link with its pivot, which makes them one component.
+4. What links without both being linked to the pivot is found in differences to the pivot's set. For sets
+   u and v with the differences D(u) and D(v), the symmetric difference of u and v has
+   |D(u)| + |D(v)| - 2 |D(u) & D(v)| tokens, so they are similar only if D(u) and D(v) have enough tokens in
+   common. That is a second prefix join, on sets that hold just what tells the members of a family apart;
+   tokens of a member's own, and places in the prefix too late for the overlap that a pair needs, drop out.
+   Parities of the differences bound what two members do not share, so few pairs remain to be compared.
 """
 
 from __future__ import annotations
@@ -21,21 +27,24 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, text_blocks
+from .common import Scratch, mix64, text_blocks, tidy
 from .graph import components
 
 WORDS = 5
 #: Similarity as a fraction: linked when DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Tokens in at least so many texts are frequent: indexed in pairs. Counts above 255 are not told apart.
+#: Tokens in at least so many texts are frequent: indexed in pairs.
 FREQUENT = 64
-SHARD_BYTES = 32 << 20
+#: A token that so many texts of a shard hold stays there and travels as a count.
+LOCALLY_HOT = 64
+SHARD_BYTES = 8 << 20
 SHARD_DOCS = 60_000
 BUCKET_TOKENS = 1 << 20
-PIVOT_ROUNDS = 3
+#: What similar sets of n and m tokens must keep: (n + m) * _SAME >= |symmetric difference| * _ALL.
+_SAME, _ALL = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -114,10 +123,28 @@ def _unplanes(raw: bytes, n: int) -> np.ndarray:
 
 
 _MOVED = "bucket int, shard long, n int, payload binary"
+#: The owner written for a token that stays in its shard.
+_HELD_BACK = 0xFFFF
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Numbers of texts as bytes that keep their order: exact below 128, then eight steps to a doubling."""
+    steps = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.minimum(np.where(counts < 128, counts, steps), 255).astype("u1")
+
+
+def _record(ids, names, sizes, is_lead, hot_tokens, hot_owners) -> bytes:
+    """What stays with a shard: its documents, and the owners of its hot tokens."""
+    id_array = np.array([0 if i is None else i for i in ids], np.int64)
+    id_null = np.array([i is None for i in ids], np.uint8)
+    counts = np.array([len(o) for o in hot_owners], np.int64)
+    about = [id_array, names, sizes, is_lead, id_null, np.array([len(hot_tokens)], np.int64), np.array(hot_tokens, np.uint64), counts, *hot_owners]
+    return b"".join(x.tobytes() for x in about)
 
 
 def _scatter(bits: int):
-    """Documents to rows for buckets, and one row of what the shard holds, filed under a negative bucket."""
+    """Documents to rows for buckets, and one row of what the shard keeps, filed under a negative bucket."""
+    low = np.uint64(24 - bits)
 
     def flush(shard, ids, sets):
         names = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
@@ -126,19 +153,30 @@ def _scatter(bits: int):
         leads = [i for i in first if sizes[i]]
         is_lead = np.zeros(len(sets), np.uint8)
         is_lead[leads] = 1
-        id_array = np.array([0 if i is None else i for i in ids], np.int64)
-        id_null = np.array([i is None for i in ids], np.uint8)
-        rows = [(-1 - shard % 1024, shard, len(ids), id_array.tobytes() + names.tobytes() + sizes.tobytes() + is_lead.tobytes() + id_null.tobytes())]
+        rows, hot_tokens, hot_owners = [], [], []
         if leads:
-            tokens = np.concatenate([sets[i] for i in leads])
+            tokens = np.concatenate([sets[i] for i in leads]) >> low
             owner = np.repeat(np.array(leads, np.uint16), sizes[leads])
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order]
-            bucket = tokens >> np.uint64(64 - bits)
-            rest = (tokens >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            counts = np.diff(np.append(starts, len(tokens)))
+            hot = np.flatnonzero(counts >= LOCALLY_HOT)
+            times = np.zeros(len(tokens), np.uint32)
+            stays = np.ones(len(tokens), bool)
+            for at, count in zip(starts[hot], counts[hot]):
+                hot_tokens.append(tokens[at])
+                hot_owners.append(owner[at : at + count].copy())
+                stays[at + 1 : at + count] = False
+                owner[at], times[at] = _HELD_BACK, count
+            tokens, owner, times = tokens[stays], owner[stays], times[stays]
+            bucket, rest = tokens >> np.uint64(40), tokens & np.uint64((1 << 40) - 1)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(tokens)]):
-                rows.append((int(bucket[lo]), shard, hi - lo, _planes(rest[lo:hi]) + owner[lo:hi].astype("<u2").tobytes()))
+                held_back = times[lo:hi][times[lo:hi] > 0]
+                rows.append((int(bucket[lo]), shard, hi - lo, _planes(rest[lo:hi]) + owner[lo:hi].astype("<u2").tobytes() + held_back.tobytes()))
+        spread = int(mix64(np.array([shard], np.uint64))[0] & np.uint64((1 << bits) - 1))
+        rows.append((-1 - spread, shard, len(ids), _record(ids, names, sizes, is_lead, hot_tokens, hot_owners)))
         return pd.DataFrame(rows, columns=["bucket", "shard", "n", "payload"])
 
     def run(batches):
@@ -154,14 +192,17 @@ def _scatter(bits: int):
                         yield flush((part << 24) + count, ids[a : a + SHARD_DOCS], sets[a : a + SHARD_DOCS])
                         count += 1
                     ids, sets, size = [], [], 0
+                    tidy()
         for a in range(0, len(ids), SHARD_DOCS):
             yield flush((part << 24) + count, ids[a : a + SHARD_DOCS], sets[a : a + SHARD_DOCS])
             count += 1
+        ids, sets = [], []
+        tidy()
 
     return run
 
 
-def _shared(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's answer to each shard: the tokens that another text has too, their texts, and how many have them."""
     bucket = key[0]
     if bucket < 0:
@@ -170,20 +211,20 @@ def _shared(key, rows: pd.DataFrame) -> pd.DataFrame:
     counts = rows["n"].to_numpy()
     tokens = np.concatenate([_unplanes(p, n) for p, n in zip(rows["payload"], counts)])
     owner = np.concatenate([np.frombuffer(p, "<u2", n, 5 * n) for p, n in zip(rows["payload"], counts)])
+    times = np.ones(len(tokens), np.int64)
+    times[owner == _HELD_BACK] = np.concatenate([np.frombuffer(p, np.uint32, -1, 7 * n) for p, n in zip(rows["payload"], counts)])
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     run = np.cumsum(new) - 1
-    frequency = np.bincount(run)[run]
     held = np.zeros(len(tokens), np.int64)
-    held[order] = frequency
+    held[order] = np.bincount(run, weights=times[order]).astype(np.int64)[run]
     out = []
     ends = np.cumsum(counts)
     for shard, lo, hi in zip(rows["shard"], ends - counts, ends):
         mine = lo + np.flatnonzero(held[lo:hi] > 1)
         if len(mine):
-            payload = _planes(tokens[mine]) + owner[mine].astype("<u2").tobytes() + np.minimum(held[mine], 255).astype("u1").tobytes()
-            out.append((bucket, shard, len(mine), payload))
+            out.append((bucket, shard, len(mine), _planes(tokens[mine]) + owner[mine].astype("<u2").tobytes() + level(held[mine]).tobytes()))
     return pd.DataFrame(out, columns=["bucket", "shard", "n", "payload"])
 
 
@@ -227,17 +268,22 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int64)
 
 
-_NODES = "doc_id long, name long, n int, tokens binary, signatures array<long>"
+_NODES = "doc_id long, name long, n int, tokens binary, levels binary, signatures array<long>"
 
 
-def _assemble(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A shard's documents; those that may resemble another text with their shared tokens and signatures."""
     about = rows[rows["bucket"] < 0].iloc[0]
     total, raw = int(about["n"]), about["payload"]
     ids, names = np.frombuffer(raw, np.int64, total), np.frombuffer(raw, np.int64, total, 8 * total)
     sizes, lead = np.frombuffer(raw, np.int32, total, 16 * total), np.frombuffer(raw, np.uint8, total, 20 * total)
     nulls = np.frombuffer(raw, np.uint8, total, 21 * total)
+    n_hot = int(np.frombuffer(raw, np.int64, 1, 22 * total)[0])
+    hot_tokens = np.frombuffer(raw, np.uint64, n_hot, 22 * total + 8)
+    hot_counts = np.frombuffer(raw, np.int64, n_hot, 22 * total + 8 + 8 * n_hot)
+    hot_owners = np.frombuffer(raw, np.uint16, -1, 22 * total + 8 + 16 * n_hot).astype(np.int64)
     packed: list = [None] * total
+    levels: list = [None] * total
     marks: list = [None] * total
     answers = rows[rows["bucket"] >= 0]
     if len(answers):
@@ -245,6 +291,14 @@ def _assemble(key, rows: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([_unplanes(p, n) | (np.uint64(b) << np.uint64(40)) for b, n, p in zip(answers["bucket"], counts, answers["payload"])])
         owner = np.concatenate([np.frombuffer(p, "<u2", n, 5 * n) for n, p in zip(counts, answers["payload"])]).astype(np.int64)
         frequency = np.concatenate([np.frombuffer(p, "u1", n, 7 * n) for n, p in zip(counts, answers["payload"])])
+        back = owner == _HELD_BACK
+        if back.any():  # hot tokens meet their owners again
+            held, their = tokens[back], frequency[back]
+            order = np.argsort(held)
+            their = np.repeat(their[order][np.searchsorted(held[order], hot_tokens)], hot_counts)
+            tokens = np.concatenate([tokens[~back], np.repeat(hot_tokens, hot_counts)])
+            owner = np.concatenate([owner[~back], hot_owners])
+            frequency = np.concatenate([frequency[~back], their])
         # a text with too few shared tokens resembles none
         shared = np.bincount(owner, minlength=total)
         near = shared * DENOMINATOR >= sizes.astype(np.int64) * NUMERATOR
@@ -257,38 +311,126 @@ def _assemble(key, rows: pd.DataFrame) -> pd.DataFrame:
             if hi > lo:
                 found = signatures(tokens[lo:hi], frequency[lo:hi], int(sizes[owner[lo]]))
                 if len(found):
-                    packed[owner[lo]], marks[owner[lo]] = np.sort(tokens[lo:hi]).tobytes(), found
+                    by_token = np.argsort(tokens[lo:hi])
+                    packed[owner[lo]], marks[owner[lo]] = tokens[lo:hi][by_token].tobytes(), found
+                    levels[owner[lo]] = frequency[lo:hi][by_token].tobytes()
     doc_ids = pd.array(np.where(nulls == 1, 0, ids), dtype="Int64")
     doc_ids[nulls == 1] = pd.NA
-    return pd.DataFrame({"doc_id": doc_ids, "name": names, "n": sizes, "tokens": packed, "signatures": marks})
+    return pd.DataFrame({"doc_id": doc_ids, "name": names, "n": sizes, "tokens": packed, "levels": levels, "signatures": marks})
 
 
-def _similar():
-    """What sizes n and m, of which s and t tokens are shared with any other text, must fulfil: the sizes
-    are within the similarity, and either side has tokens enough for the overlap that they call for."""
-    n, m, s, t = (F.col(c) for c in ("n", "m", "s", "t"))
-    sizes = (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
-    return sizes & (F.least(s, t) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR)
+def _with_tokens(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, p, ...) with the sets of both."""
+    one = nodes.select(F.col("name").alias("u"), F.col("tokens").alias("a"), F.col("levels").alias("a_levels"), "n")
+    other = nodes.select(F.col("name").alias("p"), F.col("tokens").alias("b"), F.col("levels").alias("b_levels"), F.col("n").alias("m"))
+    return pairs.join(one, "u").join(other, "p")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, p, linked): whether the sets of u and p are similar."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            linked = []
             for a, b, n, m in zip(batch["a"], batch["b"], batch["n"], batch["m"]):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(DENOMINATOR * both >= NUMERATOR * (int(n) + int(m) - both))
-            yield batch.loc[keep, ["u", "v"]]
+                both = _common(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+                linked.append(DENOMINATOR * both >= NUMERATOR * (int(n) + int(m) - both))
+            yield batch[["u", "p"]].assign(linked=linked)
+
+    return _with_tokens(pairs, nodes).select("u", "p", "a", "b", "n", "m").mapInPandas(run, "u long, p long, linked boolean")
+
 
-    one = nodes.select(F.col("name").alias("u"), F.col("tokens").alias("a"), "n")
-    other = nodes.select(F.col("name").alias("v"), F.col("tokens").alias("b"), F.col("n").alias("m"))
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b", "n", "m").mapInPandas(run, "u long, v long")
+_NEAR = np.uint64(0)
+#: 64-bit words of a difference's parities: bit i says whether it has an odd number of tokens in cell i. Two
+#: differences disagree in a cell only if a token there is in one of them alone.
+_PARITY_WORDS = 8
+_DIFFERENCE = "u long, p long, component long, outside boolean, n int, d int, own int, place int, token long, " + ", ".join(f"parity{i} long" for i in range(_PARITY_WORDS))
+
+
+def least_overlap(d: int, own_size: int, n_p: int, s_p: int, linked: bool) -> int:
+    """Tokens that D(u) must share with D(v) of any v that u is similar to, unless both are linked to p. It is
+    0 or less for a u so near to p that it may need none, as p has tokens of its own.
+
+    With c = _SAME / _ALL, u and v are similar if |D(u)| + |D(v)| - 2 overlap <= c (n_u + n_v); differences are
+    taken to the s_p tokens of p that others hold too. One of the two is not linked to p, say w:
+    |D(w)| - c n_w > c n_p - (n_p - s_p). For u linked to p that bounds the overlap with any w. If u is not,
+    |D(v)| - c n_v >= -c s_p for every v, and D(v) >= D(u) - c (n_u + n_v) where n_v <= n_u DENOMINATOR / NUMERATOR.
+    """
+    left = _ALL * d - _SAME * own_size
+    if linked:
+        least = (left + _SAME * n_p - _ALL * (n_p - s_p)) / (2 * _ALL)
+    else:
+        least = max((left - _SAME * s_p) / (2 * _ALL), d - _SAME * own_size * (1 + DENOMINATOR / NUMERATOR) / _ALL)
+    return int(np.ceil(least - 1e-9))
+
+
+def difference_prefix(a, a_levels, b, b_levels, n: int, m: int, linked: bool) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(|D|, tokens of its own, prefix of the others, parities of the others) of a set of n tokens against p's: what another set's
+    prefix must share a token with. Added tokens come first, rare ones before frequent ones, then missing ones.
+    Sets that may need none to link share the token _NEAR."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    added, missing = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
+    own = n - len(x)
+    d = own + int(added.sum()) + int(missing.sum())
+    least = least_overlap(d, n, m, len(y), linked)
+    near = np.full(int(least <= 0), _NEAR)
+    least = max(least, 1)
+    places = d - least + 1 - own
+    if places <= 0 or d - own < least:
+        return d, own, near, _parities(x[added], y[missing])
+    x, y = x[added], y[missing]
+    x = x[np.lexsort((x, np.frombuffer(a_levels, "u1")[added]))]
+    y = y[np.lexsort((y, np.frombuffer(b_levels, "u1")[missing]))]
+    return d, own, np.concatenate([np.concatenate([x, y])[:places], near]), _parities(x, y)
+
+
+def _parities(*tokens: np.ndarray) -> np.ndarray:
+    cells = mix64(np.concatenate(tokens)) % np.uint64(64 * _PARITY_WORDS)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differences(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows for each token of the prefix of u's difference to p, for pairs (u, p, linked, component)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [difference_prefix(*x) for x in zip(*(batch[c] for c in ("a", "a_levels", "b", "b_levels", "n", "m", "linked")))]
+            sizes = np.array([len(prefix) for _, _, prefix, _ in found], np.int64)
+            if not sizes.sum():
+                continue
+            token = np.concatenate([prefix for _, _, prefix, _ in found])
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            about = batch[["u", "p", "component", "n"]].assign(outside=~batch["linked"].astype(bool), d=[d for d, *_ in found], own=[own for _, own, *_ in found])
+            parities = pd.DataFrame(np.stack([words for *_, words in found]), columns=[f"parity{i}" for i in range(_PARITY_WORDS)], index=about.index)
+            rows = pd.concat([about, parities], axis=1).loc[np.repeat(about.index.to_numpy(), sizes)]
+            yield rows.assign(place=np.where(token == _NEAR, 0, place), token=token.astype(np.int64))
+
+    wide = _with_tokens(pairs, nodes).select("u", "p", "linked", "component", "a", "a_levels", "b", "b_levels", "n", "m")
+    return wide.mapInPandas(run, _DIFFERENCE)
+
+
+def _may_link() -> Column:
+    """Whether u and v, whose differences share the token at the places ``place`` and ``place_v``, can be similar:
+    sizes within the similarity, from these places on shared tokens enough for the overlap that they need, and
+    no more tokens in one of them alone, by their own tokens and parities, than similar sets have."""
+    n, m = F.col("n"), F.col("n_v")
+    sizes = (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
+    rest = F.least(F.col("d") - F.col("own") - F.col("place"), F.col("d_v") - F.col("own_v") - F.col("place_v"))
+    enough = 2 * _ALL * rest >= _ALL * (F.col("d") + F.col("d_v")) - _SAME * (n + m)
+    alone = F.col("own") + F.col("own_v")
+    for i in range(_PARITY_WORDS):
+        alone = alone + F.bit_count(F.col(f"parity{i}").bitwiseXOR(F.col(f"parity{i}_v")))
+    return sizes & enough & (_ALL * alone <= _SAME * (n + m))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,7 +441,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty set and link with nothing (component_id is their own id). Repeated rows are copies that link. A
     null id gets its component's smallest id, if any. An empty table gives no rows. Other columns are not
     looked at. docs should be a stored table, so that a repeated task reads its rows in the same order.
-    Sets are compared by fingerprints of 40 bits and those of the bucket, whose number follows the input.
+    Very long texts are read whole, in blocks of their own. Ties do not arise: every pair that links counts.
+
+    Sets are compared by fingerprints of 46 to 64 bits: 40, and those of the bucket, whose number follows the
+    input. A token that meets an unlike one of the same fingerprint (with 10**8 distinct tokens in 47 bits about
+    one in 1.4 million) counts as shared, which can move a pair's overlap by one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -308,7 +454,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(24, max(6, (total // 6 // BUCKET_TOKENS).bit_length()))
     moved = narrow.mapInPandas(_scatter(bits), _MOVED).groupBy("bucket").applyInPandas(_shared, _MOVED)
     found = scratch.store(moved.groupBy("shard").applyInPandas(_assemble, _NODES), "documents")
-    scratch.release()
     links = _links(found, scratch)
     members = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name"))
     labels = links.select(F.col("node").alias("name"), "component")
@@ -322,45 +467,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of all distinct sets that have a link."""
     with_tokens = found.filter("tokens IS NOT NULL")
-    nodes = scratch.store(with_tokens.groupBy("name").agg(F.first(F.struct("n", "tokens")).alias("x")).select("name", "x.n", "x.tokens"), "nodes")
-    marks = with_tokens.select("name", "n", (F.length("tokens") / 8).cast("int").alias("s"), F.explode("signatures").alias("signature"))
-    groups = marks.groupBy("signature").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("signature")
-    marks = scratch.store(marks.join(groups, "signature").distinct(), "signatures")
-    scratch.release()
-    linked = tested = None
-    labels = scratch.spark.createDataFrame([], "name long, label long")
-    for turn in range(PIVOT_ROUNDS + 1):
-        if tested is None:
-            here = marks.withColumn("component", F.col("name"))
-        else:
-            here = marks.join(labels, "name", "left").withColumn("component", F.coalesce("label", "name"))
-            mixed = here.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-            here = scratch.store(here.join(mixed.select("signature"), "signature").select("signature", "name", "n", "s", "component"), "mixed")
-            if not here.seen["n_rows"]:
-                break
-            marks = here.select("signature", "name", "n", "s")  # signatures within one component are settled
-        if turn < PIVOT_ROUNDS:
-            # Edits give a copy tokens of its own, so the text with the fewest is nearest to the centre of its
-            # group. All signatures of a group mostly agree on it; a hash decides between equals.
-            own = F.floor(16 * (F.col("n") - F.col("s")) / F.col("n")).alias("own")
-            order = F.struct(own, F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("c"))
-            pivots = here.groupBy("signature").agg(F.min(order).alias("p")).select("signature", "p.v", "p.m", "p.t", "p.c")
-            met = here.join(pivots, "signature").filter((F.col("component") != F.col("c")) & _similar()).select(F.col("name").alias("u"), "v")
-        else:
-            other = here.select("signature", F.col("name").alias("v"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("c"))
-            met = here.join(other, "signature").filter((F.col("component") != F.col("c")) & (F.col("name") < F.col("v")) & _similar()).select(F.col("name").alias("u"), "v")
-        pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.store(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.seen["n_rows"]:
-            continue
-        new = scratch.store(_verified(pairs, nodes), "links")
-        if new.seen["n_rows"]:
-            linked = new if linked is None else linked.unionByName(new)
-            labels = scratch.store(components(linked, scratch).select(F.col("node").alias("name"), F.col("component").alias("label")), "labels")
-    return labels.select(F.col("name").alias("node"), F.col("label").alias("component"))
+    one = F.first(F.struct("n", "tokens", "levels", "signatures")).alias("x")
+    nodes = scratch.store(with_tokens.groupBy("name").agg(one).select("name", "x.*"), "nodes")
+    # Edits give a copy tokens of its own, so the text with the fewest is nearest to the centre of its group.
+    # All signatures of a group mostly agree on it; a hash decides between equals.
+    own = F.floor(64 * (F.col("n") - F.length("tokens") / 8) / F.col("n")).alias("own")
+    marks = nodes.select(own, F.xxhash64("name").alias("h"), "name", F.explode("signatures").alias("signature"))
+    pivots = marks.groupBy("signature").agg(F.min(F.struct("own", "h", "name")).alias("pivot"), F.max("name").alias("hi"), F.min("name").alias("lo")).filter("lo <> hi")
+    met = marks.join(pivots, "signature").select(F.col("name").alias("u"), F.col("pivot.name").alias("p")).filter("u <> p").distinct()
+    compared = scratch.store(_compared(met, nodes), "compared")
+    links = compared.filter("linked").select("u", F.col("p").alias("v"))
+    labels = scratch.store(components(links, scratch), "labels")
+    # groups that their pivot has not made one component
+    label = labels.select(F.col("node").alias("u"), "component")
+    whole = compared.unionByName(compared.select(F.col("p").alias("u"), "p", F.lit(True).alias("linked")).distinct())
+    whole = whole.join(label, "u", "left").withColumn("component", F.coalesce("component", "u"))
+    mixed = whole.groupBy("p").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("settled")).filter("lo <> hi AND NOT settled").select("p")
+    rows = scratch.store(_differences(whole.filter("u <> p").join(mixed, "p", "left_semi").select("u", "p", "linked", "component"), nodes), "differences")
+    if not rows.seen["n_rows"]:
+        return labels
+    others = rows.select("p", "token", *(F.col(c).alias(f"{c}_v") for c in rows.columns if c not in ("p", "token")))
+    new = (F.col("component") != F.col("component_v")) & (~F.col("outside_v") | (F.col("u") < F.col("u_v")))
+    pairs = rows.filter("outside").join(others, ["p", "token"]).filter(new & _may_link())
+    pairs = pairs.select(F.col("u"), F.col("u_v").alias("p")).distinct()
+    more = scratch.store(_compared(pairs, nodes).filter("linked"), "more")
+    if not more.seen["n_rows"]:
+        return labels
+    return components(links.unionByName(more.select("u", F.col("p").alias("v"))), scratch)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -95,6 +95,57 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch):
     assert got == expected
 
 
+@pytest.mark.parametrize("frequent", [3, 64])
+def test_jaccard_around_the_threshold(spark, monkeypatch, frequent):
+    """Families whose members mostly do not link with their centre, but with one another in chains."""
+    rnd = random.Random(6)
+    rows = []
+    for family in range(3):
+        base = words(200 + family, 80)
+        for _ in range(6):
+            stem = base[:]
+            for _ in range(rnd.randrange(3, 6)):
+                stem[rnd.randrange(80)] = f"y{rnd.randrange(10**6)}"
+            for _ in range(5):
+                copy = stem[:]
+                for _ in range(rnd.randrange(4)):
+                    copy[rnd.randrange(80)] = f"z{rnd.randrange(10**6)}"
+                rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_difference_prefixes_lose_no_link():
+    """Similar sets that are not both similar to a third one share a token of the prefixes of their differences to it."""
+    rnd = random.Random(8)
+    seen = 0
+    for _ in range(4000):
+        n = rnd.choice([20, 40, 90])
+        centre = rnd.sample(range(1000), n)
+        edit = lambda s, k: [x for x in s if x not in set(rnd.sample(sorted(set(s)), min(k, len(set(s)))))] + rnd.sample(range(1000, 1400), k)
+        stem = edit(centre, rnd.randrange(n // 4))
+        sets = [np.array(sorted(set(x)), np.uint64) for x in (edit(stem, rnd.randrange(max(1, n // 8))), edit(stem, rnd.randrange(max(1, n // 8))), centre)]
+        held = [rnd.randrange(4), rnd.randrange(4), rnd.randrange(4)]  # tokens that no other text has
+        n_u, n_v, n_p = (len(s) + h for s, h in zip(sets, held))
+
+        def similar(x, y, m, k):
+            both = len(np.intersect1d(x, y))
+            return jaccard.DENOMINATOR * both >= jaccard.NUMERATOR * (m + k - both)
+
+        u, v, p = sets
+        linked = [similar(u, p, n_u, n_p), similar(v, p, n_v, n_p)]
+        if not similar(u, v, n_u, n_v) or all(linked):
+            continue
+        seen += 1
+        levels = [(x % 7).astype("u1").tobytes() for x in sets]
+        prefixes = [jaccard.difference_prefix(x.tobytes(), l, p.tobytes(), levels[2], k, n_p, flag) for x, l, k, flag in zip(sets, levels, (n_u, n_v), linked)]
+        assert len(np.intersect1d(*(x[2] for x in prefixes)))
+        alone = sum(x[1] for x in prefixes) + sum(int(x).bit_count() for x in (prefixes[0][3] ^ prefixes[1][3]).view(np.uint64))
+        assert alone <= n_u + n_v - 2 * len(np.intersect1d(u, v))
+    assert seen > 100
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.near_duplicates(empty).count() == 0
@@ -239,6 +290,62 @@ def test_unigram_finds_the_best_path_and_decodes():
             assert abs(total - best("▁" + text.replace(" ", "▁"))) < 1e-6
 
 
+def _message(fields):
+    """A protocol buffer message of (number, bytes or int)."""
+    varint = lambda n: bytes([*((n >> s & 127) | 128 for s in range(0, 7 * ((max(n, 1).bit_length() - 1) // 7), 7)), n >> 7 * ((max(n, 1).bit_length() - 1) // 7)])
+    return b"".join(varint(k << 3 | (0 if isinstance(v, int) else 2)) + (varint(v) if isinstance(v, int) else varint(len(v)) + v) for k, v in fields)
+
+
+def test_ids_are_those_of_sentencepiece(tmp_path):
+    """The vocabulary written as a model of the unigram kind with the same log scores, and encoded by SentencePiece."""
+    import sentencepiece
+
+    path = unigram.vocabulary_path()
+    ours = unigram.codec(path)
+    assert all(s < 0 for s, u in zip(ours.v.scores, ours.v.usable) if u)
+    assert abs(sum(2.718281828459045**s for s, u in zip(ours.v.scores, ours.v.usable) if u) - 1) < 0.01
+    parts, i = [], 0
+    for number, value in unigram._fields(open(path, "rb").read()):
+        if number == 1:
+            held = dict(unigram._fields(value))
+            if ours.v.usable[i]:
+                score = b"\x15" + np.float32(ours.v.scores[i]).tobytes()
+                value = _message([(1, held[1])]) + score
+            i += 1
+        elif number == 2:
+            value = _message([(k, unigram._UNIGRAM if k == 3 else v) for k, v in unigram._fields(value) if k in (3, 35, 40, 41, 42, 43, 45, 46, 47, 48)])
+        parts.append((number, value))
+    model = tmp_path / "unigram.model"
+    model.write_bytes(_message(parts))
+    theirs = sentencepiece.SentencePieceProcessor(model_file=str(model))
+    rnd = random.Random(2)
+    texts = ["hello world", "  two  spaces ", "tab\tand\nline\n\n feed", "日本語 😀 ñandú", "a", " ", "\n", "x" * 300, "internationalization of the thing"]
+    texts += ["".join(rnd.choices("abcdefghij éß日 \n.,'0", k=rnd.randrange(1, 120))) for _ in range(300)]
+    again = unigram.Codec(unigram.read_pieces(str(model)))
+    for text in texts:
+        assert list(ours.encode(text)) == theirs.encode(text) == list(again.encode(text)), text
+        assert ours.decode(ours.encode(text)) == text
+
+
+def test_long_words_are_solved_in_windows(monkeypatch):
+    codec = unigram.codec(unigram.vocabulary_path())
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdeé日", k=900)), "the" * 500, "x" * 700, "\u4e00" * 300]
+    whole = [codec.viterbi(w) for w in words]
+    for window in (32, 200):
+        monkeypatch.setattr(unigram, "_WINDOW", window)
+        assert [codec.viterbi(w) for w in words] == whole
+    monkeypatch.undo()
+    long = "abcdefgh" * 60_000
+    assert codec.decode(codec.encode(long)) == long
+
+
+def test_encoding_of_repeated_and_null_rows(spark):
+    rows = [(1, "lo can"), (1, "lo can"), (None, None), (2, "")]
+    got = unigram.encode_documents(documents(spark, rows)).collect()
+    assert sorted((r.id or 0, len(r.ids), r.decoded) for r in got) == [(0, 0, ""), *[(1, len(got[0].ids) or len(max(got, key=lambda r: len(r.ids)).ids), "lo can")] * 2, (2, 0, "")]
+
+
 def test_language_identification(spark):
     sets = {"aa": "la le li lo lu", "bb": "ka ke ki ko ku"}
     rnd = random.Random(3)
@@ -251,6 +358,47 @@ def test_language_identification(spark):
     assert all(0 <= s <= 1 and c == "c" for _, s, c in got.values())
 
 
+def test_kernel_and_regression_equal_brute_force():
+    """Kernel values from sets of n-grams, and the solution of the ridge problem in Nyström features."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefg éñ", k=rnd.randrange(5, 60))) for _ in range(40)]
+    labels = [rnd.choice("xyz") for _ in texts]
+    rows = langid.presence(texts)
+
+    def grams(text):
+        text = f" {re.sub(r'[^a-zéñ]+', ' ', text).strip()} "
+        codes = [[ord(c) for c in text[i : i + n]] for n in langid.NGRAMS for i in range(len(text) - n + 1)]
+        numbers = np.array([sum(c << (21 * (len(g) - 1 - k)) for k, c in enumerate(g)) + len(g) & (2**64 - 1) for g in codes], np.uint64)
+        return set((langid.mix64(numbers) >> np.uint64(51)).tolist())
+
+    sets = [grams(t) for t in texts]
+    model = langid.fit(rows, labels, n_landmarks=12)
+    chosen = [i for name in sorted(set(labels)) for i in [k for k, label in enumerate(labels) if label == name][: 12 // len(set(labels))]]
+    kernel = np.array([[len(a & sets[j]) / (len(a) ** 0.5 * len(sets[j]) ** 0.5) for j in chosen] for a in sets])
+    assert np.allclose(model.kernel(rows), kernel, atol=1e-5)
+    # the same problem in its dual form: minimise weighted squares plus the ridge on w' K w
+    weight = np.array([1 / labels.count(label) for label in labels])
+    weight /= weight.sum()
+    target = np.array([[1.0 if label == name else -1.0 for name in sorted(set(labels))] for label in labels])
+    x, y = kernel - weight @ kernel, target - weight @ target
+    between = kernel[chosen]
+    solved = np.linalg.lstsq(x.T @ (weight[:, None] * x) + langid.RIDGE / len(labels) * between, x.T @ (weight[:, None] * y), rcond=1e-10)[0]
+    assert np.allclose(x @ solved, model.scores(rows) - weight @ model.scores(rows), atol=1e-2)
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(i, "la le li lo " * (i + 1), "aa", "c", 1) for i in range(20)] + [(i, "ka ke ki ko " * (i + 1), "bb", "c", 1) for i in range(20)]
+    rows += [(None, "la le li", None, None, None), (None, "la le li", None, None, None), (50, "ki ko " * 400_000, None, "c", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert [r.lang_pred for r in got if r.doc_id is None] == ["aa", "aa"] and [r.lang_pred for r in got if r.doc_id == 50] == ["bb"]
+    assert docs.select(langid.held_out().alias("h")).filter("h IS NULL").count() == 0
+    many = langid.train(docs, per_label=3)
+    assert many.landmarks.shape[1] == 6
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(docs, max_labels=1)
+
+
 def test_media_round_trip_and_captions(spark):
     for payload in (b"\0" * 64, bytes(range(256)), b"x" * 65):
         assert media.samples(media.wave(payload)) == payload
@@ -262,12 +410,70 @@ def test_media_round_trip_and_captions(spark):
     assert media.sequence_of(None) == media.sequence_of("") == []
     rows = [(1, "ab"), (2, "ab"), (3, None), (4, ""), (5, "x" * 1000)]
     pages, payloads = media.documents_as_media(documents(spark, rows))
-    items = media.resolve(media.parse_sequences(pages, "id", "html"), media.read_payloads(payloads)).toPandas()
+    items = media.resolve(media.parse_sequences(pages, "id", "html"), media.read_payloads(payloads)).filter("kind = 'media'").toPandas()
     assert len(items) == 5 and items.feature.notna().all() and items.digest.nunique() == 3
     with pytest.raises(Exception, match="digest"):
         media.read_payloads(spark.createDataFrame([("f" * 64, bytearray(media.wave(b"x")))], "digest string, media binary")).collect()
 
 
+def test_media_stay_aligned_with_the_lines_around_them(spark):
+    rnd = random.Random(9)
+    texts = ["\n".join(" ".join(rnd.choices(["a", "<b>", "&amp;", "\"q'", "é", "", "  x"], k=rnd.randrange(4))) for _ in range(rnd.randrange(12))) for _ in range(60)]
+    rows = [*enumerate(texts), (100, None), (101, "long line " * 200_000), (None, "no id"), (0, texts[0])]
+    pages, payloads = media.documents_as_media(documents(spark, rows))
+    items = media.resolve(media.parse_sequences(pages, "id", "html"), media.read_payloads(payloads)).toPandas()
+    seen = 0
+    for i, text in rows:
+        mine = items[items.id.isna() if i is None else items.id == i].drop_duplicates("position").sort_values("position")
+        lines = (text or "").split("\n")
+        clean = [" ".join(x.split()) for x in lines]
+        first = [x for x in clean[: len(lines) // 2] if x]
+        expected = [*first, None, *(x for x in clean[len(lines) // 2 :] if x)]
+        assert [t if isinstance(t, str) else None for t in mine.text] == expected and mine.position.tolist() == list(range(len(expected)))
+        figure = mine[mine.kind == "media"].iloc[0]
+        n, payload = media.payload_of(text)
+        assert (figure.caption, figure.payload_sha256, figure.position) == (f"{n} bytes", hashlib.sha256(payload).hexdigest(), len(first))
+        seen += len(mine)
+    assert items[items.id == 0].shape[0] == 2 * items[items.id == 0].position.nunique()
+    empty, nothing = media.documents_as_media(spark.createDataFrame([], DOCS))
+    assert media.resolve(media.parse_sequences(empty, "id", "html"), media.read_payloads(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+@pytest.mark.parametrize("sections", ["fields", "lines"])
+def test_attribution_equals_brute_force(spark, rule, sections):
+    """Every token to sections, character by character."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abcde é日😀 \n", k=rnd.randrange(60))) for _ in range(25)] + [None, "", "\n\n", "word " * 20_000]
+    rows = [*enumerate(texts), (None, "no id"), (3, texts[3])]
+    encode = bpe.encoder(bpe.vocabulary_path())
+    got = attribution.count_tokens(documents(spark, rows), ["lang", "text"], rule=rule, sections=sections).toPandas()
+    for i, text in rows[:25] + rows[25:29]:
+        whole = "oc\n" + (text or "")
+        of_byte = [k for k, c in enumerate(whole) for _ in c.encode()]
+        owner, bounds = [], []  # the section of each character
+        for field, start, end in (("lang", 0, 3), ("text", 3, len(whole))):
+            pieces = re.findall("[^\n]*\n|[^\n]+", whole[start:end]) if sections == "lines" and end > start else [whole[start:end]]
+            for piece in pieces:
+                owner += [len(bounds)] * len(piece)
+                bounds.append(field)
+        counts, at = [0.0] * len(bounds), 0
+        for token in encode.tokenizer.encode(whole, add_special_tokens=False).ids:
+            size = int(encode.byte_lengths[token])
+            held = [owner[k] for k in range(of_byte[at], of_byte[at + size - 1] + 1)]
+            at += size
+            if rule == "start":
+                counts[held[0]] += 1
+            elif rule == "most":
+                counts[max(sorted(set(held)), key=held.count)] += 1
+            else:
+                for k in held:
+                    counts[k] += 1 / len(held)
+        mine = got[got.id == i].drop_duplicates("section").sort_values("section")
+        assert mine.field.tolist() == bounds and np.allclose(mine.n_tokens, counts), (i, text)
+    assert len(got[got.id == 3]) == 2 * got[got.id == 3].section.nunique() and len(got[got.id.isna()])
+
+
 PAGE = """<!doctype html><html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><a href=a>Home</a><a href=b>News</a></nav><div id="cookie-notice"><p>We use cookies on this site, as all sites do.</p></div>
 <div class="content">{}</div><aside><p>Other stories that are long enough to look like text.</p></aside>
@@ -286,6 +492,67 @@ def test_extraction_of_odd_pages(page, text):
     assert extraction.main_text(page) == text
 
 
+ARTICLE = "<h1>T t</h1>" + "".join(f"<p>Paragraph {i} with a number of words in it, so that it has some weight.</p>" for i in range(4)) + "<p>Short.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single comments-open'><div>{}</div></body>", "<body><div class='content with-sidebar'>{}</div>", "<div class='legal-text'>{}</div>", "<article class='has-comments'>{}</article>",
+        "<main><article>{}</article><section><h2>More stories</h2><ul><li><a href=a>Some other story</a><li><a href=b>And another one</a></ul></section></main>",
+        "<div class='sidebar'>{}</div>", "<div>{}<div class='comment-list'><div class='comment'><p>I think that this is quite wrong, and I have said so before.</p></div></div></div>",
+        "<div id=page><div class='ad-container'>Buy this now, it is very good.</div><div><header>{}</header></div></div>",
+    ],
+)
+def test_extraction_is_not_led_by_class_words(page):
+    assert extraction.main_text(page.format(ARTICLE)) == "\n".join(re.findall(">([^<]+)<", ARTICLE))
+
+
+def test_extraction_measures_equal_brute_force():
+    rnd = random.Random(4)
+
+    def tree(depth):
+        tag = rnd.choice(["div", "p", "a", "b", "section", "ul", "li"])
+        inner = "".join(rnd.choice(["word ", "more words here ", tree(depth - 1) if depth else "x"]) for _ in range(rnd.randrange(5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def count(node):
+        chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        tags = links = link_tags = 0
+        for child in node.children:
+            if not isinstance(child, str):
+                c, t, lc, lt = count(child)
+                chars, tags, links, link_tags = chars + c, tags + t + (child.tag in extraction.BLOCK or child.tag == "a"), links + lc, link_tags + lt
+        return (chars, tags, chars, link_tags + 1) if node.tag == "a" else (chars, tags, links, link_tags)
+
+    for _ in range(200):
+        root, nodes = extraction.parse("".join(tree(4) for _ in range(3)))
+        density, sums, shares = extraction._measure(nodes, [True] * len(nodes))
+        whole = count(root)
+        for node in nodes:
+            c, t, lc, lt = count(node)
+            block = node.tag in extraction.BLOCK or node.parent is None
+            assert density[node.index] == (extraction.composite(c, t, lc, lt, whole[2] / whole[0]) if c and block else 0)
+            inner = [x for x in node.children if not isinstance(x, str)]
+            expected = 0
+            while inner:  # what inline elements hold counts as held by their block
+                x = inner.pop()
+                expected += density[x.index]
+                inner += [y for y in x.children if not isinstance(y, str)] if x.tag not in extraction.BLOCK else []
+            assert abs(sums[node.index] - (expected if block else 0)) < 1e-6
+            assert shares[node.index] == (lc / c if c else 0)
+        roots = extraction._roots(nodes, [True] * len(nodes))
+        assert any(sums[i] == max(sums) or max(sums) == 0 or i == 0 for i in roots)
+
+
+def test_extraction_of_many_rows(spark):
+    long = "<article>" + "<p>A paragraph of a very long page.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", ARTICLE, "clash"), (1, "u", ARTICLE, "clash"), (None, None, None, None), (2, "v", long, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = extraction.extract_pages(pages).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, len(extraction.main_text(ARTICLE))), (1, len(extraction.main_text(ARTICLE))), (2, (len("A paragraph of a very long page.") + 1) * 30_000 - 1)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (10, 11), (11, 12), (12, 13), (13, 10)] + [(100, 100 + i) for i in range(1, 300)]
     frame = spark.createDataFrame(edges, "u long, v long")
@@ -310,6 +577,53 @@ def test_url_verdicts_propagate_over_redirects(spark):
     assert got[9][2:] == ("org/fr/", "allow") and got[10][2:] == (None, "allow")
 
 
+@pytest.mark.parametrize(
+    ("html", "target"),
+    [
+        ("<link rel='nofollow canonical' href='../b/./c?x=1&amp;y=2#f'>", "h.org/b/c?x=1&y=2"), ("<link title='a > b' href=up/.. rel=Canonical>", "h.org/a/"),
+        ("<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script>", None), ("<link rel=canonical href='?q'>", "h.org/a/p?q"),
+        ("<link rel=alternate href=/no><link rel=canonical href=/yes>", "h.org/yes"), ("<META content='3;URL=//other.org/z' http-equiv='Refresh'>", "other.org/z"),
+        ("<link rel=canonical href='mailto:x@y'>", None), ("<link rel=canonical href='/../../k'>", "h.org/k"), (None, None), ("canonical refresh", None),
+    ],
+)
+def test_edges_of_pages(spark, html, target):
+    frame = spark.createDataFrame([("http://H.org/a/p?z", html)], "url string, html string")
+    got = [r.v for r in urls.page_edges(frame, "url", "html").select(urls.node_of(F.col("target")).alias("v")).collect()]
+    assert got == ([target] if target else [])
+
+
+def test_verdicts_over_chains_stars_and_a_hot_node(spark):
+    """Propagation against brute force: random rules of urls, chains, stars, and a node with a third of all edges."""
+    rnd = random.Random(12)
+    names = [f"http://{rnd.choice(['a.net', 'b.org', 'c.example.com', 'd.info'])}/{rnd.choice(['fr/', 'de/', 'en/', 'x/'])}{i}" for i in range(400)]
+    edges = [(names[i], names[i + 1]) for i in range(0, 60)] + [(names[100], names[i]) for i in range(101, 160)] + [(names[i], names[200]) for i in range(201, 300)]
+    edges += [tuple(rnd.sample(names[300:], 2)) for _ in range(40)] + edges[:20] + [(names[5], names[5]), (None, names[1]), ("no scheme", names[2])]
+    rows = [(i, u, None, "clash") for i, u in enumerate(names)] + [(900, names[7], None, "clash"), (901, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, rule string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, edges=spark.createDataFrame(edges, "source string, target string")).collect()}
+
+    def own(url):
+        host, path = url[7:].split("/", 1)
+        fits = [(len(h + p), v, h + p) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    group = {u: u for u in names}
+    for _ in range(len(names)):
+        before = dict(group)
+        for a, b in edges:
+            if a in group and b in group:
+                group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    for i, url, *_ in rows:
+        if url is None:
+            assert got[i] == (None, "allow")
+            continue
+        verdict, rule = own(url)
+        fates = {own(u)[0] for u in names if group[u] == group[url]}
+        assert got[i] == (rule, verdict or ("block" if "block" in fates and "allow" not in fates else "allow"))
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -331,6 +645,23 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / 60 >= 0.9
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    """Against brute force on four shards and more, of clustered vectors with clashing columns."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 1000)
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 1000)
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(12, 24))[rng.integers(0, 12, 4500)] + 0.6 * rng.normal(size=(4500, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 1, 0.5) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rank int, score double").repartition(4)
+    got = neighbours.nearest(frame, F.col("id") % 50 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4500, 50):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(set(np.argsort(-scores)[:5].tolist()) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 450 and hits / 450 >= 0.95
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
