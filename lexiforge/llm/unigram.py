@@ -1,8 +1,15 @@
-"""SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces."""
+"""SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
+
+A model file of the unigram kind holds log probabilities, and gives the ids of SentencePiece. One of the BPE
+kind holds merge ranks, which are no log scores: its pieces get the log probabilities that Zipf's law gives to
+their ranks, 1 / (rank + 1) in proportion. No vocabulary is trained here.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -22,6 +29,15 @@ _ODD_SPACES = re.compile(r"(?:^|[ \n]) | (?:$|\n)|^\n")
 _CACHE_LIMIT = 400_000
 
 
+#: Bytes of a word without spaces after which the part of the path that is certain is written out.
+_WINDOW = 1 << 16
+#: Log scores are multiples of this, so that sums are exact and equal scores stay equal.
+_GRAIN = 1 / 256
+#: Numbers in the file format: kinds of models and of pieces.
+_UNIGRAM, _BPE = 1, 2
+_NORMAL, _UNKNOWN, _USER_DEFINED, _BYTE = 1, 2, 4, 6
+
+
 @dataclass
 class Pieces:
     """A vocabulary: pieces with log scores, the ids of the 256 byte pieces (or none) and of the unknown piece."""
@@ -33,16 +49,61 @@ class Pieces:
     unknown: int
 
 
-def read_pieces(path: str) -> Pieces:
-    import sentencepiece
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol buffer message."""
+
+    def varint(at):
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        key, at = varint(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if kind == 2 else (8 if kind == 1 else 4, at)
+            value = raw[at : at + size]
+            at += size
+        yield key >> 3, value
+
+
+def zipf_scores(ranks: list[float]) -> list[float]:
+    """Log probabilities of pieces that are in proportion to 1 / (rank + 1)."""
+    total = math.log(math.fsum(1 / (r + 1) for r in ranks)) if ranks else 0.0
+    return [round((-math.log(r + 1) - total) / _GRAIN) * _GRAIN for r in ranks]
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.vocab_size()
-    pieces = [model.id_to_piece(i) for i in range(n)]
-    usable = [not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) for i in range(n)]
-    by_byte = {pieces[i]: i for i in range(n) if model.is_byte(i)}
+
+def read_pieces(path: str) -> Pieces:
+    """The vocabulary of a SentencePiece model file."""
+    pieces, scores, kinds, model_kind = [], [], [], _UNIGRAM
+    with open(path, "rb") as file:
+        raw = file.read()
+    for number, value in _fields(raw):
+        if number == 1:
+            held = dict(_fields(value))
+            pieces.append(held.get(1, b"").decode())
+            scores.append(struct.unpack("<f", held[2])[0] if 2 in held else 0.0)
+            kinds.append(held.get(3, _NORMAL))
+        elif number == 2:
+            model_kind = dict(_fields(value)).get(3, _UNIGRAM)
+    usable = [k in (_NORMAL, _USER_DEFINED) for k in kinds]
+    if model_kind == _BPE:
+        order = sorted((i for i, u in enumerate(usable) if u), key=lambda i: -scores[i])
+        for i, score in zip(order, zipf_scores(list(range(len(order))))):
+            scores[i] = score
+    elif model_kind != _UNIGRAM:
+        raise ValueError("a model of words or characters has no log scores")
+    by_byte = {pieces[i]: i for i, k in enumerate(kinds) if k == _BYTE}
     byte_ids = [by_byte[f"<0x{b:02X}>"] for b in range(256)] if len(by_byte) == 256 else None
-    return Pieces(pieces, [model.get_score(i) for i in range(n)], usable, byte_ids, model.unk_id())
+    return Pieces(pieces, scores, usable, byte_ids, kinds.index(_UNKNOWN) if _UNKNOWN in kinds else 0)
 
 
 class DoubleArray:
@@ -127,6 +188,7 @@ class Codec:
         self.v = vocabulary
         keys = [(p.encode(), i) for i, p in enumerate(vocabulary.pieces) if vocabulary.usable[i] and p]
         self.trie = DoubleArray(keys)
+        self.longest = max((len(k) for k, _ in keys), default=0) + 4  # or an unknown character
         self.unknown_score = min((vocabulary.scores[i] for _, i in keys), default=0.0) - UNKNOWN_PENALTY
         # no piece reaches over "other, marker": the best path is made of the best paths of the words
         self.by_word = not any(MARKER in p.lstrip(MARKER) for i, p in enumerate(vocabulary.pieces) if vocabulary.usable[i])
@@ -138,19 +200,24 @@ class Codec:
             self.spelled[i] = bytes([b])
 
     def viterbi(self, text: str) -> array:
-        """Ids of the best path; of paths that score alike, the one whose last pieces start first."""
+        """Ids of the best path; of paths that score alike, the one whose last pieces start first.
+
+        A long word is solved with bounded memory: every window, what all open paths have in common is written.
+        """
         raw = text.encode("utf-8", "surrogatepass")
         n = len(raw)
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.v.scores
-        best = [float("-inf")] * (n + 1)
+        lowest = float("-inf")
+        out = array("i")
+        origin, at = 0, 0  # the lists start at the place origin, up to which ids are written
+        room = min(n, _WINDOW + self.longest)
+        best, start_of, key_of = [lowest] * (room + 1), [0] * (room + 1), [-1] * (room + 1)
         best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         size = len(check)
-        at = 0
         while at < n:
             lead = raw[at]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, node, to, covers = best[at], 0, at, False
+            here, node, to, covers = best[at - origin], 0, at, False
             while to < n:
                 child = base[node] + raw[to]
                 if child >= size or check[child] != node or not child:
@@ -162,20 +229,35 @@ class Codec:
                     if to - at == width:
                         covers = True
                     total = here + scores[key]
-                    if total > best[to]:
-                        best[to], back[to] = total, (at, key)
+                    if total > best[to - origin]:
+                        best[to - origin], start_of[to - origin], key_of[to - origin] = total, at, key
             if not covers:
-                total = here + self.unknown_score
-                if total > best[at + width]:
-                    best[at + width], back[at + width] = total, (at, -1)
+                total, to = here + self.unknown_score, at + width - origin
+                if total > best[to]:
+                    best[to], start_of[to], key_of[to] = total, at, -1
             at += width
+            if at - origin >= _WINDOW and at < n:
+                ends = {t for t in range(at, min(n, at + self.longest) + 1) if t - origin < len(best) and best[t - origin] > lowest}
+                while len(ends) > 1:
+                    last = max(ends)
+                    ends.remove(last)
+                    ends.add(start_of[last - origin])
+                settled = ends.pop()
+                self._write(raw, origin, settled, start_of, key_of, out)
+                more = [lowest] * (at - settled + _WINDOW + self.longest + 1 - (len(best) - (settled - origin)))
+                best = best[settled - origin :] + more
+                start_of, key_of = start_of[settled - origin :] + [0] * len(more), key_of[settled - origin :] + [-1] * len(more)
+                origin = settled
+        self._write(raw, origin, n, start_of, key_of, out)
+        return out
+
+    def _write(self, raw: bytes, origin: int, to: int, start_of: list[int], key_of: list[int], out: array) -> None:
+        """Append the ids of the path from origin to a place."""
         spans = []
-        to = n
-        while to > 0:
-            start, key = back[to]
-            spans.append((start, to, key))
+        while to > origin:
+            start = start_of[to - origin]
+            spans.append((start, to, key_of[to - origin]))
             to = start
-        out = array("i")
         for start, to, key in reversed(spans):
             if key >= 0:
                 out.append(key)
@@ -183,7 +265,6 @@ class Codec:
                 out.extend(self.v.byte_ids[b] for b in raw[start:to])
             else:
                 out.append(self.v.unknown)
-        return out
 
     def encode(self, text: str | None) -> array:
         """Ids of the whole text. Null and empty texts have none."""
@@ -240,7 +321,8 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """One row per row of docs: id, ids (array of int), decoded (the text of the ids).
 
-    Whole texts are encoded. Null and empty texts give no ids and an empty text. Rows are independent:
+    Whole texts are encoded, also very long ones without a space. Null and empty texts give no ids and an empty
+    text. Of paths that score alike, the one whose last pieces start first is taken. Rows are independent:
     repeated ones give repeated results, an empty table none; other columns are not looked at. The
     vocabulary is read from ``model_path`` on each executor and kept there for later tasks.
     """
