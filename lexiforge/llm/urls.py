@@ -44,36 +44,67 @@ def node_of(url: Column) -> Column:
     return F.when(node != "", node)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without the segments "." and "..", which stay within the site."""
+    nothing = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/"),
+        nothing,
+        lambda held, part: F.when(part == ".", held)
+        .when(part == "..", F.when(F.size(held) > 1, F.slice(held, 1, F.size(held) - 1)).otherwise(held))
+        .otherwise(F.concat(held, F.array(part))),
+    )
+    joined = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.contains("/."), joined).otherwise(path)
+
+
 def _resolved(base: Column, href: Column) -> Column:
     """href as an absolute url, or null for what names no page."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike(r"^(?i)https?://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when((href == "") | href.startswith("#") | href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(href.startswith("/"), F.concat(site, href))
-        .otherwise(F.concat(site, folder, href))
+        .when(href.startswith("?"), F.concat(site, path_of(base), href))
+        .when(href.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
     )
 
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*url\s*=\s*["']?([^"'\s>]+)"""
+#: What holds no links of the page: comments, scripts, styles, templates.
+_NO_LINKS = r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea)\b.*?(?:</\1\s*>|$)"
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
+_LINK, _META = rf"(?is)<link\b{_ATTRIBUTES}>", rf"(?is)<meta\b{_ATTRIBUTES}>"
+#: Character references that urls are written with.
+_REFERENCES = [(r"(?i)&#(38|x26);", "&"), (r"(?i)&(#47|#x2f|sol);", "/"), (r"(?i)&(#58|#x3a|colon);", ":"), (r"(?i)&(#61|#x3d|equals);", "="), (r"(?i)&(#46|#x2e|period);", "."), ("&amp;", "&")]
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or bare; empty if the tag has none."""
+    quoted = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*(F.regexp_extract(tag, quoted, k) for k in (1, 2, 3))))
 
 
 def page_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target) urls of canonical links and of redirects by meta refresh."""
+    """(source, target) urls of all canonical links and redirects by meta refresh, outside comments and scripts."""
     html = F.col(html_col)
-    found = F.array(
-        # the cheap test spares most pages the expensive pattern
-        F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(html, _CANONICAL, 1)),
-        F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(html, _REFRESH, 1)),
+    # the cheap test spares most pages the expensive patterns
+    some = pages.filter(F.lower(html).rlike("canonical|refresh")).select(F.col(url_col).alias("source"), F.regexp_replace(html, _NO_LINKS, " ").alias("html"))
+    links = F.filter(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0)), lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all("html", F.lit(_META), F.lit(0)), lambda tag: F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    found = F.concat(
+        F.transform(links, lambda tag: _attribute(tag, "href")),
+        F.transform(metas, lambda tag: F.regexp_extract(_attribute(tag, "content"), r"""(?i)url\s*=\s*["']?([^"'\s]+)""", 1)),
     )
-    hrefs = pages.select(F.col(url_col).alias("source"), F.explode(F.filter(found, lambda x: x != "")).alias("href"))
-    href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
-    return hrefs.select("source", _resolved(F.col("source"), href).alias("target")).filter("target IS NOT NULL")
+    href = F.col("href")
+    for pattern, character in _REFERENCES:
+        href = F.regexp_replace(href, pattern, character)
+    hrefs = some.select("source", F.explode(found).alias("href")).filter("href <> ''").select("source", href.alias("href"))
+    return hrefs.select("source", _resolved(F.col("source"), F.col("href")).alias("target")).filter("target IS NOT NULL")
 
 
 def _rules_frame(spark, rules) -> DataFrame:
@@ -106,8 +137,9 @@ def judge_urls(pages: DataFrame, rules=None, edges: DataFrame | None = None, id_
     rules: rows (host, path, verdict). edges: (source, target) urls of known redirects, besides those that
     the pages' html states (html_col None: no html). component is the least node of the alias component,
     null for urls in no edge. A null url, or one without "://", has empty host and path, no rule and no
-    aliases: it is allowed. Repeated rows are each judged; an empty table gives no rows; further columns,
-    whatever their names, are not looked at.
+    aliases: it is allowed; null html states no edge. Rules written alike: allow wins. Long urls and pages are
+    read whole. Repeated rows are each judged; an empty table gives no rows; further columns, whatever their
+    names, are not looked at.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
