@@ -8,6 +8,7 @@ once for each digest, however many documents refer to them.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import struct
 import zlib
@@ -28,7 +29,7 @@ SAMPLE_RATE = 8000
 
 
 def wave(payload: bytes, rate: int = SAMPLE_RATE) -> bytes:
-    """A RIFF/WAVE file of the bytes as 8-bit mono samples."""
+    """A RIFF/WAVE file of the bytes as 8-bit mono samples. Its sizes have 32 bits; a Spark value is under 2 GiB."""
     pad = b"\0" * (len(payload) % 2)
     fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, rate, 1, 8)
     body = b"WAVE" + fmt + struct.pack("<4sI", b"data", len(payload)) + payload + pad
@@ -177,10 +178,19 @@ def resolve(sequences: DataFrame, contents: DataFrame) -> DataFrame:
     return items.join(contents, "digest", "left")
 
 
+def page_of(text: str | None, n_bytes: int, digest: str) -> str:
+    """The lines of a text as paragraphs, with its sound in their middle: a figure with a caption of its size."""
+    lines = [f"<p>{html.escape(line)}</p>" for line in (text or "").split("\n")]
+    figure = f'<figure><audio src="sha256:{digest}"></audio><figcaption>{n_bytes} bytes</figcaption></figure>'
+    middle = len(lines) // 2
+    return "".join(["<article>", *lines[:middle], figure, *lines[middle:], "</article>"])
+
+
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pages, media): each text stored as a sound file, and a page with one reference to it by digest.
+    """(pages, media): each text stored as a sound file, and a page of its lines with a reference to it by digest.
 
-    Null texts count as empty. Repeated texts give one digest.
+    Null texts count as empty, and whole texts are stored, however long. Repeated texts give one digest; an empty
+    table gives no rows; null ids stay null. Other columns, whatever their names, are not looked at.
     """
 
     def run(with_media: bool):
@@ -191,10 +201,7 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     n, payload = payload_of(text)
                     stored = wave(payload)
                     digest = hashlib.sha256(stored).hexdigest()
-                    if with_media:
-                        rows.append((digest, stored))
-                    else:
-                        rows.append((i, f'<article><figure><audio src="sha256:{digest}"></audio><figcaption>{n} bytes</figcaption></figure></article>'))
+                    rows.append((digest, stored) if with_media else (i, page_of(text, n, digest)))
                 yield pd.DataFrame(rows, columns=["digest", "media"] if with_media else ["id", "html"])
 
         return each
@@ -208,8 +215,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages, media = documents_as_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     # features are small: a digest that very many documents share moves no payload twice
     contents = scratch.store(read_payloads(media), "contents")
-    items = resolve(parse_sequences(pages, "id", "html"), contents).filter("kind = 'media'")
+    sequences = parse_sequences(pages, "id", "html").select("id", F.size("items").alias("n_items"), F.filter("items", lambda x: x["kind"] == "media").alias("items"))
+    items = sequences.select("id", "n_items", F.inline("items")).join(contents, "digest", "left")
     n_bytes = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
     return items.select(
-        F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items"
     )
