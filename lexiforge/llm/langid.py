@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mix64, ship_code
+from .common import mix64, ship_code, tidy
 
 #: Lengths of n-grams, and the columns that they are hashed to.
 NGRAMS = (1, 2, 3)
@@ -109,40 +109,74 @@ def fit(rows: np.ndarray, labels: list[str], n_landmarks: int = LANDMARKS, ridge
     return model
 
 
+#: Of a label with more rows than this share of the sample allows, a hash of the ids picks the rows that are
+#: ranked; twice the rows wanted, so that enough of them remain.
+_SPARE = 2.0
+
+
+def _sample(usable: DataFrame, per_label: int, max_labels: int) -> dict[str, list[int]]:
+    """label -> hashes of the ids that come first: small rows only, cut down before they are brought together."""
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    if not counts:
+        return {}
+    whole = (1 << 63) - 1
+    bounds = {label: whole if n <= 8 * per_label else int(_SPARE * (per_label + 64) / n * whole) for label, n in counts.items()}
+    found: dict[str, list[int]] = {}
+    while bounds:
+        bound = F.create_map(*(x for label, limit in bounds.items() for x in (F.lit(label), F.lit(limit))))[F.col("label")]
+        few = usable.select("label", "rank").filter(F.col("rank") <= bound).distinct()
+        first = few.groupBy("label").agg(F.slice(F.sort_array(F.collect_list("rank")), 1, per_label).alias("ranks"))
+        found |= {r["label"]: list(r["ranks"]) for r in first.collect()}
+        # where most rows are copies of few, the bound was too low
+        bounds = {label: min(whole, limit * 8) for label, limit in bounds.items() if limit < whole and len(found.get(label, ())) < per_label}
+    return found
+
+
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_label: int = TRAIN_PER_LABEL, max_labels: int = 512) -> Model | None:
     """Fit on a bounded sample: of every label, the ``per_label`` texts that come first by a hash of their id.
 
-    Rows with a null label or a text without letters teach nothing. Texts are reduced to presence bits on
-    the executors, so the driver gets a kilobyte for each sampled text, however long it is. Returns None
-    where there is nothing to learn from. Labels beyond ``max_labels`` raise an error.
+    Rows with a null label or a text without letters teach nothing. Hashes of ids are ranked first, a few
+    thousand a label; only then are the chosen texts read, and reduced to presence bits on the executors, so
+    the driver gets a kilobyte for each sampled text, however long it is. Rows that repeat an id are ranked
+    alike, and taken in the order of their texts' hashes. Returns None where there is nothing to learn from.
+    Labels beyond ``max_labels`` raise an error. Other columns are not looked at.
     """
     ship_code(docs.sparkSession)
-    usable = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(id_col).alias("id")).filter(
-        F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = usable.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label)
+    rank = F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).bitwiseAND(F.lit((1 << 63) - 1)).alias("rank")
+    usable = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), rank).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ranks = _sample(usable, per_label, max_labels)
+    if not ranks:
+        return None
+    limits = F.create_map(*(x for label, found in ranks.items() for x in (F.lit(label), F.lit(max(found)))))[F.col("label")]
+    sample = usable.filter(F.col("rank") <= limits)
 
     def reduce(batches):
         for batch in batches:
             bits = [np.packbits(presence([t])[0].astype(bool)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "place": batch["place"], "bits": bits})
+            yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "bits": bits})
 
-    got = sample.mapInPandas(reduce, "label string, place int, bits binary").toPandas().sort_values(["label", "place"])
-    if got.empty:
-        return None
-    if got["label"].nunique() > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    # copies of a row have one rank and one text: of each, one teaches
+    reduced = sample.mapInPandas(reduce, "label string, rank long, bits binary").groupBy("label", "rank").agg(F.first("bits").alias("bits"))
+    got = reduced.toPandas().sort_values(["label", "rank"])
     rows = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["bits"]]).astype(np.float32)
     return fit(rows, list(got["label"]))
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch in parts that one matrix product scores."""
+    for at in range(0, batch.num_rows, _ROWS):
+        yield batch.slice(at, _ROWS)
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Add lang_pred and lang_score (0 to 1) to every row of docs.
 
     A null text, one without a letter, or a missing model gives ``und`` with score 0. The score is the
-    share of the best label after a softmax of the regression values. Whole texts are read. Columns of
-    docs that have the names of the results are replaced; all others pass through unchanged.
+    share of the best label after a softmax of the regression values; of labels that score alike, the first by
+    name is given. Whole texts are read, however long. Repeated rows get the same answer, an empty table gives
+    no rows. Columns of docs that have the names of the results are replaced; all others pass through unchanged.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -151,27 +185,28 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches):
         model = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             labels, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(text_col).to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
-            for at in range(0, len(known), _ROWS):
-                part = known[at : at + _ROWS]
-                values = model.scores(presence([texts[i] for i in part])).astype(np.float64)
+            if known:
+                values = model.scores(presence([texts[i] for i in known])).astype(np.float64)
                 best = values.argmax(axis=1)
                 share = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
                 share = share.max(axis=1) / share.sum(axis=1)
-                for i, b, s in zip(part, best, share):
+                for i, b, s in zip(known, best, share):
                     labels[i], scores[i] = model.labels[b], s
             arrays = [batch.column(c) for c in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "lang_score"])
+        tidy()
 
     schema = StructType([*docs.select(*kept).schema, *StructType().add("lang_pred", "string").add("lang_score", "double")])
     return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from training; one without an id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
