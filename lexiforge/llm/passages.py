@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, tidy
 from .suffixes import repeated_starts
 
 SIZE = 200
@@ -204,6 +204,7 @@ def _ask(bits: int, text_col: str):
             if shard != current and texts:
                 yield flush(current, texts)
                 texts = []
+                tidy()
             current = shard
             texts += map(_raw, part.column(text_col).to_pylist())
         if texts:
@@ -420,7 +421,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
         F.sum(F.octet_length("stretch_text_")).alias("stretch_bytes"),
         F.count("raw_").alias("waiting"),
     )
-    scratch.release()
     finished = stored.filter("n_bytes IS NOT NULL").select(*carried, *_RESULT)
     if not stored.seen["waiting"]:
         return finished
