@@ -13,9 +13,20 @@ def text_key(c) -> Column:
     return F.lower(X.squash(c))
 
 
+def digest(keys: list) -> Column:
+    """256 bits that tell apart rows whose keys differ; nulls are keys too."""
+    values = [X.col(k).cast("string") for k in keys]
+    parts = [F.when(v.isNull(), "n").otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)) for v in values]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def first_wins(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    """Of rows with equal keys, the first in the order; order must be unique within a key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """Of rows with equal keys, the first in the order; order must be unique within a key.
+
+    Rows are brought together by a 256-bit digest of their keys. Each task keeps its first row of a key before
+    the shuffle, so a key that very many rows share is no burden.
+    """
+    place = F.row_number().over(Window.partitionBy(digest(keys)).orderBy(*order))
     return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 

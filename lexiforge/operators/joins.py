@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import sampling
 
 
 def tagged_union(sources: dict[str, DataFrame], tag: str, rank: str | None = None) -> DataFrame:
@@ -52,8 +53,14 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+#: Sets of which all pairs are made have at most so many rows.
+MOST_PAIRED = 10_000
+
+
 def ordered_pairs(items: DataFrame, name: str, order: str) -> DataFrame:
-    """All pairs of a small set, each once, the earlier first."""
+    """All pairs of a small set, each once, the earlier first. A set of more than MOST_PAIRED rows raises an error."""
+    if items.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
+        raise ValueError(f"pairs of more than {MOST_PAIRED} rows")
     left = items.select(F.col(name).alias("left"), F.col(order).alias("_l"))
     right = items.select(F.col(name).alias("right"), F.col(order).alias("_r"))
     return left.join(F.broadcast(right), F.col("_l") < F.col("_r")).drop("_l", "_r")
@@ -72,25 +79,31 @@ def code_switched(rows: DataFrame, lang: str, text: str, key: str, pairs: list[t
     """Texts of one language with a segment of another put in: attempts in seeded order, first of equal results.
 
     An attempt picks a language pair, an anchor, a donor, a donor segment and a place; it fails if the anchor
-    has under two segments or the donor none. There are at most max(30 * target, 100) attempts.
+    has under two segments or the donor none. There are at most max(30 * target, 100) attempts. Keys are unique.
     """
     attempts = rows.sparkSession.range(max(30 * target, 100)).withColumnRenamed("id", "attempt")
     n_pairs = len(pairs)
     pick = X.seeded_index(n_pairs, seed, F.lit("pair"), F.col("attempt"))
     anchors = F.array(*(F.lit(a) for a, _ in pairs))
     donors = F.array(*(F.lit(b) for _, b in pairs))
-    numbered = rows.filter(F.col(lang).isin(sorted({x for p in pairs for x in p}))).select(
-        F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text"), (F.row_number().over(Window.partitionBy(lang).orderBy(key)) - 1).alias("_row")
-    )
-    sizes = numbered.groupBy("_lang").agg(F.count("*").alias("_n"))
-    a_sizes = F.broadcast(sizes.select(F.col("_lang").alias("anchor_lang"), F.col("_n").alias("_an")))
-    d_sizes = F.broadcast(sizes.select(F.col("_lang").alias("inserted_lang"), F.col("_n").alias("_dn")))
+    # numbers and keys only; the texts of the rows that attempts have picked follow
+    chosen = rows.filter(F.col(lang).isin(sorted({x for p in pairs for x in p})))
+    numbered, _ = sampling.numbered(chosen.select(F.col(lang).alias("_lang"), F.col(key).alias("_key")), "_row", "_lang", "_key")
+    sizes = numbered.groupBy("_lang").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    a_sizes = F.broadcast(sizes.select(F.col("_lang").alias("anchor_lang"), F.col("_n").alias("_an"), F.col("_first").alias("_af")))
+    d_sizes = F.broadcast(sizes.select(F.col("_lang").alias("inserted_lang"), F.col("_n").alias("_dn"), F.col("_first").alias("_df")))
     tries = attempts.withColumn("_p", pick.cast("int")).select("attempt", F.get(anchors, F.col("_p")).alias("anchor_lang"), F.get(donors, F.col("_p")).alias("inserted_lang"))
     tries = tries.join(a_sizes, "anchor_lang").join(d_sizes, "inserted_lang")
-    tries = tries.withColumn("_ar", X.seeded_index(F.col("_an"), seed, F.lit("anchor"), "attempt")).withColumn("_dr", X.seeded_index(F.col("_dn"), seed, F.lit("donor"), "attempt"))
-    anchor = numbered.select(F.col("_lang").alias("anchor_lang"), F.col("_row").alias("_ar"), X.segments("_text").alias("_a"), F.col("_key").alias("anchor"))
-    donor = numbered.select(F.col("_lang").alias("inserted_lang"), F.col("_row").alias("_dr"), X.segments("_text").alias("_d"), F.col("_key").alias("donor"))
-    joined = tries.join(anchor, ["anchor_lang", "_ar"]).join(donor, ["inserted_lang", "_dr"]).filter("size(_a) >= 2 AND size(_d) >= 1")
+    anchor_row = F.col("_af") + X.seeded_index(F.col("_an"), seed, F.lit("anchor"), "attempt")
+    donor_row = F.col("_df") + X.seeded_index(F.col("_dn"), seed, F.lit("donor"), "attempt")
+    tries = tries.withColumn("_ar", anchor_row).withColumn("_dr", donor_row)
+    # bounded by the number of attempts
+    wanted = F.broadcast(tries.select(F.explode(F.array("_ar", "_dr")).alias("_row")).distinct())
+    keys = F.broadcast(numbered.join(wanted, "_row").select("_row", "_key"))
+    picked = chosen.select(F.col(key).alias("_key"), X.segments(text).alias("_s")).join(keys, "_key")
+    anchor = picked.select(F.col("_row").alias("_ar"), F.col("_s").alias("_a"), F.col("_key").alias("anchor"))
+    donor = picked.select(F.col("_row").alias("_dr"), F.col("_s").alias("_d"), F.col("_key").alias("donor"))
+    joined = tries.join(anchor, "_ar").join(donor, "_dr").filter("size(_a) >= 2 AND size(_d) >= 1")
     joined = joined.withColumn("_di", X.seeded_index(F.size("_d"), seed, F.lit("segment"), "attempt").cast("int"))
     joined = joined.withColumn("insert_after_segment", (X.seeded_index(F.size("_a") - 1, seed, F.lit("place"), "attempt") + 1).cast("int"))
     mixed = F.concat(F.slice("_a", F.lit(1), F.col("insert_after_segment")), F.array(F.get("_d", F.col("_di"))), F.slice("_a", F.col("insert_after_segment") + 1, F.size("_a")))

@@ -35,9 +35,28 @@ def shuffled(rows: DataFrame, seed, *keys: str) -> DataFrame:
     return rows.orderBy(X.seeded_hash(seed, *keys), *keys)
 
 
+#: Leading hex digits of a hash that make a cell: a group of any size is ranked in 4096 parts.
+CELL_DIGITS = 3
+
+
 def _ranked(rows: DataFrame, group: str, seed, keys) -> DataFrame:
-    by = Window.partitionBy(group)
-    return rows.withColumn("_n", F.count("*").over(by)).withColumn("_rank", F.row_number().over(by.orderBy(X.seeded_hash(seed, *keys), *keys)))
+    """Adds _n, the size of the row's group, and _rank, its place in the group's seeded order, from 1.
+
+    Rows are ranked within cells of their hash, from the number of rows in the cells before: counts travel, and
+    no task holds a whole group.
+    """
+    name = F.concat(F.when(F.col(group).isNull(), "n").otherwise("v"), F.coalesce(F.col(group).cast("string"), F.lit("")))
+    hashed = rows.withColumn("_h", X.seeded_hash(seed, *keys)).withColumn("_g", name).withColumn("_cell", F.substr("_h", F.lit(1), F.lit(CELL_DIGITS)))
+    cells = hashed.groupBy("_g", "_cell").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_g")
+    cells = cells.select("_g", "_cell", F.sum("_c").over(whole).alias("_n"), (F.sum("_c").over(whole.orderBy("_cell")) - F.col("_c")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_g", "_cell").orderBy("_h", *keys))
+    return hashed.withColumn("_r", within).join(cells, ["_g", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_r")).drop("_g", "_cell", "_h", "_r", "_before")
+
+
+def ranked(rows: DataFrame, group: str, seed, *keys: str) -> DataFrame:
+    """Adds rank: the place in the seeded order of the row's group, from 1."""
+    return _ranked(rows, group, seed, keys).drop("_n").withColumnRenamed("_rank", "rank")
 
 
 def stratified_split(rows: DataFrame, group: str, fraction: float, seed, *keys: str) -> DataFrame:

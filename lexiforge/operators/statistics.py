@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -25,19 +25,20 @@ def kept_rollup(rows: DataFrame, group: str, keep: Column) -> DataFrame:
     return counted.withColumn(group, F.coalesce(group, F.lit("total")))
 
 
-def quality_report(rows: DataFrame, group: str, text_col: str, bad: str, order: str) -> DataFrame:
+def quality_report(rows: DataFrame, group: str, text_col: str, bad: str) -> DataFrame:
     """What became of the rows of each group; each counts once, under the first check that it fails.
 
-    Repeats are told by a 64-bit hash in the shuffle, so texts do not travel.
+    Repeats are told by a 256-bit digest, counted before and after the shuffle: texts do not travel, and a text
+    that very many rows share is one count.
     """
     text = F.col(text_col)
     empty = text.isNull() | (F.trim(text) == "")
     filtered = F.coalesce(F.contains(text, F.lit(bad)), F.lit(False))
-    slim = rows.select(group, order, F.when(empty, "empty").when(filtered, "filtered").alias("early"), F.sha2(text, 256).alias("key"))
-    place = F.row_number().over(Window.partitionBy(group, "early", "key").orderBy(order))
-    status = F.coalesce("early", F.when(place > 1, "duplicate").otherwise("kept"))
-    counts = [F.count_if(F.col("status") == s).alias(name) for s, name in (("empty", "skipped_empty"), ("filtered", "filtered"), ("duplicate", "duplicates"), ("kept", "kept"))]
-    return slim.withColumn("status", status).groupBy(group).agg(F.count("*").alias("loaded"), *counts)
+    slim = rows.select(group, F.when(empty, "empty").when(filtered, "filtered").alias("early"), F.sha2(text, 256).alias("key"))
+    counted = slim.groupBy(group, "early", "key").agg(F.count("*").alias("n"))
+    early, n = F.col("early"), F.col("n")
+    counts = {"skipped_empty": F.when(early == "empty", n), "filtered": F.when(early == "filtered", n), "duplicates": F.when(early.isNull(), n - 1), "kept": F.when(early.isNull(), 1)}
+    return counted.groupBy(group).agg(F.sum("n").alias("loaded"), *(F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in counts.items()))
 
 
 def word_frequency(rows: DataFrame, text_col: str, order: str, pattern: str) -> DataFrame:

@@ -222,10 +222,10 @@ def random_split(spark, d):
     return sampling.hash_split(table(spark, d, "documents").select("doc_id"), 10, SEED, "doc_id")
 
 
-@query("seeded_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS place FROM documents ORDER BY place LIMIT 50")
+@query("seeded_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS place FROM documents")
 def seeded_shuffle(spark, d):
     rows = table(spark, d, "documents").select("doc_id").withColumn("_hash", X.seeded_hash(SEED, "doc_id"))
-    numbered, _ = sampling.numbered(rows, "place", "_hash", "doc_id")  # all rows; the SQL counterpart gives the first 50
+    numbered, _ = sampling.numbered(rows, "place", "_hash", "doc_id")
     return numbered.select("doc_id", (F.col("place") + 1).alias("place")).orderBy("place")
 
 
@@ -272,7 +272,7 @@ _STATUS_SQL = """SELECT source, CASE WHEN text IS NULL OR trim(text) = '' THEN '
 
 @query("quality_report", f"SELECT source, count(*) AS loaded, count(*) FILTER (status = 'empty') AS skipped_empty, count(*) FILTER (status = 'filtered') AS filtered, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'kept') AS kept FROM ({_STATUS_SQL}) GROUP BY source")
 def quality_report(spark, d):
-    return statistics.quality_report(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "text", "***", "doc_id")
+    return statistics.quality_report(table(spark, d, "documents").select("source", "text"), "source", "text", "***")
 
 
 @query("per_source_rollup", "SELECT coalesce(source, 'total') AS source, count(*) AS input, count(*) FILTER (n_chars >= 1000) AS kept, count(*) FILTER (n_chars < 1000) AS dropped FROM documents GROUP BY ROLLUP (source)")
@@ -300,8 +300,9 @@ def row_count_check(spark, d):
 def flagship(spark, d) -> DataFrame:
     """Cleaned documents, first of equal texts, split by language, counted by language and split."""
     docs = cleaning.clean_documents(table(spark, d, "documents").select("doc_id", "lang", "text"), junk=JUNK)
-    split = sampling.stratified_split(dedup.first_wins(docs, [dedup.text_key("text")], ["doc_id"]), "lang", 0.1, SEED, "doc_id")
-    return split.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    slim = docs.select("doc_id", "lang", F.length("text").alias("chars"), dedup.digest([dedup.text_key("text")]).alias("key"))
+    split = sampling.stratified_split(dedup.first_wins(slim, ["key"], ["doc_id"]), "lang", 0.1, SEED, "doc_id")
+    return split.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 _FLAG_SQL = f"""WITH c AS (SELECT doc_id, lang, array_to_string({_LINES_SQL}, chr(10)) AS text FROM documents WHERE len({_LINES_SQL}) > 0),

@@ -72,11 +72,11 @@ def alpaca_normalize(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.strip("role").alias("instruction"), X.strip("text").alias("output")).filter("instruction <> '' AND output <> ''")
 
 
-@query("parallel_align", "SELECT a.k, a.t AS en, b.t AS fr FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'en') a JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'fr') b USING (k) WHERE a.k <= 20")
+@query("parallel_align", "SELECT a.k, a.t AS en, b.t AS fr FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'en') a JOIN (SELECT row_number() OVER (ORDER BY doc_id) AS k, text AS t FROM documents WHERE lang = 'fr') b USING (k)")
 def parallel_align(spark, d):
     def part(lang):
         rows = table(spark, d, "documents").filter(F.col("lang") == lang).select("doc_id", "text")
-        numbered, _ = sampling.numbered(rows, "k", "doc_id")  # all rows; the SQL counterpart gives the first 20
+        numbered, _ = sampling.numbered(rows, "k", "doc_id")
         return numbered.select((F.col("k") + 1).alias("k"), "text")
 
     return joins.aligned({"en": part("en"), "fr": part("fr")}, "k", check=False).filter("en IS NOT NULL AND fr IS NOT NULL")
@@ -172,8 +172,8 @@ def router_dataset(spark, d):
     base = docs.filter("lang = 'es'").agg(F.count("*").alias("base"))
     wanted = spark.createDataFrame([("es", 1.0), ("fr", 0.5), ("de", 0.25)], "lang string, mult double").crossJoin(F.broadcast(base))
     wanted = wanted.select("lang", F.bround(F.col("base") * F.col("mult")).alias("target"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(X.seeded_hash(SEED, "doc_id"), "doc_id"))
-    return docs.join(F.broadcast(wanted), "lang").withColumn("k", place).filter("k <= target").select("doc_id", "lang")
+    ranked = sampling.ranked(docs.filter(F.col("lang").isin("es", "fr", "de")), "lang", SEED, "doc_id")
+    return ranked.join(F.broadcast(wanted), "lang").filter("rank <= target").select("doc_id", "lang")
 
 
 @query("format_prompt", "SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN '### Instruction:' || chr(10) || role || chr(10) || chr(10) || '### Input:' || chr(10) || text ELSE '### Instruction:' || chr(10) || role END || chr(10) || chr(10) || '### Response:' || chr(10) || text AS prompt FROM conversations")

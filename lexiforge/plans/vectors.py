@@ -30,11 +30,11 @@ def mean_vector(spark, d):
     return vectors.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").withColumn("value", F.round("value", 6))
 
 
-@query("weighted_init", f"SELECT (vec_id % 20)::BIGINT AS token, idx::INT AS idx, round(sum(value * (1 + vec_id % 3)) / sum(1 + vec_id % 3), 6) AS value FROM {_LONG} WHERE vec_id < 100 GROUP BY 1, 2")
+@query("weighted_init", f"SELECT (vec_id % 20)::BIGINT AS token, idx::INT AS idx, round(sum(value * (1 + vec_id % 3)) / sum(1 + vec_id % 3), 6) AS value FROM {_LONG} WHERE label <> 0 GROUP BY 1, 2")
 def weighted_init(spark, d):
     rows = table(spark, d, "embeddings")
     links = rows.select((F.col("vec_id") % 20).alias("token"), F.col("vec_id").alias("other"), (1.0 + F.col("vec_id") % 3).alias("weight"))
-    known = rows.filter("label <> 0")  # so some links lead to nothing; the SQL counterpart still takes vec_id < 100
+    known = rows.filter("label <> 0")  # so some links lead to nothing
     return vectors.weighted_vectors(links, "token", "other", "weight", known, "vec_id", "embedding").withColumn("value", F.round("value", 6))
 
 
