@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
+from ..functions.shipping import ship_code
 
 BETA2 = 4.0
 CHAR_ORDERS, WORD_ORDERS = 6, 2
@@ -13,12 +18,6 @@ CHAR_ORDERS, WORD_ORDERS = 6, 2
 BROADCAST_LINES = 100_000
 
 
-def grams(units: Column, n) -> Column:
-    """The n-grams of an array, as strings."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(units) - n + 1, F.lit(1)))
-    return F.when(F.size(units) >= n, F.transform(places, lambda i: F.array_join(F.slice(units, i, n), "\x01")))
-
-
 def padded_bigrams(c) -> Column:
     """Character pairs of ^word$, lower-cased; none for the empty word."""
     marked = F.concat(F.lit("^"), F.lower(X.col(c)), F.lit("$"))
@@ -26,34 +25,91 @@ def padded_bigrams(c) -> Column:
 
 
 def bigram_cosine(a, b) -> Column:
-    """Cosine of the bigram counts of two words: row-local, no shuffle."""
-    left, right = padded_bigrams(a), padded_bigrams(b)
+    """Cosine of the bigram counts of two words: row-local, no shuffle.
+
+    Of a sorted array of bigrams, the sum of squared counts is twice the number of equal pairs plus its length;
+    a run is found by its ends, so the work follows the length, not its square.
+    """
+    left, right = F.array_sort(padded_bigrams(a)), F.array_sort(padded_bigrams(b))
+
+    def counts(items):  # gram -> count, in one pass over the sorted array
+        start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares"))
+        step = lambda acc, x: F.struct(
+            x.alias("last"),
+            F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
+            (acc["squares"] + F.when(acc["last"] == x, 2 * acc["run"] + 1).otherwise(F.lit(1).cast("long"))).alias("squares"),
+        )
+        return F.aggregate(items, start, step)["squares"].cast("double")
 
-    def of(items, x):
-        return F.size(F.filter(items, lambda y: y == x)).cast("double")
+    # |x + y|^2 = |x|^2 + |y|^2 + 2 x.y, where x + y counts the grams of both
+    both = counts(F.array_sort(F.concat(left, right)))
+    x, y = counts(left), counts(right)
+    norms = F.sqrt(x) * F.sqrt(y)
+    return F.when(norms > 0, (both - x - y) / 2 / norms).otherwise(0.0)
 
-    def total(items, f):
-        return F.aggregate(F.array_distinct(items), F.lit(0.0), lambda acc, x: acc + f(x))
 
-    product = total(left, lambda x: of(left, x) * of(right, x))
-    norms = F.sqrt(total(left, lambda x: of(left, x) * of(left, x))) * F.sqrt(total(right, lambda x: of(right, x) * of(right, x)))
-    return F.when(norms > 0, product / norms).otherwise(0.0)
+#: White space as Unicode has it; characters that numpy counts at a time.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_UNITS = 1 << 20
+
+
+def overlap_counts(hypotheses: list[str], references: list[str]) -> dict[str, np.ndarray]:
+    """order -> rows (hyp, ref, match) for each pair of texts: n-grams of either side, and clipped common ones.
+
+    Grams get numbers within their pair, by their shorter gram and last unit: exact, without hashing, and all
+    pairs of a block are counted in one sort for each order.
+    """
+    n_pairs = len(hypotheses)
+    out = {}
+    for kind, most in (("c", CHAR_ORDERS), ("w", WORD_ORDERS)):
+        names: dict[str, int] = {}
+        sides = []
+        for texts in (hypotheses, references):
+            if kind == "c":
+                sides.append([np.frombuffer(_SPACE.sub("", t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts])
+            else:
+                sides.append([np.array([names.setdefault(w, len(names)) for w in _SPACE.split(t) if w], np.uint32) for t in texts])
+        parts = sides[0] + sides[1]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        units = np.concatenate(parts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(2 * n_pairs), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(units))  # units from here to the end of the text
+        base = int(units.max(initial=0)) + 1
+        pair, is_ref = text % max(n_pairs, 1), text >= n_pairs
+        number = pair.copy()  # of the gram so far, within its pair
+        for n in range(1, most + 1):
+            at = np.flatnonzero(left >= n)
+            found, gram = np.unique(number[at] * base + units[at + n - 1], return_inverse=True)
+            held = np.bincount(gram[~is_ref[at]], minlength=len(found)), np.bincount(gram[is_ref[at]], minlength=len(found))
+            owner = np.zeros(len(found), np.int64)
+            owner[gram] = pair[at]
+            number[at] = gram
+            counts = [np.bincount(owner, weights=c, minlength=n_pairs) for c in (*held, np.minimum(*held))]
+            out[f"{kind}{n}"] = np.stack(counts, axis=1).astype(np.int64)
+    return out
 
 
 def chrf_stats(pairs: DataFrame, keys: list[str], hypothesis: str, reference: str) -> DataFrame:
-    """Sufficient statistics of each sentence and order: hyp, ref, match (clipped counts).
+    """Sufficient statistics of each sentence and order: hyp, ref, match (clipped counts). Null texts are empty;
+    orders without grams on either side have no row. keys must be unique.
 
-    n-grams are exploded and counted under (keys, order, gram), so partial sums leave each task.
+    Counting stays within the row: Arrow batches go to numpy, and eight small rows come back, where exploded
+    n-grams would be some sixteen rows for each character.
     """
-    sides = F.array(F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), F.col(hypothesis).alias("t")), F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), F.col(reference).alias("t")))
-    texts = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.h", "s.r", "s.t")
-    chars = F.filter(F.split(F.regexp_replace("t", r"(?U)\s+", ""), ""), lambda c: c != "")
-    units = F.array(F.struct(F.lit("c").alias("kind"), F.lit(CHAR_ORDERS).alias("most"), chars.alias("units")), F.struct(F.lit("w").alias("kind"), F.lit(WORD_ORDERS).alias("most"), X.words("t").alias("units")))
-    split = texts.select(*keys, "h", "r", F.explode(units).alias("u")).select(*keys, "h", "r", "u.*")
-    orders = split.select(*keys, "h", "r", "kind", "units", F.explode(F.sequence(F.lit(1), "most")).alias("n"))
-    found = orders.select(*keys, "h", "r", F.concat("kind", "n").alias("order"), F.explode(grams(F.col("units"), F.col("n"))).alias("gram"))
-    counted = found.groupBy(*keys, "order", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counted.groupBy(*keys, "order").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match"))
+    ship_code(pairs.sparkSession)
+    narrow = pairs.select(*keys, F.col(hypothesis).alias("_hyp"), F.col(reference).alias("_ref"))
+    schema = StructType([*narrow.select(*keys).schema, *StructType.fromDDL("order string, hyp long, ref long, match long")])
+
+    def run(batches):
+        for batch in batches:
+            sizes = (batch["_hyp"].str.len().fillna(0) + batch["_ref"].str.len().fillna(0)).cumsum()
+            for _, part in batch.groupby(sizes // _UNITS):
+                hyp, ref = ([t if isinstance(t, str) else "" for t in part[c]] for c in ("_hyp", "_ref"))
+                for order, counts in overlap_counts(hyp, ref).items():
+                    found = part[keys].assign(order=order, hyp=counts[:, 0], ref=counts[:, 1], match=counts[:, 2])
+                    yield found[counts[:, :2].any(axis=1)]
+
+    return narrow.mapInPandas(run, schema)
 
 
 def chrf_score(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,9 +178,42 @@ def token_losses(texts: DataFrame, keys: list[str], text: str, model: DataFrame,
 def perplexity(losses: DataFrame, group: list[str], chars: str, size: str) -> DataFrame:
     """Token-weighted loss, perplexity, bits per character and per byte."""
     summed = losses.groupBy(*group).agg(F.sum("nll").alias("nll"), F.sum("scored").alias("scored"), F.sum(chars).alias("chars"), F.sum(size).alias("bytes"))
+    return scores_of(summed).select(*group, "scored", "loss", "perplexity", "bits_per_char", "bits_per_byte")
+
+
+def scores_of(summed: DataFrame) -> DataFrame:
+    """Adds loss, perplexity, bits_per_char and bits_per_byte to rows with nll, scored, chars and bytes."""
     bits = F.col("nll") / F.ln(F.lit(2.0))
     loss = F.col("nll") / F.col("scored")
-    return summed.select(*group, "scored", loss.alias("loss"), F.exp(loss).alias("perplexity"), (bits / F.col("chars")).alias("bits_per_char"), (bits / F.col("bytes")).alias("bits_per_byte"))
+    return summed.select("*", loss.alias("loss"), F.exp(loss).alias("perplexity"), (bits / F.col("chars")).alias("bits_per_char"), (bits / F.col("bytes")).alias("bits_per_byte"))
+
+
+def place_losses(texts: DataFrame, keys: list[str], text: str, model: DataFrame, unseen: float = 20.0) -> DataFrame:
+    """The loss of every character: keys, place (from 0), nll."""
+    placed = texts.filter(F.length(text) > 0).select(*keys, F.posexplode(_bigrams(F.col(text))).alias("place", "b"))
+    return placed.select(*keys, "place", "b.prev", "b.next").join(model, ["prev", "next"], "left").select(*keys, "place", F.coalesce("nll", F.lit(unseen)).alias("nll"))
+
+
+def windowed_losses(losses: DataFrame, keys: list[str], stride: int, length: int) -> DataFrame:
+    """Summed losses of evaluation windows: keys, window, scored, nll.
+
+    The windows are those of sequences.sliding_windows: a token is scored in the first window that holds it,
+    except the first token of an item, which has no context. A window's number follows from the place, so no
+    range join is needed.
+    """
+    window = F.when(F.col("place") < length, 0).otherwise(F.floor((F.col("place") - length) / stride) + 1)
+    return losses.filter("place > 0").groupBy(*keys, window.cast("long").alias("window")).agg(F.count("*").alias("scored"), F.sum("nll").alias("nll"))
+
+
+#: What a candidate can be compared by; less is better.
+SCORE_FIELDS = ("total_nll", "loss", "bits_per_char", "bits_per_byte")
+
+
+def candidate_scores(candidates: DataFrame, keys: list[str], text: str, model: DataFrame) -> DataFrame:
+    """keys and the score fields of each candidate text; a candidate without characters has none."""
+    sized = candidates.groupBy(*keys).agg(F.sum(F.length(text)).alias("chars"), F.sum(F.octet_length(text)).alias("bytes"))
+    found = scores_of(token_losses(candidates, keys, text, model).join(sized, keys))
+    return found.select(*keys, F.col("nll").alias("total_nll"), *SCORE_FIELDS[1:])
 
 
 def skip_reason(reference, prompt_size, full_size, max_length: int) -> Column:

@@ -42,7 +42,7 @@ def _stats_sql(hyp: str, ref: str) -> str:
     def side(c):
         return _NGRAMS.format(s=f"regexp_replace({c}, '[\\s\\p{{Z}}]+', '', 'g')", w=f"list_filter(regexp_split_to_array({c}, '[\\s\\p{{Z}}]+'), lambda w: w <> '')")
 
-    return f"""(WITH p AS (SELECT conv_id, turn, substr(prompt, 1, 200) AS a, substr(output, 1, 200) AS b, substr(reverse(prompt), 1, 200) AS c FROM ({_PAIR_SQL})),
+    return f"""(WITH p AS (SELECT conv_id, turn, prompt AS a, output AS b, reverse(prompt) AS c FROM ({_PAIR_SQL})),
       h AS (SELECT conv_id, turn, o, g, count(*) AS n FROM ({side(hyp)}) GROUP BY ALL), r AS (SELECT conv_id, turn, o, g, count(*) AS n FROM ({side(ref)}) GROUP BY ALL),
       j AS (SELECT conv_id, turn, o, coalesce(h.n, 0) AS h, coalesce(r.n, 0) AS r FROM h FULL JOIN r USING (conv_id, turn, o, g))
       SELECT conv_id, turn, o AS "order", sum(h)::BIGINT AS hyp, sum(r)::BIGINT AS ref, sum(least(h, r))::BIGINT AS "match" FROM j GROUP BY ALL)"""
@@ -56,7 +56,6 @@ def _score_sql(stats: str, keys: str) -> str:
 
 
 def _texts(spark, d):
-    """Whole texts; the SQL counterparts still read the first 200 characters of each."""
     pairs = mixing._replies(spark, d)
     return pairs.select("conv_id", "turn", F.col("instruction").alias("a"), F.col("output").alias("b"), F.reverse("instruction").alias("c"))
 
@@ -76,17 +75,16 @@ def chrf_sentence(spark, d):
     return E.chrf_score(E.chrf_stats(_texts(spark, d), ["conv_id", "turn"], "b", "a"), ["conv_id", "turn"]).withColumn("chrf", F.round("chrf", 6))
 
 
-#: The default of the reference; the SQL counterpart still takes 40 lines and 100 samples.
-_BOOTSTRAP = 1000
-_LINES, _SAMPLES = 40, 100
-_LINE = f"(SELECT * FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM ({_PAIR_SQL})) WHERE line < {_LINES})"
+#: Samples of the bootstrap, as many as the default asks for.
+_SAMPLES = 1000
 
 
 @query(
     "bootstrap_chrf",
-    f"""WITH l AS {_LINE}, s AS (SELECT 'left' AS side, line, "order", hyp, ref, "match" FROM {_stats_sql('c', 'a')} JOIN l USING (conv_id, turn) UNION ALL SELECT 'right', line, "order", hyp, ref, "match" FROM {_stats_sql('b', 'a')} JOIN l USING (conv_id, turn)),
-    w AS (SELECT sample, {sql_index(_LINES, SEED, 'sample', 'draw')} AS line, count(*) AS w FROM range({_SAMPLES}) a(sample), range({_LINES}) b(draw) GROUP BY 1, 2),
-    x AS (SELECT sample, side, "order", hyp * w AS hyp, ref * w AS ref, "match" * w AS "match" FROM s JOIN w USING (line)),
+    f"""WITH l AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM ({_PAIR_SQL})), c AS (SELECT count(*) AS n FROM l),
+    s AS MATERIALIZED (SELECT 'left' AS side, line, "order", hyp, ref, "match" FROM {_stats_sql('c', 'a')} JOIN l USING (conv_id, turn) UNION ALL SELECT 'right', line, "order", hyp, ref, "match" FROM {_stats_sql('b', 'a')} JOIN l USING (conv_id, turn)),
+    w AS MATERIALIZED (SELECT sample, {sql_index('n', SEED, 'sample', 'draw')} AS line, count(*) AS w FROM c, range({_SAMPLES}) a(sample), (SELECT unnest(range(n)) AS draw FROM c) b GROUP BY 1, 2),
+    x AS (SELECT sample, side, "order", sum(hyp * w) AS hyp, sum(ref * w) AS ref, sum("match" * w) AS "match" FROM s JOIN w USING (line) GROUP BY ALL),
     f AS (SELECT sample, max(chrf) FILTER (side = 'right') - max(chrf) FILTER (side = 'left') AS diff FROM {_score_sql('x', 'sample, side')} GROUP BY sample),
     o AS (SELECT max(chrf) FILTER (side = 'right') - max(chrf) FILTER (side = 'left') AS difference FROM {_score_sql('s', 'side')}),
     z AS (SELECT list_sort(list(diff)) AS v, count(*) FILTER (diff <= 0) AS le, count(*) FILTER (diff >= 0) AS ge FROM f)
@@ -97,7 +95,7 @@ def bootstrap_chrf(spark, d):
     lines, n = sampling.numbered(_texts(spark, d), "line", "conv_id", "turn")
     sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("c").alias("h")), F.struct(F.lit("right").alias("side"), F.col("b").alias("h")))).alias("s")
     both = E.chrf_stats(lines.select("line", "a", sides).select("line", "a", "s.*"), ["side", "line"], "h", "a")
-    found = E.paired_bootstrap(both, "line", max(n, 1), _BOOTSTRAP, SEED)
+    found = E.paired_bootstrap(both, "line", max(n, 1), _SAMPLES, SEED)
     return found.select(*(F.round(c, 6).alias(c) for c in ("difference", "low", "high", "p_value")), "significant")
 
 
@@ -119,12 +117,40 @@ def _model(spark, d):
 )
 def ppl_bpc(spark, d):
     docs = table(spark, d, "documents")
-    losses = E.token_losses(docs.select("doc_id", "text"), ["doc_id"], "text", _model(spark, d))
-    sized = losses.join(docs.select("doc_id", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), "doc_id")
-    found = E.perplexity(sized, ["lang"], "chars", "bytes")
+    losses = E.token_losses(docs.select("lang", "text"), ["lang"], "text", _model(spark, d))
+    sized = docs.filter(F.length("text") > 0).groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    found = E.scores_of(losses.join(sized, "lang"))
     return found.select("lang", "scored", F.round("loss", 6).alias("loss"), F.round("perplexity", 4).alias("perplexity"), *(F.round(c, 6).alias(c) for c in ("bits_per_char", "bits_per_byte")))
 
 
+_STRIDE, _LENGTH = 256, 1024
+
+
+@query(
+    "ppl_windows",
+    f"""WITH {_MODEL}, c AS (SELECT conv_id, turn, length(text) AS total, unnest(range(length(text))) AS place, {_BIGRAMS.format(t='text')} FROM conversations WHERE length(text) > 0),
+    l AS (SELECT conv_id, turn, total, place, coalesce(nll, 20.0) AS nll FROM c LEFT JOIN q USING (prev, next)),
+    w AS (SELECT conv_id, turn, b, least(b + {_LENGTH}, length(text)) AS e, CASE WHEN b = 0 THEN 1 ELSE least(b - {_STRIDE} + {_LENGTH}, length(text)) END AS first FROM (SELECT *, unnest(range(0, length(text), {_STRIDE})) AS b FROM conversations) WHERE b = 0 OR b - {_STRIDE} + {_LENGTH} < length(text))
+    SELECT w.conv_id, w.turn, b // {_STRIDE} AS "window", count(*) AS scored, round(sum(nll) / count(*), 6) AS loss FROM w JOIN l ON l.conv_id = w.conv_id AND l.turn = w.turn AND place >= first AND place < e GROUP BY 1, 2, 3""",
+)
+def ppl_windows(spark, d):
+    """Perplexity by windows with a stride: each token is scored once, in the first window that holds it."""
+    losses = E.place_losses(table(spark, d, "conversations"), ["conv_id", "turn"], "text", _model(spark, d))
+    return E.windowed_losses(losses, ["conv_id", "turn"], _STRIDE, _LENGTH).select("conv_id", "turn", "window", "scored", F.round(F.col("nll") / F.col("scored"), 6).alias("loss"))
+
+
+@query(
+    "linewise_ppl",
+    f"""WITH {_MODEL}, l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), c AS (SELECT conv_id, turn, prev, next, count(*) AS n FROM (SELECT conv_id, turn, {_BIGRAMS.format(t='line')} FROM l) GROUP BY ALL)
+    SELECT conv_id, turn, sum(n)::BIGINT AS scored, round(exp(sum(n * coalesce(nll, 20.0)) / sum(n)), 4) AS perplexity FROM c LEFT JOIN q USING (prev, next) GROUP BY conv_id, turn""",
+)
+def linewise_ppl(spark, d):
+    """Perplexity of lines that each stand behind the same prefix: neither the prefix nor the separator is scored."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
+    losses = E.token_losses(lines, ["conv_id", "turn"], "line", _model(spark, d))
+    return losses.select("conv_id", "turn", "scored", F.round(F.exp(F.col("nll") / F.col("scored")), 4).alias("perplexity"))
+
+
 @query(
     "cond_ppl",
     f"""WITH {_MODEL}, p AS (SELECT conv_id, turn, output, CASE WHEN trim(output) = '' THEN 'blank_reference' WHEN length(prompt) >= length(prompt) + length(output) THEN 'prompt_fills_all' WHEN length(prompt) + length(output) > 1500 THEN 'too_long' END AS reason FROM ({_PAIR_SQL})),
@@ -142,32 +168,47 @@ def cond_ppl(spark, d):
     return counts.crossJoin(F.broadcast(total))
 
 
-_PREF = """(SELECT doc_id, quality, n_chars % 97 AS a, n_chars % 89 AS b FROM documents JOIN labels USING (doc_id))"""
+#: Correct: what a user wrote; incorrect: the same words with the characters of each turned round.
+_TURNED = "array_to_string(list_transform(string_split(prompt, ' '), lambda w: reverse(w)), ' ')"
+_PREF = f"""WITH {_MODEL}, p AS (SELECT conv_id, turn, prompt, {_TURNED} AS turned FROM ({_PAIR_SQL}) WHERE length(prompt) > 0),
+  t AS (SELECT conv_id, turn, 'a' AS side, prompt AS text FROM p UNION ALL SELECT conv_id, turn, 'b', turned FROM p),
+  c AS (SELECT conv_id, turn, side, prev, next, count(*) AS n FROM (SELECT conv_id, turn, side, {_BIGRAMS.format(t='text')} FROM t) GROUP BY ALL),
+  l AS (SELECT conv_id, turn, side, sum(n * coalesce(nll, 20.0)) AS nll, sum(n) AS scored FROM c LEFT JOIN q USING (prev, next) GROUP BY ALL),
+  f AS (SELECT conv_id, turn, side, unnest(['total_nll', 'loss', 'bits_per_char', 'bits_per_byte']) AS score_field, unnest([nll, nll / scored, nll / ln(2) / length(text), nll / ln(2) / strlen(text)]) AS v FROM l JOIN t USING (conv_id, turn, side)),
+  s AS (SELECT conv_id, turn, score_field, max(v) FILTER (side = 'a') AS a, max(v) FILTER (side = 'b') AS b FROM f GROUP BY ALL),
+  r AS (SELECT conv_id, turn, score_field, b - a AS margin, abs(a - b) <= greatest(1e-9 * greatest(abs(a), abs(b)), 1e-12) AS tie, a < b AND abs(a - b) > greatest(1e-9 * greatest(abs(a), abs(b)), 1e-12) AS preferred FROM s)"""
 
 
 def _preferred(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    scores = rows.select("doc_id", "quality", (F.col("n_chars") % 97).cast("double").alias("a"), (F.col("n_chars") % 89).cast("double").alias("b"))
-    return E.preferences(scores, "a", "b")
-
-
-@query("minimal_pair", f"SELECT doc_id, (b - a)::DOUBLE AS margin, abs(a - b) <= 1e-9 AS tie, a < b AS preferred FROM {_PREF}")
+    """Both candidates of every pair scored by the model, a row for each score field."""
+    pairs = mixing._replies(spark, d).filter(F.length("instruction") > 0)
+    turned = F.array_join(F.transform(F.split("instruction", " "), F.reverse), " ")
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("instruction").alias("text")), F.struct(F.lit("b").alias("side"), turned.alias("text")))).alias("s")
+    candidates = pairs.select("conv_id", "turn", sides).select("conv_id", "turn", "s.*")
+    scores = E.candidate_scores(candidates, ["conv_id", "turn", "side"], "text", _model(spark, d))
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("score_field"), F.col(f).alias("v")) for f in E.SCORE_FIELDS))).alias("f")
+    rows = scores.select("conv_id", "turn", "side", fields).select("conv_id", "turn", "side", "f.*")
+    wide = rows.groupBy("conv_id", "turn", "score_field").agg(*(F.max(F.when(F.col("side") == s, F.col("v"))).alias(s) for s in ("a", "b")))
+    return E.preferences(wide, "a", "b")
+
+
+@query("minimal_pair", f"{_PREF} SELECT conv_id, turn, score_field, round(margin, 6) + 0.0 AS margin, tie, preferred FROM r")
 def minimal_pair(spark, d):
-    return _preferred(spark, d).select("doc_id", "margin", "tie", "preferred")
+    return _preferred(spark, d).select("conv_id", "turn", "score_field", (F.round("margin", 6) + 0.0).alias("margin"), "tie", "preferred")
 
 
 @query(
     "pair_summary",
-    f"""WITH s AS (SELECT coalesce(quality::VARCHAR, 'overall') AS quality, count(*) AS n, count(*) FILTER (a < b) AS k, count(*) FILTER (a = b) AS ties, avg(b - a) AS margin FROM {_PREF} GROUP BY ROLLUP (quality)),
-    c AS (SELECT s.quality, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS p FROM s, range(100000) r(i) WHERE i <= n AND exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) <= exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) * (1 + 1e-9) GROUP BY 1)
-    SELECT s.quality, n, k AS correct, n - k AS incorrect, ties, round(k / n, 6) AS accuracy,
+    f"""{_PREF}, s2 AS (SELECT coalesce(score_field, 'overall') AS score_field, count(*) AS n, count(*) FILTER (preferred) AS k, count(*) FILTER (tie) AS ties, avg(margin) AS margin FROM r GROUP BY ROLLUP (score_field)),
+    c2 AS (SELECT s2.score_field, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS p FROM s2, (SELECT unnest(range(max(n) + 1)) AS i FROM s2) WHERE i <= n AND exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) <= exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) * (1 + 1e-9) GROUP BY 1)
+    SELECT s2.score_field, n, k AS correct, n - k AS incorrect, ties, round(k / n, 6) AS accuracy,
       round((k / n + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 6) AS low,
       round((k / n + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n), 6) AS high,
-      round(least(c.p, 1.0), 4) AS p_value, round(margin, 6) AS mean_margin FROM s JOIN c USING (quality)""",
+      round(least(c2.p, 1.0), 4) AS p_value, round(margin, 6) AS mean_margin FROM s2 JOIN c2 USING (score_field)""",
 )
 def pair_summary(spark, d):
-    found = E.preference_summary(_preferred(spark, d), "quality")
-    return found.select("quality", "n", "correct", "incorrect", "ties", *(F.round(c, 6).alias(c) for c in ("accuracy", "low", "high")), F.round("p_value", 4).alias("p_value"), F.round("mean_margin", 6).alias("mean_margin"))
+    found = E.preference_summary(_preferred(spark, d), "score_field")
+    return found.select("score_field", "n", "correct", "incorrect", "ties", *(F.round(c, 6).alias(c) for c in ("accuracy", "low", "high")), F.round("p_value", 4).alias("p_value"), F.round("mean_margin", 6).alias("mean_margin"))
 
 
 @query("running_accuracy", "SELECT quality, seen::INT AS seen, round(accuracy, 6) AS accuracy FROM (SELECT quality, row_number() OVER w AS seen, avg(toxic) OVER (PARTITION BY quality ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS accuracy FROM labels WINDOW w AS (PARTITION BY quality ORDER BY doc_id)) WHERE seen % 10 = 0")
