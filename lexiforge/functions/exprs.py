@@ -207,3 +207,45 @@ def one_hot_max(values) -> Column:
 
 def aligned_size(n, unit: int = 64) -> Column:
     return (F.ceil(col(n) / unit) * unit).cast("long")
+
+
+def line_key(c) -> Column:
+    """Line ends as line feeds, outer white space gone."""
+    return strip(F.replace(col(c), F.lit("\r\n"), F.lit("\n")))
+
+
+def sentence_of(columns: list[str], text: str = "text", sentence: str = "sentence", tokens: str = "tokens") -> Column:
+    """The first that is not empty: text, sentence, tokens joined by spaces; empty if none is."""
+    found = [none_if_empty(strip(F.col(c))) for c in (text, sentence) if c in columns]
+    if tokens in columns:
+        found.append(none_if_empty(strip(F.array_join(tokens, " "))))
+    return F.coalesce(*found, F.lit(""))
+
+
+def required(c, row_number) -> Column:
+    """The stripped value; an empty or missing one is an error that names the row."""
+    value = strip(c)
+    message = F.concat(F.lit("empty value in row "), col(row_number).cast("string"))
+    return F.when(F.coalesce(value, F.lit("")) == "", F.raise_error(message).cast("string")).otherwise(value)
+
+
+def kept_keys(c, allowed: list[str]) -> Column:
+    """The entries of a map whose keys are allowed."""
+    return F.map_filter(col(c), lambda k, v: k.isin(allowed))
+
+
+def dropped_keys(c, allowed: list[str]) -> Column:
+    """The keys of a map that are not allowed, in order."""
+    return F.array_sort(F.array_except(F.map_keys(col(c)), F.array(*map(F.lit, allowed))))
+
+
+def expert_index(selector, names: list[str]) -> Column:
+    """The number of an expert: digits are a number in range, else the exact name, else the name in any case;
+    anything else is an error."""
+    text = strip(selector)
+    number = F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
+    exact = F.array_position(F.array(*map(F.lit, names)), text)
+    folded = F.array_position(F.array(*(F.lit(n.lower()) for n in names)), F.lower(text))
+    bad = F.raise_error(F.concat(F.lit("no expert "), F.coalesce(text, F.lit("null")))).cast("int")
+    inside = F.when(number < len(names), number).otherwise(bad)
+    return F.when(number.isNotNull(), inside).when(exact > 0, (exact - 1).cast("int")).when(folded > 0, (folded - 1).cast("int")).otherwise(bad)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +158,54 @@ def validated_pairs(pairs: DataFrame, categories: list[PairRules] = PAIR_CATEGOR
     for rules in categories:
         errors = F.when(F.col(category_col) == rules.name, pair_errors(rules)).otherwise(errors)
     return pairs.withColumn("errors", errors)
+
+
+def checked_pairs(rows: DataFrame, skip_review: bool = False) -> DataFrame:
+    """Pairs ready for scoring: id, category, source, correct and incorrect must be there and the two sides differ,
+    else an error names the pair. Missing phenomenon and source_lang get the category and "fr"; with
+    ``skip_review`` pairs marked needs_manual_review go first."""
+    if skip_review and "needs_manual_review" in rows.columns:
+        rows = rows.filter(~F.coalesce(F.col("needs_manual_review"), F.lit(False)))
+    name = F.coalesce(F.col("id").cast("string"), F.lit("?"))
+    for c in ("id", "category", "source", "correct", "incorrect"):
+        if c not in rows.columns:
+            raise ValueError(f"pairs have no {c}")
+        fault = F.raise_error(F.concat(F.lit(f"no {c} in pair "), name)).cast(rows.schema[c].dataType)
+        rows = rows.withColumn(c, F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", fault).otherwise(F.col(c)))
+    same = F.raise_error(F.concat(F.lit("identical sides in pair "), name)).cast("string")
+    rows = rows.withColumn("correct", F.when(F.trim("correct") == F.trim("incorrect"), same).otherwise(F.col("correct")))
+    for c, default in (("phenomenon", F.col("category")), ("source_lang", F.lit("fr"))):
+        given = X.none_if_empty(X.strip(F.col(c))) if c in rows.columns else F.lit(None).cast("string")
+        rows = rows.withColumn(c, F.coalesce(given, default))
+    return rows
+
+
+def plain_texts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows themselves, if they are plain texts: prepared rows with labels, or rows without the text, are an error."""
+    if "labels" in rows.columns:
+        raise ValueError("rows with labels are prepared for instructions, not plain texts")
+    if text not in rows.columns:
+        raise ValueError(f"rows have no {text}")
+    return rows
+
+
+def with_language(rows: DataFrame, text: str, predict: Callable[[list[str]], list[tuple[str, float]]]) -> DataFrame:
+    """Adds lang_label and lang_score by any predictor of batches of texts; null texts have neither."""
+
+    @F.pandas_udf("label string, score double")
+    def labelled(texts: pd.Series) -> pd.DataFrame:
+        known = texts.notna()
+        found = pd.DataFrame(predict(texts[known].tolist()), columns=["label", "score"], index=texts.index[known])
+        return found.reindex(texts.index)
+
+    return rows.withColumn("_l", labelled(F.col(text))).select(*(F.col(c) for c in rows.columns), F.col("_l.label").alias("lang_label"), F.col("_l.score").alias("lang_score"))
+
+
+def batched_map(rows: DataFrame, change: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows changed batch by batch; a batch may give more or fewer rows."""
+    return rows.mapInPandas(lambda batches: map(change, batches), schema)
+
+
+def batched_filter(rows: DataFrame, keep: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Rows for which ``keep`` of their batch is true."""
+    return rows.mapInPandas(lambda batches: (b[keep(b).astype(bool).to_numpy()] for b in batches), rows.schema)

@@ -241,6 +241,20 @@ def preference_summary(preferred: DataFrame, group: str) -> DataFrame:
     )
 
 
+def split_delta(rows: DataFrame, group: str, full: Column, right: str) -> DataFrame:
+    """By group: accuracy of the full rows, of the simple ones, and full minus simple."""
+    value = F.col(right).cast("double")
+    found = rows.groupBy(group).agg(F.avg(F.when(full, value)).alias("full"), F.avg(F.when(~full, value)).alias("simple"))
+    return found.withColumn("delta", F.col("full") - F.col("simple"))
+
+
+def suffix_losses(pairs: DataFrame, keys: list[str], prefix: str, suffix: str, model: DataFrame) -> DataFrame:
+    """keys, scored and nll of the suffix behind its prefix; no character of the prefix is scored."""
+    whole = pairs.select(*keys, F.length(prefix).alias("_from"), F.concat(prefix, suffix).alias("_text"))
+    losses = place_losses(whole, [*keys, "_from"], "_text", model)
+    return losses.filter("place >= _from").groupBy(*keys).agg(F.count("*").alias("scored"), F.sum("nll").alias("nll"))
+
+
 def running_accuracy(rows: DataFrame, group: str, order: str, right: str, every: int) -> DataFrame:
     """Accuracy so far within a group, at every ``every``-th row."""
     w = Window.partitionBy(group).orderBy(order)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 
@@ -128,3 +131,49 @@ def repeated(rows: DataFrame, group: str, times: dict[str, int], default: int =
     for name, n in times.items():
         k = F.when(F.col(group) == name, max(n, 1)).otherwise(k)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), k)))
+
+
+def library_tokens(texts: DataFrame, text: str, path: str) -> DataFrame:
+    """Adds tokens (as the tokenizer of the ``tokenizers`` file at ``path`` writes them) and decoded, the text of their ids."""
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        tool = Tokenizer.from_file(path)
+        for batch in batches:
+            found = tool.encode_batch([t if isinstance(t, str) else "" for t in batch[text]], add_special_tokens=False)
+            yield batch.assign(tokens=[e.tokens for e in found], decoded=[tool.decode(e.ids, skip_special_tokens=False) for e in found])
+
+    return texts.mapInPandas(run, StructType([*texts.schema, *StructType.fromDDL("tokens array<string>, decoded string")]))
+
+
+def tokenizer_checks(rows: DataFrame, text: str) -> DataFrame:
+    """Adds what is looked at in a tokenizer: fertility (tokens a word), high (above 2), mismatch (the decoded text
+    differs from the text), artefact (a token shows bytes of other characters)."""
+    fertility = F.size("tokens") / F.greatest(F.lit(1), X.word_count(text))
+    artefact = F.exists("tokens", lambda t: t.contains("Ã") | t.contains("â"))
+    return rows.withColumn("fertility", fertility).withColumn("high", fertility > 2.0).withColumn("mismatch", F.col("decoded") != F.coalesce(F.col(text), F.lit(""))).withColumn("artefact", artefact)
+
+
+def fixed_words(rows: DataFrame, word: str) -> DataFrame:
+    """(fixed, total): words that are one token, or two at most if they have an apostrophe."""
+    most = F.when(F.col(word).rlike("['’]"), 2).otherwise(1)
+    return rows.agg(F.count_if(F.size("tokens") <= most).alias("fixed"), F.count("*").alias("total"))
+
+
+def token_texts(tokens: Column) -> Column:
+    """What each token (a binary) adds to the decoded text, as Python writes a string, cut at 23 characters; a token
+    after which a character is still incomplete is <byte>."""
+
+    @F.pandas_udf("array<string>")
+    def decoded(column: pd.Series) -> pd.Series:
+        def one(items):
+            if items is None:
+                return None
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            texts = [decoder.decode(bytes(t)) for t in items]
+            return ["<byte>" if not x and len(t) else repr(x)[:23] for x, t in zip(texts, items)]
+
+        return column.map(one)
+
+    return decoded(tokens)

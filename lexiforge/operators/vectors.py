@@ -70,3 +70,20 @@ def aligned_weights(rows: DataFrame, scores: str, epsilon: float = 0.01) -> Data
     """Scores become shares, smoothed and rounded to 3 digits, where there are exactly two; others stay."""
     total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x + epsilon)
     return rows.withColumn("weights", F.when(F.size(scores) == 2, F.transform(scores, lambda x: F.round((x + epsilon) / total, 3))).otherwise(F.col(scores)))
+
+
+def init_report(links: DataFrame, token: str, other: str, known: DataFrame, known_key: str) -> DataFrame:
+    """One row: tokens, from_cognates (with a known linked vector), random_init (without), rate in percent, and the
+    tokens of several links as multi."""
+    found = links.join(known.select(F.col(known_key).alias(other), F.lit(1).alias("_known")), other, "left")
+    each = found.groupBy(token).agg(F.count("_known").alias("hits"), F.count("*").alias("linked"))
+    return each.agg(
+        F.count("*").alias("tokens"), F.count_if(F.col("hits") > 0).alias("from_cognates"), F.count_if(F.col("hits") == 0).alias("random_init"),
+        F.round(100.0 * F.count_if(F.col("hits") > 0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"), F.count_if(F.col("linked") > 1).alias("multi"),
+    )
+
+
+def failed_tokens(links: DataFrame, token: str, other: str, known: DataFrame, known_key: str) -> DataFrame:
+    """Tokens none of whose links leads to a known vector."""
+    good = links.join(known.select(F.col(known_key).alias(other)), other, "left_semi").select(token)
+    return links.select(token).distinct().join(good, token, "left_anti")

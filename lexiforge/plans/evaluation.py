@@ -224,3 +224,20 @@ def fertility(spark, d):
     pieces = F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{1,4}|\p{N}|[^\p{L}\p{N}\s]"), F.lit(0)))
     value = pieces / F.greatest(F.lit(1), X.word_count("text"))
     return table(spark, d, "documents").select("doc_id", F.round(value, 6).alias("fertility"), (value > 2.0).alias("high"))
+
+
+@query("accuracy_delta", "SELECT lang, round(avg(quality) FILTER (n_chars >= 1000), 6) AS \"full\", round(avg(quality) FILTER (n_chars < 1000), 6) AS simple, round(avg(quality) FILTER (n_chars >= 1000) - avg(quality) FILTER (n_chars < 1000), 6) AS delta FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def accuracy_delta(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    return E.split_delta(rows, "lang", F.col("n_chars") >= 1000, "quality").select("lang", *(F.round(c, 6).alias(c) for c in ("full", "simple", "delta")))
+
+
+@query(
+    "suffix_losses",
+    f"""WITH {_MODEL}, p AS (SELECT conv_id, turn, length(prompt) AS f, prompt || output AS t FROM ({_PAIR_SQL})),
+    c AS (SELECT conv_id, turn, f, unnest(range(length(t))) AS place, {_BIGRAMS.format(t='t')} FROM p)
+    SELECT conv_id, turn, count(*) AS scored, round(sum(coalesce(nll, 20.0)) / count(*), 6) AS loss FROM c LEFT JOIN q USING (prev, next) WHERE place >= f GROUP BY 1, 2""",
+)
+def suffix_losses(spark, d):
+    found = E.suffix_losses(mixing._replies(spark, d), ["conv_id", "turn"], "instruction", "output", _model(spark, d))
+    return found.select("conv_id", "turn", "scored", F.round(F.col("nll") / F.col("scored"), 6).alias("loss"))

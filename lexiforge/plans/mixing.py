@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import dedup, joins, sampling, sequences, statistics
+from ..operators import cleaning, dedup, joins, sampling, sequences, statistics
 from .tables import sql_hash, sql_index, squash, strip, table
 
 QUERIES: dict = {}
@@ -278,6 +278,56 @@ def vocab_candidates(spark, d):
     return joins.not_done(listed.unionByName(found), known, "token").groupBy("token").agg(F.min("rank").alias("rank"))
 
 
-@query("byte_level_encode")
+_BYTE_LIST = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in sequences.byte_characters()) + "]"
+
+
+@query("byte_level_encode", f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ({_BYTE_LIST})[('0x' || h)::INT + 1]), '') AS encoded FROM documents")
 def byte_level_encode(spark, d):
     return table(spark, d, "documents").select("doc_id", sequences.byte_level("text").alias("encoded"))
+
+
+@query("tokenizer_report")
+def tokenizer_report(spark, d):
+    """By language: documents, round-trip mismatches, mean fertility, high ones, byte artefacts of a public tokenizer."""
+    import public_tokenizers
+
+    tokens = sequences.library_tokens(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", public_tokenizers.path("byte_bpe_50k.json"))
+    counts = [F.count_if(c).alias(f"n_{c}") for c in ("mismatch", "high", "artefact")]
+    return sequences.tokenizer_checks(tokens, "text").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("fertility"), 6).alias("fertility"), *counts)
+
+
+_GIVEN_SQL = "SELECT *, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN ' ' END AS a, CASE WHEN turn % 2 = 1 THEN text ELSE '' END AS b, string_split(text, ' ') AS t FROM conversations"
+
+
+@query("sentence_fallback", f"SELECT conv_id, turn, coalesce(nullif({strip('a')}, ''), nullif({strip('b')}, ''), {strip('array_to_string(t, chr(32))')}) AS text FROM ({_GIVEN_SQL})")
+def sentence_fallback(spark, d):
+    talk = table(spark, d, "conversations")
+    a = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, " ")
+    rows = talk.select("conv_id", "turn", a.alias("text"), F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise("").alias("sentence"), F.split("text", " ").alias("tokens"))
+    return rows.select("conv_id", "turn", X.sentence_of(rows.columns).alias("text"))
+
+
+@query("map_key_whitelist", "SELECT event_id, 'k=' || (props->>'$.k') AS kept, 'event,user' AS dropped FROM events")
+def map_key_whitelist(spark, d):
+    given = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_type")))
+    rows = table(spark, d, "events").select("event_id", given.alias("m"))
+    kept = F.array_join(F.transform(F.map_entries(X.kept_keys("m", ["k"])), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("event_id", kept.alias("kept"), F.array_join(X.dropped_keys("m", ["k"]), ",").alias("dropped"))
+
+
+@query("checked_pairs", "SELECT conv_id || ':' || turn AS id, 'turn ' || (turn % 2) AS category, p AS correct, o AS incorrect, 'turn ' || (turn % 2) AS phenomenon, 'fr' AS source_lang FROM (SELECT conv_id, turn, prompt AS p, output AS o FROM (" + _PAIR_SQL + ")) WHERE turn % 5 <> 0 AND trim(p) <> trim(o) AND trim(p) <> '' AND trim(o) <> ''")
+def checked_pairs(spark, d):
+    pairs = _replies(spark, d).filter("trim(instruction) <> trim(output) AND trim(instruction) <> '' AND trim(output) <> ''")
+    rows = pairs.select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(F.lit("turn "), F.col("turn") % 2).alias("category"), F.lit("x").alias("source"),
+        F.col("instruction").alias("correct"), F.col("output").alias("incorrect"), (F.col("turn") % 5 == 0).alias("needs_manual_review"),
+    )
+    return cleaning.checked_pairs(rows, skip_review=True).select("id", "category", "correct", "incorrect", "phenomenon", "source_lang")
+
+
+@query("token_texts", "SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(role, ''), lambda c: c <> ''), lambda c: chr(39) || c || chr(39)), ' ') AS tokens FROM conversations")
+def token_texts(spark, d):
+    """What single bytes of a role add to its decoded text."""
+    pairs = F.regexp_extract_all(F.hex(F.encode("role", "UTF-8")), F.lit(".."), F.lit(0))
+    tokens = sequences.token_texts(F.transform(pairs, F.unhex))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tokens, " ").alias("tokens"))

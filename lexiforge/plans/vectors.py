@@ -183,3 +183,29 @@ def early_stop(spark, d):
 def layer_pick(spark, d):
     name = F.when(F.col("user_id") % 5 == 0, "router").otherwise(F.concat(F.lit("layers."), F.col("user_id").cast("string"), F.lit(".router")))
     return routing.layer_picks(table(spark, d, "events").withColumn("name", name), "name", "event_type")
+
+
+_LINKS = "(SELECT vec_id % 211 AS token, vec_id AS other FROM embeddings)"
+
+
+def _cognates(spark, d):
+    rows = table(spark, d, "embeddings")
+    return rows.select((F.col("vec_id") % 211).alias("token"), F.col("vec_id").alias("other")), rows.filter("label < 3").select("vec_id")
+
+
+@query("init_report", f"SELECT count(*) AS tokens, count(*) FILTER (hits > 0) AS from_cognates, count(*) FILTER (hits = 0) AS random_init, round(100.0 * count(*) FILTER (hits > 0) / greatest(count(*), 1), 6) AS rate, count(*) FILTER (linked > 1) AS multi FROM (SELECT token, count(k.vec_id) AS hits, count(*) AS linked FROM {_LINKS} LEFT JOIN (SELECT vec_id FROM embeddings WHERE label < 3) k ON other = k.vec_id GROUP BY token)")
+def init_report(spark, d):
+    links, known = _cognates(spark, d)
+    return vectors.init_report(links, "token", "other", known, "vec_id")
+
+
+@query("failed_tokens", f"SELECT DISTINCT token FROM {_LINKS} WHERE token NOT IN (SELECT token FROM {_LINKS} WHERE other IN (SELECT vec_id FROM embeddings WHERE label < 3))")
+def failed_tokens(spark, d):
+    links, known = _cognates(spark, d)
+    return vectors.failed_tokens(links, "token", "other", known, "vec_id")
+
+
+@query("expert_selector", "SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS expert FROM events")
+def expert_selector(spark, d):
+    given = F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).when((F.col("event_id") % 3 == 1) & (F.col("event_type") == "click"), "1").otherwise(F.concat(F.lit(" "), "event_type"))
+    return table(spark, d, "events").select("event_id", X.expert_index(given, ["view", "click", "error", "signup", "purchase"]).alias("expert"))

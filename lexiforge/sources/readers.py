@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,13 @@ from pyspark.sql.types import StructType
 from ..functions import exprs as X
 
 
-def raw_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl*") -> DataFrame:
+def raw_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl*", damaged: bool = False) -> DataFrame:
     """Non-blank lines of all matching files under a folder, plain or compressed (.gz, .zst), with their file.
 
-    A damaged file contributes what can be read of it. Compressed files cannot be split, so what is read is
-    dealt out before anything expensive.
+    A damaged file is an error; with ``damaged`` it contributes what can be read of it, and Spark logs its name.
+    Compressed files cannot be split, so what is read is dealt out before anything expensive.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", damaged)
     lines = reader.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     return lines.filter(X.strip("line") != "")
 
@@ -139,3 +140,77 @@ def named_paths(specs: list[str]) -> dict[str, str]:
             unique = f"{name}_{k}"
         out[unique] = path
     return out
+
+
+def target_texts(rows: DataFrame, source_type: str, fields: tuple[str, ...] = ("target_text", "text")) -> DataFrame:
+    """(text, source_type): the first of the fields that a row has and that is not empty; rows without one go."""
+    return rows.select(X.pick_first(rows.columns, list(fields)).alias("text"), F.lit(source_type).alias("source_type")).filter("text <> ''")
+
+
+def categorised_texts(rows: DataFrame, default: str, category: str = "category", text: str = "text") -> DataFrame:
+    """(text, category): an empty or missing category is the default; rows without a text go."""
+    named = X.none_if_empty(X.strip(F.col(category))) if category in rows.columns else F.lit(None).cast("string")
+    return rows.select(X.strip(F.col(text)).alias("text"), F.coalesce(named, F.lit(default)).alias("category")).filter("text <> ''")
+
+
+def all_splits(splits: dict[str, DataFrame], wanted: str | None = None) -> DataFrame:
+    """One split, or all of them one after the other with the name of each row's split; a column that a split
+    lacks is null. An unknown split is an error that names the known ones."""
+    if wanted is not None and wanted not in splits:
+        raise ValueError(f"no split {wanted}: {', '.join(sorted(splits))}")
+    out = None
+    for name, rows in splits.items():
+        if wanted in (None, name):
+            rows = rows.withColumn("split", F.lit(name))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no splits")
+    return out
+
+
+def matching_paths(spark: SparkSession, folder: str, patterns: list[str]) -> list[str]:
+    """Files of a folder that match, in the order of the patterns, then of their names; each file once."""
+    jvm, found = spark._jvm, []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+        matches = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        found += sorted(str(m.getPath()) for m in matches if m.isFile())
+    return list(dict.fromkeys(found))
+
+
+def files_with_names(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """JSON lines of several files, with the name of each row's file as source_file."""
+    return spark.read.schema(schema).json(paths).withColumn("source_file", F.col("_metadata.file_name"))
+
+
+def tensor_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(key, idx, value) of the tensors of safetensors files, flattened in row-major order.
+
+    A file is a little-endian 64-bit header size, a JSON header of types, shapes and offsets, and the data. A file
+    is one task's, so it must be below 2 GiB; larger weights come in several files. Files of pickled objects are
+    not read, as reading them runs their code.
+    """
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pandas as pd
+
+        kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "u1"}
+        for batch in batches:
+            for raw in batch["content"]:
+                (size,) = struct.unpack_from("<Q", raw)
+                for key, about in json.loads(raw[8 : 8 + size]).items():
+                    if key == "__metadata__":
+                        continue
+                    begin, end = (8 + size + x for x in about["data_offsets"])
+                    if about["dtype"] == "BF16":  # the upper half of a 32-bit number
+                        values = (np.frombuffer(raw[begin:end], "<u2").astype(np.uint32) << 16).view(np.float32)
+                    elif about["dtype"] in kinds:
+                        values = np.frombuffer(raw[begin:end], kinds[about["dtype"]])
+                    else:
+                        raise ValueError(f"type {about['dtype']} of {key}")
+                    for at in range(0, len(values), 1 << 20):
+                        part = values[at : at + (1 << 20)]
+                        yield pd.DataFrame({"key": key, "idx": np.arange(at, at + len(part)), "value": part.astype(np.float64)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "key string, idx long, value double")

@@ -61,3 +61,24 @@ def latex_table(rows: DataFrame, columns: list[str], form: Callable[[object], st
     for r in rows.select(*columns).collect():
         lines.append(" & ".join("--" if v is None else form(v) for v in r) + r" \\")
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(columns)}}}", *lines, r"\end{tabular}"])
+
+
+def rewrite(rows: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> str:
+    """Replace what is at ``path`` and keep it as ``path.bak``, whose older content goes; returns that name.
+
+    The new rows are written beside it first, so they may be read from the path itself, and a failed write
+    leaves it as it was.
+    """
+    spark = rows.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    here, new, backup = fs_path(path), fs_path(f"{path}.new"), fs_path(f"{path}.bak")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    write(rows, str(new))
+    if fs.exists(here):
+        fs.delete(backup, True)
+        if not fs.rename(here, backup):
+            raise OSError(f"no backup of {path}")
+    if not fs.rename(new, here):
+        raise OSError(f"{path} could not be replaced; the new rows are in {new}")
+    return str(backup)
