@@ -6,10 +6,12 @@ one anchor gram can be judged together:
 
 1. Shards of documents send the grams that are anchors, under two hash functions, each with a digest of the
    stretch of text whose strings it anchors. Buckets answer which grams and which stretches occur twice.
-   Strings whose anchors occur once are unique; stretches that occur twice are repeated as a whole.
-2. What remains - stretches whose anchor occurs elsewhere in other surroundings - goes to shards by anchor.
-   Each sorts its stretches into a suffix array, takes common prefixes, and finds the repeated strings;
-   parts of a large shard are merged by binary search.
+   Strings whose anchors occur once are unique. Stretches that occur twice as a whole are copies: they are
+   counted here, by gram and digest, before anything is sorted.
+2. What remains - stretches whose anchor occurs elsewhere in other surroundings - goes to shards by anchor; those
+   of an anchor with very many surroundings are split by the bytes before and behind it, as a string of SIZE bytes
+   has at least CONTEXT of them on one side. Each shard sorts its stretches into a suffix array, takes common
+   prefixes, and finds the repeated strings; parts of a large shard are merged by binary search.
 3. The answers go back to the documents that wait for them.
 """
 
@@ -32,6 +34,11 @@ from .suffixes import repeated_starts
 SIZE = 200
 GRAM = 64
 WINDOW = SIZE - GRAM + 1
+#: Bytes that every string has before its anchor or behind it; surroundings that make an anchor hot.
+CONTEXT = (SIZE - GRAM) // 2
+HOT_ANCHOR = 1024
+#: Shuffled bytes of a task.
+TASK_BYTES = 32 << 20
 #: Text of a shard of documents; of a shard of stretches, and of one suffix array in it; anchors of a bucket.
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 50_000
@@ -214,30 +221,36 @@ def _ask(bits: int, text_col: str):
 
 
 _ASK_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())])
-REPEATED, ELSEWHERE = 1, 2
-
-
-def _answer(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """For each asked gram: is the stretch (kind 1: the gram) repeated; is the gram in other stretches too."""
-    bucket = key[0]
-    if bucket < 0:
-        return rows
-    counts = rows["n"].to_numpy()
-    grams = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(rows["payload"], counts)])
-    first = bucket % 2 == 0
-    digests = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(rows["payload"], counts)]) if first else np.zeros(len(grams), np.uint64)
-    twice = np.concatenate([np.frombuffer(p, bool, n, (16 if first else 8) * n) for p, n in zip(rows["payload"], counts)])
-    order = np.lexsort((digests, grams))
-    g, d = grams[order], digests[order]
-    new_gram = np.concatenate([[True], g[1:] != g[:-1]])
-    new_pair = new_gram | np.concatenate([[True], d[1:] != d[:-1]])
-    pair, gram = np.cumsum(new_pair) - 1, np.cumsum(new_gram) - 1
-    repeated = (np.bincount(pair, weights=1 + twice[order]) > 1)[pair]
-    elsewhere = (np.bincount(gram[new_pair]) > 1)[gram]
-    status = np.zeros(len(grams), np.uint8)
-    status[order] = REPEATED * repeated + ELSEWHERE * elsewhere
-    ends = np.cumsum(counts)
-    return pd.DataFrame({"bucket": bucket, "shard": rows["shard"].to_numpy(), "n": counts, "payload": [status[e - n : e].tobytes() for e, n in zip(ends, counts)]})
+REPEATED, ELSEWHERE, HOT = 1, 2, 4
+
+
+def _answer(hot_anchor: int):
+    """For each asked gram: is the stretch (kind 1: the gram) repeated; is the gram in other stretches too, or in
+    very many of them."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = key[0]
+        if bucket < 0:
+            return rows
+        counts = rows["n"].to_numpy()
+        grams = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(rows["payload"], counts)])
+        first = bucket % 2 == 0
+        digests = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(rows["payload"], counts)]) if first else np.zeros(len(grams), np.uint64)
+        twice = np.concatenate([np.frombuffer(p, bool, n, (16 if first else 8) * n) for p, n in zip(rows["payload"], counts)])
+        order = np.lexsort((digests, grams))
+        g, d = grams[order], digests[order]
+        new_gram = np.concatenate([[True], g[1:] != g[:-1]])
+        new_pair = new_gram | np.concatenate([[True], d[1:] != d[:-1]])
+        pair, gram = np.cumsum(new_pair) - 1, np.cumsum(new_gram) - 1
+        repeated = (np.bincount(pair, weights=1 + twice[order]) > 1)[pair]
+        surroundings = np.bincount(gram[new_pair])[gram]
+        elsewhere, hot = surroundings > 1, surroundings >= hot_anchor
+        status = np.zeros(len(grams), np.uint8)
+        status[order] = REPEATED * repeated + ELSEWHERE * elsewhere + HOT * hot
+        ends = np.cumsum(counts)
+        return pd.DataFrame({"bucket": bucket, "shard": rows["shard"].to_numpy(), "n": counts, "payload": [status[e - n : e].tobytes() for e, n in zip(ends, counts)]})
+
+    return run
 
 
 def _merge_spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -267,6 +280,20 @@ _WAIT = ["shard_", "row_", "raw_", "settled_", "waits_", "gram_", "stretch_", "s
 _WAIT_ARROW = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
 
+def _parts(block: Anchored, gram: np.uint64, anchor: int, lo: int, hi: int, hot: bool) -> list[tuple[int, int, int]]:
+    """(key of a shard, begin, end) of the strings that start from lo to hi: all of them by the gram or, if that is
+    hot, those with enough bytes before the anchor and the others, each by these bytes too."""
+    if not hot:
+        return [(int(gram.astype(np.int64)), lo, hi)]
+    parts = []
+    middle = min(max(anchor - CONTEXT + 1, lo), hi)
+    for side, (a, b), context in ((0, (lo, middle), anchor - CONTEXT), (1, (middle, hi), anchor + GRAM)):
+        if a < b:
+            name = gram.tobytes() + bytes([side]) + block.text[context : context + CONTEXT].tobytes()
+            parts.append((int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True), a, b))
+    return parts
+
+
 def _settle(carried: list[str], text_col: str, with_text: bool):
     """A shard with its answers: finished documents, waiting ones, and the stretches they wait for."""
 
@@ -315,20 +342,22 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
             likely = np.cumsum(likely) > 0
             for k in wanted:
                 lo, hi = int(runs["begin"][k]), int(runs["end"][k])
-                number = -1
-                if state[k] & REPEATED:  # settled, but others are compared with it: once is enough
+                settled = bool(state[k] & REPEATED)
+                if settled:  # but others are compared with it: once is enough
                     name = (int(runs["gram"][k]), int(runs["digest"][k]))
                     if name in sent_targets:
                         continue
                     sent_targets.add(name)
-                else:
-                    inside = np.flatnonzero(likely[lo:hi])
-                    if not len(inside):
-                        continue
-                    lo, hi = lo + int(inside[0]), lo + int(inside[-1]) + 1
-                    number = len(stretches)
-                    waits_of.setdefault(int(b.number[piece[k]]), []).append((number, lo + int(b.shift[piece[k]])))
-                stretches.append((int(runs["gram"][k].astype(np.int64)), number, b.text[lo : hi - 1 + SIZE].tobytes()))
+                for key, start, end in _parts(b, runs["gram"][k], int(runs["anchor"][k]), lo, hi, bool(state[k] & HOT)):
+                    number = -1
+                    if not settled:
+                        inside = np.flatnonzero(likely[start:end])
+                        if not len(inside):
+                            continue
+                        start, end = start + int(inside[0]), start + int(inside[-1]) + 1
+                        number = len(stretches)
+                        waits_of.setdefault(int(b.number[piece[k]]), []).append((number, start + int(b.shift[piece[k]])))
+                    stretches.append((key, number, b.text[start : end - 1 + SIZE].tobytes()))
         for k, text in enumerate(texts):
             own = np.array(spans_of.get(k, np.zeros((0, 2))), np.int64).reshape(-1, 2)
             spans = _merge_spans(own[:, 0], own[:, 1])
@@ -351,7 +380,7 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
     return run
 
 
-def _judge(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The repeated starts of the stretches of a content shard, for those who wait."""
     texts, which, times = np.unique(np.array(rows["stretch_text_"], object), return_inverse=True, return_counts=True)
     flags = repeated_starts(list(texts), SIZE, ARRAY_BYTES)
@@ -391,7 +420,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     strings do not reach over documents, and are judged on the input. So all copies of a passage go. Null
     texts are empty; texts under 200 bytes keep everything; repeated rows are copies; an empty table gives no
     rows. Kept columns may have any names but those of the results or names that end in an underscore. docs
-    must read alike twice (a stored table); a change between the reads is noticed and raises an error.
+    must read alike twice (a stored table); a change between the reads is noticed and raises an error. Texts of
+    any length are read whole, in overlapping pieces. Of several least grams of a string the first is the anchor.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
@@ -401,7 +431,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = min(24, max(6, (total * 2 // WINDOW // BUCKET_ANCHORS).bit_length()))
     narrow = docs.select(text_col)
-    answers = narrow.mapInArrow(_ask(bits, text_col), _MOVED).groupBy("bucket").applyInPandas(_answer, _MOVED)
+    # partitions follow the input, whatever the session's default is: no task reads more as the table grows
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    answers = narrow.mapInArrow(_ask(bits, text_col), _MOVED).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_answer(HOT_ANCHOR), _MOVED)
 
     def number(batches):
         for shard, first, part in _sharded(batches, text_col):
@@ -414,7 +446,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     own = chosen.select(*carried).schema
     result = StructType([*own, *StructType.fromDDL(_RESULT_DDL)])
     settled = StructType([*result, *StructType.fromDDL(_WAIT_DDL)])
-    rows = numbered.groupBy("shard_").cogroup(answers.withColumnRenamed("shard", "shard_").groupBy("shard_"))
+    replies = answers.withColumnRenamed("shard", "shard_").repartition(tasks, "shard_")
+    rows = numbered.repartition(tasks, "shard_").groupBy("shard_").cogroup(replies.groupBy("shard_"))
     stored = scratch.store(
         rows.applyInArrow(_settle(carried, text_col, with_text), settled),
         "settled",
@@ -426,9 +459,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
         return finished
     shards = max(1, -(-(stored.seen["stretch_bytes"] or 0) // STRETCH_SHARD_BYTES))
     stretches = stored.filter("stretch_ IS NOT NULL").select(F.pmod("gram_", F.lit(shards)).cast("int").alias("place"), "shard_", "stretch_", "stretch_text_")
-    replies = stretches.groupBy("place").applyInPandas(_judge, "shard_ long, stretch_ int, spans_ binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stored.seen["stretch_bytes"] or 0) // TASK_BYTES))
+    replies = stretches.repartition(parts, "place").groupBy("place").applyInPandas(_judge, "shard_ long, stretch_ int, spans_ binary")
     waiting = stored.filter("raw_ IS NOT NULL").select(*carried, "shard_", "raw_", "settled_", "waits_")
-    completed = waiting.groupBy("shard_").cogroup(replies.groupBy("shard_")).applyInArrow(_complete(carried, with_text), result)
+    completed = waiting.repartition(tasks, "shard_").groupBy("shard_").cogroup(replies.repartition(tasks, "shard_").groupBy("shard_")).applyInArrow(_complete(carried, with_text), result)
     return finished.unionByName(completed)
 
 

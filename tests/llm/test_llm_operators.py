@@ -195,6 +195,51 @@ def test_passages_equal_brute_force(spark, tmp_path):
     assert all(r.id == "clash" and r.n == 3 for r in got)
 
 
+@pytest.mark.parametrize("hot", [2, 20])
+def test_a_hot_line_in_many_surroundings(spark, tmp_path, monkeypatch, hot):
+    """A line that every third document has, in surroundings of its own or in shared ones, against brute force."""
+    monkeypatch.setattr(passages, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(passages, "STRETCH_SHARD_BYTES", 4000)
+    monkeypatch.setattr(passages, "ARRAY_BYTES", 2000)
+    rnd = random.Random(17)
+    own = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    line, before, behind = own(110), [own(60) for _ in range(3)], [own(90) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        text = own(rnd.randrange(250))
+        if i % 3 == 0:
+            text += rnd.choice([own(80), *before]) + line + rnd.choice([own(80), *behind, "", behind[0][:40] + own(60)])
+        rows.append((i, text + own(rnd.randrange(100))))
+    raws = [t.encode() for _, t in rows]
+    expected = {}
+    for (i, _), raw, flags in zip(rows, raws, brute_repeats(raws, passages.SIZE)):
+        covered = np.zeros(len(raw), bool)
+        for k in np.flatnonzero(flags):
+            covered[k : k + passages.SIZE] = True
+        expected[i] = bytes(b for b, c in zip(raw, covered) if not c)
+    assert any(len(expected[i]) < len(t) for i, t in enumerate(raws))
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    got = passages.remove_repeats(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == expected
+
+
+def test_parts_of_a_hot_stretch():
+    """Both sides of an anchor cover all strings once, and equal strings get equal keys."""
+    rnd = random.Random(2)
+    line = "".join(rnd.choices("abcd", k=600)).encode()
+    blocks = [passages.Anchored([(0, 0, b"x" * shift + line)]) for shift in (0, 37)]
+    keys = []
+    for block, shift in zip(blocks, (0, 37)):
+        found = {}
+        for k in range(len(block.first["gram"])):
+            lo, hi = int(block.first["begin"][k]), int(block.first["end"][k])
+            parts = passages._parts(block, block.first["gram"][k], int(block.first["anchor"][k]), lo, hi, True)
+            assert [x for _, a, b in parts for x in range(a, b)] == list(range(lo, hi))
+            found |= {x - shift: key for key, a, b in parts for x in range(a, b)}
+        keys.append(found)
+    assert all(keys[0][x] == keys[1][x] for x in range(401))
+
+
 def test_passages_at_the_edges_of_texts(spark, tmp_path):
     """Copies whose stretches differ only by what follows or precedes: once cut to what is likely, they can be one text."""
     rnd = random.Random(7)
