@@ -11,7 +11,7 @@ import array
 import base64
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -29,9 +29,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.fast = None
         ranks_path = re.sub(r"\.json$", ".tiktoken", path)
         if ranks_path != path and os.path.exists(ranks_path):
@@ -42,6 +40,13 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Read when a text needs it: beside the ranks it would double a worker's memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -58,6 +63,8 @@ class Encoder:
             special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
             # Byte-level pieces spell every byte as one character; special tokens are plain text.
             self._lengths = np.array([len(p.encode()) if i in special else len(p) for i, p in enumerate(pieces)], np.int64)
+            if self.fast is not None:
+                del self.tokenizer
         return self._lengths
 
 

@@ -37,8 +37,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-#: Deletes the shuffle files of a query when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: delete the shuffle files of its query when that ends, and send texts to Python workers
+#: in small batches, as a batch is held by the worker and, more than once, by its executor.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": f"{8 << 20}b",
+}
+
+
+#: All scratch folders of this process, in the order in which they were opened.
+opened: list[Scratch] = []
 
 
 class Scratch:
@@ -50,25 +58,37 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/lexiforge-{name}-{uuid.uuid4().hex}"
         self._n = itertools.count()
+        opened.append(self)
 
     def store(self, df: DataFrame, name: str, *measures: Column) -> DataFrame:
         """Write df and return it as read back. Its attribute ``seen`` has the number of rows as ``n_rows``
         and the given aggregates, observed while it was written."""
         path = f"{self.root}/{next(self._n):03d}-{name}"
         seen = Observation()
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+        before = {name: self.spark.conf.get(name) for name in _WHILE_WRITING}
         try:
+            for name, value in _WHILE_WRITING.items():
+                self.spark.conf.set(name, value)
             df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *measures).write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         stored = self.spark.read.schema(df.schema).parquet(path)
         stored.scratch_path, stored.seen = path, seen.get
         return stored
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a stored table that nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete stored tables that nothing will read again."""
+        for df in tables:
+            self._delete(df.scratch_path)
+
+    def close(self) -> None:
+        """Delete all tables of this folder, which nothing will read again."""
+        self._delete(self.root)
+        opened.remove(self)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

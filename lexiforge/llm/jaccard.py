@@ -485,15 +485,16 @@ def _links(found: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = whole.groupBy("p").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("settled")).filter("lo <> hi AND NOT settled").select("p")
     rows = scratch.store(_differences(whole.filter("u <> p").join(mixed, "p", "left_semi").select("u", "p", "linked", "component"), nodes), "differences")
     if not rows.seen["n_rows"]:
+        scratch.drop(nodes, compared, rows)
         return labels
     others = rows.select("p", "token", *(F.col(c).alias(f"{c}_v") for c in rows.columns if c not in ("p", "token")))
     new = (F.col("component") != F.col("component_v")) & (~F.col("outside_v") | (F.col("u") < F.col("u_v")))
     pairs = rows.filter("outside").join(others, ["p", "token"]).filter(new & _may_link())
     pairs = pairs.select(F.col("u"), F.col("u_v").alias("p")).distinct()
     more = scratch.store(_compared(pairs, nodes).filter("linked"), "more")
-    if not more.seen["n_rows"]:
-        return labels
-    return components(links.unionByName(more.select("u", F.col("p").alias("v"))), scratch)
+    found = components(links.unionByName(more.select("u", F.col("p").alias("v"))), scratch) if more.seen["n_rows"] else labels
+    scratch.drop(nodes, compared, rows, more)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:

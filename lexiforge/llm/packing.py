@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY = 1024
@@ -233,6 +233,7 @@ def _cut(path: str, capacity: int, eos: int):
                     ordinals[size] = ordinal + 1
                     out.append((i, start, size, zlib.crc32(raw), raw, n, part, ordinal))
             yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "ids", "doc_tokens", "part", "ordinal"])
+        tidy()
 
     return run
 

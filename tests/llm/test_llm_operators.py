@@ -728,3 +728,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(texts[1]) == len({c for _, c in expected.values()})
     assert texts[2].keys() == texts[1].keys() and shared not in texts[2][51] and texts[2][51].endswith(" ".join(words(30, 80)))
     assert pd.DataFrame(docs.collect(), columns=docs.columns).groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_of_empty_tables_and_null_ids(spark, tmp_path):
+    """The whole run over no rows, and over null ids, repeated rows and clashing columns."""
+    import corpus_pipeline
+    from lexiforge.llm import common
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, rank int, kept string"
+    rows = [(None, "lo can manja lo pan de l'ostal", None, "s", 30, "x", 1, None), (None, "lo can manja lo pan de l'ostal", None, "s", 30, "x", 1, None), (3, None, "oc", None, None, None, None, None), (4, "123", "oc", "s", 3, None, None, "k")]
+    for name, held in (("none", []), ("some", rows)):
+        folder = tmp_path / name
+        spark.createDataFrame(held, schema).write.parquet(str(folder / "documents.parquet"))
+        before = len(common.opened)
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(common.opened) == before + 1 and len({r.doc_id for r in got}) == len(got) == len(held[:1])
