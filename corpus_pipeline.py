@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import jaccard, langid, packing, passages
-from lexiforge.llm.common import Scratch, ship_code
+from lexiforge.llm.common import Scratch, opened, ship_code
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from a bounded sample of the labelled documents and only fills in what is missing; its
     scores reject nothing, so junk of letters in no learned language stays. If none is labelled, there is
-    nothing to learn, and the same texts go.
+    nothing to learn, and the same texts go. Whole texts are read, however long; of languages that score alike the
+    first by name fills in; repeated rows are treated alike; an empty table stays empty; columns may have any names.
     """
     model = langid.train(docs)
     if model is None:
@@ -63,7 +64,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids, ready for training."""
+    """Sequences of token ids, ready for training: a row for each piece of a document. Null texts count as empty,
+    and null ids stay null; very long texts are cut into full sequences and a rest; repeated rows are packed as
+    often as they occur; an empty table gives no rows; other columns are not looked at."""
     packed = packing.pack_documents(docs)
     return packed.withColumnRenamed("id", "doc_id")
 
@@ -80,8 +83,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. Each result is a table in the shared folder; once it is written, the one before it and
+    what the stage's operator has stored on the way are deleted."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
+        first = len(opened)
         docs = scratch.store(stage(spark, docs, sf_dir), name)
+        for other in opened[first:]:
+            other.close()
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
