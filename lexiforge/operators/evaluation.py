@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 from ..functions.shipping import ship_code
+from . import sampling
 
 BETA2 = 4.0
 CHAR_ORDERS, WORD_ORDERS = 6, 2
@@ -257,6 +258,5 @@ def suffix_losses(pairs: DataFrame, keys: list[str], prefix: str, suffix: str, m
 
 def running_accuracy(rows: DataFrame, group: str, order: str, right: str, every: int) -> DataFrame:
     """Accuracy so far within a group, at every ``every``-th row."""
-    w = Window.partitionBy(group).orderBy(order)
-    counted = rows.withColumn("seen", F.row_number().over(w)).withColumn("accuracy", F.avg(F.col(right).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.filter(F.col("seen") % every == 0).select(group, "seen", "accuracy")
+    counted = sampling.running(rows, group, [order], {"seen": F.lit(1), "_right": F.col(right).cast("double")})
+    return counted.filter(F.col("seen") % every == 0).select(group, F.col("seen").cast("int").alias("seen"), (F.col("_right") / F.col("seen")).alias("accuracy"))

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 
 def gate_means(gates: DataFrame, expert: str, layer: str, mode: str, value: str) -> DataFrame:
     """Event-weighted means by expert, by layer and expert, and by mode and expert, in one pass."""
-    gates.createOrReplaceTempView("_gates")
-    return gates.sparkSession.sql(
-        f"""SELECT {layer}, {mode}, {expert}, avg({value}) AS mean, count(*) AS n FROM _gates
-        GROUP BY GROUPING SETS (({expert}), ({layer}, {expert}), ({mode}, {expert}))"""
-    )
+    sets = [[F.col(expert)], [F.col(layer), F.col(expert)], [F.col(mode), F.col(expert)]]
+    return gates.groupingSets(sets, layer, mode, expert).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def dominant(means: DataFrame, group: list[str], expert: str, value: str, collapse: float = 0.8) -> DataFrame:

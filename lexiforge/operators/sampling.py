@@ -8,29 +8,59 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-RANGES, SAMPLE = 128, 4096
+#: Ranges of keys, as many as the session has shuffle partitions within these limits; rows of the sample that bounds them.
+RANGES, MOST_RANGES, SAMPLE = 128, 512, 8192
 
 
-def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
-    """Adds the place of each row in the order, from 0; also returns the number of rows.
+def _ranged(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """Adds _range, the number of the range of keys that a row is in; also returns how many there are.
 
-    Rows go to ranges of keys with bounds from a fixed sample; each range is numbered by itself, from the count
-    of the rows before it, so no task holds all of them. rows must read alike twice.
+    The bounds come from a sample of fixed size, the rows that a hash of the keys puts first: they decide how even
+    the ranges are, not what comes out.
     """
+    wanted = min(MOST_RANGES, max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kinds = [rows.schema[c].dataType for c in order]
     sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).orderBy(*order).collect()
-    held = sorted({len(sample) * k // RANGES for k in range(1, RANGES)} - {0})
+    held = sorted({len(sample) * k // wanted for k in range(1, wanted)} - {0})
     bounds = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, kind, c in zip(sample[k], kinds, order))) for k in held]
     key = F.struct(*order)
     place = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    ranged = rows.withColumn("_range", place)
+    return rows.withColumn("_range", place), len(bounds) + 1
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """Adds the place of each row in the order, from 0; also returns the number of rows.
+
+    Each range of keys is numbered by itself, from the count of the rows before it, so no task holds all of
+    them. rows must read alike twice.
+    """
+    ranged, n_ranges = _ranged(rows, list(order))
     counts = dict(ranged.groupBy("_range").count().collect())
-    starts = [sum(n for r, n in counts.items() if r < k) for k in range(len(bounds) + 1)]
+    starts = [sum(n for r, n in counts.items() if r < k) for k in range(n_ranges)]
     start = F.element_at(F.array(*(F.lit(n).cast("long") for n in starts)), F.col("_range") + 1)
     found = ranged.withColumn(name, start + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
     return found.drop("_range"), sum(counts.values())
 
 
+def running(rows: DataFrame, group: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums within each group, the row itself included; the order must be unique within a group.
+
+    Sums run within ranges of keys, from the totals of the group's ranges before: no task holds a whole group.
+    """
+    ranged, _ = _ranged(rows.withColumn("_g", _group_key(group)), ["_g", *order])
+    totals = ranged.groupBy("_g", "_range").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_g", "_range", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
+    inside = Window.partitionBy("_g", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = ranged.withColumns({f"_h_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(starts, ["_g", "_range"])
+    return here.select(*(F.col(c) for c in rows.columns), *((F.col(f"_h_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums))
+
+
+def _group_key(group: str) -> Column:
+    """A group's value as a string; a null is a group too."""
+    return F.concat(F.when(F.col(group).isNull(), "n").otherwise("v"), F.coalesce(F.col(group).cast("string"), F.lit("")))
+
+
 def shuffled(rows: DataFrame, seed, *keys: str) -> DataFrame:
     return rows.orderBy(X.seeded_hash(seed, *keys), *keys)
 
@@ -45,8 +75,7 @@ def _ranked(rows: DataFrame, group: str, seed, keys) -> DataFrame:
     Rows are ranked within cells of their hash, from the number of rows in the cells before: counts travel, and
     no task holds a whole group.
     """
-    name = F.concat(F.when(F.col(group).isNull(), "n").otherwise("v"), F.coalesce(F.col(group).cast("string"), F.lit("")))
-    hashed = rows.withColumn("_h", X.seeded_hash(seed, *keys)).withColumn("_g", name).withColumn("_cell", F.substr("_h", F.lit(1), F.lit(CELL_DIGITS)))
+    hashed = rows.withColumn("_h", X.seeded_hash(seed, *keys)).withColumn("_g", _group_key(group)).withColumn("_cell", F.substr("_h", F.lit(1), F.lit(CELL_DIGITS)))
     cells = hashed.groupBy("_g", "_cell").agg(F.count("*").alias("_c"))
     whole = Window.partitionBy("_g")
     cells = cells.select("_g", "_cell", F.sum("_c").over(whole).alias("_n"), (F.sum("_c").over(whole.orderBy("_cell")) - F.col("_c")).alias("_before"))

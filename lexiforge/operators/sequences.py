@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
+from . import sampling
 
 IGNORE = -100
 Tokenizer = Callable[[Column], Column]
@@ -79,8 +80,8 @@ def sliding_windows(items: DataFrame, total: str, stride: int, length: int) -> D
 
 def packed(rows: DataFrame, group: str, order: str, size: str, capacity: int) -> DataFrame:
     """Adds sequence: consecutive rows of a group share one as their running size passes each multiple of capacity."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("sequence", F.floor(F.coalesce(before, F.lit(0)) / capacity).cast("long"))
+    summed = sampling.running(rows, group, [order], {"_upto": F.col(size)})
+    return summed.withColumn("sequence", F.floor((F.col("_upto") - F.col(size)) / capacity).cast("long")).drop("_upto")
 
 
 def prefix_stream(lines: DataFrame, doc: str, line_no: str, text: str, prefix_size: int, separator_size: int) -> DataFrame:
