@@ -74,22 +74,24 @@ def layer_picks(rows: DataFrame, name: str, mode: str) -> DataFrame:
     return numbered.groupBy(mode).agg(F.max("layer").alias("deepest"), F.min("layer").alias("shallowest"))
 
 
-def parse_trace(lines: DataFrame, line_no: str, text: str) -> DataFrame:
+def parse_trace(lines: DataFrame, line_no: str, text: str, trace: str | None = None) -> DataFrame:
     """Routing rows of a printed trace: case, layer, mode, row, token, and the gates as an array.
 
     Headers carry forward over lines; a mode line begins a new case. The last three fields of a row, split at
-    "|" from the right, are numbers; a line that has none is no row.
+    "|" from the right, are numbers; a line that has none is no row. With ``trace``, the name of the file that a
+    line is from, files are parsed side by side and each row keeps its name; without, the lines are one file.
     """
-    w = Window.orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)  # one trace file
+    file = [trace] if trace else []
+    w = Window.partitionBy(*file).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
     mode = F.nullif(F.regexp_extract(text, r"(?i)^\s*mode\s*[:=]\s*(\S+)", 1), F.lit(""))
     case = F.nullif(F.regexp_extract(text, r"(?i)^\s*case\s*[:=]\s*(.+?)\s*$", 1), F.lit(""))
     layer = F.nullif(F.regexp_extract(text, r"Showing Probabilities for Layer:\s*(\S+)", 1), F.lit(""))
     pattern = r"^(.*)\|([^|]*)\|([^|]*)\|([^|]*)$"
     marked = lines.withColumn("mode", F.last(mode, ignorenulls=True).over(w)).withColumn("layer", F.last(layer, ignorenulls=True).over(w)).withColumn("_modes", F.count(mode).over(w))
-    within = Window.partitionBy("_modes").orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*file, "_modes").orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("case", F.coalesce(F.last(case, ignorenulls=True).over(within), F.lit("French")))
     gates = F.array(*(F.expr(f"try_cast(trim(regexp_extract({text}, '{pattern}', {k})) AS double)".replace("\\", "\\\\")) for k in (2, 3, 4)))
     rows = marked.withColumn("token", F.trim(F.regexp_extract(text, pattern, 1))).withColumn("gates", gates)
     rows = rows.filter(F.col("layer").isNotNull() & F.col(text).rlike(pattern) & ~F.exists("gates", lambda g: g.isNull()))
-    place = F.row_number().over(Window.partitionBy("mode", "case", "layer").orderBy(line_no)) - 1
-    return rows.withColumn("row", place).select("mode", "case", "layer", "row", "token", "gates")
+    place = F.row_number().over(Window.partitionBy(*file, "mode", "case", "layer").orderBy(line_no)) - 1
+    return rows.withColumn("row", place).select(*file, "mode", "case", "layer", "row", "token", "gates")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import cleaning, dedup, joins, sampling, sequences, statistics
+from ..operators import cleaning, dedup, generation, joins, sampling, sequences, statistics
+from ..sources import readers
 from .tables import sql_hash, sql_index, squash, strip, table
 
 QUERIES: dict = {}
@@ -331,3 +332,59 @@ def token_texts(spark, d):
     pairs = F.regexp_extract_all(F.hex(F.encode("role", "UTF-8")), F.lit(".."), F.lit(0))
     tokens = sequences.token_texts(F.transform(pairs, F.unhex))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tokens, " ").alias("tokens"))
+
+
+@query(
+    "label_forms",
+    """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug, CASE WHEN length(p_name) > 11 THEN substr(p_name, 1, 11) || '...' ELSE p_name END AS short,
+      upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS capital, replace(p_name, ' ', chr(10)) AS unescaped, p_name AS inside, (ceil(p_size / 64.0) * 64)::BIGINT AS aligned, p_name || chr(10) || 'x' AS lines FROM part""",
+)
+def label_forms(spark, d):
+    fenced = F.concat(F.lit("```json\n"), "p_name", F.lit("\n```"))
+    return table(spark, d, "part").select(
+        "p_partkey", X.slug("p_name").alias("slug"), X.shorten("p_name").alias("short"), X.capitalize("p_name").alias("capital"),
+        X.unescape(F.replace("p_name", F.lit(" "), F.lit(r"\n"))).alias("unescaped"), X.strip_code_fence(fenced).alias("inside"), X.aligned_size("p_size").alias("aligned"),
+        X.line_key(F.concat(F.lit(" "), "p_name", F.lit("\r\nx "))).alias("lines"),
+    )
+
+
+@query("ordered_batches", "SELECT (k // 50)::BIGINT AS batch, string_agg(doc_id, ' ' ORDER BY k) AS ids FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels) GROUP BY 1")
+def ordered_batches(spark, d):
+    placed, _ = sampling.numbered(table(spark, d, "labels").select("doc_id"), "k", "doc_id")
+    found = generation.batches(placed, "k", "doc_id", 50)
+    return found.select(F.col("batch").cast("long").alias("batch"), F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("ids"))
+
+
+@query("json_explode", "SELECT conv_id, turn, unnest([role, 'x']) AS \"A\", unnest(['y', text]) AS \"B\" FROM conversations")
+def json_explode(spark, d):
+    pairs = F.array(F.struct(F.col("role").alias("A"), F.lit("y").alias("B")), F.struct(F.lit("x").alias("A"), F.col("text").alias("B")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.to_json(pairs).alias("j"))
+    return generation.flattened(rows, "j", "A:string,B:string").select("conv_id", "turn", "A", "B")
+
+
+@query("json_objects", "SELECT props || '' AS \"object\", true AS ok FROM events UNION ALL SELECT '{\"n\":' || event_id || '}', true FROM events UNION ALL SELECT '{broken', false FROM events WHERE event_id % 10 = 0".replace("props || ''", "replace(props, ' ', '')"))
+def json_objects(spark, d):
+    """Two objects on every line, and something broken behind some of them."""
+    rest = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise("")
+    lines = table(spark, d, "events").select(F.concat("props", F.lit(' {"n": '), "event_id", F.lit("}"), rest).alias("line"))
+    found = readers.split_objects(lines)
+    return found.select(F.replace("object", F.lit(" "), F.lit("")).alias("object"), "ok")
+
+
+@query("fallback_targets", f"SELECT coalesce(nullif({strip('a')}, ''), {strip('text')}) AS text, 'flores' AS source_type FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN role END AS a FROM conversations) WHERE coalesce(nullif({strip('a')}, ''), {strip('text')}) NOT IN ('', 'nan')")
+def fallback_targets(spark, d):
+    rows = table(spark, d, "conversations").withColumn("target_text", F.when(F.col("turn") % 2 == 0, F.col("role")))
+    return readers.target_texts(rows, "flores")
+
+
+@query("default_categories", f"SELECT {strip('text')} AS text, CASE WHEN turn % 3 = 0 THEN role ELSE 'stress' END AS category FROM conversations WHERE {strip('text')} <> ''")
+def default_categories(spark, d):
+    rows = table(spark, d, "conversations").withColumn("category", F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, " "))
+    return readers.categorised_texts(rows, "stress")
+
+
+@query("split_concat", "SELECT o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'dev' ELSE 'test' END AS split FROM orders")
+def split_concat(spark, d):
+    orders = table(spark, d, "orders")
+    parts = {name: orders.filter(keep).select("o_orderkey", "o_totalprice") for name, keep in (("train", "o_orderstatus = 'F'"), ("dev", "o_orderstatus = 'O'"), ("test", "o_orderstatus NOT IN ('F', 'O')"))}
+    return readers.all_splits(parts)

@@ -209,3 +209,27 @@ def failed_tokens(spark, d):
 def expert_selector(spark, d):
     given = F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).when((F.col("event_id") % 3 == 1) & (F.col("event_type") == "click"), "1").otherwise(F.concat(F.lit(" "), "event_type"))
     return table(spark, d, "events").select("event_id", X.expert_index(given, ["view", "click", "error", "signup", "purchase"]).alias("expert"))
+
+
+_TRACE = """(SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'mode: ' || CASE WHEN event_id % 2 = 0 THEN 'token' ELSE 'sequence' END WHEN 'purchase' THEN 'Showing Probabilities for Layer: layers.' || (event_id % 3)
+  WHEN 'error' THEN 'case: Catalan ' || (event_id % 2) WHEN 'view' THEN 'to|k' || event_id || ' | 0.5 | 0.25 | 0.25' ELSE 'no row | x | y | z' END AS t FROM events)"""
+
+
+@query(
+    "routing_trace_parse",
+    f"""WITH a AS (SELECT *, CASE WHEN t LIKE 'mode: %' THEN substr(t, 7) END AS m, CASE WHEN t LIKE 'case: %' THEN substr(t, 7) END AS c, CASE WHEN t LIKE 'Showing%' THEN substr(t, 34) END AS l FROM {_TRACE}),
+    b AS (SELECT *, last_value(m IGNORE NULLS) OVER w AS mode, last_value(l IGNORE NULLS) OVER w AS layer, count(m) OVER w AS k FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY user_id, k ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'French') AS "case" FROM b)
+    SELECT user_id, mode, "case", layer, (row_number() OVER (PARTITION BY user_id, mode, "case", layer ORDER BY event_id) - 1)::INT AS "row", 'to|k' || event_id AS token, '0.5 0.25 0.25' AS gates FROM d WHERE layer IS NOT NULL AND t LIKE 'to|%'""",
+)
+def routing_trace_parse(spark, d):
+    e, n = F.col("event_type"), F.col("event_id")
+    text = (
+        F.when(e == "signup", F.concat(F.lit("mode: "), F.when(n % 2 == 0, "token").otherwise("sequence")))
+        .when(e == "purchase", F.concat(F.lit("Showing Probabilities for Layer: layers."), n % 3))
+        .when(e == "error", F.concat(F.lit("case: Catalan "), n % 2))
+        .when(e == "view", F.concat(F.lit("to|k"), n, F.lit(" | 0.5 | 0.25 | 0.25")))
+        .otherwise("no row | x | y | z")
+    )
+    found = routing.parse_trace(table(spark, d, "events").select("user_id", "event_id", text.alias("t")), "event_id", "t", "user_id")
+    return found.withColumn("gates", F.array_join(F.transform("gates", lambda g: g.cast("string")), " "))
