@@ -81,7 +81,8 @@ def count_tokens(docs: DataFrame, fields: list[str], id_col: str = "doc_id", rul
     the row from 0; start and end are characters of the joined document. Null fields count as empty; an
     empty part has no tokens and keeps its row. A row whose fields are all empty and need no line feed
     gives one empty part. Rows are independent, repeated ones repeat their result, and an empty table
-    gives none. Columns not named are not looked at.
+    gives none. Null ids stay null; very long texts are encoded whole; of sections that hold as much of a token
+    the earlier one gets it. Columns not named are not looked at.
     """
     if rule not in RULES or sections not in ("fields", "lines"):
         raise ValueError("rule or sections")

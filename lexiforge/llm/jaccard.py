@@ -442,7 +442,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id gets its component's smallest id, if any. An empty table gives no rows. Other columns are not
     looked at. docs should be a stored table, so that a repeated task reads its rows in the same order.
     Very long texts are read whole, in blocks of their own. Ties do not arise: every pair that links counts.
-
     Sets are compared by fingerprints of 46 to 64 bits: 40, and those of the bucket, whose number follows the
     input. A token that meets an unlike one of the same fingerprint (with 10**8 distinct tokens in 47 bits about
     one in 1.4 million) counts as shared, which can move a pair's overlap by one.

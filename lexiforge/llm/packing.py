@@ -103,8 +103,8 @@ def solve_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, pool:
     return [(basis[:, j], float(uses[j])) for j in range(len(lengths)) if uses[j] > 1e-9]
 
 
-def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[tuple, int]:
-    """Pack what rounding left: the longest first, each into the fullest sequence with room."""
+def _longest_first(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[tuple, int]:
+    """Pack what rounding left: a sequence takes the longest that still fit, and is repeated while the counts last."""
     packed: dict[tuple, int] = {}
     left = left.astype(np.int64).copy()
     order = np.argsort(-lengths)
@@ -144,7 +144,7 @@ class Plan:
 def _choose_fillers(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each length to cut up: about as many tokens as uncut packing would waste, longest first."""
     tokens = int((lengths * counts).sum())
-    waste = capacity * sum(_best_fit(lengths, counts, capacity).values()) - tokens
+    waste = capacity * sum(_longest_first(lengths, counts, capacity).values()) - tokens
     wanted = math.ceil(tokens * waste / (tokens + waste)) if waste else 0
     chosen = np.zeros_like(counts)
     for i in np.argsort(-lengths):
@@ -156,11 +156,12 @@ def _choose_fillers(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> n
 
 
 def _rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, int]:
-    """Whole uses of patterns: the linear program's, rounded down, and best-fit for what is left.
+    """Whole uses of patterns: the linear program's, rounded down, and longest-first for what is left.
 
-    Best-fit patterns also seed the program; where they alone need fewer sequences, they are the answer.
+    Longest-first patterns also seed the program; where they alone need fewer sequences than the rounded program
+    (which can be, as rounding loses up to a sequence a pattern), they are the answer.
     """
-    simple = _best_fit(lengths, counts, capacity)
+    simple = _longest_first(lengths, counts, capacity)
     pool = np.zeros((len(lengths), len(simple)))
     for j, key in enumerate(simple):
         for i, n in key:
@@ -175,7 +176,7 @@ def _rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
             key = tuple((int(i), int(times_each[i])) for i in np.flatnonzero(held))
             whole[key] = whole.get(key, 0) + times
             left -= times_each * times
-    for key, times in _best_fit(lengths, left, capacity).items():
+    for key, times in _longest_first(lengths, left, capacity).items():
         whole[key] = whole.get(key, 0) + times
     return whole if sum(whole.values()) <= sum(simple.values()) else simple
 
@@ -265,8 +266,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ids: the piece's ids as little-endian 32-bit integers; a reader that leaves the column out has it
     pruned from the scan. A null or empty text is the end id alone. Equal texts are packed as often as
-    they occur. An empty table gives no rows. Columns other than the two named are not looked at. Null
-    ids are kept as null. Full pieces have sequences from 2**40 on, by task; mixed ones count from 0.
+    they occur. A very long text is cut into full sequences and a rest; rests of equal length take ranks by task and
+    order. An empty table gives no rows. Columns other than the two named are not looked at. Null ids are kept as
+    null. Full pieces have sequences from 2**40 on, by task; mixed ones count from 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")

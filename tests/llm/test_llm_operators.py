@@ -743,3 +743,28 @@ def test_pipeline_of_empty_tables_and_null_ids(spark, tmp_path):
         before = len(common.opened)
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert len(common.opened) == before + 1 and len({r.doc_id for r in got}) == len(got) == len(held[:1])
+
+
+def test_jaccard_and_packing_of_odd_rows(spark):
+    """Null ids, repeated rows, very long texts, clashing columns."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, "un dos tres quatre cinc sèis"), (7, "un dos tres quatre cinc sèis"), (7, "un dos tres quatre cinc sèis"), (8, long), (9, long + " fin"), (10, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, 5, 6, b"x") for i, t in rows], "doc_id long, text string, component_id int, n int, tokens binary").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(0, 2, 7), (7, 2, 7), (7, 2, 7), (8, 59_996, 8), (9, 59_997, 8), (10, 0, 10), (0, 0, None)], key=str)
+    clash = docs.withColumnRenamed("n", "length").withColumnRenamed("component_id", "sequence_id")
+    packed = packing.pack_documents(clash).toPandas()
+    assert packed[packed.id.isna()].length.sum() == packed[packed.id == 7].length.sum() // 2 + 1
+    assert packed[packed.id == 8].length.sum() == packed[packed.id == 8].doc_tokens.iloc[0] and packed.groupby("sequence_id").length.sum().max() == 1024
+
+
+def test_hot_tokens_stay_in_their_shard(spark):
+    """A line that every text has is counted for its shard at once; components are those of brute force."""
+    rnd = random.Random(21)
+    line = " ".join(words(77, 12))
+    rows = []
+    for i in range(160):
+        own = " ".join(f"{i}q{rnd.randrange(10**6)}" for _ in range(rnd.choice([1, 2, 30])))
+        rows.append((i, f"{line} {own}"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents(spark, rows).coalesce(1)).collect()}
+    assert got == brute_components(rows)
