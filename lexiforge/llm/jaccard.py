@@ -455,10 +455,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.store(moved.groupBy("shard").applyInPandas(_assemble, _NODES), "documents")
     links = _links(found, scratch)
     members = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name"))
-    labels = links.select(F.col("node").alias("name"), "component")
-    labelled = members.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(smallest, "component", "left").select(
+    # the least id of each component, by way of the distinct sets: rows of copies are summed up before they travel
+    sets = members.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
+    named = sets.join(links.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answers = named.join(smallest, "component").select("name", "component_id")
+    return members.join(answers, "name", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
