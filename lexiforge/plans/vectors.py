@@ -46,16 +46,19 @@ def vector_stats(spark, d):
 
 @query(
     "ties_merge",
-    f"""WITH m AS (SELECT 'w' AS key, label::VARCHAR AS model, idx, avg(value) AS value FROM {_LONG} WHERE label IN (0, 1) GROUP BY label, idx),
-    k AS (SELECT *, count(*) OVER (PARTITION BY model) AS n, row_number() OVER (PARTITION BY model ORDER BY abs(value) DESC, idx) AS r FROM m),
-    t AS (SELECT idx, CASE WHEN r <= greatest(floor(n * 0.2), 1) THEN value ELSE 0 END AS value, CASE model WHEN '0' THEN 0.3 ELSE 0.7 END AS w FROM k),
-    s AS (SELECT *, sign(sum(value * w) OVER (PARTITION BY idx)) AS sg FROM t)
-    SELECT idx::INT AS idx, round(coalesce(sum(value * w) FILTER (sign(value) = sg AND value <> 0), 0) / (CASE WHEN coalesce(sum(w) FILTER (sign(value) = sg AND value <> 0), 0) = 0 THEN 1 ELSE sum(w) FILTER (sign(value) = sg AND value <> 0) END), 6) AS value FROM s GROUP BY idx""",
+    f"""WITH m AS (SELECT (vec_id % 2)::VARCHAR AS key, label::VARCHAR AS model, idx, avg(value) AS value FROM {_LONG} GROUP BY vec_id % 2, label, idx),
+    k AS (SELECT *, count(*) OVER (PARTITION BY key, model) AS n, row_number() OVER (PARTITION BY key, model ORDER BY abs(value) DESC, idx) AS r FROM m),
+    t AS (SELECT key, idx, CASE WHEN r <= greatest(floor(n * 0.2), 1) THEN value ELSE 0 END AS value, (model::INT + 1) / 10.0 AS w FROM k),
+    s AS (SELECT *, sign(sum(value * w) OVER (PARTITION BY key, idx)) AS sg FROM t)
+    SELECT key, idx::INT AS idx, round(coalesce(sum(value * w) FILTER (sign(value) = sg AND value <> 0), 0) / (CASE WHEN coalesce(sum(w) FILTER (sign(value) = sg AND value <> 0), 0) = 0 THEN 1 ELSE sum(w) FILTER (sign(value) = sg AND value <> 0) END), 6) + 0.0 AS value FROM s GROUP BY key, idx""",
 )
 def ties_merge(spark, d):
-    means = vectors.mean_vectors(table(spark, d, "embeddings").filter("label IN (0, 1)"), "label", "embedding")
-    parts = means.select(F.lit("w").alias("key"), F.col("label").cast("string").alias("model"), "idx", "value")
-    return vectors.ties_merge(parts, "key", "model", {"0": 0.3, "1": 0.7}, 0.2).select("idx", F.round("value", 6).alias("value"))
+    """Every label is a model and weighs by its number; even and odd vectors are two keys."""
+    rows = table(spark, d, "embeddings").withColumn("part", F.concat_ws(":", F.col("vec_id") % 2, "label"))
+    part = F.split("part", ":")
+    parts = vectors.mean_vectors(rows, "part", "embedding").select(part[0].alias("key"), part[1].alias("model"), "idx", "value")
+    weights = {str(r["label"]): (r["label"] + 1) / 10 for r in rows.select("label").distinct().collect()}
+    return vectors.ties_merge(parts, "key", "model", weights, 0.2).select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
