@@ -28,7 +28,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 #: Words of class and id names of what surrounds an article.
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising advertorial adsense adslot sponsor sponsored promo promos"
-    " promotion banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars rail aside header footer"
+    " promotion banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars rail aside footer"
     " masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup popover modal overlay lightbox newsletter subscribe"
     " subscription signup login signin register share sharing social related recommended recommendation recommendations teaser"
     " teasers comment comments commentlist disqus discussion respond reply replies pagination pager skip widget widgets copyright"
@@ -37,9 +37,11 @@ _NOISE = frozenset(
 #: Words that say nothing about what a name stands for: a name of noise words and these is noise.
 _NEUTRAL = frozenset(
     "site global main primary secondary left right top bottom upper lower center middle side box block area list wrapper wrap container"
-    " inner outer bar panel slot unit item items section group row col column grid layout links link post posts stories thread form text"
+    " inner outer bar panel slot unit item items section group row col column grid layout links link posts stories thread form text"
     " user reader bottom sticky fixed mobile desktop small large big new more js c m s".split()
 )
+#: Names of the header of a site; other headers are those of articles and sections.
+_HEADERS = frozenset("header site-header page-top global-header main-header top-header header-top header-main".split())
 _SPLIT = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,6 +53,8 @@ def _named_noise(names: str) -> bool:
     """Whether a class or id name, as a whole, is that of noise: ``cookie-notice`` is, ``with-sidebar`` is not."""
     for name in names.split():
         parts = [w.lower() for w in _SPLIT.split(name) if w]
+        if "-".join(parts) in _HEADERS:
+            return True
         if any(w in _NOISE for w in parts) and all(w in _NOISE or w in _NEUTRAL for w in parts) and parts[-1:] != ["text"]:
             return True
     return False

@@ -545,7 +545,7 @@ ARTICLE = "<h1>T t</h1>" + "".join(f"<p>Paragraph {i} with a number of words in
     [
         "<body class='single comments-open'><div>{}</div></body>", "<body><div class='content with-sidebar'>{}</div>", "<div class='legal-text'>{}</div>", "<article class='has-comments'>{}</article>",
         "<main><article>{}</article><section><h2>More stories</h2><ul><li><a href=a>Some other story</a><li><a href=b>And another one</a></ul></section></main>",
-        "<div class='sidebar'>{}</div>", "<div>{}<div class='comment-list'><div class='comment'><p>I think that this is quite wrong, and I have said so before.</p></div></div></div>",
+        "<div class='sidebar'>{}</div>", "<div><div class='section-header'>{}</div></div>", "<body><div id='header'><p>A site about all kinds of things.</p></div><div class='post-header'>{}</div>", "<div>{}<div class='comment-list'><div class='comment'><p>I think that this is quite wrong, and I have said so before.</p></div></div></div>",
         "<div id=page><div class='ad-container'>Buy this now, it is very good.</div><div><header>{}</header></div></div>",
     ],
 )
