@@ -116,7 +116,8 @@ class Anchored:
             anchor = _anchors(ranks, starts)
             cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(starts) != 1)) + 1
             head = np.concatenate([[0], cuts])
-            runs = {"begin": starts[head], "end": starts[np.concatenate([cuts, [len(starts)]]) - 1] + 1, "gram": grams[anchor[head]], "anchor": anchor[head]}
+            # the grams of anchors are least ones: mixed again, their leading bits spread over all buckets
+            runs = {"begin": starts[head], "end": starts[np.concatenate([cuts, [len(starts)]]) - 1] + 1, "gram": mix64(grams[anchor[head]]), "anchor": anchor[head]}
             setattr(self, kind, runs)
         runs = self.first
         # the place of the anchor in the stretch belongs to its identity
