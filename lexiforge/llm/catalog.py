@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, extraction, jaccard, langid, media, neighbours, packing, passages, unigram, urls
+from . import attribution, extraction, jaccard, langid, media, negatives, neighbours, packing, passages, unigram, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_html_extraction": extraction.query,
     "op9_language_id": langid.query,
     "op10_sentencepiece": unigram.query,
+    "op13_hard_negatives": negatives.query,
 }
-ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE}
+ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op13_hard_negatives": negatives.ORACLE}
 
 
 def queries() -> dict:
