@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, extraction, jaccard, langid, media, negatives, neighbours, packing, passages, runs, unigram, urls
+from . import attribution, extraction, jaccard, langid, media, negatives, neighbours, packing, passages, runs, toxicity, unigram, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.query,
     "op10_sentencepiece": unigram.query,
     "op11_periodic_runs": runs.query,
+    "op12_toxicity": toxicity.query,
     "op13_hard_negatives": negatives.query,
 }
 ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op13_hard_negatives": negatives.ORACLE}
