@@ -2,9 +2,10 @@
 
 Every block of the page gets characters per tag, adjusted for the characters and tags that are links (inline
 formatting is part of its block and no tag of its own). The block with the largest sum of its children's
-densities is the core of the page, and the least density on its path to the body is what neighbours of that
-path must reach to be content too. Elements that by their tag, role or class are no article text (menus, forms,
-notices, comments) are left out first, and what consists of links is left out of the content.
+densities is the core of the page, and the least density of text blocks on its path to the body is what blocks
+outside an article or main element must reach to be content too; within it, or where a page has none, neighbours of
+that path are content unless they are mostly links. Elements that by their tag, role or class are no article text
+(menus, forms, notices, comments) are left out first, and so are blocks of links before and outside the text.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ _HEADERS = frozenset("header site-header page-top global-header main-header top-
 _SPLIT = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text.
+_TEXTS = _HEADINGS | frozenset("p li dd dt td th blockquote figcaption a abbr b cite code em i mark q small span strong u".split())
+#: Noise words of what readers write.
+_COMMENTS = frozenset("comment comments commentlist disqus discussion respond reply replies".split())
 #: Elements that class names do not make noise.
 _FRAMES = frozenset("html body article main".split())
 
@@ -69,6 +74,8 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
 
 def _is_noise(node: Node) -> bool:
     """By tag, role or state, whatever it holds."""
+    if node.tag == "button" and node.parent.tag in _TEXTS and any(isinstance(c, str) and c.strip() for c in node.parent.children):
+        return False  # a word of a sentence
     if node.tag in _NEVER:
         return True
     if node.tag == "header" and not _inside(node, ("article", "main")):  # a page's header, not the heading of an article
@@ -90,9 +97,14 @@ def _is_named_noise(node: Node) -> bool:
     return _named_noise(f"{attrs.get('class', '')} {attrs.get('id', '')}")
 
 
+def _is_comments(node: Node) -> bool:
+    attrs = node.attributes()
+    return any(w.lower() in _COMMENTS for w in _SPLIT.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".replace(" ", "-")))
+
+
 def _kept(nodes: list[Node]) -> list[bool]:
     """Which elements may be content. A class name takes nothing away that holds the page's main element or its
-    only first-level heading, or that leaves less than a tenth of the text."""
+    only first-level heading, or that leaves less than a tenth of the text; comments go if any text is left."""
     n = len(nodes)
     kept = [True] * n
     for node in nodes[1:]:
@@ -118,7 +130,7 @@ def _kept(nodes: list[Node]) -> list[bool]:
         i = node.index
         if not kept[i] or not kept[node.parent.index]:
             kept[i] = False
-        elif i in names and not mains[i] and not (firsts[i] and firsts[i] == firsts[0]) and (left - chars[i]) * 10 >= chars[0]:
+        elif i in names and not mains[i] and not (firsts[i] and firsts[i] == firsts[0]) and ((left - chars[i]) * 10 >= chars[0] or (left > chars[i] and _is_comments(node))):
             kept[i] = False
             left -= chars[i]
     return kept
@@ -169,47 +181,73 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio
     return chars / t * max(gain / math.log(base + 1e-9), 0.0) if base > 1 else chars / t * math.log(chars / lc * t / lt + 1)
 
 
-#: Blocks of links: this share of their characters, in at least so many links.
-_LINKED_SHARE, _LINKED_TAGS = 0.7, 2
+#: Blocks of links: this share of their characters, in at least so many links. Blocks that are mostly links.
+_LINKED_SHARE, _LINKED_TAGS, _MOSTLY = 0.7, 2, 0.5
+_TOPS = frozenset(["html", "#root"])
+_NOTICE = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 
 
-def _roots(nodes: list[Node], kept: list[bool]) -> set[int]:
-    """Indices of the subtrees that are content."""
-    density, sums, links = _measure(nodes, kept)
-    if not any(density[1:]):
-        return {0}  # only text at the top
+def _core(nodes: list[Node], kept: list[bool], density: list[float], sums: list[float]) -> Node:
     blocks = [x for x in nodes if kept[x.index] and (x.tag in BLOCK or x.parent is None)]
     frames = {x.index for x in nodes if x.tag in ("article", "main")}
     # of equal sums the denser block, then one that says what it is, then the first
     core = max(blocks, key=lambda x: (sums[x.index], density[x.index], x.index in frames, -x.index))
     if sums[core.index] == 0:
         core = max(blocks, key=lambda x: (density[x.index], x.index in frames, -x.index))
-    path, up = [], core
-    while up is not None and up.tag not in ("html", "#root"):
-        if up.tag in BLOCK:
-            path.append(up)
-        up = up.parent
-    if core.parent is None or core.tag == "html":
-        return {core.index}
-    threshold = min((density[x.index] for x in path), default=0.0)
-    roots = {core.index}
-    for child in path[:-1]:
-        above = child.parent
-        # among the paragraphs of a text, short ones belong to it too
-        texts = above.tag in ("article", "main", "section") or any(isinstance(x, Node) and kept[x.index] and x.tag in ("p", "h1", "h2") for x in above.children)
+    return core
+
+
+def _first_text(node: Node) -> str:
+    stack: list = [node]
+    while stack:
+        item = stack.pop()
+        if not isinstance(item, str):
+            stack += reversed(item.children)
+        elif item.strip():
+            return item
+    return ""
+
+
+def _content(nodes: list[Node], kept: list[bool]) -> tuple[Node, set[int], set[int]]:
+    """The core, indices of the subtrees that are content, and of elements whose own text is content besides."""
+    density, sums, links = _measure(nodes, kept)
+    if not any(density[1:]):
+        return nodes[0], {0}, set()  # only text at the top
+    core = _core(nodes, kept, density, sums)
+    path = [core]
+    while path[-1].parent is not None and path[-1].tag != "body":
+        path.append(path[-1].parent)
+    texts = [x for x in path if x.tag in BLOCK and any(isinstance(c, Node) and kept[c.index] and c.tag in _TEXTS or isinstance(c, str) and c.strip() for c in x.children)]
+    threshold = min((density[x.index] for x in texts), default=0.0)
+    frame = max((k for k, x in enumerate(path) if x.tag in ("article", "main")), default=len(path))
+    roots, loose = {core.index}, set()
+    for k, above in enumerate(path[1:], 1):
+        within = k <= frame
+        if above.tag in _TOPS and any(isinstance(x, Node) and x.tag == "body" for x in above.children):
+            break
         for other in above.children:
-            if not isinstance(other, Node) or other is child or not kept[other.index]:
-                continue
-            plain = texts and above.tag != "body" and links[other.index] < 0.5
-            if other.tag in _HEADINGS or density[other.index] >= threshold > 0 or plain:
-                roots.add(other.index)
-    return roots
-
-
-def _without_link_blocks(nodes: list[Node], kept: list[bool]) -> None:
-    """Leave out lists, sections and other containers that consist of links, with the headings inside them."""
-    link_tags = [0] * len(nodes)
-    chars, link_chars = [0] * len(nodes), [0] * len(nodes)
+            if isinstance(other, str):
+                if within and other.strip():
+                    loose.add(above.index)
+            elif other is not path[k - 1] and kept[other.index]:
+                i = other.index
+                plain = (within or other.tag in ("article", "main") or density[i] >= threshold > 0) and links[i] < _MOSTLY and not _NOTICE.match(_first_text(other))
+                if other.tag in _HEADINGS or plain:
+                    roots.add(i)
+    return core, roots, loose
+
+
+def _roots(nodes: list[Node], kept: list[bool]) -> set[int]:
+    """Indices of the subtrees that are content."""
+    return _content(nodes, kept)[1]
+
+
+def _without_link_blocks(nodes: list[Node], kept: list[bool], core: Node) -> None:
+    """Leave out lists, sections and other containers that consist of links, with the headings inside them: those
+    outside the core, those in it that no text precedes, and those at the end of a body. In an article or main
+    element, and among the text of any core, they are part of the text."""
+    n = len(nodes)
+    link_tags, chars, link_chars = [0] * n, [0] * n, [0] * n
     for node in reversed(nodes):
         i = node.index
         if kept[i]:
@@ -223,10 +261,34 @@ def _without_link_blocks(nodes: list[Node], kept: list[bool]) -> None:
                 link_tags[up] += link_tags[i]
     if link_chars[0] >= _LINKED_SHARE * chars[0]:
         return  # the page is one of links
+    linked = {
+        x.index for x in nodes[1:] if kept[x.index] and x is not core and x.tag in ("ul", "ol", "menu", "section", "div", "dl")
+        and link_tags[x.index] >= _LINKED_TAGS and link_chars[x.index] >= _LINKED_SHARE * chars[x.index]
+    }
+    if not linked:
+        return
+    # in page order: the text of the core before each of its blocks of links
+    before: dict[int, int] = {}
+    plain, stack = 0, [(c, False) for c in reversed(core.children)]
+    while stack:
+        item, quiet = stack.pop()
+        if isinstance(item, str):
+            plain += 0 if quiet else len(item.strip())
+        elif kept[item.index]:
+            if item.index in linked:
+                before[item.index] = plain
+            quiet = quiet or item.index in linked or item.tag in _HEADINGS or item.tag == "a"
+            stack += [(c, quiet) for c in reversed(item.children)]
     for node in nodes[1:]:
         i = node.index
-        if kept[i] and node.tag in ("ul", "ol", "menu", "section", "div", "dl") and link_tags[i] >= _LINKED_TAGS and link_chars[i] >= _LINKED_SHARE * chars[i]:
-            kept[i] = False
+        if i in linked and kept[i]:
+            if i not in before:
+                kept[i] = False
+            elif core.tag not in ("article", "main"):
+                siblings = [c for c in node.parent.children if isinstance(c, Node) and kept[c.index]]
+                at = siblings.index(node)
+                headed = at > 0 and siblings[at - 1].tag in _HEADINGS
+                kept[i] = before[i] > 0 and (before[i] < plain or headed or core.tag not in ("body", "#root") or node.parent is not core)
         kept[i] = kept[i] and kept[node.parent.index]
 
 
@@ -236,8 +298,8 @@ def main_text(page: str | None) -> str:
         return ""
     root, nodes = parse(page)
     kept = _kept(nodes)
-    _without_link_blocks(nodes, kept)
-    roots = _roots(nodes, kept)
+    core, roots, loose = _content(nodes, kept)
+    _without_link_blocks(nodes, kept, core)
     blocks: list[str] = []
     inline: list[str] = []
 
@@ -267,7 +329,7 @@ def main_text(page: str | None) -> str:
             stack.append((item, inside, True))
         for child in reversed(item.children):
             if isinstance(child, str):
-                if inside:
+                if inside or item.index in loose:
                     stack.append((child, True, False))
             else:
                 stack.append((child, inside or child.index in roots, False))
