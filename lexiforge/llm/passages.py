@@ -8,10 +8,11 @@ one anchor gram can be judged together:
    stretch of text whose strings it anchors. Buckets answer which grams and which stretches occur twice.
    Strings whose anchors occur once are unique. Stretches that occur twice as a whole are copies: they are
    counted here, by gram and digest, before anything is sorted.
-2. What remains - stretches whose anchor occurs elsewhere in other surroundings - goes to shards by anchor; those
-   of an anchor with very many surroundings are split by the bytes before and behind it, as a string of SIZE bytes
-   has at least CONTEXT of them on one side. Each shard sorts its stretches into a suffix array, takes common
-   prefixes, and finds the repeated strings; parts of a large shard are merged by binary search.
+2. What remains - stretches whose anchor occurs elsewhere in other surroundings - goes to shards by anchor. Each shard
+   sorts its stretches into a suffix array, takes common prefixes, and finds the repeated strings; parts of a large
+   shard are merged by binary search. An anchor with very many surroundings - in a line of almost SIZE bytes that
+   thousands of texts share, say - would fill a shard by itself: of its stretches only digests of whole strings
+   travel, to buckets by digest, each once for a shard of documents. No key holds more than one row for such a shard.
 3. The answers go back to the documents that wait for them.
 """
 
@@ -34,8 +35,7 @@ from .suffixes import repeated_starts
 SIZE = 200
 GRAM = 64
 WINDOW = SIZE - GRAM + 1
-#: Bytes that every string has before its anchor or behind it; surroundings that make an anchor hot.
-CONTEXT = (SIZE - GRAM) // 2
+#: Surroundings that make an anchor hot.
 HOT_ANCHOR = 1024
 #: Shuffled bytes of a task.
 TASK_BYTES = 32 << 20
@@ -276,27 +276,67 @@ def _finish(raw: bytes, spans: np.ndarray, with_text: bool) -> tuple:
 _RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
 _RESULT_DDL = "n_bytes long, n_removed long, n_spans int, kept_sha256 string, kept binary, spans binary"
 _RESULT_ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
-_WAIT_DDL = "shard_ long, row_ int, raw_ binary, settled_ binary, waits_ binary, gram_ long, stretch_ int, stretch_text_ binary"
-_WAIT = ["shard_", "row_", "raw_", "settled_", "waits_", "gram_", "stretch_", "stretch_text_"]
-_WAIT_ARROW = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+_WAIT_DDL = "shard_ long, row_ int, raw_ binary, settled_ binary, waits_ binary, hot_ binary, gram_ long, stretch_ int, stretch_text_ binary"
+_WAIT = ["shard_", "row_", "raw_", "settled_", "waits_", "hot_", "gram_", "stretch_", "stretch_text_"]
+_WAIT_ARROW = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def _string_digests(hashes: Hashes, starts: np.ndarray) -> np.ndarray:
+    """Two hashes of each string of SIZE bytes, one of either half, as rows."""
+    half = SIZE // 2
+    return np.stack([hashes.of(starts, starts + half), hashes.of(starts + half, starts + SIZE)], axis=1)
+
+
+def _distinct_pairs(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of their times, and the number of its distinct row for each row."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ordered = pairs[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
+    of = np.zeros(len(pairs), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], np.bincount(of, weights=times).astype(np.int64), of
+
+
+#: The number of a row that carries digests of strings instead of a stretch.
+_DIGESTS = -2
+
+
+def _digest_rows(shard: int, pairs: list[np.ndarray], bits: int) -> list[tuple]:
+    """What a shard asks about strings with hot anchors: rows for buckets, each distinct digest once."""
+    distinct, times, _ = _distinct_pairs(np.concatenate(pairs), np.ones(sum(map(len, pairs)), np.int64))
+    bucket = (mix64(distinct[:, 0] ^ mix64(distinct[:, 1] ^ _SECOND)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    distinct, times, bucket = distinct[order], times[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    return [(shard, int(bucket[lo]), distinct[lo:hi].tobytes() + (times[lo:hi] > 1).tobytes()) for lo, hi in zip([0, *cuts], [*cuts, len(bucket)])]
+
+
+def _match(rows: pd.DataFrame) -> pd.DataFrame:
+    """To each shard, which of its digests occur at several places."""
+    counts = np.array([len(p) // 17 for p in rows["stretch_text_"]], np.int64)
+    pairs = np.concatenate([np.frombuffer(p, np.uint64, 2 * n).reshape(-1, 2) for p, n in zip(rows["stretch_text_"], counts)])
+    twice = np.concatenate([np.frombuffer(p, bool, n, 16 * n) for p, n in zip(rows["stretch_text_"], counts)])
+    _, times, of = _distinct_pairs(pairs, 1 + twice)
+    repeated = times[of] > 1
+    ends = np.cumsum(counts)
+    out = [(shard, _DIGESTS, pairs[e - n : e][repeated[e - n : e]].tobytes()) for shard, n, e in zip(rows["shard_"], counts, ends) if repeated[e - n : e].any()]
+    return pd.DataFrame(out, columns=["shard_", "stretch_", "spans_"])
 
 
-def _parts(block: Anchored, gram: np.uint64, anchor: int, lo: int, hi: int, hot: bool) -> list[tuple[int, int, int]]:
-    """(key of a shard, begin, end) of the strings that start from lo to hi: all of them by the gram or, if that is
-    hot, those with enough bytes before the anchor and the others, each by these bytes too."""
-    if not hot:
-        return [(int(gram.astype(np.int64)), lo, hi)]
-    parts = []
-    middle = min(max(anchor - CONTEXT + 1, lo), hi)
-    for side, (a, b), context in ((0, (lo, middle), anchor - CONTEXT), (1, (middle, hi), anchor + GRAM)):
-        if a < b:
-            name = gram.tobytes() + bytes([side]) + block.text[context : context + CONTEXT].tobytes()
-            parts.append((int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True), a, b))
-    return parts
+def _repeated_strings(raw: bytes, intervals: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Spans of the strings that start in the intervals and have one of the repeated digests (as 16 bytes each, sorted)."""
+    found = [np.zeros((0, 2), np.int64)]
+    for low, high in intervals if len(repeated) else ():
+        starts = np.arange(high - low)
+        digests = _string_digests(Hashes(np.frombuffer(raw, np.uint8)[low : high - 1 + SIZE]), starts).view("V16").ravel()
+        at = np.minimum(np.searchsorted(repeated, digests), len(repeated) - 1)
+        starts = low + starts[repeated[at] == digests]
+        found.append(_merge_spans(starts, starts + SIZE))
+    return np.concatenate(found)
 
 
-def _settle(carried: list[str], text_col: str, with_text: bool):
-    """A shard with its answers: finished documents, waiting ones, and the stretches they wait for."""
+def _settle(carried: list[str], text_col: str, with_text: bool, bits: int):
+    """A shard with its answers: finished documents, waiting ones, and the stretches and digests they wait for."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([*(docs.schema.field(c) for c in carried), *zip(_RESULT, _RESULT_ARROW), *zip(_WAIT, _WAIT_ARROW)])
@@ -316,6 +356,8 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
         blocks = [b for b in _blocks(texts) if b.any]
         spans_of: dict[int, list] = {}
         waits_of: dict[int, list] = {}
+        hot_of: dict[int, list] = {}  # intervals of starts, by document
+        hot_pairs: list[np.ndarray] = []
         if blocks:
             (grams, digests), _, second, _ = _distinct_anchors(blocks)
             kinds = replies["bucket"] % 2
@@ -341,6 +383,7 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
             np.add.at(likely, b.second["begin"][held], 1)
             np.add.at(likely, b.second["end"][held], -1)
             likely = np.cumsum(likely) > 0
+            hot_starts: list[np.ndarray] = []
             for k in wanted:
                 lo, hi = int(runs["begin"][k]), int(runs["end"][k])
                 settled = bool(state[k] & REPEATED)
@@ -349,31 +392,42 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
                     if name in sent_targets:
                         continue
                     sent_targets.add(name)
-                for key, start, end in _parts(b, runs["gram"][k], int(runs["anchor"][k]), lo, hi, bool(state[k] & HOT)):
-                    number = -1
-                    if not settled:
-                        inside = np.flatnonzero(likely[start:end])
-                        if not len(inside):
-                            continue
-                        start, end = start + int(inside[0]), start + int(inside[-1]) + 1
-                        number = len(stretches)
-                        waits_of.setdefault(int(b.number[piece[k]]), []).append((number, start + int(b.shift[piece[k]])))
-                    stretches.append((key, number, b.text[start : end - 1 + SIZE].tobytes()))
+                if state[k] & HOT:
+                    starts = lo + (np.arange(hi - lo) if settled else np.flatnonzero(likely[lo:hi]))
+                    if len(starts):
+                        hot_starts.append(starts)
+                        if not settled:
+                            shift = int(b.shift[piece[k]])
+                            hot_of.setdefault(int(b.number[piece[k]]), []).append((int(starts[0]) + shift, int(starts[-1]) + 1 + shift))
+                    continue
+                number = -1
+                if not settled:
+                    inside = np.flatnonzero(likely[lo:hi])
+                    if not len(inside):
+                        continue
+                    lo, hi = lo + int(inside[0]), lo + int(inside[-1]) + 1
+                    number = len(stretches)
+                    waits_of.setdefault(int(b.number[piece[k]]), []).append((number, lo + int(b.shift[piece[k]])))
+                stretches.append((int(runs["gram"][k].astype(np.int64)), number, b.text[lo : hi - 1 + SIZE].tobytes()))
+            if hot_starts:
+                hot_pairs.append(_string_digests(Hashes(b.text), np.concatenate(hot_starts)))
         for k, text in enumerate(texts):
             own = np.array(spans_of.get(k, np.zeros((0, 2))), np.int64).reshape(-1, 2)
             spans = _merge_spans(own[:, 0], own[:, 1])
-            if k in waits_of:
-                waiting[k] = (spans, np.array(waits_of[k], np.int64))
+            if k in waits_of or k in hot_of:
+                waiting[k] = (spans, np.array(waits_of.get(k, []), np.int64), np.array(hot_of.get(k, []), np.int64))
             else:
                 results[k] = _finish(text, spans, with_text)
         blank = (None,) * len(_RESULT)
         found = [r or blank for r in results]
-        waits = [(shard, i, texts[i], waiting[i][0].tobytes(), waiting[i][1].tobytes(), None, None, None) if i in waiting else (None,) * len(_WAIT) for i in range(len(texts))]
+        waits = [(shard, i, texts[i], *(x.tobytes() for x in waiting[i]), None, None, None) if i in waiting else (None,) * len(_WAIT) for i in range(len(texts))]
         columns = [docs.column(c).combine_chunks() for c in carried]
         columns += [pa.array([f[k] for f in found], kind) for k, kind in enumerate(_RESULT_ARROW)]
         columns += [pa.array([w[k] for w in waits], kind) for k, kind in enumerate(_WAIT_ARROW)]
         rows = pa.Table.from_arrays(columns, schema=schema)
-        asked = [(shard, None, None, None, None, g, number, text) for g, number, text in stretches]
+        asked = [(shard, None, None, None, None, None, g, number, text) for g, number, text in stretches]
+        if hot_pairs:
+            asked += [(shard, None, None, None, None, None, bucket, _DIGESTS, payload) for shard, bucket, payload in _digest_rows(shard, hot_pairs, bits)]
         empty = [pa.nulls(len(asked), f.type) for f in list(schema)[: len(carried) + len(_RESULT)]]
         more = pa.Table.from_arrays([*empty, *(pa.array([a[k] for a in asked], kind) for k, kind in enumerate(_WAIT_ARROW))], schema=schema)
         return pa.concat_tables([rows, more])
@@ -382,7 +436,9 @@ def _settle(carried: list[str], text_col: str, with_text: bool):
 
 
 def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The repeated starts of the stretches of a content shard, for those who wait."""
+    """The repeated starts of the stretches of a content shard, or the repeated digests of a bucket, for those who wait."""
+    if key[0] < 0:
+        return _match(rows)
     texts, which, times = np.unique(np.array(rows["stretch_text_"], object), return_inverse=True, return_counts=True)
     flags = repeated_starts(list(texts), SIZE, ARRAY_BYTES)
     for k in np.flatnonzero(times > 1):  # stretches of several places, cut to the same text: all its strings are repeated
@@ -397,13 +453,16 @@ def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _complete(carried: list[str], with_text: bool):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        answers = {n: np.frombuffer(s, np.int64).reshape(-1, 2) for n, s in zip(replies.column("stretch_").to_pylist(), replies.column("spans_").to_pylist())}
+        given = list(zip(replies.column("stretch_").to_pylist(), replies.column("spans_").to_pylist()))
+        answers = {n: np.frombuffer(s, np.int64).reshape(-1, 2) for n, s in given if n >= 0}
+        repeated = np.sort(np.frombuffer(b"".join(s for n, s in given if n == _DIGESTS), "V16"))
         found = []
-        for raw, settled, waits in zip(docs.column("raw_").to_pylist(), docs.column("settled_").to_pylist(), docs.column("waits_").to_pylist()):
+        for raw, settled, waits, hot in zip(*(docs.column(c).to_pylist() for c in ("raw_", "settled_", "waits_", "hot_"))):
             spans = [np.frombuffer(settled, np.int64).reshape(-1, 2)]
             for number, start in np.frombuffer(waits, np.int64).reshape(-1, 2):
                 if int(number) in answers:
                     spans.append(answers[int(number)] + start)
+            spans.append(_repeated_strings(raw, np.frombuffer(hot, np.int64).reshape(-1, 2), repeated))
             spans = np.concatenate(spans)
             found.append(_finish(raw, _merge_spans(spans[:, 0], spans[:, 1]), with_text))
         columns = [docs.column(c).combine_chunks() for c in carried] + [pa.array([f[k] for f in found], kind) for k, kind in enumerate(_RESULT_ARROW)]
@@ -450,7 +509,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     replies = answers.withColumnRenamed("shard", "shard_").repartition(tasks, "shard_")
     rows = numbered.repartition(tasks, "shard_").groupBy("shard_").cogroup(replies.groupBy("shard_"))
     stored = scratch.store(
-        rows.applyInArrow(_settle(carried, text_col, with_text), settled),
+        rows.applyInArrow(_settle(carried, text_col, with_text, bits), settled),
         "settled",
         F.sum(F.octet_length("stretch_text_")).alias("stretch_bytes"),
         F.count("raw_").alias("waiting"),
@@ -459,10 +518,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     if not stored.seen["waiting"]:
         return finished
     shards = max(1, -(-(stored.seen["stretch_bytes"] or 0) // STRETCH_SHARD_BYTES))
-    stretches = stored.filter("stretch_ IS NOT NULL").select(F.pmod("gram_", F.lit(shards)).cast("int").alias("place"), "shard_", "stretch_", "stretch_text_")
+    place = F.pmod("gram_", F.lit(shards)).cast("int")
+    stretches = stored.filter("stretch_ IS NOT NULL").select(F.when(F.col("stretch_") == _DIGESTS, -1 - place).otherwise(place).alias("place"), "shard_", "stretch_", "stretch_text_")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stored.seen["stretch_bytes"] or 0) // TASK_BYTES))
     replies = stretches.repartition(parts, "place").groupBy("place").applyInPandas(_judge, "shard_ long, stretch_ int, spans_ binary")
-    waiting = stored.filter("raw_ IS NOT NULL").select(*carried, "shard_", "raw_", "settled_", "waits_")
+    waiting = stored.filter("raw_ IS NOT NULL").select(*carried, "shard_", "raw_", "settled_", "waits_", "hot_")
     completed = waiting.repartition(tasks, "shard_").groupBy("shard_").cogroup(replies.repartition(tasks, "shard_").groupBy("shard_")).applyInArrow(_complete(carried, with_text), result)
     return finished.unionByName(completed)
 

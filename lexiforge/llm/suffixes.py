@@ -18,6 +18,14 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many leading bytes of the 64-bit values are zero."""
+    high, low = differ >> np.uint64(32), differ & np.uint64(0xFFFFFFFF)
+    # the exponent of a 32-bit number is its length in bits
+    bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp(low.astype(np.float64))[1])
+    return 8 - (bits + 7) // 8
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """All suffixes in order; one that is a prefix of another sorts first.
 
@@ -28,8 +36,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     first = words_at(text)
+    order = np.argsort(first)
     # of equal words, those that reach behind the end come first, the shorter before the longer
-    order = n - 1 - np.argsort(first[::-1], kind="stable")
+    ordered = first[order]
+    for word in np.unique(first[max(n - 7, 0) :]):
+        lo, hi = np.searchsorted(ordered, word, "left"), np.searchsorted(ordered, word, "right")
+        order[lo:hi] = order[lo:hi][np.argsort(np.minimum(n - order[lo:hi], 8), kind="stable")]
     known = np.minimum(n - order, 8)
     starts = np.flatnonzero(np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (known[1:] != known[:-1])]))
     sizes = np.diff(np.append(starts, n))
@@ -41,7 +53,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         members = order[slots]
         group = rank[members]
         following = rank[np.minimum(members + h, n)]
-        resort = np.lexsort((following, group))
+        resort = np.argsort(group * (n + 1) + following)  # both are places in the text
         members, group, following = members[resort], group[resort], following[resort]
         order[slots] = members
         starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (following[1:] != following[:-1])]))
@@ -81,11 +93,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
             room = n - np.maximum(a, b)
             inside = room > 0
             going, a, b, room = going[inside], a[inside], b[inside], room[inside]
-            differ = words[a] ^ words[b]
-            same = np.full(len(going), 8)
-            for k in range(8):
-                same = np.minimum(same, np.where(differ >> np.uint64(8 * (7 - k)) != 0, k, 8))
-            same = np.minimum(same, room)
+            same = np.minimum(_equal_bytes(words[a] ^ words[b]), room)
             length[going] += same
             going = going[(same == 8) & (length[going] < most)]
         by_place[i] = np.minimum(length, most)

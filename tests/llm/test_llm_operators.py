@@ -223,21 +223,38 @@ def test_a_hot_line_in_many_surroundings(spark, tmp_path, monkeypatch, hot):
     assert {r.doc_id: bytes(r.kept) for r in got} == expected
 
 
-def test_parts_of_a_hot_stretch():
-    """Both sides of an anchor cover all strings once, and equal strings get equal keys."""
-    rnd = random.Random(2)
-    line = "".join(rnd.choices("abcd", k=600)).encode()
-    blocks = [passages.Anchored([(0, 0, b"x" * shift + line)]) for shift in (0, 37)]
-    keys = []
-    for block, shift in zip(blocks, (0, 37)):
-        found = {}
-        for k in range(len(block.first["gram"])):
-            lo, hi = int(block.first["begin"][k]), int(block.first["end"][k])
-            parts = passages._parts(block, block.first["gram"][k], int(block.first["anchor"][k]), lo, hi, True)
-            assert [x for _, a, b in parts for x in range(a, b)] == list(range(lo, hi))
-            found |= {x - shift: key for key, a, b in parts for x in range(a, b)}
-        keys.append(found)
-    assert all(keys[0][x] == keys[1][x] for x in range(401))
+def test_digests_of_a_hot_line_spread(spark, tmp_path, monkeypatch):
+    """A line of 190 bytes in thousands of texts, in surroundings of their own: no bucket grows with their number."""
+    rnd = random.Random(23)
+    own = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    line, foot = own(190), own(40)
+    rows = [(i, own(rnd.randrange(60, 150)) + line + (foot if i % 50 == 0 else "") + own(rnd.randrange(60, 150))) for i in range(3000)]
+    texts = [t.encode() for _, t in rows]
+    pairs = []
+    for block in passages._blocks(texts):
+        hashes = passages.Hashes(block.text)
+        for a, n in zip(block.piece_starts, [len(texts[k]) for k in block.number]):
+            pairs.append(passages._string_digests(hashes, np.arange(a, a + n - passages.SIZE + 1)))
+    sizes = [len(payload) // 17 for _, _, payload in passages._digest_rows(1, pairs, 10)]
+    assert max(sizes) < 3 * sum(sizes) / 1024
+    monkeypatch.setattr(passages, "HOT_ANCHOR", 100)
+    taken = []
+    monkeypatch.setattr(passages, "SHARD_BYTES", 60_000)
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: bytes(r.kept) for r in passages.remove_repeats(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    seen = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - passages.SIZE + 1):
+            string = t[k : k + passages.SIZE]
+            seen[string] = seen.get(string, 0) + 1
+    for (i, _), t in zip(rows, texts):
+        covered = np.zeros(len(t), bool)
+        for k in range(len(t) - passages.SIZE + 1):
+            if seen[t[k : k + passages.SIZE]] > 1:
+                covered[k : k + passages.SIZE] = True
+        assert got[i] == bytes(b for b, c in zip(t, covered) if not c)
+        taken.append(covered.any())
+    assert 40 < sum(taken) < 2990
 
 
 def test_passages_at_the_edges_of_texts(spark, tmp_path):
