@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -41,10 +40,9 @@ SEPARATORS = " .-_*·"
 #: that end at a separator between two single letters or at a sign inside a piece.
 LEET, DIGIT_KEPT, SPACED, DOUBLED, REPEATED, PARTED = 1.0, 1.0, 1.5, 3.0, 0.3, 1.5
 
-#: Labelled texts of each class that the regression is fitted on, at most; buckets that features are hashed to;
-#: features that it has, at most, and how many standard errors their shares must differ between the classes by.
+#: Labelled texts of each class that the regression is fitted on, at most; features that it has, at most, and how
+#: many standard errors their shares must differ between the classes by.
 TRAIN_PER_CLASS = 4000
-BUCKETS = 1 << 18
 FEATURES = 512
 LEAST_ERRORS = 4.0
 RIDGE = 0.01
@@ -53,7 +51,7 @@ BEGINNINGS = (3, 4, 5, 6)
 #: From this score on a text is called toxic.
 THRESHOLD = 0.3
 
-_CACHED = 200_000
+_CACHED = 400_000
 _ROWS = 512
 
 
@@ -68,6 +66,7 @@ def _symbol(c: str) -> int:
 
 #: Symbols of the first characters; all further ones are other letters.
 _TABLE = np.array([_symbol(chr(i)) for i in range(0x3000)] + [OTHER], np.uint8)
+_KNOWN = _TABLE.tolist()
 
 
 def count_grams(tokens: Counter) -> np.ndarray:
@@ -127,8 +126,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 _LEET = re.escape("".join(READINGS))
 #: Pieces that are decoded by themselves: everything but letters, digits, signs with readings and separators ends one.
 _PIECE = re.compile(rf"(?:[^\W_]|[{_LEET}{re.escape(SEPARATORS)}])+")
-_UNSURE = re.compile(rf"[{_LEET}{re.escape(SEPARATORS)}]|(.)\1")
 _LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"(.)\1+")
 _SINGLES = re.compile(rb"\x01{3,}")
 
 
@@ -164,8 +163,8 @@ class Decoder:
                 parted = PARTED if singles == 2 else 0.0
             else:
                 singles, parted = 0, PARTED if 0 < i < n - 1 else 0.0
-                says = [(x, _TABLE[min(ord(x), len(_TABLE) - 1)].item(), LEET) for x in readings]
-                symbol = _TABLE[min(ord(c), len(_TABLE) - 1)].item()
+                says = [(x, _KNOWN[ord(x)], LEET) for x in readings]
+                symbol = _KNOWN[min(ord(c), 0x3000)]
                 if symbol:
                     says.append((c, symbol, DIGIT_KEPT if readings else 0.0))
                 elif not readings:
@@ -196,16 +195,47 @@ class Decoder:
             out.append(letter)
         return " ".join("".join(reversed(out)).split())
 
-    def words(self, token: str) -> tuple[str, ...]:
+    def _of_letters(self, word: str) -> str:
+        """``likeliest`` for a word of letters. A letter that is doubled, far enough from the next such one, is decided by
+        the symbols up to where both readings have the same context again."""
+        runs = [m.span() for m in _TWICE.finditer(word)]
+        if not runs:
+            return word
+        if any(b - a > 2 for a, b in runs) or any(b[0] - a[1] < CONTEXT for a, b in zip(runs, runs[1:])):
+            return self.likeliest(word)
+        log_p, symbols, dropped = self._log_p, [_KNOWN[min(ord(c), 0x3000)] for c in word] + [0], []
+        for at, after in runs:
+            context = 0
+            for symbol in symbols[max(0, after - 1 - CONTEXT) : after - 1]:
+                context = (context * SYMBOLS + symbol) % _CONTEXTS
+            gain, kept, gone = -DOUBLED, context * SYMBOLS + symbols[at], context * SYMBOLS
+            gain -= log_p[kept]
+            kept = kept % _CONTEXTS * SYMBOLS
+            for symbol in symbols[after : after + CONTEXT]:
+                gain += log_p[gone + symbol] - log_p[kept + symbol]
+                gone, kept = (gone + symbol) % _CONTEXTS * SYMBOLS, (kept + symbol) % _CONTEXTS * SYMBOLS
+            if gain > 0:
+                dropped.append(at)
+        return "".join(c for k, c in enumerate(word) if k not in dropped) if dropped else word
+
+    def decode(self, token: str) -> tuple[str, ...]:
         """The words that a token of lower case, or a row of single letters, was meant as."""
+        if token.isalpha():
+            return (self._of_letters(token),)
+        found: list[str] = []
+        for piece in _PIECE.findall(token):
+            piece = piece.strip(SEPARATORS)
+            if piece.isalpha():
+                found.append(self._of_letters(piece))
+            elif _LETTER.search(piece):
+                found += self.likeliest(piece).split()
+        return tuple(found)
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """``decode``, remembered for short tokens."""
         known = self._words.get(token)
         if known is None:
-            found: list[str] = []
-            for piece in _PIECE.findall(token):
-                piece = piece.strip(SEPARATORS)
-                if _LETTER.search(piece):
-                    found += self.likeliest(piece).split() if _UNSURE.search(piece) else [piece]
-            known = tuple(found)
+            known = self.decode(token)
             if len(self._words) >= _CACHED:
                 self._words.clear()
             if len(token) < 100:
@@ -230,39 +260,49 @@ class Decoder:
         return " ".join(w for token in self.tokens(text) for w in self.words(token))
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its beginnings."""
-    raw = [word + "$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
-    return [zlib.crc32(r.encode("utf-8", "surrogatepass")) % BUCKETS for r in raw]
+def features(word: str) -> list[str]:
+    """A word, with a mark at its end, and its beginnings."""
+    return [word + "$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
 @dataclass
 class Model:
-    """log_p: of the language model; weights: of the buckets that are features."""
+    """log_p: of the language model; weights: of the features."""
 
     log_p: np.ndarray
-    weights: dict[int, float]
+    weights: dict[str, float]
     bias: float
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.decoder = model, Decoder(model.log_p)
-        self._held: dict[str, tuple[int, ...]] = {}
+        self._telling: dict[str, tuple[str, ...]] = {}
+        self._silent: set[str] = set()
+        # how words with a feature start
+        self._starts = {f[: BEGINNINGS[0]] for f in model.weights}
+
+    def features(self, token: str) -> tuple[str, ...]:
+        """Of the words that a token was meant as, what the model has a weight for."""
+        weights, starts, first = self.model.weights, self._starts, BEGINNINGS[0]
+        return tuple(f for w in self.decoder.decode(token) if (w[:first] if len(w) >= first else (w + "$")[:first]) in starts for f in features(w) if f in weights)
 
     def score(self, text: str | None) -> float:
-        present: set[int] = set()
-        held, weights = self._held, self.model.weights
-        for token in set(self.decoder.tokens(text)):
-            found = held.get(token)
+        present: set[str] = set()
+        for token in set(self.decoder.tokens(text)) - self._silent:
+            found = self._telling.get(token)
             if found is None:
-                found = tuple(b for w in self.decoder.words(token) for b in features(w) if b in weights)
-                if len(held) >= _CACHED:
-                    held.clear()
+                found = self.features(token)
                 if len(token) < 100:
-                    held[token] = found
+                    if found:
+                        self._telling[token] = found
+                    else:
+                        self._silent.add(token)
             present.update(found)
-        z = self.model.bias + sum(weights[b] for b in sorted(present))
+        if len(self._silent) > _CACHED or len(self._telling) > _CACHED:
+            self._silent.clear()
+            self._telling.clear()
+        z = self.model.bias + sum(self.model.weights[f] for f in sorted(present))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -321,32 +361,32 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     def run(batches):
         decoder = Decoder(held.value)
         for batch in batches:
-            buckets = [sorted({b for token in set(decoder.tokens(t)) for w in decoder.words(token) for b in features(w)}) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "buckets": buckets})
+            found = [sorted({f for token in set(decoder.tokens(t)) for w in decoder.words(token) for f in features(w)}) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "features": found})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
-    sample = scratch.store(texts.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "label int, buckets array<int>"), "sample", F.sum("label").alias("ones"))
+    sample = scratch.store(texts.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "label int, features array<string>"), "sample", F.sum("label").alias("ones"))
     ones = sample.seen["ones"] or 0
     zeros = sample.seen["n_rows"] - ones
     if not ones or not zeros:
         return Model(log_p, {}, 40.0 if ones else -40.0)
-    by_bucket = sample.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    by_feature = sample.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     share = (F.col("a") + F.col("b") + 1) / (ones + zeros + 2)
     errors = F.abs(F.col("a") / ones - F.col("b") / zeros) / F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    best = by_bucket.withColumn("errors", errors).filter((F.col("a") + F.col("b") > 1) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("errors"), "bucket").limit(FEATURES)
-    picked = sorted(r["bucket"] for r in best.select("bucket").collect())
-    present = F.array_intersect("buckets", F.array(*map(F.lit, picked))) if picked else F.array().cast("array<int>")
+    best = by_feature.withColumn("errors", errors).filter((F.col("a") + F.col("b") > 1) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("errors"), "feature").limit(FEATURES)
+    picked = sorted(r["feature"] for r in best.select("feature").collect())
+    present = F.array_intersect("features", F.array(*map(F.lit, picked))) if picked else F.array().cast("array<string>")
     # rows alike are one row with a weight
     got = sample.select("label", F.array_sort(present).alias("present")).groupBy("label", "present").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "present").collect()
-    place = {b: k for k, b in enumerate(picked)}
+    place = {f: k for k, f in enumerate(picked)}
     rows, y = np.zeros((len(got), len(picked)), np.float32), np.array([r["label"] for r in got], np.float64)
     for row, r in zip(rows, got):
-        row[[place[b] for b in r["present"]]] = 1
+        row[[place[f] for f in r["present"]]] = 1
     # classes weigh as they occur, however many rows of each are in the sample
     scale = {1: counts[1] / (counts[0] + counts[1]) * (ones + zeros) / ones, 0: counts[0] / (counts[0] + counts[1]) * (ones + zeros) / zeros}
     w, bias = fit(rows, y, np.array([r["n"] * scale[r["label"]] for r in got]))
     scratch.close()
-    return Model(log_p, {b: float(w[k]) for b, k in place.items()}, bias)
+    return Model(log_p, {f: float(w[k]) for f, k in place.items()}, bias)
 
 
 def _with_column(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, text_col: str, make) -> DataFrame:
