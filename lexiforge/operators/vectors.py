@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import merging
 
 
 def long_form(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -37,24 +38,11 @@ def vector_stats(rows: DataFrame, group: str, vector: str, dead: float = 1e-8) -
 
 
 def ties_merge(parts: DataFrame, key: str, model: str, weights: dict[str, float], density: float, scale: float = 1.0) -> DataFrame:
-    """Merge of models' values (key, idx, model, value): trim, elect signs, average what agrees.
-
-    Of each key and model the floor(density * n) largest magnitudes stay (at least one; the smaller idx of
-    equals). The sign of an idx is that of the weighted sum; the merged value is the weighted mean of the values
-    of that sign, times ``scale``; 0 where none is left.
-    """
-    by = Window.partitionBy(key, model)
-    kept = parts.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.desc(F.abs("value")), "idx")))
-    kept = kept.withColumn("value", F.when(F.col("_r") <= F.greatest(F.floor(F.col("_n") * density), F.lit(1)), F.col("value")).otherwise(0.0))
+    """``merging.ties_merge`` with a weight for each model by name (0 for others) and one density."""
     weight = F.lit(0.0)
     for name, w in weights.items():
         weight = F.when(F.col(model) == name, w).otherwise(weight)
-    weighted = kept.withColumn("_w", weight).withColumn("_v", F.col("value") * F.col("_w"))
-    signed = weighted.withColumn("_sign", F.signum(F.sum("_v").over(Window.partitionBy(key, "idx"))))
-    agrees = (F.signum("value") == F.col("_sign")) & (F.col("value") != 0)
-    total = F.sum(F.when(agrees, F.col("_w")).otherwise(0.0))
-    merged = F.sum(F.when(agrees, F.col("_v")).otherwise(0.0)) / F.when(total == 0, 1.0).otherwise(total)
-    return signed.groupBy(key, "idx").agg((merged * scale).alias("value"))
+    return merging.ties_merge(parts, key, model, weight, F.lit(density), scale)
 
 
 def drift_tied(pairs: DataFrame, a: str, b: str, most: float = 0.1) -> DataFrame:

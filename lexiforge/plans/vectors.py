@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import evaluation, routing, vectors
+from ..operators import evaluation, merging, routing, vectors
 from .tables import table
 
 QUERIES: dict = {}
@@ -57,8 +57,34 @@ def ties_merge(spark, d):
     rows = table(spark, d, "embeddings").withColumn("part", F.concat_ws(":", F.col("vec_id") % 2, "label"))
     part = F.split("part", ":")
     parts = vectors.mean_vectors(rows, "part", "embedding").select(part[0].alias("key"), part[1].alias("model"), "idx", "value")
-    weights = {str(r["label"]): (r["label"] + 1) / 10 for r in rows.select("label").distinct().collect()}
-    return vectors.ties_merge(parts, "key", "model", weights, 0.2).select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))
+    merged = merging.ties_merge(parts, "key", "model", (F.col("model").cast("int") + 1) / 10, F.lit(0.2))
+    return merged.select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))
+
+
+#: Tensors' names as checkpoints have them: saved and original modules, factors of low rank, a whole output tensor.
+_TENSORS = ["model.embed_tokens.modules_to_save.weight", "model.embed_tokens.original_module.weight", "layers.0.lora_A.weight", "lm_head.lora_B.weight", "lm_head.weight"]
+
+
+@query(
+    "merge_weights",
+    f"""WITH m AS (SELECT {_TENSORS}[(vec_id % 5)::INT + 1] AS raw, (label % 2)::VARCHAR AS model, (label // 2 * 64 + idx)::BIGINT AS idx, avg(value) AS value FROM {_LONG} GROUP BY 1, 2, 3),
+    c AS (SELECT replace(replace(raw, '.modules_to_save', ''), '.original_module', '') AS key, raw, CASE WHEN contains(raw, '.modules_to_save') THEN 3 WHEN contains(raw, '.original_module') THEN 1 ELSE 2 END AS p, model, idx, value FROM m),
+    b AS (SELECT * FROM c QUALIFY p = max(p) OVER (PARTITION BY key)),
+    k AS (SELECT *, count(*) OVER (PARTITION BY key, model) AS n, row_number() OVER (PARTITION BY key, model ORDER BY abs(value) DESC, idx) AS r,
+      CASE WHEN regexp_matches(key, 'embed_tokens|lm_head') AND NOT regexp_matches(key, 'lora_[AB]') THEN 1.0 ELSE 0.2 END AS density FROM b),
+    t AS (SELECT key, idx, CASE WHEN r <= greatest(floor(n * density), 1) THEN value ELSE 0 END AS value, CASE WHEN model = '0' THEN 0.7 ELSE 0.3 END AS w FROM k),
+    s AS (SELECT *, sign(sum(value * w) OVER (PARTITION BY key, idx)) AS sg FROM t)
+    SELECT key, idx, round(coalesce(sum(value * w) FILTER (sign(value) = sg AND value <> 0), 0) / (CASE WHEN coalesce(sum(w) FILTER (sign(value) = sg AND value <> 0), 0) = 0 THEN 1 ELSE sum(w) FILTER (sign(value) = sg AND value <> 0) END) * 0.5, 6) + 0.0 AS value FROM s GROUP BY key, idx""",
+)
+def merge_weights(spark, d):
+    """Two models with five tensors each, whose values are means of vectors: names cleaned, then merged."""
+    rows = vectors.long_form(table(spark, d, "embeddings"), ["vec_id", "label"], "embedding")
+    key = F.element_at(F.array(*map(F.lit, _TENSORS)), (F.col("vec_id") % 5 + 1).cast("int"))
+    place = (F.floor(F.col("label") / 2) * 64 + F.col("idx")).cast("long")
+    parts = rows.groupBy(key.alias("key"), (F.col("label") % 2).cast("string").alias("model"), place.alias("idx")).agg(F.avg("value").alias("value"))
+    models = {name: parts.filter(F.col("model") == name).drop("model") for name in ("0", "1")}
+    merged = merging.merge_files(models, {"0": 0.7, "1": 0.3}, 0.2, scale=0.5)
+    return merged.select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
