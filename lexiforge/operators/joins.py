@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.storage import stored
 from . import sampling
 
 
@@ -76,37 +77,47 @@ def marker_counts(rows: DataFrame, text: str, markers: dict[str, list[str]]) ->
 
 
 def code_switched(rows: DataFrame, lang: str, text: str, key: str, pairs: list[tuple[str, str]], target: int, seed) -> DataFrame:
-    """Texts of one language with a segment of another put in: attempts in seeded order, first of equal results.
+    """Texts of one language with a segment of another put in: attempts in seeded order, first of equal results, up to
+    ``target``.
 
     An attempt picks a language pair, an anchor, a donor, a donor segment and a place; it fails if the anchor
-    has under two segments or the donor none. There are at most max(30 * target, 100) attempts. Keys are unique.
+    has under two segments or the donor none. There are at most max(30 * target, 100) attempts; no more are made than
+    the target needs, about. Keys are unique. Keys are numbered and picked first; only texts that attempts have
+    picked are split, each once.
     """
-    attempts = rows.sparkSession.range(max(30 * target, 100)).withColumnRenamed("id", "attempt")
-    n_pairs = len(pairs)
-    pick = X.seeded_index(n_pairs, seed, F.lit("pair"), F.col("attempt"))
-    anchors = F.array(*(F.lit(a) for a, _ in pairs))
-    donors = F.array(*(F.lit(b) for _, b in pairs))
-    # numbers and keys only; the texts of the rows that attempts have picked follow
+    most = max(30 * target, 100)
     chosen = rows.filter(F.col(lang).isin(sorted({x for p in pairs for x in p})))
     numbered, _ = sampling.numbered(chosen.select(F.col(lang).alias("_lang"), F.col(key).alias("_key")), "_row", "_lang", "_key")
-    sizes = numbered.groupBy("_lang").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    a_sizes = F.broadcast(sizes.select(F.col("_lang").alias("anchor_lang"), F.col("_n").alias("_an"), F.col("_first").alias("_af")))
-    d_sizes = F.broadcast(sizes.select(F.col("_lang").alias("inserted_lang"), F.col("_n").alias("_dn"), F.col("_first").alias("_df")))
-    tries = attempts.withColumn("_p", pick.cast("int")).select("attempt", F.get(anchors, F.col("_p")).alias("anchor_lang"), F.get(donors, F.col("_p")).alias("inserted_lang"))
-    tries = tries.join(a_sizes, "anchor_lang").join(d_sizes, "inserted_lang")
-    anchor_row = F.col("_af") + X.seeded_index(F.col("_an"), seed, F.lit("anchor"), "attempt")
-    donor_row = F.col("_df") + X.seeded_index(F.col("_dn"), seed, F.lit("donor"), "attempt")
-    tries = tries.withColumn("_ar", anchor_row).withColumn("_dr", donor_row)
-    # bounded by the number of attempts
-    wanted = F.broadcast(tries.select(F.explode(F.array("_ar", "_dr")).alias("_row")).distinct())
-    keys = F.broadcast(numbered.join(wanted, "_row").select("_row", "_key"))
-    picked = chosen.select(F.col(key).alias("_key"), X.segments(text).alias("_s")).join(keys, "_key")
-    anchor = picked.select(F.col("_row").alias("_ar"), F.col("_s").alias("_a"), F.col("_key").alias("anchor"))
-    donor = picked.select(F.col("_row").alias("_dr"), F.col("_s").alias("_d"), F.col("_key").alias("donor"))
-    joined = tries.join(anchor, "_ar").join(donor, "_dr").filter("size(_a) >= 2 AND size(_d) >= 1")
+    sizes = {r["_lang"]: (r["_first"], r["_n"]) for r in numbered.groupBy("_lang").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")).collect()}
+    tries = target + target // 2 + 16
+    while True:
+        made = _switched(chosen, numbered, sizes, text, key, pairs, min(tries, most), seed)
+        if tries >= most or made.count() >= target:
+            placed, _ = sampling.numbered(made.select("attempt"), "_place", "attempt")
+            return made.join(placed.filter(F.col("_place") < target).select("attempt"), "attempt", "left_semi")
+        tries *= 2
+
+
+def _switched(chosen: DataFrame, numbered: DataFrame, sizes: dict[str, tuple[int, int]], text: str, key: str, pairs: list[tuple[str, str]], tries: int, seed) -> DataFrame:
+    """The distinct results of the first ``tries`` attempts, stored."""
+    spark = chosen.sparkSession
+    pick = X.seeded_index(len(pairs), seed, F.lit("pair"), F.col("attempt")).cast("int")
+    option = F.get(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.lit(x).cast("long").alias(n) for n, x in zip(("af", "an", "df", "dn"), (*sizes.get(a, (0, 0)), *sizes.get(b, (0, 0)))))) for a, b in pairs)), pick)
+    attempts = spark.range(tries).withColumnRenamed("id", "attempt").withColumn("_o", option).filter("_o.an > 0 AND _o.dn > 0")
+    anchor_row = F.col("_o.af") + X.seeded_index(F.col("_o.an"), seed, F.lit("anchor"), "attempt")
+    donor_row = F.col("_o.df") + X.seeded_index(F.col("_o.dn"), seed, F.lit("donor"), "attempt")
+    placed = attempts.select("attempt", F.col("_o.a").alias("anchor_lang"), F.col("_o.b").alias("inserted_lang"), anchor_row.alias("_ar"), donor_row.alias("_dr"))
+    placed = placed.join(numbered.select(F.col("_row").alias("_ar"), F.col("_key").alias("anchor")), "_ar")
+    placed = stored(placed.join(numbered.select(F.col("_row").alias("_dr"), F.col("_key").alias("donor")), "_dr").drop("_ar", "_dr"))
+    wanted = placed.select(F.explode(F.array("anchor", "donor")).alias("_key")).distinct()
+    # stored before it is split: else what is asked of segments is asked of every text
+    picked = stored(chosen.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(wanted, "_key", "left_semi"))
+    picked = stored(picked.select("_key", X.segments("_text").alias("_s")))
+    joined = placed.join(picked.select(F.col("_key").alias("anchor"), F.col("_s").alias("_a")), "anchor")
+    joined = joined.join(picked.select(F.col("_key").alias("donor"), F.col("_s").alias("_d")), "donor").filter("size(_a) >= 2 AND size(_d) >= 1")
     joined = joined.withColumn("_di", X.seeded_index(F.size("_d"), seed, F.lit("segment"), "attempt").cast("int"))
     joined = joined.withColumn("insert_after_segment", (X.seeded_index(F.size("_a") - 1, seed, F.lit("place"), "attempt") + 1).cast("int"))
     mixed = F.concat(F.slice("_a", F.lit(1), F.col("insert_after_segment")), F.array(F.get("_d", F.col("_di"))), F.slice("_a", F.col("insert_after_segment") + 1, F.size("_a")))
     made = joined.select("attempt", "anchor", "donor", "anchor_lang", "inserted_lang", "insert_after_segment", F.array_join(mixed, " ").alias(text))
     first = F.row_number().over(Window.partitionBy(F.sha2(text, 256)).orderBy("attempt"))
-    return made.withColumn("_first", first).filter("_first = 1").drop("_first").orderBy("attempt").limit(target)
+    return stored(made.withColumn("_first", first).filter("_first = 1").drop("_first"))

@@ -6,40 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.storage import stored
 
 
-#: Ranges of keys, as many as the session has shuffle partitions within these limits; rows of the sample that bounds them.
-RANGES, MOST_RANGES, SAMPLE = 128, 512, 8192
+#: Rows of a range of keys, about; at least as many ranges as the session has shuffle partitions.
+RANGE_ROWS = 1 << 21
 
 
-def _ranged(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """Adds _range, the number of the range of keys that a row is in; also returns how many there are.
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in the order, stored, with _part, the number of the range of keys that a row is in, and _in, its place there.
 
-    The bounds come from a sample of fixed size, the rows that a hash of the keys puts first: they decide how even
-    the ranges are, not what comes out.
+    The number of ranges follows the input. Equal keys are in one range.
     """
-    wanted = min(MOST_RANGES, max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    kinds = [rows.schema[c].dataType for c in order]
-    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).orderBy(*order).collect()
-    held = sorted({len(sample) * k // wanted for k in range(1, wanted)} - {0})
-    bounds = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, kind, c in zip(sample[k], kinds, order))) for k in held]
-    key = F.struct(*order)
-    place = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
-    return rows.withColumn("_range", place), len(bounds) + 1
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    sorted_ = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # within a partition these ids rise by one
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(sorted_.withColumns({"_part": F.spark_partition_id(), "_in": place}))
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
-    """Adds the place of each row in the order, from 0; also returns the number of rows.
+    """The rows in the order, with the place of each, from 0; also returns the number of rows.
 
     Each range of keys is numbered by itself, from the count of the rows before it, so no task holds all of
-    them. rows must read alike twice.
+    them. All columns of rows are sorted and stored: number keys, and join what is wide.
     """
-    ranged, n_ranges = _ranged(rows, list(order))
-    counts = dict(ranged.groupBy("_range").count().collect())
-    starts = [sum(n for r, n in counts.items() if r < k) for k in range(n_ranges)]
-    start = F.element_at(F.array(*(F.lit(n).cast("long") for n in starts)), F.col("_range") + 1)
-    found = ranged.withColumn(name, start + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    return found.drop("_range"), sum(counts.values())
+    held = _ranged(rows, list(order))
+    counts = dict(held.groupBy("_part").count().collect())
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    first = rows.sparkSession.createDataFrame(starts, "_part int, _first long")  # a row for a range
+    return held.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_in", "_first"), total
+
+
+def offset(rows: DataFrame, skip: int, *order: str) -> DataFrame:
+    """The rows behind the first ``skip`` ones of the order, in that order; no task holds all of them."""
+    placed, _ = numbered(rows, "_place", *order)
+    return placed.filter(F.col("_place") >= skip).select(*rows.columns)
 
 
 def running(rows: DataFrame, group: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -47,12 +52,12 @@ def running(rows: DataFrame, group: str, order: list[str], sums: dict[str, Colum
 
     Sums run within ranges of keys, from the totals of the group's ranges before: no task holds a whole group.
     """
-    ranged, _ = _ranged(rows.withColumn("_g", _group_key(group)), ["_g", *order])
-    totals = ranged.groupBy("_g", "_range").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
-    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_g", "_range", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
-    inside = Window.partitionBy("_g", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    here = ranged.withColumns({f"_h_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(starts, ["_g", "_range"])
+    ranged = _ranged(rows.withColumn("_g", _group_key(group)), ["_g", *order])
+    totals = ranged.groupBy("_g", "_part").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_g", "_part", *(F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
+    inside = Window.partitionBy("_g", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = ranged.withColumns({f"_h_{name}": F.sum(c).over(inside) for name, c in sums.items()}).join(starts, ["_g", "_part"])
     return here.select(*(F.col(c) for c in rows.columns), *((F.col(f"_h_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums))
 
 
@@ -129,7 +134,7 @@ def hash_split(rows: DataFrame, parts: int, seed, *keys: str) -> DataFrame:
 def capped(rows: DataFrame, keep: Column, key, cap: int, seed, *order: str) -> tuple[DataFrame, DataFrame]:
     """(kept, loaded): rows in seeded order that pass ``keep`` and are first of their key, up to ``cap``; and how
     many rows had been read when the last of them was kept."""
-    hashed = rows.withColumn("_h", X.seeded_hash(seed, *order)).withColumn("_key", key)
+    hashed = rows.withColumn("_h", X.seeded_hash(seed, *order)).withColumn("_key", F.sha2(key, 256))
     passing = hashed.filter(keep)
     first = passing.withColumn("_p", F.row_number().over(Window.partitionBy("_key").orderBy("_h", *order))).filter("_p = 1")
     kept = first.orderBy("_h", *order).limit(cap)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.storage import stored
 from ..operators import cleaning, dedup, joins, sampling, statistics
 from .tables import sql_hash, sql_index, squash, strip, table
 
@@ -226,7 +227,7 @@ def random_split(spark, d):
 def seeded_shuffle(spark, d):
     rows = table(spark, d, "documents").select("doc_id").withColumn("_hash", X.seeded_hash(SEED, "doc_id"))
     numbered, _ = sampling.numbered(rows, "place", "_hash", "doc_id")
-    return numbered.select("doc_id", (F.col("place") + 1).alias("place")).orderBy("place")
+    return numbered.select("doc_id", (F.col("place") + 1).alias("place"))  # in order as they are
 
 
 @query("limit_then_dedup", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM (SELECT doc_id, text FROM documents WHERE length(text) >= 80 ORDER BY doc_id LIMIT 300)) WHERE p = 1")
@@ -243,7 +244,7 @@ def dedup_then_limit(spark, d):
 
 @query("offset_slice", "SELECT doc_id FROM documents ORDER BY doc_id OFFSET 25")
 def offset_slice(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").offset(25)
+    return sampling.offset(table(spark, d, "documents").select("doc_id"), 25, "doc_id")
 
 
 @query("priority_dedup", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END DESC, o_orderkey) AS p FROM orders) WHERE p = 1")
@@ -301,7 +302,8 @@ def flagship(spark, d) -> DataFrame:
     """Cleaned documents, first of equal texts, split by language, counted by language and split."""
     docs = cleaning.clean_documents(table(spark, d, "documents").select("doc_id", "lang", "text"), junk=JUNK)
     slim = docs.select("doc_id", "lang", F.length("text").alias("chars"), dedup.digest([dedup.text_key("text")]).alias("key"))
-    split = sampling.stratified_split(dedup.first_wins(slim, ["key"], ["doc_id"]), "lang", 0.1, SEED, "doc_id")
+    first = stored(dedup.first_wins(slim, ["key"], ["doc_id"]).select("doc_id", "lang", "chars"))  # counted, then ranked
+    split = sampling.stratified_split(first, "lang", 0.1, SEED, "doc_id")
     return split.groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 

@@ -92,7 +92,9 @@ _SAMPLES = 1000
       round(least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)), 6) AS p_value, least(1.0, 2 * least((le + 1) / {_SAMPLES + 1}.0, (ge + 1) / {_SAMPLES + 1}.0)) < 0.05 AS significant FROM o, z""",
 )
 def bootstrap_chrf(spark, d):
-    lines, n = sampling.numbered(_texts(spark, d), "line", "conv_id", "turn")
+    texts = _texts(spark, d)
+    keys, n = sampling.numbered(texts.select("conv_id", "turn"), "line", "conv_id", "turn")
+    lines = texts.join(keys, ["conv_id", "turn"])
     sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("c").alias("h")), F.struct(F.lit("right").alias("side"), F.col("b").alias("h")))).alias("s")
     both = E.chrf_stats(lines.select("line", "a", sides).select("line", "a", "s.*"), ["side", "line"], "h", "a")
     found = E.paired_bootstrap(both, "line", max(n, 1), _SAMPLES, SEED)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -77,8 +76,8 @@ def alpaca_normalize(spark, d):
 def parallel_align(spark, d):
     def part(lang):
         rows = table(spark, d, "documents").filter(F.col("lang") == lang).select("doc_id", "text")
-        numbered, _ = sampling.numbered(rows, "k", "doc_id")
-        return numbered.select((F.col("k") + 1).alias("k"), "text")
+        numbered, _ = sampling.numbered(rows.select("doc_id"), "k", "doc_id")
+        return numbered.join(rows, "doc_id").select((F.col("k") + 1).alias("k"), "text")
 
     return joins.aligned({"en": part("en"), "fr": part("fr")}, "k", check=False).filter("en IS NOT NULL AND fr IS NOT NULL")
 
@@ -125,16 +124,18 @@ _SEG = f"""(SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY d
 @query(
     "codeswitch",
     f"""WITH s AS (SELECT lang, doc_id, r, CASE WHEN len(c) < 2 THEN k ELSE c END AS seg FROM {_SEG}), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-    t AS (SELECT a AS attempt, {sql_index(6, SEED, "'pair'", 'a')} + 1 AS p FROM range(1200) x(a)),
+    t AS (SELECT a AS attempt, {sql_index(6, SEED, "'pair'", 'a')} + 1 AS p FROM (SELECT unnest(range(greatest(30 * round_even(0.04 * count(*), 0), 100)::BIGINT)) AS a FROM documents)),
     u AS (SELECT attempt, ['en','fr','en','de','es','fr'][p] AS al, ['fr','en','de','en','fr','es'][p] AS il FROM t),
     v AS (SELECT u.*, {sql_index('an.n', SEED, "'anchor'", 'attempt')} AS ar, {sql_index('dn.n', SEED, "'donor'", 'attempt')} AS dr FROM u JOIN n an ON an.lang = al JOIN n dn ON dn.lang = il),
     w AS (SELECT attempt, a.doc_id AS anchor, b.doc_id AS donor, al AS anchor_lang, il AS inserted_lang, a.seg AS x, b.seg AS y, ({sql_index('(len(a.seg) - 1)', SEED, "'place'", 'attempt')} + 1)::INT AS i, {sql_index('len(b.seg)', SEED, "'segment'", 'attempt')} + 1 AS j
       FROM v JOIN s a ON a.lang = al AND a.r = ar JOIN s b ON b.lang = il AND b.r = dr WHERE len(a.seg) >= 2 AND len(b.seg) >= 1),
     z AS (SELECT attempt, anchor, donor, anchor_lang, inserted_lang, i AS insert_after_segment, array_to_string(list_concat(list_concat(x[1:i], [y[j]]), x[i+1:]), ' ') AS text FROM w)
-    SELECT * EXCLUDE (f) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY attempt) AS f FROM z) WHERE f = 1 ORDER BY attempt LIMIT 40""",
+    SELECT * EXCLUDE (f) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY attempt) AS f FROM z) WHERE f = 1 QUALIFY row_number() OVER (ORDER BY attempt) <= (SELECT round_even(0.04 * count(*), 0) FROM documents)""",
 )
 def codeswitch(spark, d):
-    return joins.code_switched(table(spark, d, "documents").select("doc_id", "lang", "text"), "lang", "text", "doc_id", _PAIRS, 40, SEED)
+    """As many mixed texts as 4 in 100 documents."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return joins.code_switched(docs, "lang", "text", "doc_id", _PAIRS, round(0.04 * docs.count()), SEED)
 
 
 @query("repeat_mix", "SELECT doc_id, source, unnest(range(1, CASE source WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END + 1))::INT AS copy FROM documents")
@@ -227,7 +228,7 @@ def mask_filter(spark, d):
 )
 def pad_clamp(spark, d):
     rows = _masked(spark, d)
-    counted = rows.withColumn("k", F.row_number().over(Window.orderBy("conv_id", "turn")) - 1)
+    counted, _ = sampling.numbered(rows, "k", "conv_id", "turn")
     return sequences.padded(counted, "k", 8, 0, 30_000).select("conv_id", "turn", F.col("batch").cast("long").alias("batch"), _joined("input_ids"), _joined("labels"))
 
 
@@ -253,7 +254,7 @@ def sliding_windows(spark, d):
 
 @query("pack_sequences", "SELECT doc_id, floor(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096)::BIGINT AS sequence FROM documents")
 def pack_sequences(spark, d):
-    return sequences.packed(table(spark, d, "documents"), "source", "doc_id", "n_chars", 4096).select("doc_id", "sequence")
+    return sequences.packed(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 4096).select("doc_id", "sequence")
 
 
 _FREQ = "SELECT word, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, doc_id FROM documents) GROUP BY word"
