@@ -100,6 +100,11 @@ def fragments(word: Column, unit: int = 3) -> Column:
 def fragmented_words(counts: DataFrame, least: int, min_length: int, most: int) -> DataFrame:
     """Frequent long words that take several pieces, with their capitalised form, in order of frequency."""
     wanted = counts.filter((F.col("n") >= least) & (F.length("word") >= min_length) & (fragments(F.col("word")) > 1))
+    return placed_forms(wanted, most)
+
+
+def placed_forms(wanted: DataFrame, most: int) -> DataFrame:
+    """(token, place) of the first ``most`` words by frequency and of their capitalised forms, each once."""
     top = wanted.orderBy(F.desc("n"), "first_doc", "word").limit(most)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "first_doc", "word"))  # over ``most`` rows
     both = top.withColumn("_p", place).select("_p", F.posexplode(F.array("word", X.capitalize("word"))).alias("_k", "token"))

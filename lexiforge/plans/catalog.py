@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, mixing, vectors
+from . import corpus, evaluation, mixing, subwords, vectors
 
-MODULES = (corpus, mixing, evaluation, vectors)
+MODULES = (corpus, mixing, evaluation, subwords, vectors)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
