@@ -201,6 +201,23 @@ def with_language(rows: DataFrame, text: str, predict: Callable[[list[str]], lis
     return rows.withColumn("_l", labelled(F.col(text))).select(*(F.col(c) for c in rows.columns), F.col("_l.label").alias("lang_label"), F.col("_l.score").alias("lang_score"))
 
 
+def marker_language(rows: DataFrame, text: str, markers: dict[str, list[str]]) -> DataFrame:
+    """Adds lang_label and lang_score by marker words: the language with the most of them in the text (of equals the first
+    by name) and its share of all that were found; null where there is none. Column expressions only."""
+    names = sorted(markers)
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[\w']+\b"), F.lit(0))
+    listed = F.create_map(*(F.lit(x) for name in names for word in markers[name] for x in (word, name)))
+    # words become the names of their languages first, so a text is looked through once
+    hits = F.array_compact(F.transform(found, lambda w: F.element_at(listed, w)))
+    def _times(name: str) -> Column:
+        return F.size(F.filter("_hits", lambda h: h == name))
+
+    counts = F.array(*(_times(name) for name in names))
+    counted = rows.withColumn("_hits", hits).withColumn("_counts", counts).withColumn("_top", F.array_max("_counts"))
+    label = F.when(F.col("_top") > 0, F.get(F.array(*map(F.lit, names)), (F.array_position("_counts", F.col("_top")) - 1).cast("int")))
+    return counted.withColumn("lang_label", label).withColumn("lang_score", F.when(F.col("_top") > 0, F.col("_top") / F.size("_hits"))).drop("_hits", "_counts", "_top")
+
+
 def batched_map(rows: DataFrame, change: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Rows changed batch by batch; a batch may give more or fewer rows."""
     return rows.mapInPandas(lambda batches: map(change, batches), schema)

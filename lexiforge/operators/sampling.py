@@ -148,3 +148,42 @@ def quota(rows: DataFrame, category: str, most: int, order: list) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(category).orderBy(*order))
     numbered = rows.withColumn("_place", place).filter(F.col("_place") <= most)
     return numbered.withColumn("item", F.format_string("%s_%03d", category, "_place")).drop("_place")
+
+
+def quota_rounds(candidates, categories: list[str], most: int, key: list[str], order: list[str], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): of each category in turn the first ``most`` candidates without errors whose key no
+    candidate accepted before has, whatever its category.
+
+    candidates(category, round) gives the rows of a round, with a column ``errors`` (an array) and unique order
+    columns; a category that is still short after a round asks for another one, up to ``rounds``, and an empty round
+    ends it. Accepted rows get ``item``, category_001 and so on; rejected ones, of those that were looked at before the
+    category was full, get ``reason``: their errors, or "duplicate minimal pair". Both have category and round. The
+    driver sees one count a round; keys are compared as digests.
+    """
+    from .dedup import digest
+
+    accepted = rejected = None
+    for category in categories:
+        held = 0
+        for k in range(1, rounds + 1):
+            rows = candidates(category, k).withColumns({"category": F.lit(category), "round": F.lit(k), "_key": digest(key)})
+            good = F.size("errors") == 0
+            seen = rows.withColumn("_seen", F.lit(False)) if accepted is None else rows.join(accepted.select("_key").distinct().withColumn("_old", F.lit(True)), "_key", "left").withColumn("_seen", F.col("_old").isNotNull()).drop("_old")
+            first = F.row_number().over(Window.partitionBy("_key", good & ~F.col("_seen")).orderBy(*order))
+            judged = stored(seen.withColumn("_new", good & ~F.col("_seen") & (first == 1)))
+            wanted = judged.filter("_new").orderBy(*order).limit(most - held)  # a bounded number
+            place = F.row_number().over(Window.orderBy(*order))
+            taken = stored(wanted.withColumn("item", F.format_string("%s_%03d", F.lit(category), place + held)).drop("_seen", "_new"))
+            n = taken.count()
+            last = taken.agg(F.max(F.struct(*order)).alias("_last"))
+            looked = judged.filter("NOT _new").drop("_new")
+            if held + n >= most:
+                looked = looked.crossJoin(F.broadcast(last)).filter(F.struct(*order) <= F.col("_last")).drop("_last")
+            reason = F.when(F.size("errors") > 0, F.array_join("errors", "; ")).otherwise("duplicate minimal pair")
+            refused = looked.withColumn("reason", reason).drop("_seen", "_key")
+            accepted = taken if accepted is None else accepted.unionByName(taken)
+            rejected = refused if rejected is None else rejected.unionByName(refused)
+            held += n
+            if held >= most or judged.isEmpty():
+                break
+    return accepted.drop("_key"), rejected

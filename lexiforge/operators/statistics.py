@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -55,3 +55,33 @@ def corpus_totals(rows: DataFrame, group: str, text_col: str, separator: int) ->
         (F.sum(F.octet_length(text_col)) + between).alias("bytes"),
         F.sum(X.word_count(text_col).cast("long")).alias("words"),
     )
+
+
+def capped_report(rows: DataFrame, group: str, checks: dict[str, Column], key: list, order: str, cap: int | None, created: Column | None = None) -> DataFrame:
+    """(group, loaded, one count for each check, duplicates_removed, kept, codeswitched_created): what became of the rows
+    of a group, read in order up to the row that fills its cap.
+
+    A row counts once, under the first check that holds for it; one that passes all is a duplicate if the group has kept
+    its key already. ``created`` marks rows that were made, counted among those kept. Keys travel as digests; of each
+    key a task sends its first row only, and of each group no more than the cap is ranked.
+    """
+    from .dedup import digest
+
+    status = F.lit(None).cast("string")
+    for name, holds in reversed(checks.items()):
+        status = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(status)
+    made = F.coalesce(created, F.lit(False)) if created is not None else F.lit(False)
+    slim = rows.select(group, F.col(order).alias("_order"), status.alias("_status"), digest(key).alias("_key"), made.alias("_made"))
+    first = slim.filter("_status IS NULL").groupBy(group, "_key").agg(F.min_by("_made", "_order").alias("_made"), F.min("_order").alias("_order"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_order"))
+    kept = first.withColumn("_place", place).filter(F.col("_place") <= cap) if cap is not None else first
+    kept = kept.groupBy(group).agg(F.count("*").alias("kept"), F.max("_order").alias("_last"), F.count_if("_made").alias("codeswitched_created"))
+    # a group that never fills its cap is read to its end
+    full = F.col("kept") >= cap if cap is not None else F.lit(False)
+    read = slim.join(F.broadcast(kept), group, "left").filter(~F.coalesce(full, F.lit(False)) | (F.col("_order") <= F.col("_last")))
+    passed = F.count_if(F.col("_status").isNull())
+    keeps = F.coalesce(F.max("kept"), F.lit(0))
+    return read.groupBy(group).agg(
+        F.count("*").alias("loaded"), *(F.count_if(F.col("_status") == name).alias(name) for name in checks),
+        (passed - keeps).alias("duplicates_removed"), keeps.alias("kept"), F.coalesce(F.max("codeswitched_created"), F.lit(0)).alias("codeswitched_created"),
+    )

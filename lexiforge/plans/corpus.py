@@ -52,6 +52,22 @@ def lid_gate(spark, d):
     return cleaning.language_gate(docs, "lang", "score", ["fr", "es"], 0.4).select("doc_id", "lang")
 
 
+_MARKERS = {"en": ["the", "and", "of"], "fr": ["les", "des", "une"], "es": ["los", "las", "una"]}
+_MARKED_SQL = ", ".join("len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in words) + f"))) AS {lang}" for lang, words in _MARKERS.items())
+
+
+@query(
+    "marker_gate",
+    f"""WITH m AS (SELECT doc_id, {_MARKED_SQL} FROM documents), s AS (SELECT *, greatest(en, fr, es) AS top, en + fr + es AS total FROM m),
+    l AS (SELECT doc_id, total, CASE WHEN total = 0 THEN NULL WHEN en = top THEN 'en' WHEN es = top THEN 'es' ELSE 'fr' END AS label, CASE WHEN total > 0 THEN top / total END AS score FROM s)
+    SELECT doc_id, label, round(score, 6) AS score FROM l WHERE total = 0 OR NOT (label IN ('fr', 'es') AND score > 0.8)""",
+)
+def marker_gate(spark, d):
+    """Documents labelled by their marker words, without those that are surely French or Spanish."""
+    labelled = cleaning.marker_language(table(spark, d, "documents").select("doc_id", "text"), "text", _MARKERS)
+    return cleaning.language_gate(labelled, "lang_label", "lang_score", ["fr", "es"]).select("doc_id", F.col("lang_label").alias("label"), F.round("lang_score", 6).alias("score"))
+
+
 _SCORED_SQL = f"""SELECT doc_id, source,
   list_filter([CASE WHEN regexp_matches(text, '{_rx("los|las")}') THEN 'spanish_los' END, CASE WHEN regexp_matches(text, '{_rx("pour|dans")}') THEN 'french_pour' END], lambda x: x IS NOT NULL) AS rejects,
   list_filter([CASE WHEN regexp_matches(text, '{_rx("the")}') THEN 'the' END, CASE WHEN regexp_matches(text, '{_rx("und")}') THEN 'und' END, CASE WHEN regexp_matches(text, '[òèçéñ]') THEN 'diacritic' END], lambda x: x IS NOT NULL) AS hits
@@ -131,6 +147,44 @@ def validate_errors(spark, d):
     return pairs.select("doc_id", F.array_join(errors, ";").alias("errors"), (F.size(errors) == 0).alias("accepted"))
 
 
+_CATEGORY_PAIRS = f"""(SELECT doc_id, doc_id % 8 AS k, {squash('lang')} AS source, replace({squash('split_part(text, chr(10), 1)')}, '’', chr(39)) AS correct,
+  replace({squash('split_part(text, chr(10), 2)')}, '’', chr(39)) AS incorrect FROM documents)"""
+
+
+def _category_sql() -> str:
+    """The checks of each category, from its markers."""
+
+    def any_of(side, words):
+        return " OR ".join("contains(' ' || lower({}) || ' ', '{}')".format(side, w.replace("'", "''")) for w in words)
+
+    cases = []
+    for k, rules in enumerate(cleaning.PAIR_CATEGORIES):
+        checks = [("source = ''", "missing source_fr"), ("correct = ''", "missing correct_oc"), ("incorrect = ''", "missing incorrect_oc"), ("correct <> '' AND lower(correct) = lower(incorrect)", "correct_oc and incorrect_oc are identical")]
+        checks.append((f"length(correct) - length(replace(correct, chr(39), '')) < {rules.min_apostrophes}", f"correct_oc has fewer than {rules.min_apostrophes} apostrophes"))
+        if rules.required_correct:
+            checks.append((f"NOT ({any_of('correct', rules.required_correct)})", "correct_oc lacks required category marker"))
+        if rules.required_incorrect:
+            checks.append((f"NOT ({any_of('incorrect', rules.required_incorrect)})", "incorrect_oc lacks required error marker"))
+        if rules.forbidden_correct:
+            checks.append((any_of("correct", rules.forbidden_correct), "correct_oc contains forbidden interference marker"))
+        checks += [(f"len(list_filter(string_split({side}, ' '), lambda w: w <> '')) > {rules.max_words}", f"{side}_oc is too long") for side in ("correct", "incorrect")]
+        listed = ", ".join(f"CASE WHEN {wrong} THEN '{message}' END" for wrong, message in checks)
+        cases.append(f"WHEN {k} THEN array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ';')")
+    return f"SELECT doc_id, k, errors, errors = '' AS accepted FROM (SELECT doc_id, k::INT AS k, CASE k {' '.join(cases)} END AS errors FROM {_CATEGORY_PAIRS})"
+
+
+@query("validate_categories", _category_sql())
+def validate_categories(spark, d):
+    """The first two lines of each document as a minimal pair, under the rules of all eight categories in turn."""
+    lines = F.split("text", "\n")
+    k = (F.col("doc_id") % 8).cast("int")
+    names = F.array(*(F.lit(rules.name) for rules in cleaning.PAIR_CATEGORIES))
+    pairs = table(spark, d, "documents").select(
+        "doc_id", k.alias("k"), F.get(names, k).alias("category"), F.col("lang").alias("source"), lines[0].alias("correct"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("incorrect"), F.lit("x").alias("explanation")
+    )
+    return cleaning.validated_pairs(pairs).select("doc_id", "k", F.array_join("errors", ";").alias("errors"), (F.size("errors") == 0).alias("accepted"))
+
+
 @query("dedup_first_wins", f"SELECT doc_id, text FROM (SELECT doc_id, {squash('text')} AS text, row_number() OVER (PARTITION BY lower({squash('text')}) ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
 def dedup_first_wins(spark, d):
     docs = table(spark, d, "documents").select("doc_id", X.squash("text").alias("text"))
@@ -182,6 +236,39 @@ def topn_per_category(spark, d):
     return sampling.quota(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", 5, ["p_partkey"])
 
 
+_ROUND_CATEGORIES = [f"size {k}" for k in range(4)]
+
+
+def _rounds_sql() -> str:
+    """A category after the other; each looks at what all before it have taken. The first round has the even keys."""
+    ctes, taken = [], []
+    for k, name in enumerate(_ROUND_CATEGORIES):
+        old = " UNION ALL ".join(f"SELECT kind FROM t{j}" for j in range(k))
+        unseen = f"AND kind NOT IN ({old})" if k else ""
+        for part, parity in (("a", 0), ("b", 1)):
+            more = f"AND kind NOT IN (SELECT kind FROM t{k}a)" if part == "b" else ""
+            left = f"(SELECT 12 - count(*) FROM t{k}a)" if part == "b" else "12"
+            first = f"SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p_partkey) AS f FROM kinds WHERE p_size % 4 = {k} AND p_partkey % 2 = {parity} AND p_retailprice >= 950 {unseen} {more}"
+            ctes.append(f"t{k}{part} AS (SELECT p_partkey, kind, row_number() OVER (ORDER BY p_partkey) AS p FROM ({first}) WHERE f = 1 QUALIFY p <= {left})")
+        ctes.append(f"t{k} AS (SELECT p_partkey, kind, p AS place, 1 AS round FROM t{k}a UNION ALL SELECT p_partkey, kind, p + (SELECT count(*) FROM t{k}a), 2 FROM t{k}b)")
+        taken.append(f"SELECT '{name}' AS category, round::INT AS round, p_partkey, kind, printf('{name}_%03d', place) AS item FROM t{k}")
+    return f"WITH kinds AS (SELECT *, p_brand || ' ' || p_type AS kind FROM part), {', '.join(ctes)} {' UNION ALL '.join(taken)}"
+
+
+@query("quota_rounds", _rounds_sql())
+def quota_rounds(spark, d):
+    """Twelve parts of each size class, no brand and type twice; odd keys are looked at only where even ones did not do."""
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("kind"), "p_size", "p_retailprice")
+    errors = F.array_compact(F.array(F.when(F.col("p_retailprice") < 950, "too cheap")))
+
+    def candidates(category: str, round_: int):
+        k = _ROUND_CATEGORIES.index(category)
+        return parts.filter((F.col("p_size") % 4 == k) & (F.col("p_partkey") % 2 == round_ - 1)).withColumn("errors", errors)
+
+    accepted, _ = sampling.quota_rounds(candidates, _ROUND_CATEGORIES, 12, ["kind"], ["p_partkey"], rounds=2)
+    return accepted.select("category", "round", "p_partkey", "kind", "item")
+
+
 def _split_sql(rest: str, group: str) -> str:
     return f"SELECT doc_id, {rest} AS split FROM (SELECT doc_id, {group}, count(*) OVER (PARTITION BY {group}) AS n, row_number() OVER (PARTITION BY {group} ORDER BY {sql_hash(SEED, 'doc_id')}, doc_id) AS r FROM documents)"
 
@@ -276,6 +363,25 @@ def quality_report(spark, d):
     return statistics.quality_report(table(spark, d, "documents").select("source", "text"), "source", "text", "***")
 
 
+@query(
+    "capped_quality",
+    """WITH s AS (SELECT doc_id, source, text, doc_id % 5 = 0 AS made, CASE WHEN lang IS NULL OR n_chars < 60 THEN 'skipped_invalid' WHEN text IS NULL OR trim(text) = '' THEN 'skipped_empty' WHEN contains(text, '***') THEN 'filtered_unk' END AS status FROM documents),
+    p AS (SELECT *, status IS NULL AND row_number() OVER (PARTITION BY source, status IS NULL, text ORDER BY doc_id) = 1 AS first FROM s),
+    k AS (SELECT *, count(*) FILTER (first) OVER (PARTITION BY source ORDER BY doc_id) AS held FROM p),
+    r AS (SELECT * FROM k WHERE held < 30 OR (held = 30 AND first))
+    SELECT source, count(*) AS loaded, count(*) FILTER (status = 'skipped_invalid') AS skipped_invalid, count(*) FILTER (status = 'skipped_empty') AS skipped_empty, count(*) FILTER (status = 'filtered_unk') AS filtered_unk,
+      count(*) FILTER (status IS NULL AND NOT first) AS duplicates_removed, count(*) FILTER (first) AS kept, count(*) FILTER (first AND made) AS codeswitched_created FROM r GROUP BY source""",
+)
+def capped_quality(spark, d):
+    """All counters by source, in the order of the checks, up to the thirtieth row that is kept."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    checks = {
+        "skipped_invalid": F.col("lang").isNull() | (F.col("n_chars") < 60), "skipped_empty": F.col("text").isNull() | (F.trim("text") == ""),
+        "filtered_unk": F.contains("text", F.lit("***")),
+    }
+    return statistics.capped_report(docs, "source", checks, ["text"], "doc_id", 30, F.col("doc_id") % 5 == 0)
+
+
 @query("per_source_rollup", "SELECT coalesce(source, 'total') AS source, count(*) AS input, count(*) FILTER (n_chars >= 1000) AS kept, count(*) FILTER (n_chars < 1000) AS dropped FROM documents GROUP BY ROLLUP (source)")
 def per_source_rollup(spark, d):
     return statistics.kept_rollup(table(spark, d, "documents"), "source", F.col("n_chars") >= 1000)

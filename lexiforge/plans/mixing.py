@@ -372,6 +372,18 @@ def json_objects(spark, d):
     return found.select(F.replace("object", F.lit(" "), F.lit("")).alias("object"), "ok")
 
 
+@query(
+    "json_objects_kept",
+    """SELECT event_id, 0 AS place, replace(props, ' ', '') AS "object", true AS ok FROM events UNION ALL SELECT event_id, 1, '{"n":' || event_id || '}', true FROM events
+    UNION ALL SELECT event_id, 2, '{broken', false FROM events WHERE event_id % 10 = 0""",
+)
+def json_objects_kept(spark, d):
+    """The same objects, each beside the event that it is of."""
+    rest = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise("")
+    rows = table(spark, d, "events").select("event_id", F.concat("props", F.lit(' {"n": '), "event_id", F.lit("}"), rest).alias("line"))
+    return readers.objects_of(rows).select("event_id", "place", F.replace("object", F.lit(" "), F.lit("")).alias("object"), "ok")
+
+
 @query("fallback_targets", f"SELECT coalesce(nullif({strip('a')}, ''), {strip('text')}) AS text, 'flores' AS source_type FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN role END AS a FROM conversations) WHERE coalesce(nullif({strip('a')}, ''), {strip('text')}) NOT IN ('', 'nan')")
 def fallback_targets(spark, d):
     rows = table(spark, d, "conversations").withColumn("target_text", F.when(F.col("turn") % 2 == 0, F.col("role")))

@@ -90,6 +90,36 @@ def split_objects(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.select(column).mapInPandas(run, "object string, ok boolean")
 
 
+class _Objects:
+    """Objects of a line, with their places from 0; what follows them and is no object is the last, with ok false."""
+
+    def eval(self, line: str):
+        if line is None:
+            return
+        decoder, at, place = json.JSONDecoder(), 0, 0
+        while at < len(line):
+            if line[at].isspace():
+                at += 1
+                continue
+            try:
+                value, end = decoder.raw_decode(line, at)
+            except ValueError:
+                yield place, line[at:], False
+                return
+            yield place, json.dumps(value, ensure_ascii=False), isinstance(value, dict)
+            at, place = end, place + 1
+
+
+#: Table function: line -> rows (place, object, ok).
+json_objects = F.udtf(_Objects, returnType="place int, object string, ok boolean")
+
+
+def objects_of(rows: DataFrame, column: str = "line") -> DataFrame:
+    """rows with the JSON objects of a column beside their other columns: a lateral join, so a line with several
+    objects is repeated, and one with none goes."""
+    return rows.lateralJoin(json_objects(F.col(column).outer())).drop(column)
+
+
 def conllu_sentences(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of CoNLL-U files: the "# text =" comment, else the forms of the words (no ranges, no empty nodes)."""
     blocks = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("sentence_no", "block"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -38,21 +38,62 @@ def check_count(rows: DataFrame, expected: int) -> DataFrame:
     return rows
 
 
-def append_new(rows: DataFrame, key: str, path: str) -> int:
-    """Append rows whose key the log at ``path`` does not have yet; how many there were. One commit a batch, so a
-    stopped run goes on where it was."""
-    spark = rows.sparkSession
+def write_counted(rows: DataFrame, path: str, counters: dict[str, Column], write: Callable[[DataFrame, str], None] | None = None, expected: int | None = None, **parameters) -> str:
+    """Write rows and return their counts and the parameters as JSON, from one pass: what is counted is what is written.
+
+    counters: conditions on the rows, besides their total. Another number than ``expected`` is an error; what was
+    written stays then, for inspection.
+    """
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(name) for name, c in counters.items()))
+    if write is None:
+        counted.write.parquet(path)
+    else:
+        write(counted, path)
+    counts = seen.get
+    if expected is not None and counts["total"] != expected:
+        raise ValueError(f"{counts['total']} rows, expected {expected}")
+    total = counts.pop("total")
+    return json.dumps({"counts": counts, "total": total, **parameters}, ensure_ascii=False, indent=2)
+
+
+def _logged(spark, path: str) -> DataFrame | None:
     try:
-        done = spark.read.parquet(path).select(key)
+        return spark.read.parquet(path)
     except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        done = None
-    new = rows if done is None else rows.join(done, key, "left_anti")
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+        return None
+
+
+def append_new(rows: DataFrame, key: str, path: str) -> int:
+    """Append rows whose key the log at ``path`` does not have yet; how many there were. One commit a batch, so a
+    stopped run goes on where it was. Rows are computed once, and counted while they are written."""
+    done = _logged(rows.sparkSession, path)
+    new = rows if done is None else rows.join(done.select(key), key, "left_anti")
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def append_batch(rows: DataFrame, key: str, path: str, batch: int) -> int:
+    """Commit a numbered batch to the log at ``path``: rows whose key no other batch has, first of equal keys by their
+    content; how many there were. A batch is a partition of the log: running it again overwrites it, whether it was
+    stopped or not. Writers of different batches need not wait for one another; what both write, ``read_log`` counts to
+    the batch with the smaller number."""
+    done = _logged(rows.sparkSession, path)
+    first = rows.groupBy(key).agg(F.min(F.struct(*(c for c in rows.columns if c != key))).alias("_row")).select(key, "_row.*").select(*rows.columns)
+    new = first if done is None else first.join(done.filter(F.col("batch") != batch).select(key), key, "left_anti")
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return seen.get["n"]
+
+
+def read_log(spark, path: str, key: str) -> DataFrame:
+    """The rows of a log of batches, each key once: that of the smallest batch number."""
+    log = spark.read.parquet(path)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("batch"))
+    return log.withColumn("_place", place).filter("_place = 1").drop("_place", "batch")
 
 
 def latex_table(rows: DataFrame, columns: list[str], form: Callable[[object], str] = str) -> str:
