@@ -6,11 +6,12 @@ import json
 import struct
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
+from ..functions.storage import stored
 
 
 def raw_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl*", damaged: bool = False) -> DataFrame:
@@ -49,15 +50,28 @@ def strict_json_rows(spark: SparkSession, paths, schema: str) -> DataFrame:
     return rows
 
 
+def _placed_lines(spark: SparkSession, path: str, keep: Callable | None = None) -> DataFrame:
+    """(file, _block, line_no, text): the lines of files with their numbers from 0, in which only those count that ``keep``
+    holds for. Files are read in blocks by many tasks; blocks are counted, and numbered from the counts of those before.
+    The lines are stored once."""
+    reader = spark.read.option("lineSep", "\n").text(path)
+    text = F.regexp_replace("value", r"\r$", "").alias("text")
+    lines = reader.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), text)
+    lines = lines if keep is None else lines.filter(keep(F.col("text")))
+    # a block is read by one task from its start to its end, where these ids rise by one
+    held = stored(lines.withColumn("_id", F.monotonically_increasing_id()))
+    blocks = held.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    starts = blocks.select("file", "_block", (before - F.col("_first")).alias("_shift"))  # a row for a block
+    return held.join(F.broadcast(starts), ["file", "_block"]).select("file", "_block", (F.col("_id") + F.col("_shift")).alias("line_no"), "text")
+
+
 def numbered_lines(spark: SparkSession, path: str, keep_blank: bool = True) -> DataFrame:
-    """Lines with a stable number from 0, as line corpora are aligned by it. For evaluation files, not crawls."""
-    whole = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace("value", r"\r?\n$", "")
-    lines = whole.select(F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "text"))
+    """(line_no, text): lines with a stable number from 0 in their file, as line corpora are aligned by it; without blank
+    ones, stripped, if not ``keep_blank``. Large files are read by many tasks."""
     if keep_blank:
-        return lines.withColumn("line_no", F.col("line_no").cast("long"))
-    kept = whole.select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), X.strip), lambda x: x != "")).alias("line_no", "text"))
-    return kept.withColumn("line_no", F.col("line_no").cast("long"))
+        return _placed_lines(spark, path).select("line_no", "text")
+    return _placed_lines(spark, path, lambda text: X.strip(text) != "").select("line_no", X.strip("text").alias("text"))
 
 
 def split_objects(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -121,12 +135,23 @@ def objects_of(rows: DataFrame, column: str = "line") -> DataFrame:
 
 
 def conllu_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL-U files: the "# text =" comment, else the forms of the words (no ranges, no empty nodes)."""
-    blocks = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("sentence_no", "block"))
-    text = F.regexp_extract("block", r"(?m)^# text = (.*)$", 1)
-    rows = F.filter(F.split("block", r"\r?\n"), lambda r: r.rlike(r"^\d+\t") & ~r.rlike(r"^\d+\t_\t"))
+    """(sentence_no, text) of CoNLL-U files, in order: the "# text =" comment, else the forms of the words (no ranges, no
+    empty nodes). Blank lines end sentences; numbers rise, from 0 in each file. Large files are read by many tasks: blank
+    lines are counted by block, so a sentence may lie in two blocks."""
+    lines = _placed_lines(spark, path).withColumn("_blank", (X.strip("text") == "").cast("long"))
+    counts = lines.groupBy("file", "_block").agg(F.sum("_blank").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    starts = counts.select("file", "_block", before.alias("_before"))  # a row for a block
+    within = F.sum("_blank").over(Window.partitionBy("file", "_block").orderBy("line_no"))
+    placed = lines.withColumn("_within", within).join(F.broadcast(starts), ["file", "_block"]).filter("_blank = 0")
+    sentences = placed.groupBy("file", (F.col("_before") + F.col("_within")).alias("sentence_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
+    texts = F.transform("_lines", lambda line: line["text"])
+    comment = F.get(F.filter(texts, lambda line: line.startswith("# text = ")), F.lit(0))
+    rows = F.filter(texts, lambda r: r.rlike(r"^\d+\t") & ~r.rlike(r"^\d+\t_\t"))
     forms = F.array_join(F.transform(rows, lambda r: F.split(r, "\t")[1]), " ")
-    return blocks.select("sentence_no", F.coalesce(X.none_if_empty(X.strip(text)), forms).alias("text")).filter("text <> ''")
+    said = X.none_if_empty(X.strip(F.substr(comment, F.lit(len("# text = ") + 1))))
+    found = sentences.select("file", "sentence_no", F.coalesce(said, forms).alias("text")).filter("text <> ''")
+    return found.orderBy("file", "sentence_no").select("sentence_no", "text")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:

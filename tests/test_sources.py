@@ -166,3 +166,31 @@ def test_quotas_in_rounds_are_greedy(spark):
     assert sorted((r.category, r["round"], r.id, r["item"]) for r in accepted.collect()) == sorted(good)
     assert sorted((r.category, r["round"], r.id, r.reason) for r in rejected.collect()) == sorted(bad)
     assert asked == calls
+
+
+def test_files_are_read_in_blocks(spark, tmp_path):
+    rnd = random.Random(11)
+    lines = [" ".join(rnd.choices(["lo", "can", "è", "", "  "], k=rnd.randrange(8))) + rnd.choice(["", "\r"]) for _ in range(500)]
+    (tmp_path / "l.txt").write_bytes("\n".join(lines).encode())
+    sentences, content = [], []
+    for k in range(300):
+        words = [rnd.choice(["lo", "can", "manja", "_"]) for _ in range(rnd.randrange(5))]
+        rows = [f"{i}\t{w}\tx" for i, w in enumerate(words, 1)] + rnd.choice([[], ["1-2\tdel\t_", "2.1\tz\t_"]])
+        text = rnd.choice([None, f"Lo {k} can."])
+        content += [*([f"# sent_id = {k}"]), *([f"# text = {text}"] if text else []), *rows, *([""] * rnd.choice([1, 1, 2, 3]))]
+        said = text or " ".join(w for w in words if w != "_")
+        if said:
+            sentences.append(said)
+    (tmp_path / "c.conllu").write_text("\n".join(content))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = readers.numbered_lines(spark, str(tmp_path / "l.txt"))
+            assert (found.rdd.getNumPartitions() > 5) == (size == "700b")
+            assert [tuple(r) for r in found.orderBy("line_no").collect()] == list(enumerate(x.removesuffix("\r") for x in lines))
+            kept = readers.numbered_lines(spark, str(tmp_path / "l.txt"), keep_blank=False)
+            assert [tuple(r) for r in kept.orderBy("line_no").collect()] == list(enumerate(x.strip() for x in lines if x.strip()))
+            assert [r.text for r in readers.conllu_sentences(spark, str(tmp_path / "c.conllu")).collect()] == sentences
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
