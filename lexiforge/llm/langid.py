@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -109,59 +109,49 @@ def fit(rows: np.ndarray, labels: list[str], n_landmarks: int = LANDMARKS, ridge
     return model
 
 
-#: Of a label with more rows than this share of the sample allows, a hash of the ids picks the rows that are
-#: ranked; twice the rows wanted, so that enough of them remain.
+#: Rows of a label that a hash of the ids picks, for each one wanted, so that enough of them have letters.
 _SPARE = 2.0
-
-
-def _sample(usable: DataFrame, per_label: int, max_labels: int) -> dict[str, list[int]]:
-    """label -> hashes of the ids that come first: small rows only, cut down before they are brought together."""
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    if not counts:
-        return {}
-    whole = (1 << 63) - 1
-    bounds = {label: whole if n <= 8 * per_label else int(_SPARE * (per_label + 64) / n * whole) for label, n in counts.items()}
-    found: dict[str, list[int]] = {}
-    while bounds:
-        bound = F.create_map(*(x for label, limit in bounds.items() for x in (F.lit(label), F.lit(limit))))[F.col("label")]
-        few = usable.select("label", "rank").filter(F.col("rank") <= bound).distinct()
-        first = few.groupBy("label").agg(F.slice(F.sort_array(F.collect_list("rank")), 1, per_label).alias("ranks"))
-        found |= {r["label"]: list(r["ranks"]) for r in first.collect()}
-        # where most rows are copies of few, the bound was too low
-        bounds = {label: min(whole, limit * 8) for label, limit in bounds.items() if limit < whole and len(found.get(label, ())) < per_label}
-    return found
+_WHOLE = (1 << 63) - 1
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_label: int = TRAIN_PER_LABEL, max_labels: int = 512) -> Model | None:
-    """Fit on a bounded sample: of every label, the ``per_label`` texts that come first by a hash of their id.
+    """Fit on a bounded sample: of every label, the ``per_label`` texts with letters that come first by a hash of their id.
 
-    Rows with a null label or a text without letters teach nothing. Hashes of ids are ranked first, a few
-    thousand a label; only then are the chosen texts read, and reduced to presence bits on the executors, so
-    the driver gets a kilobyte for each sampled text, however long it is. Rows that repeat an id are ranked
-    alike, and taken in the order of their texts' hashes. Returns None where there is nothing to learn from.
-    Labels beyond ``max_labels`` raise an error. Other columns are not looked at.
+    Rows with a null label, a null id or a text without letters teach nothing. Labels are counted first, which reads no
+    texts; then about twice the rows wanted are picked by hashes of their ids, in one scan, and reduced to presence bits
+    on the executors, so the driver gets a kilobyte for each sampled text, however long it is. Where too few of them
+    have letters, more are picked. Of rows that repeat an id one teaches. Returns None where there is nothing to
+    learn from. Labels beyond ``max_labels`` raise an error. Other columns are not looked at.
     """
     ship_code(docs.sparkSession)
-    rank = F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).bitwiseAND(F.lit((1 << 63) - 1)).alias("rank")
-    usable = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), rank).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranks = _sample(usable, per_label, max_labels)
-    if not ranks:
-        return None
-    limits = F.create_map(*(x for label, found in ranks.items() for x in (F.lit(label), F.lit(max(found)))))[F.col("label")]
-    sample = usable.filter(F.col("rank") <= limits)
+    rank = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(_WHOLE)).alias("rank")
+    labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label_col).alias("label"), rank, F.col(text_col).alias("text"))
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
 
     def reduce(batches):
         for batch in batches:
+            batch = batch[[bool(t and _LETTER.search(t)) for t in batch["text"]]]
             bits = [np.packbits(presence([t])[0].astype(bool)).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "bits": bits})
 
-    # copies of a row have one rank and one text: of each, one teaches
-    reduced = sample.mapInPandas(reduce, "label string, rank long, bits binary").groupBy("label", "rank").agg(F.first("bits").alias("bits"))
-    got = reduced.toPandas().sort_values(["label", "rank"])
-    rows = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["bits"]]).astype(np.float32)
-    return fit(rows, list(got["label"]))
+    bounds = {label: min(_WHOLE, int(_SPARE * (per_label + 64) / n * _WHOLE)) for label, n in counts.items()}
+    found: dict = {}
+    while bounds:
+        bound = F.create_map(*(x for label, limit in bounds.items() for x in (F.lit(label), F.lit(limit))))[F.col("label")]
+        reduced = labelled.filter(F.col("rank") <= bound).mapInPandas(reduce, StructType([labelled.schema["label"], *StructType.fromDDL("rank long, bits binary")]))
+        once = reduced.groupBy("label", "rank").agg(F.first("bits").alias("bits"))
+        first = once.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank"))).filter(F.col("place") <= per_label)
+        got = first.toPandas()
+        found |= {label: own.sort_values("rank") for label, own in got.groupby("label")}
+        # where few rows have letters, or most are copies of few, the bound was too low
+        bounds = {label: min(_WHOLE, limit * 8) for label, limit in bounds.items() if limit < _WHOLE and len(found.get(label, ())) < per_label}
+    if not found:
+        return None
+    sample = pd.concat([found[label] for label in sorted(found)])
+    rows = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in sample["bits"]]).astype(np.float32)
+    return fit(rows, list(sample["label"]))
 
 
 def _parts(batch: pa.RecordBatch):
