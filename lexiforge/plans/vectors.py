@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.storage import stored
 from ..operators import evaluation, merging, routing, vectors
 from .tables import table
 
@@ -57,6 +58,7 @@ def ties_merge(spark, d):
     rows = table(spark, d, "embeddings").withColumn("part", F.concat_ws(":", F.col("vec_id") % 2, "label"))
     part = F.split("part", ":")
     parts = vectors.mean_vectors(rows, "part", "embedding").select(part[0].alias("key"), part[1].alias("model"), "idx", "value")
+    parts = stored(parts)  # read once for each pass of the selection
     merged = merging.ties_merge(parts, "key", "model", (F.col("model").cast("int") + 1) / 10, F.lit(0.2))
     return merged.select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))
 
@@ -82,6 +84,7 @@ def merge_weights(spark, d):
     key = F.element_at(F.array(*map(F.lit, _TENSORS)), (F.col("vec_id") % 5 + 1).cast("int"))
     place = (F.floor(F.col("label") / 2) * 64 + F.col("idx")).cast("long")
     parts = rows.groupBy(key.alias("key"), (F.col("label") % 2).cast("string").alias("model"), place.alias("idx")).agg(F.avg("value").alias("value"))
+    parts = stored(parts)
     models = {name: parts.filter(F.col("model") == name).drop("model") for name in ("0", "1")}
     merged = merging.merge_files(models, {"0": 0.7, "1": 0.3}, 0.2, scale=0.5)
     return merged.select("key", "idx", (F.round("value", 6) + 0.0).alias("value"))

@@ -16,7 +16,7 @@ from ..functions.shipping import ship_code
 _CHUNK = 1 << 20
 
 
-def _filesystem(path: str):
+def open_filesystem(path: str):
     """The file system of a path (a local one, or any that pyarrow opens) and the path in it."""
     from pyarrow import fs
 
@@ -78,12 +78,12 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         from pyarrow import fs
 
-        system, folder = _filesystem(self.folder)
+        system, folder = open_filesystem(self.folder)
         found = system.get_file_info(fs.FileSelector(folder, recursive=True))
         return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern)]
 
     def read(self, partition: _File):
-        system, _ = _filesystem(self.folder)
+        system, _ = open_filesystem(self.folder)
         n = 0
         try:
             with system.open_input_stream(partition.path, compression=None) as raw:

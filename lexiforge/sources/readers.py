@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 from ..functions.storage import stored
+from . import tensors
 
 
 def raw_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl*", damaged: bool = False) -> DataFrame:
@@ -241,31 +242,20 @@ def files_with_names(spark: SparkSession, paths: list[str], schema: str) -> Data
 def tensor_rows(spark: SparkSession, path: str) -> DataFrame:
     """(key, idx, value) of the tensors of safetensors files, flattened in row-major order.
 
-    A file is a little-endian 64-bit header size, a JSON header of types, shapes and offsets, and the data. A file
-    is one task's, so it must be below 2 GiB; larger weights come in several files. Files of pickled objects are
-    not read, as reading them runs their code.
+    A file is a little-endian 64-bit header size, a JSON header of types, shapes and offsets, and the data. Here a file
+    is one task's, read by Spark from any store, and must be below 2 GiB; ``tensors.sliced_tensors`` reads larger ones in
+    slices. Files of pickled objects are not read, as reading them runs their code.
     """
 
     def run(batches: Iterator):
         import numpy as np
         import pandas as pd
 
-        kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "u1"}
         for batch in batches:
             for raw in batch["content"]:
                 (size,) = struct.unpack_from("<Q", raw)
-                for key, about in json.loads(raw[8 : 8 + size]).items():
-                    if key == "__metadata__":
-                        continue
-                    begin, end = (8 + size + x for x in about["data_offsets"])
-                    if about["dtype"] == "BF16":  # the upper half of a 32-bit number
-                        values = (np.frombuffer(raw[begin:end], "<u2").astype(np.uint32) << 16).view(np.float32)
-                    elif about["dtype"] in kinds:
-                        values = np.frombuffer(raw[begin:end], kinds[about["dtype"]])
-                    else:
-                        raise ValueError(f"type {about['dtype']} of {key}")
-                    for at in range(0, len(values), 1 << 20):
-                        part = values[at : at + (1 << 20)]
-                        yield pd.DataFrame({"key": key, "idx": np.arange(at, at + len(part)), "value": part.astype(np.float64)})
+                for part in tensors.slices("", raw[8 : 8 + size], tensors.BATCH):
+                    values = tensors.numbers(raw[part.begin : part.end], part.kind)
+                    yield pd.DataFrame({"key": part.key, "idx": np.arange(part.idx, part.idx + len(values)), "value": values})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "key string, idx long, value double")

@@ -88,3 +88,38 @@ def test_sum_without_normalising(spark):
     parts = spark.createDataFrame(rows, "key string, idx long, model string, value double")
     got = {r.idx: r.value for r in merging.ties_merge(parts, "key", "model", F.lit(0.5), F.lit(1.0), normalise=False).collect()}
     assert got == {0: 3.0, 1: 0.0, 2: -1.5}
+
+
+def test_a_file_in_slices_equals_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    data, header = b"", {"__metadata__": {"format": "x"}}
+    kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?"}
+    expected = {}
+    for kind, numpy_kind in kinds.items():
+        values = (rng.normal(size=2500) * 50).astype(numpy_kind)
+        header[f"t.{kind}"] = {"dtype": kind, "shape": [50, 50], "data_offsets": [len(data), len(data) + values.nbytes]}
+        data += values.tobytes()
+        expected[f"t.{kind}"] = values.astype(np.float64)
+    halves = rng.normal(size=999).astype("<f4").view("<u4") >> 16
+    header["t.BF16"] = {"dtype": "BF16", "shape": [999], "data_offsets": [len(data), len(data) + 1998]}
+    data += halves.astype("<u2").tobytes()
+    expected["t.BF16"] = (halves << 16).view("<f4").astype(np.float64)
+    header["t.empty"] = {"dtype": "F32", "shape": [0], "data_offsets": [len(data), len(data)]}
+    head = json.dumps(header).encode()
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "w.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + data)
+    from lexiforge.sources import tensors
+
+    for path in (tmp_path / "deep" / "w.safetensors", tmp_path / "deep"):
+        found = tensors.sliced_tensors(spark, str(path), most=700)
+        assert found.rdd.getNumPartitions() == 9 * 4 + 2
+        got = found.toPandas()
+        assert set(got.key) == set(expected)
+        for key, own in got.groupby("key"):
+            own = own.sort_values("idx")
+            assert own.idx.tolist() == list(range(len(expected[key]))) and np.array_equal(own.value, expected[key])
+    whole = readers.tensor_rows(spark, str(tmp_path / "deep" / "w.safetensors")).toPandas()
+    assert sorted(map(tuple, whole.to_numpy().tolist())) == sorted(map(tuple, got.to_numpy().tolist()))
+    (tmp_path / "deep" / "x.safetensors").write_bytes(struct.pack("<Q", 60) + json.dumps({"t": {"dtype": "Q4", "shape": [1], "data_offsets": [0, 1]}}).encode().ljust(60) + b"x")
+    with pytest.raises(Exception, match="type Q4 of t"):
+        tensors.sliced_tensors(spark, str(tmp_path / "deep")).count()
