@@ -335,6 +335,30 @@ def token_texts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tokens, " ").alias("tokens"))
 
 
+@query(
+    "byte_token_texts",
+    """SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(text, ''), lambda c: c <> ''),
+      lambda c: repeat('<byte> ', strlen(c) - 1) || CASE c WHEN chr(10) THEN chr(39) || '\\n' || chr(39) WHEN chr(9) THEN chr(39) || '\\t' || chr(39) WHEN chr(92) THEN chr(39) || '\\\\' || chr(39) WHEN chr(39) THEN '"' || chr(39) || '"' ELSE chr(39) || c || chr(39) END), ' ') AS tokens FROM conversations""",
+)
+def byte_token_texts(spark, d):
+    """What each byte of a text adds to what was decoded before it: characters of several bytes are incomplete at first."""
+    pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(sequences.token_texts(F.transform(pairs, F.unhex)), " ").alias("tokens"))
+
+
+@query(
+    "aligned_lines",
+    """SELECT a.k, a.t AS prediction, b.t AS reference FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, text AS t FROM conversations WHERE role = 'assistant') a
+    JOIN (SELECT row_number() OVER (ORDER BY conv_id DESC, turn DESC) - 1 AS k, text AS t FROM conversations WHERE role = 'assistant') b USING (k)""",
+)
+def aligned_lines(spark, d):
+    """Two files of as many lines side by side, by line number; a line without its counterpart would be an error."""
+    said = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    forward, n = sampling.numbered(said.select("conv_id", "turn"), "k", "conv_id", "turn")
+    lines = forward.join(said, ["conv_id", "turn"])
+    return joins.aligned({"prediction": lines.select("k", "text"), "reference": lines.select((F.lit(n - 1) - F.col("k")).alias("k"), "text")}, "k")
+
+
 @query(
     "label_forms",
     """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug, CASE WHEN length(p_name) > 11 THEN substr(p_name, 1, 11) || '...' ELSE p_name END AS short,
