@@ -430,6 +430,8 @@ def _settle(carried: list[str], text_col: str, with_text: bool, bits: int):
             asked += [(shard, None, None, None, None, None, bucket, _DIGESTS, payload) for shard, bucket, payload in _digest_rows(shard, hot_pairs, bits)]
         empty = [pa.nulls(len(asked), f.type) for f in list(schema)[: len(carried) + len(_RESULT)]]
         more = pa.Table.from_arrays([*empty, *(pa.array([a[k] for a in asked], kind) for k, kind in enumerate(_WAIT_ARROW))], schema=schema)
+        del blocks, texts, stretches, hot_pairs, asked, results, found, waits
+        tidy()
         return pa.concat_tables([rows, more])
 
     return run
@@ -448,6 +450,8 @@ def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if number >= 0 and flags[k].any():
             at = np.flatnonzero(flags[k])
             out.append((shard, number, _merge_spans(at, at + SIZE).tobytes()))
+    del texts, flags
+    tidy()
     return pd.DataFrame(out, columns=["shard_", "stretch_", "spans_"])
 
 
