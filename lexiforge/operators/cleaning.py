@@ -91,10 +91,13 @@ def reason_counts(scored: DataFrame) -> DataFrame:
     return scored.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def without_matches(rows: DataFrame, columns: list[str], patterns: list[str]) -> DataFrame:
-    """Rows in which no pattern is found, whatever the case, in the columns joined by spaces."""
+def without_matches(rows: DataFrame, columns: list[str], patterns: list[str], flags: str = "idU") -> DataFrame:
+    """Rows in which no pattern is found, whatever the case, in the columns joined by spaces.
+
+    A dot is anything but a line feed. Without U among the flags, case and classes are those of ASCII.
+    """
     text = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
-    return rows.filter(~text.rlike("(?iU)" + "|".join(patterns)))
+    return rows.filter(~text.rlike(f"(?{flags})" + "|".join(patterns)))
 
 
 def without_literal(rows: DataFrame, columns: list[str], literal: str = "<unk>") -> DataFrame:

@@ -89,3 +89,17 @@ def test_shuffle_and_alignment_return_all_rows(spark, tmp_path):
     en, fr = ([t for _, t, x in sorted(rows) if x == lang] for lang in ("en", "fr"))
     got = sorted((r.k, r.en, r.fr) for r in mixing.parallel_align(spark, str(tmp_path)).collect())
     assert got == [(k + 1, *both) for k, both in enumerate(zip(en, fr))] and len(got) == 100
+
+
+def test_blocklist_has_the_boundaries_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    ends = ["", "é", "e", "_", "7", "٣", "\u0301", "\u200d", "ß", ".", " ", "\n", "ſ", "日"]
+    texts = [None, "", *(f"la station{x}" for x in ends), *(f"a{x}nation b" for x in ("\r", "\x85", "\u2028", "\u2029", "\n", "\v"))]
+    texts += ["TION", "tıon", "TİON", "[12]", "[٣]", "[１]", "[]", "HTTPS://", "httpſ://", "http:/", "wiKipedia", "Wi\u212aipedia", "wıkipedia", "wİkipedia", "GOOGLE", "gooɡle"]
+    rows = [(i, turn, role, text) for i, text in enumerate(texts) for turn, role in enumerate(("user", "assistant", "uſer", "uſeR x", "User\u0301", None))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as db:
+        expected = db.execute(corpus.ORACLE["blocklist_filter"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")).fetchall()
+    got = [tuple(r) for r in corpus.blocklist_filter(spark, str(tmp_path)).collect()]
+    assert 0 < len(expected) < len(rows) and sorted(got) == sorted(expected)
