@@ -5,12 +5,16 @@ from __future__ import annotations
 import codecs
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
+from ..functions.batches import parts
+from ..functions.shipping import ship_code
 from . import sampling
 
 IGNORE = -100
@@ -140,17 +144,29 @@ def repeated(rows: DataFrame, group: str, times: dict[str, int], default: int =
 
 
 def library_tokens(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """Adds tokens (as the tokenizer of the ``tokenizers`` file at ``path`` writes them) and decoded, the text of their ids."""
+    """Adds tokens (as the tokenizer of the ``tokenizers`` file at ``path`` writes them) and decoded, the text of their ids.
+
+    A worker encodes one text after the other and hands its rows on by about a megabyte of text: what the library holds
+    for a text is some fifty times as large.
+    """
+    ship_code(texts.sparkSession)
 
     def run(batches):
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
         for batch in batches:
-            found = tool.encode_batch([t if isinstance(t, str) else "" for t in batch[text]], add_special_tokens=False)
-            yield batch.assign(tokens=[e.tokens for e in found], decoded=[tool.decode(e.ids, skip_special_tokens=False) for e in found])
-
-    return texts.mapInPandas(run, StructType([*texts.schema, *StructType.fromDDL("tokens array<string>, decoded string")]))
+            for part in parts(batch, text):
+                tokens, decoded = [pa.array([], pa.string())], []
+                for t in part.column(text):
+                    found = tool.encode(t.as_py() or "", add_special_tokens=False)
+                    tokens.append(pa.array(found.tokens, pa.string()))
+                    decoded.append(tool.decode(found.ids, skip_special_tokens=False))
+                ends = np.cumsum([len(x) for x in tokens], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(tokens))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=[*part.schema.names, "tokens", "decoded"])
+
+    return texts.mapInArrow(run, StructType([*texts.schema, *StructType.fromDDL("tokens array<string>, decoded string")]))
 
 
 def tokenizer_checks(rows: DataFrame, text: str) -> DataFrame:
