@@ -1,7 +1,9 @@
-"""Byte-level subwords: byte-pair merges over the distinct words of a corpus, joined back to its texts.
+"""Byte-level subwords: byte-pair merges over the distinct words of a part of a corpus, or of all of it.
 
-A word is merged once, however often the corpus holds it. Words are what the usual pattern of byte-level
-vocabularies cuts: a contraction, or a run of letters, digits or signs with the space before it, or white space.
+Texts are encoded where they are: a worker merges each distinct word of a part of a batch, and keeps words that it has
+merged. Counts and candidates merge a word once, however often the corpus holds it, and are joined by word. Words are
+what the usual pattern of byte-level vocabularies cuts: a contraction, or a run of letters, digits or signs with the
+space before it, or white space.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ import json
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from ..functions.batches import parts
 from ..functions.shipping import ship_code
 from .sequences import byte_characters, placed_forms
 
@@ -23,6 +28,10 @@ from .sequences import byte_characters, placed_forms
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a vocabulary that is sent to all workers, at most.
 MOST_TOKENS = 1_000_000
+#: Merged words that a worker keeps, at most, and the characters of one. When it has so many, it begins anew.
+MOST_KEPT, KEPT_LENGTH = 200_000, 40
+#: Values (words or ids) that a worker has as objects at a time; a longer text has all of its own.
+PART_VALUES = 1 << 18
 
 
 @dataclass
@@ -56,8 +65,14 @@ class Vocabulary:
         return {c: b for b, c in enumerate(self._characters)}
 
     @cached_property
-    def _tokens(self) -> dict[int, str]:
-        return {i: t for t, i in self.ids.items()}
+    def _kept(self) -> dict[str, list[int]]:
+        return {}
+
+    @cached_property
+    def _decoded(self) -> dict[int, bytes]:
+        """The bytes of each id; special tokens have none."""
+        found = {i: bytes(map(self._bytes.__getitem__, t)) for t, i in self.ids.items() if self._bytes.keys() >= set(t)}
+        return found | {i: b"" for i in self.specials.values()}
 
     def merge(self, word: str) -> list[str]:
         """The tokens of a word: of all neighbouring pairs the one of least rank becomes one, the leftmost first,
@@ -86,10 +101,25 @@ class Vocabulary:
     def encode_word(self, word: str) -> list[int]:
         return [self.ids[t] for t in self.merge(word)]
 
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids one after the other. A word is merged once for the array, or for
+        several if it is kept."""
+        coded, kept, found = words.dictionary_encode(), self._kept, []
+        for word in coded.dictionary.to_pylist():
+            ids = kept.get(word)
+            if ids is None:
+                ids = self.encode_word(word)
+                if len(word) <= KEPT_LENGTH:
+                    if len(kept) >= MOST_KEPT:
+                        kept.clear()
+                    kept[word] = ids
+            found.append(ids)
+        every = pa.array(found, pa.list_(pa.int32())).take(coded.indices)
+        return np.diff(every.offsets.to_numpy()), every.flatten().to_numpy()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character, and special tokens are left out."""
-        special = set(self.specials.values())
-        return bytes(self._bytes[c] for i in ids if i not in special for c in self._tokens[i]).decode("utf-8", "replace")
+        return b"".join(map(self._decoded.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def words(text: Column) -> Column:
@@ -114,23 +144,35 @@ def word_table(found: DataFrame, word: str, vocabulary: Vocabulary) -> DataFrame
 def encoded(rows: DataFrame, texts: dict[str, str], vocabulary: Vocabulary, *key: str) -> DataFrame:
     """rows with the ids of several texts: texts names the column of ids for each column of text.
 
-    Words are exploded with their places, joined with the table of distinct words, and put together again by the
-    key, which must be unique and not null. A null or empty text has no ids.
+    Each row is encoded where it is, so nothing is shuffled, and the key is not looked at. Spark cuts the words, workers
+    merge them. A null or empty text has no ids.
     """
-    parts = None
-    for text, name in texts.items():
-        part = rows.select(*key, F.lit(name).alias("_name"), F.posexplode(words(F.col(text))).alias("_place", "word"))
-        parts = part if parts is None else parts.unionByName(part)
-    pieces = parts.join(word_table(parts, "word", vocabulary), "word").select(*key, "_name", F.struct("_place", "ids").alias("_piece"))
+    ship_code(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [c for c in rows.columns if c not in texts.values()]
+    names, cut = [*kept, *texts.values()], [f"_words{k}" for k in range(len(texts))]
 
-    def together(name: str) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col("_name") == name, F.col("_piece"))))
-        return F.flatten(F.transform(own, lambda p: p["ids"])).alias(name)
+    def column(found: pa.ListArray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        sizes, ids = held.value.encode_words(found.flatten())
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        return pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(ids, pa.int32()))
 
-    found = pieces.groupBy(*key).agg(*map(together, texts.values()))
-    kept = [c for c in rows.columns if c not in texts.values()]
-    filled = [F.coalesce(name, F.array().cast("array<int>")).alias(name) for name in texts.values()]
-    return rows.select(*kept).join(found, list(key), "left").select(*kept, *filled)
+    def pieces(batch: pa.RecordBatch, left: list[str]):
+        if not left:
+            yield batch
+        for part in parts(batch, left[0], PART_VALUES) if left else ():
+            yield from pieces(part, left[1:])
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, cut):
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *(column(part.column(name)) for name in cut)], names=names)
+
+    schema = StructType(rows.select(*kept).schema.fields)
+    for name in texts.values():
+        schema = schema.add(name, ArrayType(IntegerType()))
+    return rows.select(*kept, *(words(F.col(text)).alias(name) for text, name in zip(texts, cut))).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, ids: str, name: str, vocabulary: Vocabulary) -> DataFrame:
@@ -142,8 +184,9 @@ def decoded(rows: DataFrame, ids: str, name: str, vocabulary: Vocabulary) -> Dat
     def run(batches):
         decode = held.value.decode
         for batch in batches:
-            texts = [None if x is None else decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+            for part in parts(batch, ids, PART_VALUES):
+                texts = [None if x is None else decode(x) for x in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema, *StructType().add(name, "string")]))
 

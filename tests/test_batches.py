@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexiforge.functions.batches import parts
-from lexiforge.operators import sequences
+from lexiforge.operators import sequences, subwords
+from lexiforge.plans import subwords as plans
 
 
 def peak_mb(run):
@@ -78,3 +79,35 @@ def test_library_tokens_of_odd_texts(spark):
     for r in got:
         found = tool.encode(texts[r.id] or "", add_special_tokens=False)
         assert r.text == texts[r.id] and r.tokens == found.tokens and r.decoded == tool.decode(found.ids, skip_special_tokens=False)
+
+
+def test_subwords_are_not_shuffled(spark, tmp_path):
+    corpus(spark, 600, 6000).withColumnRenamed("id", "doc_id").withColumn("lang", F.lit("fr")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.subword_ids(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    (n, same), most = peak_mb(lambda: tuple(found.agg(F.count("*"), F.count_if("same")).first()))
+    assert (n, same) == (600, 600)
+    assert most < 450, most
+
+
+def test_words_are_kept_within_bounds(monkeypatch):
+    held = plans.vocabulary()
+    words = [" one", "two", " one", "x" * 60, "", "é", "three", "two", "four"]
+    alone = [held.encode_word(w) for w in words]
+    monkeypatch.setattr(subwords, "MOST_KEPT", 2)
+    for _ in range(2):
+        sizes, ids = held.encode_words(pa.array(words, pa.string()))
+        assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == sum(alone, [])
+        assert len(held._kept) <= 2 and "x" * 60 not in held._kept
+    sizes, ids = held.encode_words(pa.array([], pa.string()))
+    assert not len(sizes) and not len(ids)
+
+
+def test_texts_of_several_columns_in_parts(spark, monkeypatch):
+    held = plans.vocabulary()
+    texts = [None, "", "a b c", "l'été " * 9, "\n", "x", None, "one two"]
+    rows = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, texts[::-1]))], "id int, t string, u string").coalesce(1)
+    monkeypatch.setattr(subwords, "PART_VALUES", 3)
+    got = subwords.decoded(subwords.encoded(rows, {"t": "t", "u": "ids"}, held, "id"), "ids", "again", held).orderBy("id").collect()
+    assert [r.u for r in got] == texts[::-1] == [r.u if r.u is None else r.again for r in got]
+    assert [held.decode(r.t) for r in got] == [t or "" for t in texts] and got[0].t == []
